@@ -134,7 +134,7 @@ def requests(chunk_id: int, keys: np.ndarray, bits: int, width: int = 64, part:
     )
 
 
-def repeated(lists: list[np.ndarray]) -> list[np.ndarray]:
+def repeated(lists: list[np.ndarray], part: int = 0) -> list[np.ndarray]:
     """For each list of distinct keys: which of them another list holds too. Sorts one bucket."""
     every = np.sort(np.concatenate(lists))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -143,12 +143,13 @@ def repeated(lists: list[np.ndarray]) -> list[np.ndarray]:
     return [twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x for x in lists]
 
 
-def answer(sent: DataFrame, round_no: int, merge: Callable[[list[np.ndarray]], list[np.ndarray]] = repeated, as_bits: bool = True) -> DataFrame:
-    """Each bucket's task runs ``merge`` on the lists of its chunks, one bucket at a time."""
+def answer(sent: DataFrame, round_no: int, merge: Callable[[list[np.ndarray], int], list[np.ndarray]] = repeated, as_bits: bool = True) -> DataFrame:
+    """Each bucket's task runs ``merge`` on the lists of its chunks, by chunk, one bucket at a time."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk_id")
         lists = [unpack(x) for x in table.column("keys").to_pylist()]
-        flags = [squeeze((np.packbits(x) if as_bits else x).tobytes()) for x in merge(lists)]
+        flags = [squeeze((np.packbits(x) if as_bits else x).tobytes()) for x in merge(lists, table.column("part")[0].as_py())]
         n = table.num_rows
         return pa.table(
             {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from traceloom.llm import substring_dedup
+from traceloom.llm import substring_dedup, suffix_dedup
 
-_MODULES = [substring_dedup]
+_MODULES = [substring_dedup, suffix_dedup]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -52,13 +52,13 @@ def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return H.mix(keys + U64(0x632BE59BD9B4E019) * U64(row + 1)) >> U64(64 - bits)
 
 
-def _twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of each key among them, which of them occur twice or more here."""
     distinct, back, count = np.unique(keys, return_inverse=True, return_counts=True)
     return distinct, back, count > 1
 
 
-def _merge_counters(lists: list[np.ndarray]) -> list[np.ndarray]:
+def _merge_counters(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
     """Adds the partial sketches of one slice, and reads whether each touched counter is above one."""
     high = int(max(x[-1] for x in lists)) + 1
     counters = np.zeros(high, dtype=np.uint8)
@@ -67,7 +67,7 @@ def _merge_counters(lists: list[np.ndarray]) -> list[np.ndarray]:
     return [counters[x] > 1 for x in lists]
 
 
-def _covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n places lie in a window of that width from one of the starts."""
     edge = np.zeros(n + 1, dtype=np.int32)
     np.add.at(edge, starts, 1)
@@ -101,7 +101,7 @@ def remove_repeated_windows(
         """Which windows the merged sketch counts twice or more."""
         often = np.ones(len(words.keys), dtype=bool)
         for r in range(depth):
-            distinct, back, here = _twice(_cells(words.keys, r, bits))
+            distinct, back, here = twice(_cells(words.keys, r, bits))
             often &= (X.read_flags(replies, 1, r) | here)[back] if len(distinct) else False
         return often
 
@@ -112,9 +112,9 @@ def remove_repeated_windows(
     def finish(chunk, replies):
         words = _Words(chunk, window)
         often = np.flatnonzero(estimated(words, replies))
-        distinct, back, here = _twice(words.keys[often])
+        distinct, back, here = twice(words.keys[often])
         again = (X.read_flags(replies, 2) | here)[back] if len(distinct) else np.empty(0, bool)
-        gone = _covered(len(words.starts), words.at[often[again]], window)
+        gone = covered(len(words.starts), words.at[often[again]], window)
         n_words, n_gone, digests, texts = [], [], [], []
         raw = words.data.tobytes()
         for a, b in zip(words.first[:-1], words.first[1:], strict=True):
