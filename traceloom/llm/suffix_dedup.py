@@ -51,8 +51,8 @@ class _Suffixes:
         digest = [hashlib.blake2b(texts[a:b], digest_size=16).digest() for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)]
         self.digests = np.frombuffer(b"".join(digest), dtype="<u8").reshape(-1, 2).astype(U64)
 
-    def copies(self, replies: pa.Table) -> np.ndarray:
-        """Which documents equal another one, and are not the first of their kind."""
+    def copies(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents equal another one; which of these are not the first of their kind."""
         out = np.ones(len(self.digests), dtype=bool)
         first_here = np.zeros(len(self.digests), dtype=bool)
         for k in (0, 1):
@@ -62,16 +62,16 @@ class _Suffixes:
             later[first] = False
             first_here |= ~later & (state[back] != 2)
             out &= (state[back] > 0) | (count > 1)[back]
-        return out & ~first_here
+        return out, out & ~first_here
 
     def long_ties(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Places of suffixes with a tied sample rank in their first period, and copied documents."""
-        chunk, copies = self.chunk, self.copies(replies)
+        chunk, (copies, later) = self.chunk, self.copies(replies)
         distinct, back, here = twice(self.ranks)
         tied = self.at[((X.read_flags(replies, 1, 0, as_bits=False) > 0) | here)[back]] if len(distinct) else self.at
         open_ = covered(len(chunk.data), np.maximum(tied - (PERIOD - 1), 0), PERIOD)
         whole = np.zeros(len(chunk.data), dtype=bool)
-        for a, b, copy in zip(chunk.starts.tolist(), chunk.ends.tolist(), copies.tolist(), strict=True):
+        for a, b, copy in zip(chunk.starts.tolist(), chunk.ends.tolist(), later.tolist(), strict=True):
             if not copy and b - a >= self.length:
                 whole[a : b - self.length + 1] = True
         return np.flatnonzero(open_ & whole), copies
