@@ -85,7 +85,7 @@ def _chunker(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             texts_here = batch.column(1).cast(pa.large_binary())
             for doc, text in zip(batch.column(0).to_pylist(), texts_here, strict=True):
                 text = text.as_py() or b""
-                if ids and size + len(text) > chunk_bytes:
+                if ids and (size + len(text) > chunk_bytes or len(ids) == 50_000):
                     yield close()
                     number += 1
                     ids, nulls, texts, size = [], [], [], 0

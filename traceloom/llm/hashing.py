@@ -134,3 +134,26 @@ def byte_window_hashes(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         p = at[k : k + block]
         out[k : k + block] = mix((sums[p + (n - 7)] - sums[p]) * inverse[p] + U64(n))
     return out
+
+
+#: Bytes of letters and digits; bytes of other alphabets count as letters.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[128:] = True
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
+
+
+def letter_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the lower-cased words of letters and digits of many texts.
+
+    Returns fingerprints, the text of each word, and the number of words of each text;
+    then starts and ends of the words in the texts joined by one space.
+    """
+    data = lower_ascii(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8))
+    solid = _LETTER[data]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if len(solid) and solid[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[0::2], edge[1::2]
+    last = np.cumsum([len(t) + 1 for t in texts])
+    owner = np.searchsorted(last, starts, side="right")
+    return span_hashes(data, starts, ends) if len(starts) else np.empty(0, U64), owner, np.bincount(owner, minlength=len(texts)), starts, ends

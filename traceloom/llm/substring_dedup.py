@@ -26,10 +26,10 @@ class _Words:
     """Words of a chunk, and the fingerprint of each window that lies in one document."""
 
     def __init__(self, chunk: X.Chunk, window: int):
-        self.starts, self.ends = H.word_bounds(_separated(chunk))
+        self.starts, self.ends = H.word_bounds(separated(chunk))
         shift = np.searchsorted(chunk.starts + np.arange(len(chunk.starts)), self.starts, side="right") - 1
         self.first = np.searchsorted(shift, np.arange(len(chunk.ids) + 1))
-        data = _separated(chunk)
+        data = separated(chunk)
         words = H.span_hashes(data, self.starts, self.ends) if len(self.starts) else np.empty(0, U64)
         every = H.windows(words, window)
         doc_end = self.first[1:][shift] if len(shift) else np.empty(0, np.int64)
@@ -39,7 +39,7 @@ class _Words:
         self.data = data
 
 
-def _separated(chunk: X.Chunk) -> np.ndarray:
+def separated(chunk: X.Chunk) -> np.ndarray:
     """The texts with one space after each, so that words never cross documents."""
     n = len(chunk.ids)
     out = np.full(len(chunk.data) + n, 0x20, dtype=np.uint8)
