@@ -1,0 +1,79 @@
+"""Predicates that decide whether a source, a session or a row may be measured at all."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from traceloom.functions.expr import first_reason
+
+
+def suppression(sources: DataFrame, observations: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Adds ``suppressed``: the first reason that silences a source, or null.
+
+    ``sources`` has source_id, availability, has_evidence, state_limited and, for the
+    longer ladder with ``events``, supported. Observations of ambiguous origin silence
+    their source; with ``events`` so do executions with a parent or wrapper.
+    """
+    ambiguous = observations.groupBy("source_id").agg(F.bool_or(F.col("origin") == "ambiguous").alias("_ambiguous"))
+    out = sources.join(ambiguous, "source_id", "left")
+    ladder = [(F.col("availability") != "available", "source_unavailable"), (~F.col("has_evidence"), "evidence_absent"), (F.col("state_limited"), "state_limited"), (F.coalesce("_ambiguous", F.lit(False)), "ambiguous_origin")]
+    if events is not None:
+        related = events.groupBy("source_id").agg(F.bool_or(F.col("parent_id").isNotNull() | F.col("wrapper_id").isNotNull()).alias("_related"))
+        out = out.join(related, "source_id", "left")
+        ladder = [ladder[0], (~F.col("supported"), "unsupported_contract"), *ladder[1:], (F.coalesce("_related", F.lit(False)), "unresolved_execution_relation")]
+    return out.withColumn("suppressed", first_reason(*ladder)).drop("_ambiguous", "_related")
+
+
+def provenance(events: DataFrame, observations: DataFrame) -> DataFrame:
+    """Adds ``proof`` (the least id of a decisive observation at the event's own offset) and ``resolved``.
+
+    A decisive observation has the event's offset and status; any linked one that states
+    another status contradicts, and an event with a contradiction is not resolved.
+    """
+    linked = observations.select(F.col("event_id").alias("id"), F.col("id").alias("_o"), F.col("byte_offset").alias("_at"), F.col("transport_status").alias("_status"))
+    joined = events.select("id", "byte_offset", "status").join(linked, "id", "left")
+    decisive = (F.col("_at") == F.col("byte_offset")) & (F.col("_status") == F.col("status"))
+    seen = joined.groupBy("id").agg(F.min(F.when(decisive, F.col("_o"))).alias("proof"), F.coalesce(F.bool_or(F.col("_status") != F.col("status")), F.lit(False)).alias("_contradicted"))
+    return events.join(seen, "id", "left").withColumn("resolved", F.col("proof").isNotNull() & ~F.col("_contradicted")).drop("_contradicted")
+
+
+def poisoned(rows: DataFrame, keys: list[str], resolved: Column) -> DataFrame:
+    """Adds ``poisoned``: one row that is not resolved silences its whole partition."""
+    return rows.withColumn("poisoned", F.bool_or(~resolved).over(W.partitionBy(*keys)))
+
+
+def propagate(rows: DataFrame, keys: list[str], flag: Column, order: str) -> DataFrame:
+    """Adds ``ambiguous``: true from the first flagged row of a partition on."""
+    return rows.withColumn("ambiguous", F.coalesce(F.max(flag.cast("int")).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) == 1, F.lit(False)))
+
+
+def resolve_timing(rows: DataFrame) -> DataFrame:
+    """Interval and duration of one scope that differ by more than 1 ms conflict, and the weaker evidence goes.
+
+    A duration the source reports outranks an interval it doesn't; otherwise the duration
+    goes, and the interval too unless the source reports it alone. An end before its start
+    voids both.
+    """
+    backwards = F.col("end_ms") < F.col("start_ms")
+    start, end = (F.when(~F.coalesce(backwards, F.lit(False)), F.col(c)) for c in ("start_ms", "end_ms"))
+    out = rows.withColumn("start_ms", start).withColumn("end_ms", end)
+    conflict = F.coalesce((F.col("interval_scope") == F.col("duration_scope")) & (F.abs(F.col("duration_ms") - (F.col("end_ms") - F.col("start_ms"))) > 1), F.lit(False))
+    told_d, told_i = F.col("timing_evidence") == "source_reported", F.col("interval_evidence") == "source_reported"
+    drop_interval = conflict & ((told_d & ~told_i) | ~told_i | told_d)
+    drop_duration = conflict & ~(told_d & ~told_i)
+    out = out.withColumn("_i", drop_interval).withColumn("_d", drop_duration).withColumn("timing_conflict", conflict)
+    for c, gone in (("start_ms", "_i"), ("end_ms", "_i"), ("duration_ms", "_d")):
+        out = out.withColumn(c, F.when(~F.col(gone), F.col(c)))
+    return out.drop("_i", "_d")
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """Checks a usage row's components: parts within their whole, total the sum. What breaks a rule becomes null.
+
+    Columns input, cached_input, output, reasoning_output, total; adds ``count_status``.
+    """
+    bad_cached, bad_reasoning = (F.coalesce(F.col(p) > F.col(w), F.lit(False)) for p, w in (("cached_input", "input"), ("reasoning_output", "output")))
+    bad_total = F.coalesce(F.col("total") != F.col("input") + F.col("output"), F.lit(False))
+    return rows.withColumn("count_status", F.when(bad_cached | bad_reasoning | bad_total, "invalid").otherwise("valid")).withColumn("cached_input", F.when(~bad_cached, F.col("cached_input"))).withColumn("reasoning_output", F.when(~bad_reasoning, F.col("reasoning_output"))).withColumn("total", F.when(~bad_total, F.col("total")))
