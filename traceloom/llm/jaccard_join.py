@@ -182,8 +182,9 @@ def jaccard_components(
     posting = scratch.save(reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "node", "n", F.col("t.places").alias("place")), "postings")
     sets = reps.select("node", "n", "grams")
 
-    leaders = posting.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"))
+    leaders = posting.groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"))
     near = posting.withColumnsRenamed({"n": "m_n", "place": "m_place", "node": "a"}).join(leaders, "token").where("a <> b").where(_may_match("m_", "l_", percent)).select("a", "b").distinct()
+    near = scratch.save(near, "pairs-1")
     one = scratch.save(_verified(near, sets, percent), "edges-1")
     parts = scratch.save(components(one, scratch, "star-1"), "parts-1")
 
