@@ -94,7 +94,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     that powers stay short and are kept between calls.
     """
     out = np.empty(len(starts), dtype=U64)
-    block = 1 << 20
+    block = 1 << 16
     at = 0
     while at < len(starts):
         low = starts[at]
