@@ -1,0 +1,254 @@
+"""The ordered fold of a log's records into executions, turns and usage.
+
+One ``Fold`` holds the open state of one source. It is fed records in byte order and is
+the same for a whole file, for any split of it, and for a stream: its state pickles.
+A repeated identical record changes nothing; a repeated record with other content makes
+what it describes conflicted, and no copy wins.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from datetime import UTC, datetime
+
+from traceloom.functions.identity import classify
+
+EVENT_FIELDS = ("id", "session_id", "turn_id", "kind", "category", "pattern", "start_ms", "end_ms", "duration_ms", "timing_evidence", "status", "outcome", "exit_code", "ambiguous", "byte_offset")
+EVENT_DDL = "id string, session_id string, turn_id string, kind string, category string, pattern string, start_ms long, end_ms long, duration_ms double, timing_evidence string, status string, outcome string, exit_code int, ambiguous boolean, byte_offset long"
+#: Names of provider tools and their kinds.
+_KINDS = {"Bash": "shell", "Read": "read", "Edit": "edit", "MultiEdit": "edit", "Write": "edit", "Grep": "search", "Glob": "search", "Task": "subagent", "Agent": "subagent", "WebFetch": "browser", "WebSearch": "browser"}
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) and value else None
+
+
+def _ms(value) -> int | None:
+    if not isinstance(value, str) or not value.endswith("Z"):
+        return None
+    try:
+        return int(datetime.fromisoformat(value[:-1]).replace(tzinfo=UTC).timestamp() * 1000 + 0.5)
+    except ValueError:
+        return None
+
+
+def _number(value) -> float | None:
+    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value < 1 << 53 else None
+
+
+def _kind(name: str | None) -> str:
+    if name and name.startswith("mcp__"):
+        return "mcp"
+    return _KINDS.get(name or "", "other")
+
+
+def _exit(code: int | None, policy: str) -> tuple[str, str]:
+    """Status and outcome of an exit code."""
+    if code is None:
+        return "unknown", "unknown"
+    if code == 0:
+        return "completed", "success"
+    if code == 1 and policy in ("one_no_match", "one_change"):
+        return "completed", "no_match" if policy == "one_no_match" else "change_detected"
+    return ("failed", "failed") if policy != "unknown" else ("unknown", "unknown")
+
+
+class Fold:
+    def __init__(self, provider: str):
+        self.provider = provider
+        self.session = self.turn = None
+        self.ambiguous = False
+        self.events: dict[str, dict] = {}
+        self.early: dict[str, tuple[str, dict, int]] = {}
+        self.turns: dict[str, dict] = {}
+        self.usage: dict[str, dict] = {}
+        self.seen: dict[str, str] = {}
+        self.diagnostics: list[tuple[int, str]] = []
+        self.changed: set[str] = set()
+
+    def ingest(self, raw: str, offset: int) -> None:
+        record = json.loads(raw)
+        (self._codex if self.provider == "codex" else self._claude)(record, offset)
+
+    def _replay(self, key: str, content) -> str:
+        """new, same, or conflict."""
+        digest = hashlib.sha256(json.dumps(content, sort_keys=True).encode()).hexdigest()
+        before = self.seen.setdefault(key, digest)
+        return "new" if before is digest else "same" if before == digest else "conflict"
+
+    def _conflict(self, id_: str) -> None:
+        if id_ in self.events:
+            self.events[id_] |= {"status": "unknown", "outcome": "unknown", "start_ms": None, "end_ms": None, "duration_ms": None, "timing_evidence": "conflicted"}
+            self.changed.add(id_)
+
+    def _open(self, id_: str, offset: int, kind: str, command: str | None, start: int | None) -> None:
+        state = self._replay(f"call:{id_}", [kind, command, start])
+        if state != "new":
+            if state == "conflict":
+                self._conflict(id_)
+            return
+        pattern, category, policy = classify(command) if command else (None, {"read": "read", "search": "search", "edit": "edit"}.get(kind, "other"), "unknown")
+        self.events[id_] = {
+            "id": id_, "session_id": self.session, "turn_id": self.turn, "kind": kind, "category": category, "pattern": pattern, "start_ms": start, "end_ms": None, "duration_ms": None,
+            "timing_evidence": "unknown", "status": "pending", "outcome": "unknown", "exit_code": None, "ambiguous": self.ambiguous, "byte_offset": offset, "policy": policy, "structured": False,
+        }
+        self.changed.add(id_)
+        if id_ in self.early:
+            how, result, at = self.early.pop(id_)
+            self.diagnostics.append((at, "REORDERED_RECORD"))
+            self._close(id_, at, how, result)
+
+    def _close(self, id_: str, offset: int, how: str, result: dict) -> None:
+        if id_ not in self.events:
+            self.early[id_] = (how, result, offset)
+            return
+        event = self.events[id_]
+        state = self._replay(f"{how}:{id_}", result)
+        if state == "conflict":
+            self._conflict(id_)
+        if state != "new" or event["timing_evidence"] == "conflicted" or (event["structured"] and how != "item"):
+            return
+        event |= {"structured": how == "item"}
+        if result.get("running"):
+            return
+        if "failed" in result:
+            event |= {"status": "failed" if result["failed"] else "completed", "outcome": "failed" if result["failed"] else "success"}
+        else:
+            event["exit_code"] = result.get("exit_code")
+            event["status"], event["outcome"] = _exit(result.get("exit_code"), event["policy"])
+        start, end = result.get("start", event["start_ms"]), result.get("end")
+        if start is not None and end is not None and end < start:
+            start = end = None
+        told = result.get("duration")
+        event |= {
+            "start_ms": start, "end_ms": end, "duration_ms": told if told is not None else float(end - start) if start is not None and end is not None else None,
+            "timing_evidence": "source_reported" if told is not None else "paired" if start is not None and end is not None else "unknown",
+        }
+        self.changed.add(id_)
+
+    def _begin_session(self, id_: str | None, forked: bool, offset: int) -> None:
+        if forked or (self.session is not None and id_ != self.session):
+            self.ambiguous = True
+            self.diagnostics.append((offset, "AMBIGUOUS_ORIGIN"))
+        self.session = self.session or id_
+
+    def _usage(self, id_: str, offset: int, counts: dict, final: bool) -> None:
+        known = self.usage.get(id_)
+        if known is None:
+            self.usage[id_] = {"id": id_, "session_id": self.session, "turn_id": self.turn, "counts": counts, "final": final, "conflicted": False, "byte_offset": offset}
+        elif known["counts"] != counts:
+            # A final record may replace provisional ones; otherwise no copy outranks another.
+            if final and not known["final"]:
+                known |= {"counts": counts, "final": True}
+            else:
+                known["conflicted"] = True
+
+    # Provider A
+
+    def _codex(self, record: dict, offset: int) -> None:
+        kind, body = record.get("type"), record.get("payload")
+        body = body if isinstance(body, dict) else {}
+        at = _ms(record.get("timestamp"))
+        if kind == "session_meta":
+            self._begin_session(_text(body.get("id")), bool(body.get("forked_from_id")), offset)
+        elif kind == "turn_context":
+            self.turn = _text(body.get("turn_id"))
+        elif kind == "response_item" and body.get("type") in ("function_call", "custom_tool_call") and _text(body.get("call_id")):
+            self._codex_call(body, offset, at)
+        elif kind == "response_item" and body.get("type") in ("function_call_output", "custom_tool_call_output") and _text(body.get("call_id")):
+            self._close(body["call_id"], offset, "result", self._codex_output(body.get("output")) | {"end": at})
+        elif kind == "event_msg" and body.get("type") in ("task_started", "task_complete", "turn_aborted") and _text(body.get("turn_id")):
+            self._codex_turn(body, offset)
+        elif kind == "event_msg" and body.get("type") == "item_completed" and isinstance(body.get("item"), dict):
+            self._codex_item(body, offset)
+        elif kind == "token_usage_record" and _text(body.get("response_id")) and isinstance(body.get("usage"), dict):
+            self._usage(body["response_id"], offset, body["usage"], True)
+
+    def _codex_call(self, body: dict, offset: int, at: int | None) -> None:
+        name, command = body.get("name"), None
+        if name in ("shell", "exec_command", "local_shell"):
+            try:
+                args = json.loads(body.get("arguments") or "{}")
+            except ValueError:
+                args = {}
+            command = args.get("command", args.get("cmd")) if isinstance(args, dict) else None
+            if isinstance(command, list):
+                inner = command[2] if len(command) == 3 and command[1] in ("-c", "-lc") else " ".join(map(str, command))
+                command = inner
+        self._open(body["call_id"], offset, "shell" if name in ("shell", "exec_command", "local_shell") else _kind(name), _text(command), at)
+
+    @staticmethod
+    def _codex_output(output) -> dict:
+        try:
+            value = json.loads(output) if isinstance(output, str) else output
+        except ValueError:
+            return {}
+        if not isinstance(value, dict):
+            return {}
+        code = value.get("exit_code", (value.get("metadata") or {}).get("exit_code") if isinstance(value.get("metadata"), dict) else None)
+        return {"exit_code": code if isinstance(code, int) and not isinstance(code, bool) else None, "running": bool(value.get("running") or (value.get("session_id") and code is None))}
+
+    def _codex_turn(self, body: dict, offset: int) -> None:
+        turn = self.turns.setdefault(body["turn_id"], {"id": body["turn_id"], "session_id": self.session, "start_ms": None, "end_ms": None, "status": "pending", "byte_offset": offset})
+        start, end = (_number(body.get(k)) for k in ("started_at", "completed_at"))
+        if start is not None:
+            turn["start_ms"] = int(start * 1000)
+        if body["type"] == "task_started":
+            self.turn = body["turn_id"]
+            return
+        status = "completed" if body["type"] == "task_complete" else "cancelled"
+        turn["status"] = status if turn["status"] in ("pending", status) else "unknown"
+        if end is not None:
+            turn["end_ms"] = int(end * 1000)
+
+    def _codex_item(self, body: dict, offset: int) -> None:
+        item = body["item"]
+        if not _text(item.get("id")) or item.get("type") not in ("CommandExecution", "McpToolCall"):
+            return
+        duration = item.get("duration")
+        told = duration.get("secs", 0) * 1000 + duration.get("nanos", 0) / 1e6 if isinstance(duration, dict) else None
+        command = item.get("command")
+        command = " ".join(map(str, command)) if isinstance(command, list) else command
+        mcp = item["type"] == "McpToolCall"
+        if item["id"] not in self.events:
+            self._open(item["id"], offset, "mcp" if mcp else "shell", None if mcp else _text(command), None)
+        result = {"start": body.get("started_at_ms"), "end": body.get("completed_at_ms"), "duration": told}
+        result |= {"failed": item.get("status") == "failed"} if mcp else {"exit_code": item.get("exit_code")}
+        self._close(item["id"], offset, "item", result)
+
+    # Provider B
+
+    def _claude(self, record: dict, offset: int) -> None:
+        if _text(record.get("uuid")):
+            state = self._replay(f"uuid:{record['uuid']}", record)
+            if state == "conflict":
+                self.diagnostics.append((offset, "CONFLICTING_REPLAY"))
+            if state != "new":
+                return
+        self._begin_session(_text(record.get("sessionId")), bool(record.get("forkedFromSessionId")), offset)
+        message, at = record.get("message"), _ms(record.get("timestamp"))
+        message = message if isinstance(message, dict) else {}
+        blocks = message.get("content")
+        for block in blocks if isinstance(blocks, list) else []:
+            if not isinstance(block, dict):
+                continue
+            if block.get("type") == "tool_use" and _text(block.get("id")):
+                args = block.get("input") if isinstance(block.get("input"), dict) else {}
+                kind = _kind(block.get("name"))
+                self._open(block["id"], offset, kind, _text(args.get("command")) if kind == "shell" else None, at)
+            elif block.get("type") == "tool_result" and _text(block.get("tool_use_id")):
+                extra = record.get("toolUseResult") if isinstance(record.get("toolUseResult"), dict) else {}
+                ack = bool(extra.get("backgroundTaskId") or extra.get("isAsync"))
+                self._close(block["tool_use_id"], offset, "ack" if ack else "result", {"running": True} if ack else {"failed": block.get("is_error") is True, "end": at})
+        if record.get("type") == "assistant" and isinstance(message.get("usage"), dict) and _text(message.get("id")):
+            u = {k: v for k, v in message["usage"].items() if isinstance(v, int)}
+            total_in = sum(u.get(k, 0) for k in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))
+            self._usage(message["id"], offset, {"input": total_in, "output": u.get("output_tokens"), "total": total_in + u.get("output_tokens", 0)}, message.get("stop_reason") is not None)
+        elif record.get("type") == "system" and record.get("subtype") == "turn_duration" and _text(record.get("uuid")):
+            self.turns[record["uuid"]] = {"id": record["uuid"], "session_id": self.session, "start_ms": None, "end_ms": None, "status": "completed", "duration_ms": _number(record.get("durationMs")), "byte_offset": offset}
+
+    def event_rows(self, only_changed: bool = False) -> list[tuple]:
+        ids = sorted(self.changed) if only_changed else sorted(self.events)
+        self.changed.clear()
+        return [tuple(self.events[i][f] for f in EVENT_FIELDS) for i in ids]

@@ -1,0 +1,41 @@
+"""Records to executions, in batch: the fold runs inside tasks that each hold whole sources, in order."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from traceloom.sources.fold import EVENT_DDL, EVENT_FIELDS, Fold
+
+EVENTS = "source_id string, " + EVENT_DDL
+_TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in EVENTS.split(", "))])
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(EVENT_FIELDS) + 1)]
+    return pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(ARROW, cols, strict=True)}, schema=ARROW)
+
+
+def fold_events(records: DataFrame, provider: str) -> DataFrame:
+    """One row for each execution of each source.
+
+    Records come sorted by source and ordinal and stream through the task: only the open
+    state of one source is held, not its log.
+    """
+
+    def run(batches):
+        source, fold = None, None
+        for batch in batches:
+            out = []
+            for s, raw, offset in zip(*(batch.column(c).to_pylist() for c in ("source_id", "raw", "byte_offset")), strict=True):
+                if s != source:
+                    out += [(source, *r) for r in fold.event_rows()] if fold else []
+                    source, fold = s, Fold(provider)
+                fold.ingest(raw, offset)
+            yield batch_of(out)
+        if fold:
+            yield batch_of([(source, *r) for r in fold.event_rows()])
+
+    ordered = records.select("source_id", "ordinal", "raw", "byte_offset").repartition("source_id").sortWithinPartitions("source_id", "ordinal")
+    return ordered.mapInArrow(run, EVENTS)

@@ -1,0 +1,39 @@
+"""The same fold on a stream of records: its state is kept for each source between micro-batches."""
+
+from __future__ import annotations
+
+import pickle
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from traceloom.sources.fold import EVENT_FIELDS, Fold
+from traceloom.sources.ingest import EVENTS
+
+
+def fold_stream(records: DataFrame, provider: str) -> DataFrame:
+    """Executions that a micro-batch opened or changed; a later row of an id replaces the earlier one.
+
+    A record that comes late changes its execution, it is never dropped, so there is no
+    watermark. Files must come in byte order within a source.
+    """
+
+    def run(key, frames, state: GroupState):
+        fold = pickle.loads(state.get[0]) if state.exists else Fold(provider)
+        rows = pd.concat(list(frames)).sort_values("byte_offset")
+        for raw, offset in zip(rows["raw"], rows["byte_offset"], strict=True):
+            fold.ingest(raw, int(offset))
+        out = pd.DataFrame([(key[0], *r) for r in fold.event_rows(only_changed=True)], columns=["source_id", *EVENT_FIELDS]).astype(object)
+        state.update((pickle.dumps(fold),))
+        yield out.where(out.notna(), None)
+
+    return records.groupBy("source_id").applyInPandasWithState(run, EVENTS, "fold binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """The last state of each execution from a table of changes with their batch number."""
+    from pyspark.sql import functions as F
+
+    whole = F.struct(*[c for c in changes.columns if c not in ("source_id", "id", "batch")])
+    return changes.groupBy("source_id", "id").agg(F.max_by(whole, "batch").alias("r")).select("source_id", "id", "r.*")
