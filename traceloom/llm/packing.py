@@ -8,6 +8,7 @@ from its rank among the pieces of its length. No piece passes through the driver
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -23,30 +24,59 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Token ids of a text as little-endian bytes, for tokenizers that drop white space.
+    """Token ids of texts as little-endian bytes, for tokenizers that drop white space and lower-case.
 
-    Such a tokenizer never joins what white space parts, so that a text's ids are its
-    words' ids in order. Words repeat, and their ids are kept up to ``most`` words.
+    Such a tokenizer never joins what white space parts, nor letters and digits with the
+    punctuation after them, so that a text's ids are those of its parts in order. Parts
+    repeat; the ids of up to ``most`` words and ``most_stems`` stems are kept.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000, most_stems: int = 1_200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()  # at ASCII white space
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.tokenizer, self.most, self.most_stems = Tokenizer.from_file(path), most, most_stems
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """Stem and final punctuation; no punctuation where a split might change the ids."""
+        if b"<|" in word or b"'" in word:
+            return word, b""
+        stem = word.rstrip(b".,!?;:%$#&*|")
+        if len(stem) == len(word) or not stem:
+            return word.lower(), b""
+        last = stem[-1]
+        if last < 128:
+            plain = chr(last).isalnum()
+        else:
+            plain = stem.decode()[-1].isalpha()
+        return (stem.lower(), word[len(stem) :]) if plain else (word.lower(), b"")
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.words) > self.most:
+            self.words.clear()
+        if len(self.stems) > self.most_stems:
+            self.stems.clear()
+        parts = {w: self._parts(w) for w in words}
+        stems = self.stems
+        new = list({p for pair in parts.values() for p in pair if p} - stems.keys())
+        for stem, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+            stems[stem] = np.array(e.ids, dtype="<u4").tobytes()
+        for word, (stem, tail) in parts.items():
+            self.words[word] = stems[stem] + stems[tail] if tail else stems[stem]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]  # at ASCII white space
+        new = set().union(*split)
+        missing = new - self.words.keys()
+        if missing:
+            # What is cleared in between must be learned again.
+            if len(self.words) > self.most:
+                missing = new
+            self._learn(missing)
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -56,6 +86,21 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def _parcels(batches, size: int = 4 << 20):
+    """Ids and texts in lists of about ``size`` bytes, so that memory doesn't follow the batch."""
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            docs.append(doc)
+            texts.append(content.as_py() or b"")
+            held += len(texts[-1])
+            if held >= size:
+                yield docs, texts
+                docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def tokenized_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", most: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Pieces of at most ``most`` tokens; ``ids`` (little-endian 32-bit) only where asked for.
 
@@ -66,10 +111,10 @@ def tokenized_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     def run(batches):
         mine = tokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for docs_, texts in _parcels(batches):
             rows: list[tuple] = []
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = mine.encode(content.as_py() or b"") + end
+            for doc, ids in zip(docs_, mine.encode(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     piece = ids[at : at + 4 * most]
                     rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
