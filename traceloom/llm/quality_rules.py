@@ -43,7 +43,8 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("_r", F.sort_array(F.array_compact(again)))
     covered = F.aggregate(F.transform("_r", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_r", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     counts = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
+        # A column that isn't deterministic keeps Spark from pushing a filter on the counts below them, where it would compute all arrays anew for each use.
+        (F.size("_w") + F.monotonically_increasing_id() * 0).alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
