@@ -28,15 +28,17 @@ def word_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class LinearModel:
     """Logistic regression on chosen word buckets and a few dense columns."""
 
-    def __init__(self, features: int = 4096, ridge: float = 0.5, rounds: int = 200):
-        self.features, self.ridge, self.rounds = features, ridge, rounds
+    def __init__(self, features: int = 4096, deviations: float = 3.0, ridge: float = 0.5, rounds: int = 200):
+        self.features, self.deviations, self.ridge, self.rounds = features, deviations, ridge, rounds
 
     def fit(self, owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, label: np.ndarray) -> LinearModel:
         n, positive = len(label), label > 0.5
         seen, hit = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket[positive[owner]], minlength=1 << BITS)
         rate = positive.mean() if n else 0.0
-        score = np.where(seen > 1, np.abs(hit - seen * rate) / np.sqrt(seen + 1.0), 0.0)
+        # Standard deviations by which a word's share of positives is off; chance alone seldom gives three.
+        score = np.where(seen > 1, np.abs(hit - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 0.25), 0.0)
         chosen = np.argsort(-score, kind="stable")[: self.features]
+        chosen = chosen[score[chosen] >= self.deviations]
         column = np.full(1 << BITS, -1)
         column[chosen] = np.arange(len(chosen))
         keep = column[bucket] >= 0
