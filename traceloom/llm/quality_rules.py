@@ -141,11 +141,39 @@ def apply_cutoffs(counted: DataFrame, cutoffs: DataFrame, most_strata: int = 10_
     return out.withColumn("_kept", ~F.col("_base_failed") & (F.size("_broken") == 0))
 
 
+def _oracle(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """The same definition in SQL; the binomial tail is summed with lgamma."""
+    rules = ", ".join(f"('{name}', {at}, {cut})" for name, cuts in RULES.items() for at, cut in enumerate(cuts))
+    p, share = alpha / len(RULES), {"symbols_per_char": ("n_symbols", "word_chars"), "upper_per_char": ("n_upper", "word_chars"), "repeat_words": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "chars_per_word": ("word_chars", "n_words")}
+    values = " UNION ALL ".join(f"SELECT r, doc_id, s, '{name}' AS rule, CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END AS v FROM q" for name, (a, b) in share.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, chr(0)) AS s, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT r, g FROM k GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT k.r, unnest(range(i, i + 3)) AS j FROM k JOIN again a ON a.r = k.r AND a.g = k.g) GROUP BY r),
+l AS (SELECT r, count(*) AS n, count(DISTINCT x) AS m FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+q AS (SELECT d.r, doc_id, s, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(l.n - l.m, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, CAST(len(regexp_extract_all(t, '\p{{Lu}}')) AS BIGINT) AS n_upper FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
+v AS ({values}),
+b AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT v.*, good FROM v JOIN b USING (doc_id)),
+c AS (SELECT * FROM (VALUES {rules}) AS c(rule, pos, cutoff)),
+t AS (SELECT s, lab.rule, pos, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND v > cutoff) AS k, count(*) FILTER (NOT good AND v > cutoff) AS caught FROM lab JOIN c ON c.rule = lab.rule GROUP BY ALL),
+x AS (SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p})) FOR i IN range(0, k + 1)]) END AS tail, (SELECT count(DISTINCT s) FROM lab) AS strata FROM t),
+ok AS (SELECT * FROM x WHERE tail <= {delta} / (strata * {len(RULES)})),
+cut AS (SELECT s, rule, cutoff FROM ok QUALIFY row_number() OVER (PARTITION BY s, rule ORDER BY round(coalesce(caught / nullif(m, 0), 0) - 20.0 * k / n, 9) DESC, pos) = 1 AND caught > 0),
+bad AS (SELECT DISTINCT r FROM v JOIN cut ON cut.s = v.s AND cut.rule = v.rule AND v > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed, NOT f AND bad.r IS NULL AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f FROM q) LEFT JOIN bad USING (r)
+"""
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     _, verdicts = judge_quality(docs.select("doc_id", "text", "lang"), labels)
     return verdicts.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+_ORACLE = _oracle()
 QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_quality_rules": _ORACLE}

@@ -136,5 +136,16 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k SEMI JOIN again USING (s)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (r, j) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_substring_dedup": _ORACLE}
