@@ -216,3 +216,15 @@ def test_edited_copies_and_clean_documents(spark, none, odd):
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()} == {(k, k % 20) for k in range(60)}
     assert decontamination.find_leaks(df, bench.where("false")).count() == 0
     assert decontamination.find_leaks(none, bench).count() == decontamination.find_leaks(odd, bench).count() == 0
+
+
+def test_cutoffs_equal_sql(spark, duck, data):
+    """With a limit that few labels can certify, so that cutoffs exist on the smallest tables too."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    _, light = quality_rules.judge_quality(docs, labels, alpha=1.5)
+    got = {r.doc_id: r._kept for r in light.collect()}
+    want = duck.sql(quality_rules._oracle(alpha=1.5))
+    at = [want.columns.index(c) for c in ("doc_id", "kept", "base_failed")]
+    rows = [[r[k] for k in at] for r in want.fetchall()]
+    assert got == {r[0]: r[1] for r in rows}
+    assert any(not r[1] and not r[2] for r in rows)
