@@ -110,6 +110,16 @@ def corpus_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
 
 
+def chunk_size(items: float, bytes_each: float) -> int:
+    """Bytes of a chunk. It grows with the root of the corpus, as does a bucket, so that a list from one chunk to one bucket keeps some 64 keys."""
+    return max(2 << 20, int(8 * items**0.5 * bytes_each))
+
+
+def bucket_size(items: float) -> int:
+    """Keys of a bucket: what one task sorts at a time."""
+    return max(1 << 20, int(8 * items**0.5))
+
+
 def bits_for(items: float, most: int) -> int:
     """Bits of the bucket number, so that a bucket holds about ``most`` items."""
     bits = 0

@@ -66,14 +66,16 @@ class _Sets:
 
 def _chunk_counts(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
     """In how many chunks each cell occurs, up to 255: the merged sketch of one slice."""
-    every = np.concatenate(lists)
-    counters = np.bincount(every.astype(np.int64))
-    return [np.minimum(counters[x], 255).astype(np.uint8) for x in lists]
+    counters = np.zeros(int(max(x[-1] for x in lists)) + 1, dtype=np.uint8)
+    for x in lists:
+        counters[x] += counters[x] < 255
+    return [counters[x] for x in lists]
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk_bytes: int, bucket_items: int, counters: int) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk_bytes: int | None, bucket_items: int | None, counters: int) -> DataFrame:
     """A row for each document: set size and class, and, if another document may be similar, prefix n-grams and the whole set."""
     items = max(1, X.corpus_bytes(docs, text) // 6)
+    chunk_bytes, bucket_items = chunk_bytes or X.chunk_size(items, 6), bucket_items or X.bucket_size(items)
     bits = max(16, (items * counters - 1).bit_length())
     slices = X.bits_for(items, bucket_items)
     chunks = X.chunked(docs, doc_id, text, chunk_bytes)
@@ -159,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, chunk_bytes: int = 2 << 20, bucket_items: int = 4 << 20,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, chunk_bytes: int | None = None, bucket_items: int | None = None,
     counters: int = 8, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each document: doc_id, row, text_sha, n_shingles, node (its class), component_id, keeper.

@@ -77,7 +77,7 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def remove_repeated_windows(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, depth: int = 2,
-    counters_per_window: int = 4, chunk_bytes: int = 2 << 20, bucket_items: int = 4 << 20,
+    counters_per_window: int = 4, chunk_bytes: int | None = None, bucket_items: int | None = None,
 ) -> DataFrame:
     """Per document: words, words removed, digest and text of the words kept.
 
@@ -89,6 +89,7 @@ def remove_repeated_windows(
     """
     size = X.corpus_bytes(docs, text)
     items = max(1, size // 6)
+    chunk_bytes, bucket_items = chunk_bytes or X.chunk_size(items, 6), bucket_items or X.bucket_size(items)
     bits = max(16, (items * counters_per_window - 1).bit_length())
     slices = X.bits_for(items, bucket_items)
     chunks = X.chunked(docs, doc_id, text, chunk_bytes)

@@ -91,7 +91,7 @@ def _first_of_equals(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(x) for x in lists])[:-1])
 
 
-def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, chunk_bytes: int = 2 << 20, bucket_items: int = 4 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, chunk_bytes: int | None = None, bucket_items: int | None = None) -> DataFrame:
     """Per document: bytes, bytes removed, removed runs, digest and bytes that are kept.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
@@ -102,6 +102,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     if length < PERIOD + 8:
         raise ValueError(f"length must be at least {PERIOD + 8}")
     size = X.corpus_bytes(docs, text)
+    chunk_bytes, bucket_items = chunk_bytes or X.chunk_size(size * len(COVER) / PERIOD, PERIOD / len(COVER)), bucket_items or X.bucket_size(size * len(COVER) / PERIOD)
     sample_bits = X.bits_for(size * len(COVER) / PERIOD, bucket_items)
     bits = X.bits_for(size / 4, bucket_items)
     chunks = X.chunked(docs, doc_id, text, chunk_bytes)
