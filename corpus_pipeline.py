@@ -24,8 +24,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the row with the smallest id; of wholly equal rows one; texts without words all."""
-    found = jaccard_join.jaccard_components(docs)
+    """Keeps of each group the row with the smallest id; of wholly equal rows one; texts without words all.
+
+    Near copies share 80 % or more of their 5-word shingles; operator 6's own query has other values.
+    """
+    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
     keep = found.where("keeper").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha")).count()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = rows.withColumn("_i", F.col("_doc.doc_id").cast("long")).withColumn("_s", F.substring(F.sha2(F.coalesce("_doc.text", F.lit("")), 256), 1, 16))

@@ -156,3 +156,20 @@ def test_components_in_one_task_and_in_many(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     for bound in (10_000, 60):
         assert {r.node: r.label for r in components(df, Scratch(spark), "t", bound).collect()} == {x: root(x) for x in up}
+
+
+def test_pipeline_stage_drops_near_copies_from_four_fifths(spark):
+    """Copies that lack 18 and 25 % of the text at its end: 5-word similarities of 0.82 and 0.74."""
+    from corpus_pipeline import drop_near_copies
+
+    words = [f"w{i}" for i in range(400)]
+    docs = {1: words, 2: words[:328], 3: words[:298], 4: [f"x{i}" for i in range(90)]}
+    for a, b, low, high in ((1, 2, 80, 85), (1, 3, 70, 80)):
+        x, y = (shingles(" ".join(docs[k]), 5) for k in (a, b))
+        assert low <= 100 * len(x & y) / len(x | y) < high
+    del docs[3]
+    kept = drop_near_copies(spark, spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 4}
+    docs[2] = words[:298]
+    kept = drop_near_copies(spark, spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 4}
