@@ -218,6 +218,48 @@ def test_edited_copies_and_clean_documents(spark, none, odd):
     assert decontamination.find_leaks(none, bench).count() == decontamination.find_leaks(odd, bench).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 3])
+def test_evenly_edited_copies(spark, exact):
+    """Each 5th, 6th or 7th word replaced, with and without exact copies elsewhere: all with 0.6 or more are found."""
+    random.seed(21)
+    words = [f"w{i}" for i in range(5000)]
+    items = {i: random.sample(words, 15 + i) for i in range(45)} | {i: random.sample(words, i - 95) for i in range(100, 106)}
+    docs, want = [], set()
+    for i, item in items.items():
+        copies = [list(item) for _ in range(exact)]
+        for step in (5, 6, 7):
+            copies.append([f"x{step}" if k % step == step // 2 else w for k, w in enumerate(item)])
+        copies.append([x for k, w in enumerate(item) for x in ((w, "more") if k % 3 == 2 and k + 1 < len(item) else (w,))])
+        for copy in copies:
+            docs.append((len(docs), " ".join([*(f"a{x}" for x in range(30)), *copy, *(f"b{x}" for x in range(30))])))
+            if decontamination.align(*(np.array([hash(w) & (1 << 62) - 1 for w in x], dtype=np.uint64) for x in (item, copy)))[0] >= 0.6:
+                want.add((docs[-1][0], i))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()} == want
+    assert len(want) >= (3 + exact) * len(items)
+
+
+def test_any_copy_leaves_so_many_ngrams_whole():
+    """The number of ``seeding`` against random edits of copies that keep the least score."""
+    random.seed(22)
+    seen = Counter()
+    for _ in range(6000):
+        length = random.randrange(4, 40)
+        item, copy = list(range(length)), []
+        every = random.choice([0.05, 0.15, 0.3])
+        for w in item:
+            r = random.random()
+            copy += [w] if r > every else [1000 + len(copy)] if r > every * 0.6 else [] if r > every * 0.4 else [w, 1000]
+        score, *_ = decontamination.align(np.array(item, dtype=np.uint64), np.array(copy, dtype=np.uint64))
+        size, whole = decontamination.seeding(length, 3, 0.6)
+        assert size and whole
+        if score >= 0.6:
+            held = {tuple(copy[k : k + size]) for k in range(len(copy))}
+            assert sum(tuple(item[k : k + size]) in held for k in range(length - size + 1)) >= whole
+            seen[size] += 1
+    assert min(seen[2], seen[3]) > 100
+
+
 def test_cutoffs_equal_sql(spark, duck, data):
     """With a limit that few labels can certify, so that cutoffs exist on the smallest tables too."""
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))

@@ -1,13 +1,17 @@
 """Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the benchmark items are counted over all documents. The rarer half of
-each item's n-grams are its seeds. Where several seeds stand close together in a
-document, the words around them are aligned with the items that have these seeds, and
-the local alignment's score says how much of an item is there, edited or not.
+The n-grams of the benchmark items are counted over all documents. An alignment of the
+wanted score leaves a number of an item's n-grams whole, wherever the edits are. All
+n-grams but a few of the commonest, fewer than that number, are the item's seeds, so any
+such copy holds some. Where enough seeds stand close together in a document, the words
+around them are aligned with the items that have these seeds, and the local alignment's
+score says how much of an item is there, edited or not.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +22,9 @@ from traceloom.llm.hashing import U64, letter_words, mix, windows
 from traceloom.llm.scratch import Scratch
 
 FILTER_BITS = 24
-ITEMS = "item_id long, words binary, n_words int, grams array<long>"
+#: Numbers of seeds that the filter of seeds tells apart; more count as the last.
+LEVELS = 3
+ITEMS = "item_id long, words binary, n_words int, size int, whole int, grams array<long>"
 REGIONS = "region string, doc_id long, doc_key long, first int, words binary, grams array<long>, places array<int>"
 ALIGNED = "doc_id long, doc_key long, item_id long, score double, first_word int, last_word int"
 
@@ -32,6 +38,31 @@ def _grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     return every[at], at
 
 
+def _grams_of(words: np.ndarray, first: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of several lengths, by place."""
+    parts = [_grams(words, first, n) for n in sizes]
+    if len(parts) == 1:
+        return parts[0]
+    grams, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(at, kind="stable")
+    return grams[order], at[order]
+
+
+def seeding(length: int, n: int, least_score: float) -> tuple[int, int]:
+    """The n-gram length for an item of ``length`` words, and how many of its n-grams any copy leaves whole.
+
+    A copy of the least score has m equal words and p unequal ones and gaps, m - p >= k. The
+    equal ones stand in at most p + 1 runs, so m - (n - 1)(p + 1) n-grams or more are whole.
+    The greatest length up to ``n`` that leaves one is taken. (0, 0): too short for any.
+    """
+    k = max(1, math.ceil(least_score * length - 1e-9))
+    for size in range(n, 0, -1) if length > n else ():
+        whole = k if size == 1 else k - (size - 1) - (length - k) * (size - 2)
+        if whole >= 1:
+            return size, whole
+    return 0, 0
+
+
 def _bits(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -51,29 +82,37 @@ def _bit_filter(grams: DataFrame) -> np.ndarray:
     return np.unpackbits(total).astype(bool)
 
 
-def items_of(benchmark: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
+def _level_filter(seeds: DataFrame) -> np.ndarray:
+    """For each hash prefix of a seed the least number of seeds that an item with it asks for, up to ``LEVELS``; 0 where there is none."""
+    levels = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+    for level in range(LEVELS, 0, -1):
+        levels[_bit_filter((seeds if level == LEVELS else seeds.where(F.col("asked") <= level)).select("gram"))] = level
+    return levels
+
+
+def items_of(benchmark: DataFrame, item_id: str, text: str, n: int, least_score: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
-            words, owner, count, *_ = letter_words(texts)
-            grams, at = _grams(words, owner, n)
-            cuts, ends = np.searchsorted(owner[at] if len(at) else at, np.arange(len(texts) + 1)), np.cumsum(count)
+            words, _, count, *_ = letter_words(texts)
+            size, whole = zip(*(seeding(c, n, least_score) for c in count.tolist()), strict=True) if len(texts) else ((), ())
+            mine = [words[e - c : e] for c, e in zip(count, np.cumsum(count), strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "item_id": batch.column(0), "words": pa.array([words[e - c : e].tobytes() for c, e in zip(count, ends, strict=True)], pa.binary()), "n_words": pa.array(count, pa.int32()),
-                "grams": pa.array([grams[a:b].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64())),
+                "item_id": batch.column(0), "words": pa.array([w.tobytes() for w in mine], pa.binary()), "n_words": pa.array(count, pa.int32()), "size": pa.array(size, pa.int32()), "whole": pa.array(whole, pa.int32()),
+                "grams": pa.array([windows(w, k).view(np.int64) if k else [] for w, k in zip(mine, size, strict=True)], pa.list_(pa.int64())),
             })
 
     return benchmark.select(F.col(item_id).cast("long"), F.col(text)).mapInArrow(run, ITEMS)
 
 
-def _document_counts(docs: DataFrame, bits, n: int) -> DataFrame:
+def _document_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """Documents of each n-gram that passes the filter, counted by batch before any shuffle."""
 
     def run(batches):
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.large_binary())]
             words, owner, *_ = letter_words(texts)
-            grams, at = _grams(words, owner, n)
+            grams, at = _grams_of(words, owner, sizes)
             hit = bits.value[_bits(grams)]
             pairs = np.unique(np.stack([grams[hit], owner[at[hit]].astype(U64)]), axis=1) if hit.any() else np.empty((2, 0), U64)
             distinct, count = np.unique(pairs[0], return_counts=True)
@@ -82,8 +121,8 @@ def _document_counts(docs: DataFrame, bits, n: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
 
 
-def _seed_regions(docs: DataFrame, bits, n: int, reach: int, least: int) -> DataFrame:
-    """Stretches of documents in which at least ``least`` possible seeds follow each other within ``reach`` words.
+def _seed_regions(docs: DataFrame, levels, sizes: list[int], reach: int) -> DataFrame:
+    """Stretches of documents in which possible seeds follow each other within ``reach`` words, as many as an item asks for.
 
     A stretch that is longer than 8 * reach is cut into overlapping ones, so that no row grows with a document.
     """
@@ -95,21 +134,24 @@ def _seed_regions(docs: DataFrame, bits, n: int, reach: int, least: int) -> Data
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.large_binary())]
             words, owner, count, *_ = letter_words(texts)
-            grams, at = _grams(words, owner, n)
-            hit = np.flatnonzero(bits.value[_bits(grams)])
+            grams, at = _grams_of(words, owner, sizes)
+            level = levels.value[_bits(grams)]
+            hit = np.flatnonzero(level)
             ends = np.cumsum(count)
             out: list[tuple] = []
             if len(hit):
-                place, gram, text = at[hit], grams[hit], owner[at[hit]]
+                place, gram, text, asked = at[hit], grams[hit], owner[at[hit]], level[hit]
                 cut = np.flatnonzero((np.diff(place) > reach) | (np.diff(text) > 0)) + 1
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(hit)], strict=True):
-                    while b - a >= least:
+                    while a < b:
                         stop = min(b, int(np.searchsorted(place, place[a] + 8 * reach, side="right")))
                         begin, end = int(ends[text[a]] - count[text[a]]), int(ends[text[a]])
-                        low, high = max(begin, int(place[a]) - reach), min(end, int(place[stop - 1]) + n + reach)
+                        low, high = max(begin, int(place[a]) - reach), min(end, int(place[stop - 1]) + max(sizes) + reach)
                         doc = int(text[a])
-                        out.append((f"{task}-{serial}", batch.column(0)[doc].as_py(), batch.column(1)[doc].as_py(), low - begin, words[low:high].tobytes(), gram[a:stop].view(np.int64), (place[a:stop] - low).astype(np.int32)))
-                        serial += 1
+                        # Some k seeds here ask for k or fewer.
+                        if (np.sort(asked[a:stop])[:LEVELS] <= np.arange(1, LEVELS + 1)[: stop - a]).any():
+                            out.append((f"{task}-{serial}", batch.column(0)[doc].as_py(), batch.column(1)[doc].as_py(), low - begin, words[low:high].tobytes(), gram[a:stop].view(np.int64), (place[a:stop] - low).astype(np.int32)))
+                            serial += 1
                         if stop == b:
                             break
                         a = max(a + 1, int(np.searchsorted(place, place[stop - 1] - 2 * reach)))
@@ -157,29 +199,35 @@ def find_leaks(
     """One row for each document and item of which the document holds a copy: doc_id, item_id, score, first_word, last_word.
 
     A score of 0.6 stands for about four fifths of the item's words in order, as an unequal
-    word costs as much as an equal one earns. Null and empty texts hold nothing; items with
-    fewer than ``n`` + 1 words have too few seeds and are never found; items with a null id
-    are left out. A repeated doc_id gets one row with the best score (with ``keys``, one for
+    word costs as much as an equal one earns. Every copy with ``least_score`` is found; where
+    it must hold so many, ``least_seeds`` seeds or more are asked for before an alignment.
+    Null and empty texts hold nothing; items with fewer than ``n`` + 1 words have too few
+    seeds and are never found; items with a null id are left out. A repeated doc_id gets one row with the best score (with ``keys``, one for
     each ``doc_key``, the hash of the whole text).
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    items = scratch.save(items_of(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text, n), "items")
-    reach = items.agg(F.max("n_words")).first()[0] or 0
-    grams = items.select("item_id", "n_words", F.explode("grams").alias("gram")).distinct()
+    # A repeated item_id with another text is another item.
+    items = items_of(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text, n, least_score).withColumn("item_key", F.xxhash64("item_id", "words"))
+    items = scratch.save(items.dropDuplicates(["item_id", "words"]).withColumn("asked", F.least("whole", F.greatest(F.lit(least_seeds), F.floor(F.col("whole") / 2)))), "items")
+    longest, used = items.agg(F.max("n_words"), F.collect_set(F.when(F.col("size") > 0, F.col("size")))).first()
+    sizes = sorted(used) or [n]
+    # An alignment has at most n_words equal words, and (1 - least_score) * n_words unequal ones and gaps.
+    reach = max(n, math.ceil((2 - least_score) * (longest or 0)))
+    grams = items.select("item_key", "whole", "asked", F.explode("grams").alias("gram")).groupBy("item_key", "whole", "asked", "gram").agg(F.count(F.lit(1)).alias("times"))
     bits = spark.sparkContext.broadcast(_bit_filter(grams.select("gram")))
-    counts = _document_counts(docs.select(text), bits, n)
-    by_rarity = W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "gram")
-    ranked = grams.join(counts, "gram", "left").withColumn("rank", F.row_number().over(by_rarity)).withColumn("of", F.count(F.lit(1)).over(W.partitionBy("item_id")))
-    seeds = scratch.save(ranked.where(F.col("rank") <= F.greatest(F.lit(least_seeds), F.ceil(F.col("of") / 2))).select("item_id", "gram"), "seeds")
-    rare = spark.sparkContext.broadcast(_bit_filter(seeds.select("gram")))
+    counts = _document_counts(docs.select(text), bits, sizes)
+    by_commonness = W.partitionBy("item_key").orderBy(F.desc(F.coalesce("docs", F.lit(0))), "gram").rowsBetween(W.unboundedPreceding, 0)
+    ranked = grams.join(counts, "gram", "left").withColumn("commonest", F.sum("times").over(by_commonness))
+    seeds = scratch.save(ranked.where(F.col("commonest") > F.col("whole") - F.col("asked")).select("item_key", "gram", "times", "asked"), "seeds")
+    levels = spark.sparkContext.broadcast(_level_filter(seeds))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.col(text).alias("text"))
-    regions = scratch.save(_seed_regions(rows, rare, n, max(reach, n), least_seeds), "regions")
+    regions = scratch.save(_seed_regions(rows, levels, sizes, reach), "regions")
     hits = regions.select("region", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = hits.join(seeds, "gram").groupBy("region", "item_id").count().where(F.col("count") >= least_seeds).select("region", "item_id")
-    short = items.select("item_id", F.col("words").alias("item")).distinct()
+    pairs = hits.join(seeds, "gram").groupBy("region", "item_key", "asked").agg(F.sum("times").alias("held")).where(F.col("held") >= F.col("asked")).select("region", "item_key")
+    short = items.select("item_key", "item_id", F.col("words").alias("item"))
     few = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    task = pairs.join(regions.select("region", "doc_id", "doc_key", "first", "words"), "region").join(F.broadcast(short) if few <= 16 << 20 else short, "item_id")
+    task = pairs.join(regions.select("region", "doc_id", "doc_key", "first", "words"), "region").join(F.broadcast(short) if few <= 16 << 20 else short, "item_key")
 
     def run(batches):
         for batch in batches:
