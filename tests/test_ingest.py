@@ -106,3 +106,44 @@ def test_files_to_events_and_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = latest(spark.read.parquet(out)).select(batch.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_blocks_give_the_lines_of_the_whole_file(spark, tmp_path):
+    """Files read in blocks of a few hundred bytes: byte-order mark, CR, blank, bad and pending lines, names with spaces."""
+    good = "".join(json.dumps(r) + ("\r\n" if k % 3 else "\n\n") for k, r in enumerate(log() * 4)).encode()
+    bom = b"\xef\xbb\xbf"
+    contents = {
+        "plain": good, "mark": bom + good, "mark tail": bom + good + b'{"c"', "tail%20": good + b'{"a": 1}', "bad": good + b"\xff{}\n[1]\nno\n" + good, "empty": b"",
+        "long": good + b'{"a":"' + b"x" * (1 << 20) + b'"}\n' + good, "limit": b'{"a":"' + b"x" * ((1 << 20) - 8) + b'"}\r\n' + good,
+    }
+    for name, content in contents.items():
+        (tmp_path / f"{name}.jsonl").write_bytes(content)
+    want = sorted(str(x) for c in contents.values() for x in jsonl.lines(c))
+    sizes = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        (tmp_path / "long.jsonl").unlink(), (tmp_path / "limit.jsonl").unlink()
+        few = sorted(str(x) for n, c in contents.items() if n not in ("long", "limit") for x in jsonl.lines(c))
+        assert sorted(str(tuple(r)[1:]) for r in jsonl.read_records(spark, str(tmp_path), "codex").collect()) == few
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("long", "limit"):
+        (tmp_path / f"{name}.jsonl").write_bytes(contents[name])
+    records = jsonl.read_records(spark, str(tmp_path), "codex")
+    assert sorted(str(tuple(r)[1:]) for r in records.collect()) == want
+    paths = {r.path for r in jsonl.discover(spark, str(tmp_path)).collect() if "empty" not in r.path}
+    import hashlib
+
+    assert {r.source_id for r in records.select("source_id").distinct().collect()} == {hashlib.sha256(f"codex\0{x}".encode()).hexdigest() for x in paths}
+
+
+def test_a_log_above_64_mib_is_read(spark, tmp_path):
+    line = json.dumps({"a": "x" * 1_000_000}) + "\n"
+    with open(tmp_path / "large.jsonl", "w") as f:
+        for _ in range(70):
+            f.write(line)
+    got = jsonl.admitted(jsonl.read_records(spark, str(tmp_path), "codex")).select("ordinal", "byte_offset", "next_offset").collect()
+    assert sorted(tuple(r) for r in got) == [(k, k * len(line), (k + 1) * len(line)) for k in range(70)]

@@ -21,9 +21,15 @@ def work_folder(spark) -> str:
     return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
 
 
-def write_logs(spark, sf_dir: str, folder: str, sources: int = 7) -> None:
+#: Events of a source; there are 7 sources or more.
+_EVENTS = 50_000
+
+
+def write_logs(spark, sf_dir: str, folder: str, sources: int | None = None) -> None:
     """Each event as a call and a result, in the order of ids; one log for each source."""
-    rows = events(spark, sf_dir).withColumn("source", F.pmod("session_id", F.lit(sources)))
+    rows = events(spark, sf_dir)
+    sources = sources or max(7, -(-rows.count() // _EVENTS))
+    rows = rows.withColumn("source", F.pmod("session_id", F.lit(sources)))
     stamp = lambda ms: F.date_format(F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {ms} / 1000.0)"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     command = F.create_map(*[F.lit(x) for pair in _COMMANDS.items() for x in pair])[F.col("category")]
     call_id = F.concat(F.lit("call-"), F.col("id").cast("string"))

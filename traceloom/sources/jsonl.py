@@ -1,9 +1,9 @@
 """JSON-lines logs as records with byte offsets.
 
-Files are read with Spark's ``binaryFile`` source, so any store that Spark reaches
-will do; a log file is bounded (64 MiB by default), and one that is larger is reported,
-not read. Lines end in LF; one CR before it is dropped; a byte-order mark counts only at
-offset 0. The bytes after the last LF are pending and not parsed.
+Files are read with Spark's ``text`` source, so any store that Spark reaches will do, and
+a file of any size is read in blocks by many tasks. Lines end in LF; one CR before it is
+dropped; a byte-order mark counts only at offset 0. The bytes after the last LF are
+pending and not parsed.
 """
 
 from __future__ import annotations
@@ -13,11 +13,28 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 LINE_LIMIT = 1 << 20
-FILE_LIMIT = 64 << 20
-RECORDS = "source_id string, ordinal long, byte_offset long, next_offset long, raw string, code string"
-_ARROW = pa.schema([("source_id", pa.string()), ("ordinal", pa.int64()), ("byte_offset", pa.int64()), ("next_offset", pa.int64()), ("raw", pa.string()), ("code", pa.string())])
+#: Places are counted from the first line of a block of a file, records from its first record.
+_PLACED = "file string, block long, place long, next_place long, number long, raw string, code string"
+_ARROW = pa.schema([("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("next_place", pa.int64()), ("number", pa.int64()), ("raw", pa.string()), ("code", pa.string())])
+
+
+def _parsed(line: bytes, line_limit: int) -> tuple[str | None, str | None]:
+    """Text and code of a line without its LF; both null if it is blank."""
+    line = line.removesuffix(b"\r")
+    if len(line) > line_limit:
+        return None, "RECORD_TOO_LARGE"
+    if not line.strip():
+        return None, None
+    try:
+        text = line.decode("utf-8")
+        return (text, None) if isinstance(json.loads(text), dict) else (None, "RECORD_NOT_OBJECT")
+    except UnicodeDecodeError:
+        return None, "INVALID_UTF8"
+    except (ValueError, RecursionError):
+        return None, "INVALID_JSON"
 
 
 def lines(content: bytes, line_limit: int = LINE_LIMIT):
@@ -32,32 +49,27 @@ def lines(content: bytes, line_limit: int = LINE_LIMIT):
         line = content[at:end]
         if at == 0 and line.startswith(b"\xef\xbb\xbf"):
             line = line[3:]
-        line = line.removesuffix(b"\r")
-        text, code = None, None
-        if len(line) > line_limit:
-            code = "RECORD_TOO_LARGE"
-        elif line.strip():
-            try:
-                text = line.decode("utf-8")
-                if not isinstance(json.loads(text), dict):
-                    text, code = None, "RECORD_NOT_OBJECT"
-            except UnicodeDecodeError:
-                code = "INVALID_UTF8"
-            except (ValueError, RecursionError):
-                text, code = None, "INVALID_JSON"
+        text, code = _parsed(line, line_limit)
         if text is not None or code:
             yield (ordinal if text is not None else None), at, end + 1, text, code
             ordinal += text is not None
         at = end + 1
 
 
-def _split(batches):
+def _placed(batches):
+    """Lines of a block come one after the other, so places and numbers are running sums."""
+    at, place, number = None, 0, 0
     for batch in batches:
-        for source, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = [(source, *x) for x in lines(content.as_py())] if content.is_valid else [(source, None, 0, 0, None, "FILE_TOO_LARGE")]
-            for k in range(0, len(rows), 5000):
-                cols = list(zip(*rows[k : k + 5000], strict=True))
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(_ARROW, cols, strict=True)}, schema=_ARROW)
+        rows = []
+        for file, block, size, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != at:
+                at, place, number = (file, block), 0, 0
+            text, code = _parsed(line, LINE_LIMIT) if line is not None else (None, "RECORD_TOO_LARGE")
+            rows.append((file, block, place, place + size + 1, number, text, code))
+            place += size + 1
+            number += text is not None
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _ARROW]
+        yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(_ARROW, cols, strict=True)}, schema=_ARROW)
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,14 +77,31 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder).select("path", "length", "modificationTime")
 
 
-def read_records(spark: SparkSession, folder: str, provider: str, file_limit: int = FILE_LIMIT, pattern: str = "*.jsonl") -> DataFrame:
+def read_records(spark: SparkSession, folder: str, provider: str, pattern: str = "*.jsonl") -> DataFrame:
     """All lines of all logs under ``folder``: records (code null) and diagnostics (raw null).
 
-    source_id is a hash of provider and path, so a file that moves is another source.
+    source_id is a hash of provider and path, so a file that moves is another source. Lines
+    are read twice: once to sum up each block, then to place each line by the blocks before.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    source = F.sha2(F.concat_ws("\x00", F.lit(provider), "path"), 256)
-    return files.select(source.alias("source_id"), F.when(F.col("length") <= file_limit, F.col("content")).alias("content")).mapInArrow(_split, RECORDS)
+    load = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    files = load("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("file"), F.sha2(F.concat_ws("\x00", F.lit(provider), "path"), 256).alias("source_id"), "length")
+    size = F.octet_length("value")
+    text = load("text").option("lineSep", "\n").load(folder)
+    text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), size.cast("long").alias("size"), F.when(size <= LINE_LIMIT + 1, F.col("value").cast("binary")).alias("line"))
+    lines = text.mapInArrow(_placed, _PLACED)
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.max("next_place").alias("bytes"), F.count("raw").alias("records"))
+    blocks = blocks.select("file", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "records")], F.sum("bytes").over(W.partitionBy("file")).alias("total"))
+    # The reader takes a byte-order mark away: then lines with one LF each are shorter than the file.
+    blocks = blocks.join(files, "file").withColumn("mark", F.when(F.col("total") < F.col("length"), 3).otherwise(0))
+    first = F.col("bytes_before") + F.col("place")
+    rows = lines.join(blocks, ["file", "block"]).withColumn("byte_offset", F.when(first > 0, first + F.col("mark")).otherwise(0)).withColumn("next_offset", F.col("bytes_before") + F.col("next_place") + F.col("mark"))
+    tail = F.col("next_offset") > F.col("length")
+    rows = rows.select(
+        "source_id", F.when(F.col("raw").isNotNull() & ~tail, F.col("records_before") + F.col("number")).alias("ordinal"), "byte_offset", F.least("next_offset", "length").alias("next_offset"),
+        F.when(~tail, F.col("raw")).alias("raw"), F.when(tail, "PENDING_TAIL").otherwise(F.col("code")).alias("code"),
+    )
+    return rows.where("raw is not null or code is not null")
 
 
 def admitted(records: DataFrame) -> DataFrame:
