@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.scratch import partitions
+from traceloom.llm.scratch import Scratch, partitions
 
 CHUNK_SCHEMA = "chunk_id long, n_docs int, ids binary, id_null binary, ends binary, data binary"
-REQUEST_SCHEMA = "bucket int, part int, chunk_id long, n int, keys binary"
+REQUEST_SCHEMA = "bucket int, part int, chunk_id long, n int, keys binary, more binary"
 REPLY_SCHEMA = "chunk_id long, round int, part int, bucket int, n int, flags binary"
 U64 = np.uint64
 
@@ -100,8 +100,14 @@ def _chunker(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> DataFrame:
-    """The documents in chunks, dealt by chunk so that later steps reuse one exchange."""
+    """The documents in chunks, dealt by chunk so that later steps reuse one exchange.
+
+    A chunk that is computed again after a loss must hold the same rows, so an input whose
+    order a shuffle may change is saved first.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = Scratch(docs.sparkSession).save(rows, "documents")
     return rows.mapInArrow(_chunker(chunk_bytes), CHUNK_SCHEMA).repartition(partitions(docs.sparkSession), "chunk_id")
 
 
@@ -111,8 +117,8 @@ def corpus_bytes(docs: DataFrame, text: str) -> int:
 
 
 def chunk_size(items: float, bytes_each: float) -> int:
-    """Bytes of a chunk. It grows with the root of the corpus, as does a bucket, so that a list from one chunk to one bucket keeps some 64 keys."""
-    return max(2 << 20, int(8 * items**0.5 * bytes_each))
+    """Bytes of a chunk. It grows with the root of the corpus, as does a bucket, so that a list from one chunk to one bucket keeps some 64 keys; at most 32 MB, where lists get shorter, so that memory doesn't follow the corpus."""
+    return min(32 << 20, max(2 << 20, int(8 * items**0.5 * bytes_each)))
 
 
 def bucket_size(items: float) -> int:
@@ -128,37 +134,61 @@ def bits_for(items: float, most: int) -> int:
     return bits
 
 
-def requests(chunk_id: int, keys: np.ndarray, bits: int, width: int = 64, part: int = 0) -> pa.RecordBatch | None:
-    """The rows that a chunk sends: sorted distinct ``width``-bit keys cut by their leading bits."""
+def requests(chunk_id: int, keys: np.ndarray, bits: int, width: int = 64, part: int = 0, more: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """The rows that a chunk sends: sorted ``width``-bit keys cut by their leading bits, and 32 more bits of each where asked for.
+
+    Without ``more`` the keys are distinct, with it the pairs are.
+    """
     if not len(keys):
         return None
     bucket = (keys >> U64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
     rest = keys & U64((1 << (width - bits)) - 1)
     k = len(cuts) - 1
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "part": pa.array([part] * k, pa.int32()), "chunk_id": pa.array([chunk_id] * k, pa.int64()),
-            "n": pa.array(np.diff(cuts), pa.int32()), "keys": pa.array([pack(rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "n": pa.array(np.diff(cuts), pa.int32()), "keys": pa.array([pack(rest[a:b]) for a, b in spans], pa.binary()),
+            "more": pa.array([None if more is None else more[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
         }
     )
 
 
-def repeated(lists: list[np.ndarray], part: int = 0) -> list[np.ndarray]:
-    """For each list of distinct keys: which of them another list holds too. Sorts one bucket."""
-    every = np.sort(np.concatenate(lists))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    if not len(twice):
-        return [np.zeros(len(x), dtype=bool) for x in lists]
-    return [twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x for x in lists]
-
-
-def answer(sent: DataFrame, round_no: int, merge: Callable[[list[np.ndarray], int], list[np.ndarray]] = repeated, as_bits: bool = True) -> DataFrame:
+def distinct_pairs(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct pairs of two arrays, the place of each among them, and which occur twice or more."""
+    distinct, first, back, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if (more[first[back]] == more).all():
+        return distinct, more[first], back, count > 1
+    order = np.lexsort((more, keys))  # equal keys with other bits: seldom
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+    at = np.cumsum(new) - 1
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = at
+    return keys[order][new], more[order][new], back, np.bincount(at) > 1
+
+
+def repeated(lists: list[tuple[np.ndarray, np.ndarray | None]], part: int = 0) -> list[np.ndarray]:
+    """For each list of distinct keys (or pairs): which of them another list holds too. Sorts one bucket."""
+    keys = np.concatenate([x for x, _ in lists])
+    if lists[0][1] is None:
+        every = np.sort(keys)
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        if not len(twice):
+            return [np.zeros(len(x), dtype=bool) for x, _ in lists]
+        return [twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x for x, _ in lists]
+    *_, back, often = distinct_pairs(keys, np.concatenate([y for _, y in lists]))
+    return np.split(often[back], np.cumsum([len(x) for x, _ in lists])[:-1])
+
+
+def answer(sent: DataFrame, round_no: int, merge: Callable[[list[tuple], int], list[np.ndarray]] = repeated, as_bits: bool = True) -> DataFrame:
     """Each bucket's task runs ``merge`` on the lists of its chunks, by chunk, one bucket at a time."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_id")
-        lists = [unpack(x) for x in table.column("keys").to_pylist()]
+        more = [None if x is None else np.frombuffer(x, dtype="<u4") for x in table.column("more").to_pylist()]
+        lists = list(zip([unpack(x) for x in table.column("keys").to_pylist()], more, strict=True))
         flags = [squeeze((np.packbits(x) if as_bits else x).tobytes()) for x in merge(lists, table.column("part")[0].as_py())]
         n = table.num_rows
         return pa.table(

@@ -7,6 +7,8 @@ fingerprint for the same words.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
@@ -14,6 +16,12 @@ _M1, _M2, _M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B9
 _BASE = 0x5851F42D4C957F2D
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWER: list[np.ndarray] = []
+#: Bytes of a span that are mixed here; longer spans get a digest.
+_LONG = 64
+#: The first k bytes of eight.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Of the second, independent fingerprints.
+SECOND = 0x632BE59BD9B4E019
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -87,29 +95,29 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + upper.astype(np.uint8) * np.uint8(32)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of the byte spans, for spans in ascending order.
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprints of byte spans; another seed gives independent ones.
 
-    Prefix sums of a polynomial over blocks: a block ends where a span does, so
-    that powers stay short and are kept between calls.
+    A span is taken eight bytes at a time, each step a bijection of what came before, so
+    that no regular text makes words collide. Spans over ``_LONG`` bytes get a digest.
     """
-    out = np.empty(len(starts), dtype=U64)
-    block = 1 << 16
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, low + block, side="right")))
-        high = ends[to - 1]
-        power, inverse = _powers(int(high - low) + 1)
-        sums = np.zeros(int(high - low) + 1, dtype=U64)
-        np.cumsum((data[low:high].astype(U64) + U64(1)) * power[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64) * _M3
-        at = to
-    return mix(out)
-
-
-def byte_sums(data: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix(size.astype(U64) * _M3 + U64(seed))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    for k in range(0, _LONG, 8):
+        live = live[size[live] > k] if k else live
+        if not len(live):
+            break
+        block = eight[starts[live] + k] & LOW_BYTES[np.minimum(size[live] - k, 8)]
+        out[live] = mix(out[live] * _M1 + block)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = U64(int.from_bytes(digest, "little"))
+    return out
+
+
+def byte_sums(data: np.ndarray, seed: int = 0) -> np.ndarray:
     """Prefix sums from which ``byte_window_hashes`` takes a window at any place.
 
     The symbol at a place is a nonlinear mix of the eight bytes there, so that no
@@ -121,7 +129,7 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
     block = 1 << 15
     for at in range(0, len(eight), block):
         to = min(at + block, len(eight))
-        sums[at + 1 : to + 1] = mix(eight[at:to].astype(U64)) * power[at:to]
+        sums[at + 1 : to + 1] = mix(eight[at:to] ^ U64(seed)) * power[at:to]
     return np.cumsum(sums, out=sums)
 
 

@@ -23,9 +23,9 @@ OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kep
 
 
 class _Words:
-    """Words of a chunk, and the fingerprint of each window that lies in one document."""
+    """Words of a chunk, and the fingerprint of each window that lies in one document; with ``both`` a second one."""
 
-    def __init__(self, chunk: X.Chunk, window: int):
+    def __init__(self, chunk: X.Chunk, window: int, both: bool = False):
         self.starts, self.ends = H.word_bounds(separated(chunk))
         shift = np.searchsorted(chunk.starts + np.arange(len(chunk.starts)), self.starts, side="right") - 1
         self.first = np.searchsorted(shift, np.arange(len(chunk.ids) + 1))
@@ -37,6 +37,8 @@ class _Words:
         self.at = np.flatnonzero(inside)
         self.keys = every[self.at]
         self.data = data
+        if both:  # 32 bits of an independent fingerprint
+            self.more = (H.windows(H.span_hashes(data, self.starts, self.ends, H.SECOND), window)[self.at] >> U64(32)).astype(np.uint32)
 
 
 def separated(chunk: X.Chunk) -> np.ndarray:
@@ -58,8 +60,9 @@ def twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, back, count > 1
 
 
-def _merge_counters(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
+def _merge_counters(lists: list[tuple], part: int) -> list[np.ndarray]:
     """Adds the partial sketches of one slice, and reads whether each touched counter is above one."""
+    lists = [x for x, _ in lists]
     high = int(max(x[-1] for x in lists)) + 1
     counters = np.zeros(high, dtype=np.uint8)
     for x in lists:
@@ -107,13 +110,15 @@ def remove_repeated_windows(
         return often
 
     def exact(chunk, replies):
-        words = _Words(chunk, window)
-        return [X.requests(chunk.chunk_id, np.unique(words.keys[estimated(words, replies)]), slices)]
+        words = _Words(chunk, window, both=True)
+        often = estimated(words, replies)
+        keys, more, *_ = X.distinct_pairs(words.keys[often], words.more[often])
+        return [X.requests(chunk.chunk_id, keys, slices, more=more)]
 
     def finish(chunk, replies):
-        words = _Words(chunk, window)
+        words = _Words(chunk, window, both=True)
         often = np.flatnonzero(estimated(words, replies))
-        distinct, back, here = twice(words.keys[often])
+        distinct, _, back, here = X.distinct_pairs(words.keys[often], words.more[often])
         again = (X.read_flags(replies, 2) | here)[back] if len(distinct) else np.empty(0, bool)
         gone = covered(len(words.starts), words.at[often[again]], window)
         n_words, n_gone, digests, texts = [], [], [], []

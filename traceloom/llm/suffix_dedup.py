@@ -51,6 +51,11 @@ class _Suffixes:
         digest = [hashlib.blake2b(texts[a:b], digest_size=16).digest() for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)]
         self.digests = np.frombuffer(b"".join(digest), dtype="<u8").reshape(-1, 2).astype(U64)
 
+    def full(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of the suffixes' first ``length`` bytes, and 32 bits of independent ones."""
+        more = H.byte_window_hashes(H.byte_sums(self.chunk.data, H.SECOND), at, self.length)
+        return H.byte_window_hashes(self.sums, at, self.length), (more >> U64(32)).astype(np.uint32)
+
     def copies(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Which documents equal another one; which of these are not the first of their kind."""
         out = np.ones(len(self.digests), dtype=bool)
@@ -77,10 +82,11 @@ class _Suffixes:
         return np.flatnonzero(open_ & whole), copies
 
 
-def _first_of_equals(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
+def _first_of_equals(lists: list[tuple], part: int) -> list[np.ndarray]:
     """0: no other list has the key; 1: others have it, this is the first; 2: an earlier list has it."""
     if part == 0:
         return [x.astype(np.uint8) for x in X.repeated(lists)]
+    lists = [x for x, _ in lists]
     every = np.concatenate(lists)
     order = np.argsort(every, kind="stable")
     sorted_ = every[order]
@@ -114,12 +120,13 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     def suffixes(chunk, replies):
         s = _Suffixes(chunk, length)
         at, _ = s.long_ties(replies)
-        return [X.requests(chunk.chunk_id, np.unique(H.byte_window_hashes(s.sums, at, length)), bits)]
+        keys, more, *_ = X.distinct_pairs(*s.full(at))
+        return [X.requests(chunk.chunk_id, keys, bits, more=more)]
 
     def finish(chunk, replies):
         s = _Suffixes(chunk, length)
         at, copies = s.long_ties(replies)
-        distinct, back, here = twice(H.byte_window_hashes(s.sums, at, length))
+        distinct, _, back, here = X.distinct_pairs(*s.full(at))
         again = at[(X.read_flags(replies, 2) | here)[back]] if len(distinct) else at
         gone = covered(len(chunk.data), again, length)
         raw, rows = chunk.data, []
