@@ -82,6 +82,81 @@ def test_windows_depend_on_all_items_and_length():
     assert hashing.windows(h, 4)[0] != hashing.windows(h, 3)[0]
 
 
+def thue_morse(bits: int) -> tuple[str, str]:
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_have_their_own_fingerprints(spark):
+    """Thue-Morse words and their complements collide in any polynomial modulo a power of two."""
+    for bits in (5, 6, 10, 12):
+        one, other = thue_morse(bits)
+        data = np.frombuffer(f"{one} {other}".encode(), dtype=np.uint8)
+        for seed in (0, hashing.SECOND):
+            a, b = hashing.span_hashes(data, *hashing.word_bounds(data), seed)
+            assert a != b
+    one, other = thue_morse(10)
+    rows = [(1, one), (2, other), (3, " ".join([*map(str, range(34)), one])), (4, " ".join([*map(str, range(34)), other]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}  # 31 of 33 shingles
+    assert {r.n_removed for r in remove_repeated_windows(df).collect()} == {0}
+
+
+def test_spans_of_all_lengths():
+    random.seed(3)
+    data = np.frombuffer(bytes(random.choices(b"ab", k=3000)), dtype=np.uint8)
+    spans = [(i, i + n) for n in (*range(1, 20), 63, 64, 65, 200) for i in range(0, 2700, 9)]
+    starts, ends = map(np.array, zip(*spans, strict=True))
+    h = hashing.span_hashes(data, starts, ends)
+    by_text: dict = {}
+    for (a, b), x in zip(spans, h.tolist(), strict=True):
+        by_text.setdefault(data[a:b].tobytes(), set()).add(x)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert len(set(h.tolist())) == len(by_text)
+
+
+def test_equal_keys_with_other_bits_are_not_repeats():
+    key = lambda *x: np.array(x, dtype=np.uint64)
+    more = lambda *x: np.array(x, dtype=np.uint32)
+    got = exchange.repeated([(key(1, 2, 2), more(5, 1, 2)), (key(1, 2, 9), more(6, 2, 0)), (key(7), more(3))])
+    assert [x.tolist() for x in got] == [[False, False, True], [False, True, False], [False]]
+    keys, bits, back, often = exchange.distinct_pairs(key(4, 4, 3, 4), more(1, 2, 0, 1))
+    assert (keys.tolist(), bits.tolist(), back.tolist(), often.tolist()) == ([3, 4, 4], [0, 1, 2], [1, 2, 0, 1], [False, True, False])
+
+
+def test_very_long_text(spark):
+    """One text of several chunks' size, which holds the others, and one of a single repeated byte."""
+    random.seed(2)
+    small = [" ".join(random.choices("abcdefgh", k=700)) for _ in range(3)]
+    docs = {1: " ".join(random.choices(["xy", "z", "wv"], k=60_000)) + " ".join(small), 2: small[1], 3: "q" * 300_000, 4: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(df, chunk_bytes=20_000, bucket_items=2000).collect()}
+    assert got == dict(zip(docs, word_removal(list(docs.values()), 35), strict=True))
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in remove_repeated_bytes(df, chunk_bytes=20_000, bucket_items=2000).collect()}
+    assert got == {k: x[:2] for k, x in zip(docs, byte_removal([(t or "") for t in docs.values()], 400), strict=True)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, chunk_bytes=20_000).collect()} == groups(docs)
+
+
+def test_blocks_of_a_common_first_gram(spark):
+    """Many sets that share rare n-grams only with some: pairs beyond one block, none of them lost."""
+    random.seed(11)
+    head = [f"h{i}" for i in range(12)]
+    docs = {}
+    for k in range(700):
+        tail = [f"t{random.randrange(4)}x{i}" for i in range(6 + k % 9)]
+        docs[k] = " ".join(head + tail)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, chunk_bytes=9000).collect()} == groups(docs)
+
+
+def test_components_that_are_not_final_are_an_error(spark):
+    import pytest
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long").repartition(7)
+    with pytest.raises(RuntimeError, match="not final"):
+        components(path, Scratch(spark), "t", 20, most_steps=1)
+
+
 def test_op2_equals_brute_force(spark, data, texts):
     got = {r[0]: tuple(r)[1:] for r in op2_suffix_array_dedup(spark, data).collect()}
     assert got == dict(zip(texts, byte_removal(list(texts.values()), 400), strict=True))

@@ -8,16 +8,20 @@ other document can hold (an estimate of one, and once in its chunk) fills its pl
 the prefix, but is joined with nothing. Pairs are found by equal prefix n-grams, thinned by length,
 position and suffix filters, and each is verified once on whole sets.
 
-Documents with equal sets are one class. Classes are joined in two rounds. First each
-prefix n-gram's classes are compared with one leader; those found similar form
-components. Then only pairs that share a prefix n-gram and lie in different components
-are compared, so that a large group of near copies costs one comparison each, and no
-link that would join two components is lost.
+Documents with equal sets (by 128 bits) are one class, named by the row of one of them.
+Classes are joined in two rounds. First each prefix n-gram's classes are compared with
+one leader; those found similar form components. Then only classes that share a prefix
+n-gram and lie in different components are compared, so that a large group of near
+copies costs one comparison each, and no link that would join two components is lost.
+The second round works on blocks: a n-gram's classes are cut by size, so that only
+neighbouring sizes meet, and into blocks of a few hundred. A task gets two blocks at a
+time and hands on only the pairs that pass all filters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import exchange as X
 from traceloom.llm import hashing as H
 from traceloom.llm.components import components
-from traceloom.llm.scratch import Scratch
+from traceloom.llm.scratch import Scratch, looked_up
 from traceloom.llm.substring_dedup import separated
 
 U64 = np.uint64
@@ -64,8 +68,9 @@ class _Sets:
         self.cuts = np.searchsorted(self.doc, np.arange(len(chunk.ids) + 1))
 
 
-def _chunk_counts(lists: list[np.ndarray], part: int) -> list[np.ndarray]:
+def _chunk_counts(lists: list[tuple], part: int) -> list[np.ndarray]:
     """In how many chunks each cell occurs, up to 255: the merged sketch of one slice."""
+    lists = [x for x, _ in lists]
     counters = np.zeros(int(max(x[-1] for x in lists)) + 1, dtype=np.uint8)
     for x in lists:
         counters[x] += counters[x] < 255
@@ -130,10 +135,56 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
 
 
-def _suffix_may_match(a: str, b: str, percent: int) -> Column:
-    """Parts of the two sets by a fixed partition of the n-grams: the smaller part bounds what they share there."""
-    most = F.aggregate(F.zip_with(f"{a}bins", f"{b}bins", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (100 + percent) * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+#: Classes of one n-gram and size that are compared at a time.
+BLOCK = 256
+
+
+def _block_pairs(percent: int):
+    """Of two blocks of classes with one n-gram in common: the pairs (a, b) that length, positional and suffix filters leave.
+
+    Suffix filter: parts of the two sets by a fixed partition of the n-grams; the smaller part bounds what they share there.
+    """
+
+    def run(batches):
+        for batch in batches:
+            (x0, xs), (y0, ys) = ((c.offsets.to_numpy(), c.flatten()) for c in (batch.column("x"), batch.column("y")))
+            base_x, base_y = x0[0], y0[0]
+            (xv, yv) = ({f: s.field(f).to_numpy(zero_copy_only=False) for f in ("node", "n", "place", "part")} for s in (xs, ys))
+            xb, yb = (s.field("bins").flatten().to_numpy().reshape(-1, BINS) for s in (xs, ys))
+            found = []
+            for k, own in enumerate(batch.column("own").to_pylist()):
+                p, q = (slice(o[k] - base, o[k + 1] - base) for o, base in ((x0, base_x), (y0, base_y)))
+                n, m = xv["n"][p][:, None], yv["n"][q][None, :]
+                rest = np.minimum(n - xv["place"][p][:, None], m - yv["place"][q][None, :])
+                good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * rest >= percent * (n + m))
+                good &= xv["part"][p][:, None] != yv["part"][q][None, :]
+                if own:
+                    good &= xv["node"][p][:, None] < yv["node"][q][None, :]
+                i, j = np.nonzero(good)
+                if len(i):
+                    most = np.minimum(xb[p][i], yb[q][j]).sum(axis=1)
+                    keep = (100 + percent) * most >= percent * (xv["n"][p][i] + yv["n"][q][j])
+                    found.append(np.sort(np.stack([xv["node"][p][i[keep]], yv["node"][q][j[keep]]]), axis=0))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
+
+
+def _pairs_across(across: DataFrame, percent: int, total: int) -> DataFrame:
+    """Pairs of classes (token, node, n, place, part, bins) of one token and different parts that may be similar."""
+    # Sizes of one step differ by less than the least ratio, so similar sets are one step apart at most.
+    step = F.col("n") if percent >= 100 else F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("long")
+    rows = across.withColumn("step", step)
+    sizes = rows.groupBy("token", "step").agg(F.count(F.lit(1)).alias("c")).withColumn("s", F.ceil(F.col("c") / BLOCK).cast("int"))
+    dealt = looked_up(rows, sizes, ["token", "step"], "c", total).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+    blocks = dealt.groupBy("token", "step", "blk").agg(F.first("s").alias("s"), F.collect_list(F.struct("node", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "part", "bins")).alias("x"))
+    other = blocks.select("token", F.col("step").alias("to"), F.col("blk").alias("with"), F.col("x").alias("y"))
+    same = blocks.select("token", F.col("step").alias("to"), F.explode(F.sequence("blk", F.col("s") - 1)).alias("with"), "x", (F.col("with") == F.col("blk")).alias("own"))
+    after = sizes.select("token", (F.col("step") - 1).alias("step"), F.col("s").alias("next"))
+    above = blocks.join(after, ["token", "step"]).select("token", (F.col("step") + 1).alias("to"), F.explode(F.sequence(F.lit(0), F.col("next") - 1)).alias("with"), "x", F.lit(False).alias("own"))
+    met = same.where("NOT own OR size(x) > 1").unionByName(above).join(other, ["token", "to", "with"])
+    return met.select("x", "y", "own").mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,37 +226,33 @@ def jaccard_components(
     """
     scratch = scratch or Scratch(docs.sparkSession)
     signed = scratch.save(signatures(docs, doc_id, text, n, percent, chunk_bytes, bucket_items, counters), "signatures")
+    total = signed.count()
     some = signed.where("n_shingles > 0")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("least")
-    classes = scratch.save(some.groupBy("node", "node2").agg(least), "classes")
-    held = signed.where(F.col("tokens").isNotNull()).select(F.col("node"), F.col("row"), F.col("n_shingles").alias("n"), "tokens", "places", "bins", "grams")
-    first = classes.select(F.col("node").alias("_node"), F.col("least.row").alias("_row"))
-    reps = scratch.save(held.join(first, (F.col("node") == F.col("_node")) & (F.col("row") == F.col("_row"))).drop("_node", "_row"), "representatives")
+    classes = scratch.save(some.groupBy("node", "node2").agg(least, F.count(F.lit(1)).alias("members")), "classes")
+    held = signed.where(F.col("tokens").isNotNull()).select("row", F.col("n_shingles").alias("n"), "tokens", "places", "bins", "grams")
+    reps = scratch.save(held.join(classes.select(F.col("least.row").alias("row")), "row").withColumnRenamed("row", "node"), "representatives")
     posting = scratch.save(reps.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "node", "n", F.col("t.places").alias("place")), "postings")
-    sets = reps.select("node", "n", "grams")
+    sets, postings = reps.select("node", "n", "grams"), posting.count()
 
-    leaders = posting.groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"))
-    near = posting.withColumnsRenamed({"n": "m_n", "place": "m_place", "node": "a"}).join(leaders, "token").where("a <> b").where(_may_match("m_", "l_", percent)).select("a", "b").distinct()
+    leaders = posting.groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("l.node").alias("b"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"), "c")
+    near = looked_up(posting.withColumnsRenamed({"n": "m_n", "place": "m_place", "node": "a"}), leaders, ["token"], "c", postings).where("a <> b").where(_may_match("m_", "l_", percent)).select("a", "b").distinct()
     near = scratch.save(near, "pairs-1")
     one = scratch.save(_verified(near, sets, percent), "edges-1")
     parts = scratch.save(components(one, scratch, "star-1"), "parts-1")
 
     placed = posting.join(parts.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    across = scratch.save(placed.join(mixed, "token", "left_semi"), "across")
-    left, right = (across.withColumnsRenamed({"node": f"{s}node", "n": f"{s}n", "place": f"{s}place", "part": f"{s}part"}) for s in ("x_", "y_"))
-    pairs = left.join(right, "token").where("x_node < y_node AND x_part <> y_part").where(_may_match("x_", "y_", percent)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", F.lit(True).alias("mixed"), "c")
+    across = looked_up(placed, mixed, ["token"], "c", postings).where("mixed").drop("mixed").join(reps.select("node", "bins"), "node")
+    pairs = _pairs_across(scratch.save(across, "across"), percent, postings)
     pairs = scratch.save(pairs.join(near, ["a", "b"], "left_anti").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs-2")
-    bins = reps.select("node", "n", "bins")
-    thin = pairs.join(bins.withColumnsRenamed({"node": "a", "n": "x_n", "bins": "x_bins"}), "a").join(bins.withColumnsRenamed({"node": "b", "n": "y_n", "bins": "y_bins"}), "b").where(_suffix_may_match("x_", "y_", percent)).select("a", "b")
-    two = scratch.save(_verified(thin, sets, percent), "edges-2")
+    two = scratch.save(_verified(pairs, sets, percent), "edges-2")
     label = scratch.save(components(one.union(two), scratch, "star-2"), "parts-2")
 
-    named = classes.join(label, "node")
-    names = named.groupBy("label").agg(F.min("least").alias("top"))
-    by_class = classes.join(named.select("node", "node2", "label").join(names, "label").select("node", "node2", "top"), ["node", "node2"], "left")
-    by_class = by_class.select("node", "node2", F.coalesce("top", "least").alias("top"))
-    out = signed.join(by_class, ["node", "node2"], "left").withColumn("alone", F.col("n_shingles") == 0)
+    named = classes.withColumn("row", F.col("least.row")).join(label.withColumnRenamed("node", "row"), "row", "left")
+    names = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("c"))
+    by_class = looked_up(named, names, ["label"], "c", total).select("node", "node2", F.coalesce("top", "least").alias("top"), "members")
+    out = looked_up(signed, scratch.save(by_class, "tops"), ["node", "node2"], "members", total).withColumn("alone", F.col("n_shingles") == 0)
     lead = F.when(~F.col("alone") & (F.col("top.id") < F.lit((1 << 63) - 1)), F.col("top.id"))
     return out.select(
         "doc_id", "row", "text_sha", "n_shingles", "node", F.when(F.col("alone"), F.col("doc_id")).otherwise(lead).alias("component_id"),

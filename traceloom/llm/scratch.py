@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,17 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose keys are unique and not null, without ``weight``.
+
+    ``weight`` is how many of the ``total`` rows have the key. Keys of more than a thousandth
+    of them are fewer than a thousand, whatever the size: their part of the table is broadcast
+    and their rows stay where they are, so that no key fills a task. The rest is shuffled.
+    """
+    limit = total // 1000
+    heavy, light = (table.where(x).drop(weight) for x in (F.col(weight) > limit, F.col(weight) <= limit))
+    met = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, "left")
+    return met.unionByName(rest)
