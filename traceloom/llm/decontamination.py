@@ -53,10 +53,13 @@ def seeding(length: int, n: int, least_score: float) -> tuple[int, int]:
 
     A copy of the least score has m equal words and p unequal ones and gaps, m - p >= k. The
     equal ones stand in at most p + 1 runs, so m - (n - 1)(p + 1) n-grams or more are whole.
-    The greatest length up to ``n`` that leaves one is taken. (0, 0): too short for any.
+    The greatest length up to ``n`` that leaves one is taken. An item of ``n`` words or fewer
+    is found as it stands only: its one n-gram is the whole. (0, 0): no words.
     """
+    if length <= n:
+        return (length, 1) if length else (0, 0)
     k = max(1, math.ceil(least_score * length - 1e-9))
-    for size in range(n, 0, -1) if length > n else ():
+    for size in range(n, 0, -1):
         whole = k if size == 1 else k - (size - 1) - (length - k) * (size - 2)
         if whole >= 1:
             return size, whole
@@ -68,7 +71,7 @@ def _bits(grams: np.ndarray) -> np.ndarray:
 
 
 def _bit_filter(grams: DataFrame) -> np.ndarray:
-    """A bit for each hash prefix that occurs: of fixed size, whatever the number of n-grams."""
+    """A bit for each hash prefix that occurs, packed: 2 MB, whatever the number of n-grams."""
 
     def run(batches):
         bits = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -79,15 +82,15 @@ def _bit_filter(grams: DataFrame) -> np.ndarray:
     total = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
     for row in grams.mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(row.bits, dtype=np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
 def _level_filter(seeds: DataFrame) -> np.ndarray:
-    """For each hash prefix of a seed the least number of seeds that an item with it asks for, up to ``LEVELS``; 0 where there is none."""
+    """For each hash prefix of a seed the least number of seeds that an item with it asks for, up to ``LEVELS``; 0 where there is none. Two packed planes of bits."""
     levels = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
     for level in range(LEVELS, 0, -1):
-        levels[_bit_filter((seeds if level == LEVELS else seeds.where(F.col("asked") <= level)).select("gram"))] = level
-    return levels
+        levels[np.unpackbits(_bit_filter((seeds if level == LEVELS else seeds.where(F.col("asked") <= level)).select("gram"))).astype(bool)] = level
+    return np.stack([np.packbits(levels & 1), np.packbits(levels >> 1)])
 
 
 def items_of(benchmark: DataFrame, item_id: str, text: str, n: int, least_score: float) -> DataFrame:
@@ -109,11 +112,12 @@ def _document_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
     """Documents of each n-gram that passes the filter, counted by batch before any shuffle."""
 
     def run(batches):
+        known = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.large_binary())]
             words, owner, *_ = letter_words(texts)
             grams, at = _grams_of(words, owner, sizes)
-            hit = bits.value[_bits(grams)]
+            hit = known[_bits(grams)]
             pairs = np.unique(np.stack([grams[hit], owner[at[hit]].astype(U64)]), axis=1) if hit.any() else np.empty((2, 0), U64)
             distinct, count = np.unique(pairs[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(distinct.view(np.int64)), "docs": pa.array(count.astype(np.int64))})
@@ -131,11 +135,13 @@ def _seed_regions(docs: DataFrame, levels, sizes: list[int], reach: int) -> Data
         from pyspark import TaskContext
 
         task, serial = TaskContext.get().partitionId(), 0
+        low_bit, high_bit = (np.unpackbits(x) for x in levels.value)
+        asks = low_bit + 2 * high_bit
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.large_binary())]
             words, owner, count, *_ = letter_words(texts)
             grams, at = _grams_of(words, owner, sizes)
-            level = levels.value[_bits(grams)]
+            level = asks[_bits(grams)]
             hit = np.flatnonzero(level)
             ends = np.cumsum(count)
             out: list[tuple] = []
@@ -201,8 +207,9 @@ def find_leaks(
     A score of 0.6 stands for about four fifths of the item's words in order, as an unequal
     word costs as much as an equal one earns. Every copy with ``least_score`` is found; where
     it must hold so many, ``least_seeds`` seeds or more are asked for before an alignment.
-    Null and empty texts hold nothing; items with fewer than ``n`` + 1 words have too few
-    seeds and are never found; items with a null id are left out. A repeated doc_id gets one row with the best score (with ``keys``, one for
+    Null and empty texts hold nothing; items of ``n`` words or fewer are found only where all
+    their words stand in order; items without words or with a null id are left out. Ids are
+    cast to long. A repeated doc_id gets one row with the best score (with ``keys``, one for
     each ``doc_key``, the hash of the whole text).
     """
     spark = docs.sparkSession
