@@ -114,9 +114,13 @@ def _proportions(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray,
 
 def mixture(found: np.ndarray, logp: np.ndarray, penalty: float = 3.0, rounds: int = 15) -> tuple[list[int], np.ndarray]:
     """The languages of a document, and their shares."""
-    count = np.bincount(found, minlength=1 << BITS)
-    at = np.flatnonzero(count)
-    n = count[at].astype(np.float64)
+    if len(found) < 4096:
+        at, n = np.unique(found, return_counts=True)
+    else:
+        count = np.bincount(found, minlength=1 << BITS)
+        at = np.flatnonzero(count)
+        n = count[at]
+    n = n.astype(np.float64)
     rows = logp[at].astype(np.float64)
     alone = n @ rows
     order = np.argsort(-alone, kind="stable")
@@ -140,8 +144,8 @@ def mixture(found: np.ndarray, logp: np.ndarray, penalty: float = 3.0, rounds: i
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score (the share of that language), mixture.
 
-    ``und`` with score 0 for a text that is null or has no letter, and for all if no
-    language was learned. Nothing but the text is looked at.
+    ``und`` with score 0 and an empty mixture for a text that is null or has no letter, and
+    for all if no language was learned. Nothing but the text is looked at; ids are cast to long.
     """
     model = docs.sparkSession.sparkContext.broadcast(logp)
 
@@ -174,7 +178,9 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, logp = learn(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs, names, logp)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    shares = F.reverse(F.array_sort(F.transform(F.map_entries("mixture"), lambda e: F.struct(F.round(e["value"], 4).alias("share"), e["key"].alias("lang")))))
+    mixture = F.array_join(F.transform(shares, lambda e: F.concat(e["lang"], F.lit(":"), F.format_string("%.4f", e["share"]))), ",")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", mixture.alias("mixture"))
 
 
 QUERIES = {"op5_language_id": op5_language_id}
