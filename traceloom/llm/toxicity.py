@@ -92,7 +92,8 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
 
     ``categories`` gives for each name, in chain order, SQL for its 0/1 label over ``labels``.
     Labels that are null in any category or whose document is missing don't count; of
-    repeated ones the largest does. The sample bounds what comes to the driver, and the
+    repeated ones the largest does, of documents that share an id the one whose words come
+    first by their buckets. Ids are cast to long. The sample bounds what comes to the driver, and the
     ids by which the documents are found are broadcast.
     """
     marks = labels.select(F.col(doc_id).cast("long").alias("_id"), *[F.expr(e).cast("double").alias(c) for c, e in categories.items()]).dropna()
@@ -109,7 +110,8 @@ def learn_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "words": pa.array(blobs, pa.binary())} | {c: batch.column(c) for c in categories})
 
     rows = found.mapInArrow(features, "_id long, words binary, " + ", ".join(f"`{c}` double" for c in categories))
-    rows = sorted(rows.dropDuplicates(["_id"]).collect(), key=lambda r: r["_id"])
+    rows = rows.groupBy("_id", *categories).agg(F.min("words").alias("words"))
+    rows = sorted(rows.collect(), key=lambda r: r["_id"])
     words = [np.frombuffer(r["words"], dtype="<u4").astype(np.int64) for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(w) for w in words])
     bucket = np.concatenate(words) if words else np.empty(0, np.int64)
