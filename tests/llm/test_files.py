@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from traceloom.llm import packing, registry, warc
 from traceloom.llm.scratch import Scratch
 
-PATH = None
-
 
 @pytest.fixture(scope="module")
 def path():
@@ -54,6 +52,86 @@ def test_archives_of_odd_rows(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def record(kind, body, **more):
+    lines = [b"WARC/1.0", f"WARC-Type: {kind}".encode(), b"WARC-Date: 2020-01-01T00:00:00Z", *(f"{k.replace('_', '-')}: {v}".encode() for k, v in more.items()), f"Content-Length: {len(body)}".encode()]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def foreign(n=5):
+    """Records as other tools write them: several kinds, HTTP headers, SHA-1 digests, no headers of ours."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    out = [record("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:i>")]
+    for k in range(n):
+        body = bytes(range(256)) * k + b"\r\n\r\nWARC/1.0\n" * k
+        out.append(record("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID=f"<urn:uuid:q{k}>"))
+        out.append(record("response", http + body, WARC_Record_ID=f"<urn:uuid:r{k}>", WARC_Target_URI=f"http://a/{k}", Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:ABC"))
+    return out, {f"urn:uuid:r{k}": hashlib.sha256(bytes(range(256)) * k + b"\r\n\r\nWARC/1.0\n" * k).hexdigest() for k in range(n)}
+
+
+@pytest.mark.parametrize("how", ["members", "one member", "plain"])
+def test_archives_of_others(spark, tmp_path, how):
+    import gzip
+
+    records, want = foreign()
+    content = b"".join(gzip.compress(r) for r in records) if how == "members" else gzip.compress(b"".join(records)) if how == "one member" else b"".join(records)
+    for name in "ab":
+        (tmp_path / f"{name}.warc{'' if how == 'plain' else '.gz'}").write_bytes(content)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert len(got) == 2 * len(want)
+    assert {r.record_id: r.payload_digest for r in got} == want
+    assert {(r.page_id, r.intact, r.record_type) for r in got} == {(None, None, "response")}
+
+
+def test_cut_and_broken_archives_are_errors(spark, tmp_path):
+    import gzip
+
+    records, _ = foreign()
+    for name, content in {"cut": gzip.compress(b"".join(records))[:-40], "within": gzip.compress(b"".join(records)[:-30]), "trailing": gzip.compress(b"".join(records) + b"garbage\r\n\r\n")}.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.warc.gz").write_bytes(content)
+        with pytest.raises(Exception, match="within a record|not a WARC record|Unexpected end|EOF"):
+            warc.read_archives(spark, str(folder)).collect()
+    pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string")
+    chunks = warc.record_chunks(pages, chunk_bytes=1000)
+    for missing in (0, 2, 4):
+        warc.write_archives(chunks.where(f"chunk <> {missing}"), str(tmp_path / f"m{missing}"))
+        with pytest.raises(Exception, match="missing"):
+            warc.read_archives(spark, str(tmp_path / f"m{missing}")).collect()
+
+
+def test_a_payload_of_300_mb_is_read_in_pieces():
+    """Alone and as a segment: what is held at once stays below 16 MB."""
+    import tracemalloc
+
+    block, want = b"0123456789abcdef" * (1 << 16), hashlib.sha256()
+    for _ in range(300):
+        want.update(block)
+    for more in ({}, {"WARC_Segment_Number": 1, "WARC_Segment_Total_Length": 300 << 20}):
+        head = record("resource", b"", WARC_Record_ID="<urn:uuid:x>", **more).replace(b"Content-Length: 0", f"Content-Length: {300 << 20}".encode())[:-4]
+        reader, digest, rows = warc.ArchiveReader(), hashlib.sha256(), 0
+        tracemalloc.start()
+        for piece in (head, *(block for _ in range(300)), b"\r\n\r\n"):
+            for row in reader.feed(piece):
+                rows += 1
+                digest.update(row[-1] or b"")
+                found = row[-2]
+        reader.close()
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+        tracemalloc.stop()
+        assert (found if not more else digest.hexdigest()) == want.hexdigest()
+        assert rows == (300 if more else 1)
+
+
+def test_records_name_what_they_revisit(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "y" * 300) for k in (4, 2, 9)], "page_id long, url string, html string")
+    warc.write_archives(warc.record_chunks(pages), str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got[2].record_type == "response"
+    assert {got[k].refers_to_record for k in (4, 9)} == {got[2].record_id}
+    assert len({r.record_id for r in got.values()}) == 3
+
+
 def check_bins(rows, most):
     bins = defaultdict(list)
     for r in rows:
@@ -112,12 +190,31 @@ def test_words_encode_as_in_the_text(path):
     parts = ["Hello", "it's", " ", "  ", "\n", " ", " ", "\x1c", "é", "́", "ΣΑΣ", "İx", "<|endoftext|>", "<|startoftext|>a", "123", "don't!!", "日本", "\x0b", "\u0085", "'ll", "word.", "Word,", "É!", "<|ENDOFTEXT|>", "a.b.", "x%$", "é.", "!!", "5."]
     for _ in range(800):
         text = "".join(random.choices(parts, k=random.randrange(10)))
-        assert np.frombuffer(words.encode([text.encode()])[0], dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+        assert words.encode([text.encode()])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_fingerprints_that_collide_change_nothing(path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends, seed=0: (starts * 0 + 7).astype(np.uint64))
+    plain, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    for text in ("alpha beta gamma alpha, beta!", "delta beta ... " + "." * 50 + " x" + "!" * 40):
+        assert words.encode([text.encode()], 0)[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_very_long_text_is_cut_into_pieces(spark, path):
+    from tokenizers import Tokenizer
+
+    text = "word " * 40_000 + "é" * 5000 + "." * 3000 + " 7" * 3000
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+    rows = packing.tokenized_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).orderBy("piece").collect()
+    assert [len(r.ids) // 4 for r in rows] == [min(2048, len(ids) - at) for at in range(0, len(ids), 2048)]
+    assert np.frombuffer(b"".join(r.ids for r in rows), dtype="<u4").tolist() == ids
 
 
 def test_packing_of_odd_rows(spark, odd, none, path):
     pieces = packing.tokenized_pieces(odd, path, most=16)
-    got = packing.pack(Scratch(spark).save(pieces, "p"), 16, rows_per_group=2)
+    got = packing.pack(Scratch(spark).save(pieces, "p"), 16)
     assert got.where("piece = 0").count() == odd.count()
     assert "ids" in got.columns
     check_bins(got.collect(), 16)

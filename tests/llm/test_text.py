@@ -50,10 +50,22 @@ def test_cutoffs_are_certified_where_labels_are_enough(spark):
     labels = spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int")
     whole, light = quality_rules.judge_quality(docs, labels)
     got = {r.doc_id: r._kept for r in light.collect()}
-    assert all(got[i] == (q == 1 or s == "b") for i, _, s, q in rows)  # stratum b has too few labels for any cutoff
+    assert all(got[i] == (q == 1 or s == "b") for i, _, s, q in rows)  # stratum b has 79 good labels, too few for any cutoff
     assert whole.where("_kept").count() == sum(got.values())
 
 
+def test_rules_together_need_fewer_labels(spark):
+    """120 good labels certify all rules together at 0.05, but no rule alone at 0.01."""
+    random.seed(4)
+    rows = []
+    for i in range(150):
+        bad = i % 5 == 0
+        rows.append((i, " ".join((f"w{random.randrange(9000)}" + ("###" if bad else "")) for _ in range(60)), "a", 0 if bad else 1))
+    docs, labels = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    _, light = quality_rules.judge_quality(docs, labels)
+    assert {r.doc_id: r._kept for r in light.collect()} == {r[0]: r[3] == 1 for r in rows}
+
+
 def test_op10_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (99, None)], "doc_id long, quality int")
     whole, light = quality_rules.judge_quality(odd, labels)
@@ -118,6 +130,56 @@ def test_op5_on_held_out_documents(spark, data):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def plain_mixture(counts: dict, logs: list, penalty=3.0):
+    """Each subset of languages by expectation-maximisation in plain Python; the set of the best penalised likelihood."""
+    from itertools import combinations
+
+    total, best = sum(counts.values()), None
+    for size in range(1, len(logs) + 1):
+        for chosen in combinations(range(len(logs)), size):
+            share = [1 / size] * size
+            for _ in range(60 if size > 1 else 0):
+                new = [0.0] * size
+                for g, n in counts.items():
+                    mass = [s * math.exp(logs[c][g]) for s, c in zip(share, chosen, strict=True)]
+                    new = [x + n * m / sum(mass) for x, m in zip(new, mass, strict=True)]
+                share = [x / total for x in new]
+            value = sum(n * math.log(sum(s * math.exp(logs[c][g]) for s, c in zip(share, chosen, strict=True))) for g, n in counts.items())
+            value -= penalty * (size - 1) * math.log(total + 1)
+            if best is None or value > best[0]:
+                best = (value, dict(zip(chosen, share, strict=True)))
+    return best[1]
+
+
+def test_mixtures_equal_those_of_all_subsets(spark, data, texts):
+    """Documents, and two languages joined in several proportions, against every set of languages."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    names, logp = language_id.learn(docs)
+    logs = [dict(enumerate(logp[:, k].astype(float).tolist())) for k in range(len(names))]
+    some = [t[:1500] for t in texts.values() if t and len(t) > 300][:24]
+    long = {lang: docs.where(f"lang = '{lang}' and n_chars > 2000").first().text for lang in ("en", "fr", "es")}
+    some += [long[a][:x] + " " + long[b][:y] for a, b in (("en", "fr"), ("fr", "es")) for x, y in ((900, 300), (600, 600), (200, 1000))]
+    same = 0
+    for text in some:
+        found = language_id.trigrams(text)
+        chosen, share = language_id.mixture(found, logp)
+        want = plain_mixture(Counter(found.tolist()), logs)
+        if set(chosen) == set(want):
+            same += 1
+            assert all(abs(want[c] - s) < 0.02 for c, s in zip(chosen, share, strict=True))
+    assert same >= len(some) - 1  # languages are added one by one, so a set may differ where two are nearly as good
+
+
+def test_op5_returns_the_mixture(spark, data):
+    for r in language_id.op5_language_id(spark, data).collect():
+        if r.lang_pred == "und":
+            assert (r.mixture, r.score) == ("", 0.0)
+            continue
+        parts = [(x.split(":")[0], float(x.split(":")[1])) for x in r.mixture.split(",")]
+        assert abs(sum(s for _, s in parts) - 1) < 1e-3 and parts[0][1] == pytest.approx(r.score, abs=1e-4)
+        assert [s for _, s in parts] == sorted((s for _, s in parts), reverse=True)
+
+
 def test_mixture_finds_both_languages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names, logp = language_id.learn(docs)
@@ -152,6 +214,38 @@ def test_toxicity_learns_and_generalises(spark):
     assert sum(got[i] == bool(t) for i, _, t in rows if i >= 600) >= 0.99 * 600
 
 
+def test_op9_equals_a_plain_fit(spark, data, texts):
+    """The same chain, fitted and applied document by document without Spark."""
+    labels: dict = {}
+    for r in spark.read.parquet(f"{data}/labels.parquet").collect():
+        if r.quality is not None and r.toxic is not None and r.doc_id in texts:
+            a, b = labels.get(r.doc_id, (0, 0))
+            labels[r.doc_id] = (max(a, 1 - r.quality), max(b, r.toxic))
+    ids = sorted(labels)
+    buckets = {k: toxicity.word_buckets([(t or "").encode()])[1] for k, t in texts.items()}
+    owner = np.repeat(np.arange(len(ids)), [len(buckets[i]) for i in ids])
+    fold = np.array([(i * 0x9E3779B1 >> 7) % 3 for i in ids])
+    models, cuts = toxicity.fit_chain(owner, np.concatenate([buckets[i] for i in ids]), np.array([labels[i] for i in ids], dtype=float), fold)
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, data).collect()}
+    assert set(got) == set(texts) and len(ids) > 50
+    for k, b in buckets.items():
+        one = np.zeros(len(b), dtype=np.int64)
+        low = models[0].probability(one, b, np.zeros((1, 0)))
+        toxic = models[1].probability(one, b, np.log(np.clip(low, 1e-4, 1 - 1e-4) / (1 - np.clip(low, 1e-4, 1 - 1e-4)))[:, None])
+        assert (got[k].p_low_quality, got[k].p_toxic) == pytest.approx((low[0], toxic[0]), abs=1e-6)
+        assert got[k].toxic == (got[k].p_toxic >= cuts[1])
+
+
+def test_documents_that_share_an_id_give_one_model(spark):
+    rows = [(i % 40, f"w{i % 7} x{i} " + ("bad" if i % 3 == 0 else "good")) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    weights = []
+    for order in (rows, rows[::-1]):
+        models, _ = toxicity.learn_chain(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels, toxicity.CATEGORIES)
+        weights.append(models[1].weights.tolist())
+    assert weights[0] == weights[1]
+
+
 def test_chain_feeds_earlier_probabilities():
     random.seed(8)
     rows = [[random.random() < 0.5] for _ in range(400)]
@@ -239,6 +333,50 @@ def test_evenly_edited_copies(spark, exact):
     assert len(want) >= (3 + exact) * len(items)
 
 
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "what is two"), (2, "beta gamma delta"), (3, "Zounds!"), (4, "one two three four"), (5, "..."), (6, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so what is two then"), (2, "alpha BETA gamma, delta"), (3, "zounds"), (4, "what is three beta delta gamma"), (5, "one two three four"), (6, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (5, 4): 1.0}
+
+
+def test_edited_copies_equal_alignment_of_every_pair(spark):
+    """Random edits of every strength: exactly the pairs are found that alignment of all pairs gives the least score."""
+    random.seed(33)
+    words = [f"w{i}" for i in range(400)]
+    items = {i: random.choices(words, k=random.randrange(2, 45)) for i in range(40)}
+    docs = {}
+    for k in range(240):
+        item, copy = items[k % 40], []
+        rate = random.choice([0.0, 0.05, 0.1, 0.2, 0.35])
+        for w in item:
+            r = random.random()
+            copy += [w] if r > rate else [random.choice(words)] if r > rate / 2 else [] if r > rate / 4 else [w, random.choice(words)]
+        docs[k] = random.choices(words, k=random.randrange(30)) + copy + random.choices(words, k=random.randrange(30))
+    number = {w: np.uint64(i + 1) for i, w in enumerate(words)}
+    coded = lambda x: np.array([number[w] for w in x], dtype=np.uint64)
+    want = set()
+    for k, d in docs.items():
+        for i, item in items.items():
+            if decontamination.align(coded(item), coded(d))[0] >= (0.6 if len(item) > 3 else 1.0):
+                want.add((k, i))
+    df, bench = spark.createDataFrame([(k, " ".join(d)) for k, d in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()} == want
+    assert len(want) > 130
+
+
+def test_very_long_text_in_other_operators(spark):
+    long = "word " * 300_000 + "password = abcdefgh99 " + "ÿ" * 100_000
+    df = spark.createDataFrame([(1, long, "en"), (2, "a short text", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in secret_scan.scan(df).where(F.size("secrets") > 0).collect()} == {1}
+    names, logp = language_id.learn(df)
+    assert {r.lang_pred for r in language_id.predict(df, names, logp).collect()} == {"en"}
+    bench = spark.createDataFrame([(1, "password abcdefgh99")], "item_id long, text string")
+    assert [r.doc_id for r in decontamination.find_leaks(df, bench).collect()] == [1]
+    _, light = quality_rules.judge_quality(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.doc_id: r._q.n_words for r in light.collect()} == {1: 300_004, 2: 3}
+
+
 def test_any_copy_leaves_so_many_ngrams_whole():
     """The number of ``seeding`` against random edits of copies that keep the least score."""
     random.seed(22)

@@ -6,8 +6,13 @@ shows that it rejects less than ``alpha`` of the good ones. Cutoffs form one fix
 list from lenient to strict, tested in that order until one fails, so the list itself
 needs no correction; over rules and strata the level is divided (Bonferroni). The sum
 of all rules' ``alpha`` bounds the false rejections of a stratum. Among certified
-cutoffs the one that parts labelled good and bad documents best is used; a stratum or
-rule with too few labels certifies none and so rejects nothing.
+cutoffs the one that parts labelled good and bad documents best is used.
+
+A rule's share of ``alpha`` takes several hundred labels to certify. So all rules
+together are tested as well, at the whole ``alpha``: step k of that list sets each rule
+to its k-th cutoff. Half of ``delta`` goes to either way; a stratum uses the better of
+the two, so its false rejections are below ``alpha`` in both cases. A stratum with too
+few labels for both certifies nothing and so rejects nothing but by the base rule.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ RULES: dict[str, list[float]] = {
     "dup_lines": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2],
     "chars_per_word": [100.0, 60.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0],
 }
+#: Cutoffs of the longest list, and the name of all rules together.
+STEPS = max(map(len, RULES.values()))
+TOGETHER = "all rules"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -84,27 +92,39 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def certified_cutoffs(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
     """``labelled`` has _stratum, good (boolean) and _q. Returns _stratum, rule, cutoff for certified pairs."""
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), value.alias("value"), F.array(*map(F.lit, RULES[name])).alias("cuts")) for name, value in _values().items()])
-    rows = labelled.select("_stratum", "good", F.explode(rules).alias("r"))
-    # How many of the cutoffs the value is above: they descend, so it is above the first so many of the reversed list.
-    level = F.size(F.filter("r.cuts", lambda c: F.col("r.value") > c))
-    counts = rows.groupBy("_stratum", F.col("r.rule").alias("rule"), (F.size("r.cuts") - level).alias("from")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    def first_above(name: str, value: Column) -> Column:
+        """The first cutoff of the list that the value is above; STEPS if there is none."""
+        cuts = RULES[name]
+        below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value <= c))
+        return F.when(below < len(cuts), below).otherwise(F.lit(STEPS))
+
+    places = {name: first_above(name, value) for name, value in _values().items()}
+    places[TOGETHER] = F.least(*places.values())
+    rows = labelled.select("_stratum", "good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), at.alias("from")) for name, at in places.items()])).alias("r"))
+    counts = rows.groupBy("_stratum", "r.rule", "r.from").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     whole = W.partitionBy("_stratum", "rule")
     counts = counts.groupBy("_stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("from", "g", "b"))).alias("c"), F.sum("g").alias("n"), F.sum("b").alias("m"))  # at most one entry for each cutoff
-    cut_of = F.create_map(*[x for name, cuts in RULES.items() for x in (F.lit(name), F.array(*map(F.lit, cuts)))])
-    tests = counts.select("_stratum", "rule", "n", "m", "c", F.posexplode(cut_of[F.col("rule")]).alias("at", "cutoff"))
+    steps = F.create_map(*[x for name, n in ([(name, len(cuts)) for name, cuts in RULES.items()] + [(TOGETHER, STEPS)]) for x in (F.lit(name), F.lit(n))])
+    tests = counts.select("_stratum", "rule", "n", "m", "c", F.explode(F.sequence(F.lit(0), steps[F.col("rule")] - 1)).alias("at"))
 
     def above(which: str) -> Column:
         return F.aggregate(F.filter("c", lambda x: x["from"] <= F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x[which])
 
-    tests = tests.select("_stratum", "rule", "cutoff", "at", "n", "m", above("g").alias("k"), above("b").alias("caught"))
-    strata = labelled.select("_stratum").distinct().count()
-    limit = alpha / len(RULES)
-    tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), limit)).where(F.col("p") <= delta / max(1, strata * len(RULES)))
+    tests = tests.select("_stratum", "rule", "at", "n", "m", above("g").alias("k"), above("b").alias("caught"))
+    strata = max(1, labelled.select("_stratum").distinct().count())
+    together = F.col("rule") == TOGETHER
+    p = F.when(together, binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)))
+    tests = tests.where(p <= F.when(together, F.lit(delta / (2 * strata))).otherwise(F.lit(delta / (2 * strata * len(RULES)))))
     # k grows with strictness, so the tests that pass are the first ones of the list.
-    gain = F.coalesce(F.col("caught") / F.when(F.col("m") > 0, F.col("m")), F.lit(0.0)) - F.lit(20.0) * F.col("k") / F.col("n")
-    best = F.row_number().over(whole.orderBy(F.round(gain, 9).desc(), "at"))
-    return tests.withColumn("best", best).where((F.col("best") == 1) & (F.col("caught") > 0)).select("_stratum", "rule", "cutoff")
+    gain = F.round(F.coalesce(F.col("caught") / F.when(F.col("m") > 0, F.col("m")), F.lit(0.0)) - F.lit(20.0) * F.col("k") / F.col("n"), 9)
+    best = tests.withColumn("gain", gain).withColumn("best", F.row_number().over(whole.orderBy(F.desc("gain"), "at"))).where("best = 1 AND caught > 0")
+    by_stratum = W.partitionBy("_stratum")
+    single, joint = (F.sum(F.when(x, F.col("gain"))).over(by_stratum) for x in (~together, together))
+    used = best.withColumn("joint", F.coalesce(F.round(joint - single, 9) > 0, joint.isNotNull())).where(together == F.col("joint"))
+    cut_of = F.create_map(*[x for name, cuts in RULES.items() for x in (F.lit(name), F.array(*map(F.lit, cuts)))])
+    names = F.when(together, F.array(*map(F.lit, RULES))).otherwise(F.array("rule"))
+    rules = used.select("_stratum", "at", F.explode(names).alias("rule")).withColumn("cuts", cut_of[F.col("rule")])
+    return rules.select("_stratum", "rule", F.get("cuts", F.least("at", F.size("cuts") - 1)).alias("cutoff"))
 
 
 def judge_quality(
@@ -158,10 +178,19 @@ v AS ({values}),
 b AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT v.*, good FROM v JOIN b USING (doc_id)),
 c AS (SELECT * FROM (VALUES {rules}) AS c(rule, pos, cutoff)),
-t AS (SELECT s, lab.rule, pos, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND v > cutoff) AS k, count(*) FILTER (NOT good AND v > cutoff) AS caught FROM lab JOIN c ON c.rule = lab.rule GROUP BY ALL),
-x AS (SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p})) FOR i IN range(0, k + 1)]) END AS tail, (SELECT count(DISTINCT s) FROM lab) AS strata FROM t),
-ok AS (SELECT * FROM x WHERE tail <= {delta} / (strata * {len(RULES)})),
-cut AS (SELECT s, rule, cutoff FROM ok QUALIFY row_number() OVER (PARTITION BY s, rule ORDER BY round(coalesce(caught / nullif(m, 0), 0) - 20.0 * k / n, 9) DESC, pos) = 1 AND caught > 0),
+broken AS (SELECT v.r, v.rule, min(pos) AS pos FROM v JOIN c ON c.rule = v.rule AND v > cutoff GROUP BY ALL),
+seen AS (SELECT lab.s, lab.good, lab.rule, broken.pos FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule
+  UNION ALL SELECT lab.s, lab.good, '{TOGETHER}', min(broken.pos) FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule GROUP BY lab.r, lab.s, lab.good),
+steps AS (SELECT rule, pos FROM c UNION ALL SELECT '{TOGETHER}', unnest(range({STEPS}))),
+t AS (SELECT s, seen.rule, steps.pos, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND seen.pos <= steps.pos) AS k, count(*) FILTER (NOT good AND seen.pos <= steps.pos) AS caught FROM seen JOIN steps ON steps.rule = seen.rule GROUP BY ALL),
+lim AS (SELECT *, CASE WHEN rule = '{TOGETHER}' THEN {alpha} ELSE {p} END AS p, (SELECT count(DISTINCT s) FROM lab) * CASE WHEN rule = '{TOGETHER}' THEN 2 ELSE {2 * len(RULES)} END AS ways FROM t),
+x AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(p) + (n - i) * ln(1 - p)) FOR i IN range(0, k + 1)]) END AS tail FROM lim),
+ok AS (SELECT *, round(coalesce(caught / nullif(m, 0), 0) - 20.0 * k / n, 9) AS gain FROM x WHERE tail <= {delta} / ways),
+best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY s, rule ORDER BY gain DESC, pos) = 1 AND caught > 0),
+gains AS (SELECT s, sum(gain) FILTER (rule = '{TOGETHER}') AS joint, sum(gain) FILTER (rule <> '{TOGETHER}') AS single FROM best GROUP BY s),
+used AS (SELECT best.*, coalesce(round(joint - single, 9) > 0, joint IS NOT NULL) AS all_rules FROM best JOIN gains USING (s)),
+cut AS (SELECT used.s, c.rule, c.cutoff FROM used JOIN c ON used.rule = c.rule AND used.pos = c.pos WHERE NOT all_rules
+  UNION ALL SELECT used.s, c.rule, min(c.cutoff) FROM used JOIN c ON c.pos <= used.pos WHERE used.rule = '{TOGETHER}' AND all_rules GROUP BY used.s, c.rule),
 bad AS (SELECT DISTINCT r FROM v JOIN cut ON cut.s = v.s AND cut.rule = v.rule AND v > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f AS base_failed, NOT f AND bad.r IS NULL AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f FROM q) LEFT JOIN bad USING (r)
