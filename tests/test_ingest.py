@@ -46,11 +46,11 @@ def run(records, provider="codex"):
 def test_codex_fold():
     events = {e["id"]: e for e in run(log()).events.values()}
     assert (events["c1"]["status"], events["c1"]["duration_ms"], events["c1"]["turn_id"]) == ("completed", 2000.0, "t1")
-    assert (events["c2"]["status"], events["c2"]["outcome"]) == ("failed", "failed")
+    assert (events["c2"]["status"], events["c2"]["outcome"]) == ("unknown", "unknown")  # a program whose codes aren't known
     assert (events["c3"]["outcome"], events["c3"]["duration_ms"]) == ("no_match", 1000.0)
     assert events["c4"]["status"] == "pending"
     assert (events["c5"]["status"], events["c5"]["timing_evidence"], events["c5"]["end_ms"]) == ("unknown", "conflicted", None)
-    assert (events["i1"]["duration_ms"], events["i1"]["timing_evidence"], events["i1"]["category"]) == (9.0, "source_reported", "build")
+    assert (events["i1"]["duration_ms"], events["i1"]["timing_evidence"], events["i1"]["category"]) == (9.0, "source_reported", "other")
     assert events["c6"]["ambiguous"] and not events["c4"]["ambiguous"]
 
 

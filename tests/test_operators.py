@@ -139,9 +139,6 @@ def test_key_text_orders_null_last(spark):
 
 
 def test_gates(spark):
-    rows = spark.createDataFrame([(1, 1, "completed"), (2, 1, "failed"), (3, 1, "completed")], "id long, byte_offset long, status string").withColumn("byte_offset", F.col("id"))
-    seen = spark.createDataFrame([(10, 1, 1, "completed"), (11, 2, 2, "completed"), (12, 3, 9, "completed")], "id long, event_id long, byte_offset long, transport_status string")
-    assert {r.id: (r.proof, r.resolved) for r in gates.provenance(rows, seen).collect()} == {1: (10, True), 2: (None, False), 3: (None, False)}
     flags = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, False), (2, 1, False)], "k long, n long, f boolean")
     assert {(r.k, r.n): r.ambiguous for r in gates.propagate(flags, ["k"], F.col("f"), "n").collect()} == {(1, 1): False, (1, 2): True, (1, 3): True, (2, 1): False}
 
@@ -163,12 +160,83 @@ def test_shell_words(command, words):
     assert identity.shell_words(command) == words
 
 
-def test_exit_codes():
-    assert identity.classify("pytest -q tests")[1] == "test"
-    assert identity.classify("sh -c 'rm x'") == ("complex", "other", "unknown")
-    assert identity.classify("git diff --exit-code")[2] == "one_change"
-    assert identity.canonical('{"b":1,"a":[2,{"d":1,"c":2}]}') == '{"a":[2,{"c":2,"d":1}],"b":1}'
-    assert identity.canonical("{") is None
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("rg -n 'a b' src", ("rg -n <args>", "search", "rg", True)), ("find . -name x", ("find <args>", "search", "unknown", True)), ("grep x", ("other <args>", "other", "unknown", True)),
+        ("cat a", ("cat <args>", "read", "unknown", True)), ("ls", ("ls", "other", "unknown", True)), ("pytest", ("pytest", "test", "unknown", True)), ("npm test", ("npm test", "test", "unknown", True)),
+        ("npm test -- unit", ("npm test <target>", "test", "unknown", True)), ("npm run test", ("npm run <args>", "other", "unknown", True)), ("cargo build --workspace", ("cargo build --workspace", "build", "unknown", True)),
+        ("make build", ("other <args>", "other", "unknown", True)), ("xcodebuild -scheme A test", ("xcodebuild <args>", "test", "unknown", True)), ("git diff --exit-code -- a", ("git diff --exit-code <args>", "other", "git_diff", True)),
+        ("git diff --stat --exit-code", ("git diff --exit-code <args>", "other", "unknown", True)), ("git diff -- --exit-code", ("git diff <args>", "other", "unknown", True)), ("git diff", ("git diff", "other", "unknown", True)),
+        ("/usr/bin/python3 -c x", identity.COMPLEX), ("node --eval=1", identity.COMPLEX), ("python -m x", ("python <args>", "other", "unknown", True)), ("bash -c x", identity.COMPLEX), ("eval x", identity.COMPLEX), ("a | b", identity.COMPLEX),
+        (["rg", "a|b"], ("rg <args>", "search", "rg", True)), (["rg", "a\nb"], identity.COMPLEX), ([], identity.COMPLEX), (None, identity.COMPLEX),
+    ],
+)
+def test_commands(command, want):
+    assert identity.classify(command) == want
+
+
+def test_commands_in_batches(spark):
+    df = spark.createDataFrame([("rg x",), (None,), ("rg x",), ("a | b",)], "c string").coalesce(1).select("c", identity.command_class("c").alias("k"))
+    assert [(r.c, r.k.policy, r.k.plain) for r in df.collect()] == [("rg x", "rg", True), (None, "unknown", False), ("rg x", "rg", True), ("a | b", "unknown", False)]
+
+
+@pytest.mark.parametrize(("code", "policy", "want"), [(0, "unknown", ("completed", "success")), (1, "rg", ("completed", "no_match")), (1, "git_diff", ("completed", "change_detected")), (2, "rg", ("failed", "error")), (2, "unknown", ("unknown", "unknown")), (1, "unknown", ("unknown", "unknown")), (-1, "rg", ("unknown", "unknown")), (None, "rg", ("unknown", "unknown"))])
+def test_exit_codes(code, policy, want):
+    assert identity.exit_meaning(code, policy) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"b":1,"a":[2,{"d":1,"c":2}]}', '{"a":[2,{"c":2,"d":1}],"b":1}'), ("{", None), (None, None), ('{"a":NaN}', None), ("[Infinity]", None), ('{"a":1e999}', None), ('{"a":1,"a":2}', '{"a":2}'), ("[" * 33 + "]" * 33, "[" * 33 + "]" * 33), ("[" * 34 + "]" * 34, None),
+        ("[" + ",".join("1" * 8191) + "]", "[" + ",".join("1" * 8191) + "]"), ("[" + ",".join("1" * 8192) + "]", None), ('"' + "x" * (1 << 20) + '"', None), ("[" * 100_000, None),
+    ],
+)
+def test_canonical(text, want):
+    assert identity.canonical(text) == want
+
+
+def test_history_states(spark):
+    rows = [(1, "a", True, 1, 2), (1, "a", True, None, None), (2, "a", True, 1, 2), (2, "a", True, 1, 3), (3, "a", True, 1, 2), (3, "b", True, 1, 2), (4, "a", True, 1, 2), (4, "a", False, 1, 2), (5, "a", False, 1, 2), (5, "a", False, 9, 9), (6, "a", True, 1, 2), (6, "a", True, 1, 2), (7, None, True, 1, 2), (7, "a", True, 1, 2)]
+    df = spark.createDataFrame(rows, "id long, sig string, admitted boolean, start_ms long, end_ms long")
+    got = {r.id: r.state for r in history.reconcile(df, ["id"], ["sig"], "admitted", ["start_ms", "end_ms"]).collect()}
+    assert got == {1: "unpositioned", 2: "conflict", 3: "conflict", 4: "conflict", 5: "excluded", 6: "admitted", 7: "conflict"}
+
+
+def test_timing_conflicts(spark):
+    reported, paired = "source_reported", "paired_timestamps"
+    rows = [(1, "completed", 0, 10, "a", reported, 50, "a", reported), (2, "completed", 0, 10, "a", paired, 50, "a", reported), (3, "completed", 0, 10, "a", reported, 50, "a", paired), (4, "completed", 0, 10, "unknown", paired, 50, "unknown", paired), (5, "completed", 10, 0, "a", paired, 5, "b", paired), (6, "pending", 0, 10, "a", paired, 10, "a", paired), (7, "completed", 0, 10, "a", paired, 11, "a", paired)]
+    df = spark.createDataFrame(rows, "id long, status string, start_ms long, end_ms long, interval_scope string, interval_evidence string, duration_ms long, duration_scope string, timing_evidence string")
+    got = {r.id: (r.timing_conflict, r.start_ms, r.end_ms, r.interval_scope, r.duration_ms, r.duration_scope) for r in gates.resolve_timing(df).collect()}
+    assert got == {
+        1: (True, 0, 10, "unknown", None, "unknown"), 2: (True, 0, 10, "unknown", 50, "a"), 3: (True, 0, 10, "a", None, "unknown"), 4: (False, 0, 10, "unknown", None, "unknown"),
+        5: (False, None, None, "unknown", 5, "b"), 6: (False, 0, None, "unknown", None, "unknown"), 7: (False, 0, 10, "a", 11, "a"),
+    }
+
+
+def test_two_writers_and_failed_writes(spark, tmp_path):
+    table, other = (snapshots.SnapshotTable(spark, str(tmp_path / "t")) for _ in range(2))
+    one = spark.createDataFrame([(1,)], "a long")
+    bad = one.select(F.raise_error(F.lit("no")).cast("long").alias("a"))
+    with pytest.raises(Exception, match="no"):
+        table.replace(bad, 0)
+    assert table.revision() == 0
+    assert table.replace(one, 0) == 1
+    other.revision = lambda: 0  # looked before the first one published
+    with pytest.raises(snapshots.StaleRevision):
+        other.replace(one.union(one), 0)
+    assert table.read().count() == 1
+    assert table.replace(one.union(one), 1) == 2
+    with pytest.raises(FileNotFoundError):
+        table.read(7)
+
+
+def test_retired_sources(spark):
+    sources = spark.createDataFrame([("a", "available", 3, "x"), ("b", "available", 1, "y"), ("c", "unavailable", 2, "z"), ("d", "available", 1, "w")], "source_id string, availability string, revision long, payload string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "source_id string")
+    got = {r.source_id: (r.availability, r.revision, r.payload) for r in snapshots.retire(sources, ids("a", "b", "c", "a"), ids("b")).collect()}
+    assert got == {"a": ("unavailable", 4, "x"), "b": ("available", 1, "y"), "c": ("unavailable", 2, "z"), "d": ("available", 1, "w")}
 
 
 def test_snapshots(spark, tmp_path):

@@ -40,17 +40,7 @@ def ntz_ms(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz)) div 1000")
 
 
-def elapsed(start: Column, end: Column) -> Column:
-    """end - start; null if either is null or the end comes first."""
-    return F.when(end >= start, end - start)
-
-
-def one_of(value: Column, allowed: list[str], fallback: str) -> Column:
-    """The value if it is allowed, else the fallback."""
-    return F.when(value.isin(*allowed), value).otherwise(F.lit(fallback))
-
-
-def first_reason(*ladder: tuple[Column, str]) -> Column:
+def first_reason(*ladder: tuple[Column, Column | str]) -> Column:
     """The reason of the first condition that holds; null if none does."""
     out = F
     for condition, reason in ladder:

@@ -44,8 +44,8 @@ def dedup_responses(rows: DataFrame, keys: list[str], row_id: str, payload: list
 
     Returns keys, representative id, copies, conflicted.
     """
-    text = F.xxhash64(*payload)
-    return rows.groupBy(*keys).agg(F.min(row_id).alias("representative"), F.count(F.lit(1)).alias("copies"), (F.min(text) != F.max(text)).alias("conflicted"))
+    whole = F.struct(*payload)
+    return rows.groupBy(*keys).agg(F.min(row_id).alias("representative"), F.count(F.lit(1)).alias("copies"), (F.min(whole) != F.max(whole)).alias("conflicted"))
 
 
 def component_sums(rows: DataFrame, keys: list[str], components: list[str]) -> DataFrame:

@@ -2,43 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from traceloom.functions.expr import first_reason
 
+#: The newest record format of each provider that is understood; all from 1 on are.
+NEWEST = {"codex": 3, "claude": 4}
+
 
 def suppression(sources: DataFrame, observations: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Adds ``suppressed``: the first reason that silences a source, or null.
 
-    ``sources`` has source_id, availability, has_evidence, state_limited and, for the
-    longer ladder with ``events``, supported. Observations of ambiguous origin silence
-    their source; with ``events`` so do executions with a parent or wrapper.
+    ``sources`` has source_id, availability, has_evidence, state_limited. Observations of
+    ambiguous origin silence their source. The longer ladder, with ``events``, also looks at
+    the source's provider, parser_version, diagnostics_dropped, ambiguous_records and what
+    its capabilities state (capability_provider, capability_version); then at executions
+    with a parent, or that a wrapper record names.
     """
     ambiguous = observations.groupBy("source_id").agg(F.bool_or(F.col("origin") == "ambiguous").alias("_ambiguous"))
     out = sources.join(ambiguous, "source_id", "left")
-    ladder = [(F.col("availability") != "available", "source_unavailable"), (~F.col("has_evidence"), "evidence_absent"), (F.col("state_limited"), "state_limited"), (F.coalesce("_ambiguous", F.lit(False)), "ambiguous_origin")]
+    limited, unclear = F.col("state_limited"), F.coalesce("_ambiguous", F.lit(False))
     if events is not None:
-        related = events.groupBy("source_id").agg(F.bool_or(F.col("parent_id").isNotNull() | F.col("wrapper_id").isNotNull()).alias("_related"))
+        wrappers = observations.where("o_provider = 'codex' AND representation = 'wrapper'").select("source_id", F.col("event_id").alias("id")).distinct().withColumn("_wrapped", F.lit(True))
+        related = events.select("source_id", "id", "parent_id").join(wrappers, ["source_id", "id"], "left").groupBy("source_id").agg(F.bool_or(F.col("parent_id").isNotNull() | F.col("_wrapped").isNotNull()).alias("_related"))
         out = out.join(related, "source_id", "left")
-        ladder = [ladder[0], (~F.col("supported"), "unsupported_contract"), *ladder[1:], (F.coalesce("_related", F.lit(False)), "unresolved_execution_relation")]
+        limited, unclear = limited | (F.col("diagnostics_dropped") > 0), unclear | (F.col("ambiguous_records") > 0)
+    ladder = [(F.col("availability") != "available", "source_unavailable"), (~F.col("has_evidence"), "evidence_absent"), (limited, "state_limited"), (unclear, "ambiguous_origin")]
+    if events is not None:
+        newest = F.when(F.col("provider") == "codex", NEWEST["codex"]).otherwise(NEWEST["claude"])
+        known = F.col("parser_version").between(1, newest) & (F.col("capability_provider") == F.col("provider")) & (F.col("capability_version") == F.col("parser_version"))
+        ladder += [(~F.coalesce(known, F.lit(False)), "unsupported_contract"), (F.coalesce("_related", F.lit(False)), "unresolved_execution_relation")]
     return out.withColumn("suppressed", first_reason(*ladder)).drop("_ambiguous", "_related")
 
 
-def provenance(events: DataFrame, observations: DataFrame) -> DataFrame:
-    """Adds ``proof`` (the least id of a decisive observation at the event's own offset) and ``resolved``.
-
-    A decisive observation has the event's offset and status; any linked one that states
-    another status contradicts, and an event with a contradiction is not resolved.
-    """
-    linked = observations.select(F.col("event_id").alias("id"), F.col("id").alias("_o"), F.col("byte_offset").alias("_at"), F.col("transport_status").alias("_status"))
-    joined = events.select("id", "byte_offset", "status").join(linked, "id", "left")
-    decisive = (F.col("_at") == F.col("byte_offset")) & (F.col("_status") == F.col("status"))
-    seen = joined.groupBy("id").agg(F.min(F.when(decisive, F.col("_o"))).alias("proof"), F.coalesce(F.bool_or(F.col("_status") != F.col("status")), F.lit(False)).alias("_contradicted"))
-    return events.join(seen, "id", "left").withColumn("resolved", F.col("proof").isNotNull() & ~F.col("_contradicted")).drop("_contradicted")
-
-
 def poisoned(rows: DataFrame, keys: list[str], resolved: Column) -> DataFrame:
     """Adds ``poisoned``: one row that is not resolved silences its whole partition."""
     return rows.withColumn("poisoned", F.bool_or(~resolved).over(W.partitionBy(*keys)))
@@ -50,23 +50,30 @@ def propagate(rows: DataFrame, keys: list[str], flag: Column, order: str) -> Dat
 
 
 def resolve_timing(rows: DataFrame) -> DataFrame:
-    """Interval and duration of one scope that differ by more than 1 ms conflict, and the weaker evidence goes.
+    """Interval and duration of one known scope that differ by more than 1 ms conflict, and the weaker evidence goes.
 
-    A duration the source reports outranks an interval it doesn't; otherwise the duration
-    goes, and the interval too unless the source reports it alone. An end before its start
-    voids both.
+    A duration without evidence or scope is null. An end before its start voids both. The
+    start and end of an interval that goes stay, but their scope and evidence are unknown. A
+    duration the source reports outranks an interval it doesn't; otherwise the duration goes,
+    and the interval too unless the source reports it alone. What is pending has no end, no
+    duration and no interval. Adds ``timing_conflict``.
     """
-    backwards = F.col("end_ms") < F.col("start_ms")
-    start, end = (F.when(~F.coalesce(backwards, F.lit(False)), F.col(c)) for c in ("start_ms", "end_ms"))
-    out = rows.withColumn("start_ms", start).withColumn("end_ms", end)
-    conflict = F.coalesce((F.col("interval_scope") == F.col("duration_scope")) & (F.abs(F.col("duration_ms") - (F.col("end_ms") - F.col("start_ms"))) > 1), F.lit(False))
-    told_d, told_i = F.col("timing_evidence") == "source_reported", F.col("interval_evidence") == "source_reported"
-    drop_interval = conflict & ((told_d & ~told_i) | ~told_i | told_d)
-    drop_duration = conflict & ~(told_d & ~told_i)
-    out = out.withColumn("_i", drop_interval).withColumn("_d", drop_duration).withColumn("timing_conflict", conflict)
-    for c, gone in (("start_ms", "_i"), ("end_ms", "_i"), ("duration_ms", "_d")):
-        out = out.withColumn(c, F.when(~F.col(gone), F.col(c)))
-    return out.drop("_i", "_d")
+    reported = lambda c: F.col(c) == "source_reported"
+    known = lambda *names: reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.col(c) != "unknown") for c in names])
+    forward = F.coalesce(F.col("end_ms") >= F.col("start_ms"), F.lit(True))
+    out = rows.withColumns({c: F.when(forward, F.col(c)) for c in ("start_ms", "end_ms")})
+    timed = F.col("duration_ms").isNotNull() & known("duration_scope", "timing_evidence")
+    placed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & known("interval_scope", "interval_evidence")
+    out = out.withColumns({"_timed": timed, "_placed": placed})
+    apart = F.abs(F.col("duration_ms") - (F.col("end_ms") - F.col("start_ms"))) > 1
+    conflict = F.col("_timed") & F.col("_placed") & F.coalesce((F.col("duration_scope") == F.col("interval_scope")) & apart, F.lit(False))
+    out = out.withColumn("timing_conflict", conflict)
+    done = F.col("status") != "pending"
+    keep_duration = F.col("_timed") & done & ~(F.col("timing_conflict") & ~(reported("timing_evidence") & ~reported("interval_evidence")))
+    keep_interval = F.col("_placed") & done & ~(F.col("timing_conflict") & ~(reported("interval_evidence") & ~reported("timing_evidence")))
+    out = out.withColumns({"_timed": keep_duration, "_placed": keep_interval, "end_ms": F.when(done, F.col("end_ms"))})
+    named = {c: F.when(F.col(kept), F.col(c)).otherwise("unknown") for kept, names in (("_timed", ("duration_scope", "timing_evidence")), ("_placed", ("interval_scope", "interval_evidence"))) for c in names}
+    return out.withColumns({"duration_ms": F.when(F.col("_timed"), F.col("duration_ms")), **named}).drop("_timed", "_placed")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:

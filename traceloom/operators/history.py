@@ -23,16 +23,21 @@ def parse_offset(text: str) -> int:
     return minutes
 
 
-def reconcile(copies: DataFrame, keys: list[str], signature: str, admitted: str, position: str) -> DataFrame:
+def reconcile(copies: DataFrame, keys: list[str], signature: list[str], admitted: str, position: list[str]) -> DataFrame:
     """One row for each event seen in one or more sources, and its state.
 
-    conflict: copies differ in meaning, admission or position; excluded: none is admitted;
-    unpositioned: admitted without a position; else admitted.
+    In this order: conflict, if copies differ in meaning or only some are admitted;
+    excluded, if none is; unpositioned, if one lacks a position (any column of it null);
+    conflict, if positions differ; else admitted.
     """
+    placed = F.lit(True)
+    for c in position:
+        placed = placed & F.col(c).isNotNull()
     grouped = copies.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("copies"), F.countDistinct(signature).alias("_s"), F.bool_or(admitted).alias("_any"), F.bool_and(admitted).alias("_all"), F.countDistinct(F.coalesce(F.col(position).cast("string"), F.lit(""))).alias("_p"), F.min(position).alias("position"),
+        F.count(F.lit(1)).alias("copies"), F.countDistinct(F.struct(*signature)).alias("_s"), F.count_if(admitted).alias("_in"), F.count_if(~placed).alias("_nowhere"), F.countDistinct(F.struct(*position)).alias("_p"),
     )
-    state = F.when((F.col("_s") > 1) | (F.col("_any") != F.col("_all")) | (F.col("_p") > 1), "conflict").when(~F.col("_any"), "excluded").when(F.col("position").isNull(), "unpositioned").otherwise("admitted")
+    partly = (F.col("_in") > 0) & (F.col("_in") < F.col("copies"))
+    state = F.when((F.col("_s") > 1) | partly, "conflict").when(F.col("_in") == 0, "excluded").when(F.col("_nowhere") > 0, "unpositioned").when(F.col("_p") > 1, "conflict").otherwise("admitted")
     return grouped.withColumn("state", state).select(*keys, "copies", "state")
 
 

@@ -106,7 +106,7 @@ def token_checks(spark, sf_dir):
     return gates.token_counts(rows).groupBy("count_status").agg(F.count(F.lit(1)).alias("n"), F.count("total").alias("totals"))
 
 
-_FAIL = "count(*) FILTER (status IN ('completed', 'failed')) AS terminal, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') / count(*) AS failed_share"
+_FAIL = "count(*) FILTER (status IN ('completed', 'failed')) AS terminal, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') / nullif(count(*) FILTER (status IN ('completed', 'failed')), 0) AS failed_share"
 
 
 @query(f"WITH {EVENTS_SQL} SELECT session_id, {_FAIL} FROM ev GROUP BY ALL")
@@ -158,18 +158,6 @@ def search_recurrence(spark, sf_dir):
     return _revisits(spark, sf_dir, "search")
 
 
-_COPIES = """cp AS (SELECT id, source_id, status AS sig, true AS admitted, start_ms AS position FROM ev UNION ALL
-SELECT id, source_id + 100, CASE WHEN id % 11 = 0 THEN 'changed' ELSE status END, id % 13 <> 0, CASE WHEN id % 17 = 0 THEN NULL ELSE start_ms END FROM ev WHERE id % 2 = 0)"""
-
-
-@query(f"""WITH {EVENTS_SQL}, {_COPIES} SELECT id, count(*) AS copies, CASE WHEN count(DISTINCT sig) > 1 OR bool_or(admitted) <> bool_and(admitted) OR count(DISTINCT coalesce(CAST(position AS VARCHAR), '')) > 1 THEN 'conflict'
-WHEN NOT bool_or(admitted) THEN 'excluded' WHEN min(position) IS NULL THEN 'unpositioned' ELSE 'admitted' END AS state FROM cp GROUP BY id""")
-def history_reconcile(spark, sf_dir):
-    rows = events(spark, sf_dir).select("id", F.col("status").alias("sig"), F.lit(True).alias("admitted"), F.col("start_ms").alias("position"))
-    again = rows.where("id % 2 = 0").select("id", F.when(F.col("id") % 11 == 0, F.lit("changed")).otherwise(F.col("sig")), F.col("id") % 13 != 0, F.when(F.col("id") % 17 != 0, F.col("position")))
-    return history.reconcile(rows.union(again), ["id"], "sig", "admitted", "position")
-
-
 @query(f"""WITH {USAGE_SQL}, o AS (SELECT response_id AS r, line AS l, input AS i, reasoning_output AS g, seen_ms AS t FROM us UNION ALL SELECT response_id, line, input, reasoning_output, seen_ms + 86400000 FROM us UNION ALL SELECT response_id, line, input + 1, reasoning_output, seen_ms - 86400000 FROM us),
 f AS (SELECT us.*, (SELECT min(t) FROM o WHERE r = response_id AND l = line AND i IS NOT DISTINCT FROM input AND g IS NOT DISTINCT FROM reasoning_output) AS first_ms FROM us)
 SELECT first_ms // 86400000 AS day, session_id, count(*) AS n, {_sums(_PARTS)} FROM f GROUP BY 1, 2""")
@@ -219,17 +207,6 @@ def poisoned_partitions(spark, sf_dir):
     return rows.groupBy("session_id", "category", "poisoned").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {EVENTS_SQL}, o AS (SELECT id * 2 AS o, id AS e, id AS pos, status AS st FROM ev WHERE id % 7 <> 0 UNION ALL SELECT id * 2 + 1, id, id + 1, CASE WHEN id % 19 = 0 THEN 'failed' ELSE status END FROM ev),
-j AS (SELECT ev.id, ev.session_id, min(CASE WHEN pos = ev.id AND st = ev.status THEN o END) AS proof, bool_or(st <> ev.status) AS bad FROM ev LEFT JOIN o ON o.e = ev.id GROUP BY ALL)
-SELECT session_id, count(proof) AS proven, count(*) FILTER (proof IS NOT NULL AND NOT bad) AS resolved, count(*) AS n FROM j GROUP BY session_id""")
-def provenance_proofs(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("byte_offset", F.col("id"))
-    first = rows.where("id % 7 <> 0").select((F.col("id") * 2).alias("id"), F.col("id").alias("event_id"), F.col("id").alias("byte_offset"), F.col("status").alias("transport_status"))
-    second = rows.select((F.col("id") * 2 + 1).alias("id"), F.col("id").alias("event_id"), (F.col("id") + 1).alias("byte_offset"), F.when(F.col("id") % 19 == 0, F.lit("failed")).otherwise(F.col("status")))
-    found = gates.provenance(rows, first.union(second))
-    return found.groupBy("session_id").agg(F.count("proof").alias("proven"), F.count_if("resolved").alias("resolved"), F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH {EVENTS_SQL}, s AS (SELECT session_id AS source_id, count(*) AS n, count(*) FILTER (tool = 'purchase') AS evidence FROM ev GROUP BY 1),
 a AS (SELECT DISTINCT session_id FROM ev WHERE tool = 'error' AND CAST(op_key AS BIGINT) < 3)
 SELECT source_id, n, CASE WHEN source_id % 17 = 0 THEN 'source_unavailable' WHEN evidence = 0 THEN 'evidence_absent' WHEN n > 90 THEN 'state_limited' WHEN source_id IN (SELECT session_id FROM a) THEN 'ambiguous_origin' END AS suppressed FROM s""")
@@ -241,14 +218,6 @@ def suppression_reasons(spark, sf_dir):
     return gates.suppression(sources, rows.select(F.col("session_id").alias("source_id"), origin.alias("origin"))).select("source_id", "n", "suppressed")
 
 
-@query(f"""WITH {EVENTS_SQL}, t AS (SELECT id, start_ms, end_ms, duration_ms + CASE WHEN id % 5 = 0 THEN 1000 ELSE 0 END AS d, id % 3 = 0 AS td, id % 2 = 0 AS ti FROM ev), c AS (SELECT *, abs(d - (end_ms - start_ms)) > 1 AS x FROM t)
-SELECT id, x AS timing_conflict, CASE WHEN x AND NOT (td AND NOT ti) THEN NULL ELSE d END AS duration_ms, CASE WHEN x AND NOT (ti AND NOT td) THEN NULL ELSE start_ms END AS start_ms, CASE WHEN x AND NOT (ti AND NOT td) THEN NULL ELSE end_ms END AS end_ms FROM c""")
-def timing_conflict(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("duration_ms", F.col("duration_ms") + F.when(F.col("id") % 5 == 0, 1000).otherwise(0)).withColumns({"interval_scope": F.lit("runtime"), "duration_scope": F.lit("runtime")})
-    told = lambda n: F.when(F.col("id") % n == 0, "source_reported").otherwise("paired")
-    return gates.resolve_timing(rows.withColumns({"timing_evidence": told(3), "interval_evidence": told(2)})).select("id", "timing_conflict", "duration_ms", "start_ms", "end_ms")
-
-
 _KEY = hashlib.sha256(b"traceloom test key").digest()
 _PAD = [bytes(b ^ x for b in _KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
 
@@ -264,7 +233,7 @@ def fingerprints(spark, sf_dir):
 def command_classes(spark, sf_dir):
     """Each line of a conversation as a command: its pattern, category and exit policy."""
     lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "command"))
-    return lines.withColumn("c", identity.command_class("command")).select("conv_id", "turn", "line", "c.pattern", "c.category", "c.policy")
+    return lines.withColumn("c", identity.command_class("command")).select("conv_id", "turn", "line", "c.pattern", "c.category", "c.policy", "c.plain")
 
 
 @query(None)

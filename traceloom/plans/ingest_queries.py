@@ -33,16 +33,16 @@ def write_logs(spark, sf_dir: str, folder: str, sources: int | None = None) -> N
     stamp = lambda ms: F.date_format(F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {ms} / 1000.0)"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     command = F.create_map(*[F.lit(x) for pair in _COMMANDS.items() for x in pair])[F.col("category")]
     call_id = F.concat(F.lit("call-"), F.col("id").cast("string"))
-    code = F.when(F.col("status") == "failed", 2).when((F.col("category") == "search") & (F.col("id") % 3 == 0), 1).otherwise(0)
+    code = F.when((F.col("status") == "failed") | (F.col("id") % 35 == 0), 2).when((F.col("category") == "search") & (F.col("id") % 3 == 0), 1).otherwise(0)
     call = F.to_json(F.struct(stamp("start_ms").alias("timestamp"), F.lit("response_item").alias("type"), F.struct(F.lit("function_call").alias("type"), call_id.alias("call_id"), F.lit("shell").alias("name"), F.to_json(F.struct(command.alias("command"))).alias("arguments")).alias("payload")))
     result = F.to_json(F.struct(stamp("end_ms").alias("timestamp"), F.lit("response_item").alias("type"), F.struct(F.lit("function_call_output").alias("type"), call_id.alias("call_id"), F.to_json(F.struct(code.alias("exit_code"))).alias("output")).alias("payload")))
     lines = rows.select("source", "id", F.posexplode(F.array(call, result)).alias("part", "value"))
     lines.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
 
 
-_SQL = f"""WITH {EVENTS_SQL}, x AS (SELECT *, CASE category WHEN 'read' THEN 'read' WHEN 'search' THEN 'search' WHEN 'validation' THEN 'test' WHEN 'command' THEN 'build' ELSE 'other' END AS c,
-CASE WHEN status = 'failed' THEN 2 WHEN category = 'search' AND id % 3 = 0 THEN 1 ELSE 0 END AS code FROM ev)
-SELECT c AS category, CASE WHEN code < 2 THEN 'completed' ELSE 'failed' END AS status, CASE code WHEN 0 THEN 'success' WHEN 1 THEN 'no_match' ELSE 'failed' END AS outcome, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS sum_ms FROM x GROUP BY ALL"""
+_SQL = f"""WITH {EVENTS_SQL}, x AS (SELECT *, CASE category WHEN 'read' THEN 'read' WHEN 'search' THEN 'search' WHEN 'validation' THEN 'test' ELSE 'other' END AS c,
+CASE WHEN status = 'failed' OR id % 35 = 0 THEN 2 WHEN category = 'search' AND id % 3 = 0 THEN 1 ELSE 0 END AS code FROM ev)
+SELECT c AS category, CASE WHEN code = 0 OR (code = 1 AND c = 'search') THEN 'completed' WHEN c = 'search' THEN 'failed' ELSE 'unknown' END AS status, CASE WHEN code = 0 THEN 'success' WHEN c <> 'search' THEN 'unknown' WHEN code = 1 THEN 'no_match' ELSE 'error' END AS outcome, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS sum_ms FROM x GROUP BY ALL"""
 
 
 def ingest_roundtrip(spark, sf_dir: str):

@@ -12,7 +12,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
-from traceloom.functions.identity import classify
+from traceloom.functions.identity import classify, exit_meaning
 
 EVENT_FIELDS = ("id", "session_id", "turn_id", "kind", "category", "pattern", "start_ms", "end_ms", "duration_ms", "timing_evidence", "status", "outcome", "exit_code", "ambiguous", "byte_offset")
 EVENT_DDL = "id string, session_id string, turn_id string, kind string, category string, pattern string, start_ms long, end_ms long, duration_ms double, timing_evidence string, status string, outcome string, exit_code int, ambiguous boolean, byte_offset long"
@@ -43,17 +43,6 @@ def _kind(name: str | None) -> str:
     return _KINDS.get(name or "", "other")
 
 
-def _exit(code: int | None, policy: str) -> tuple[str, str]:
-    """Status and outcome of an exit code."""
-    if code is None:
-        return "unknown", "unknown"
-    if code == 0:
-        return "completed", "success"
-    if code == 1 and policy in ("one_no_match", "one_change"):
-        return "completed", "no_match" if policy == "one_no_match" else "change_detected"
-    return ("failed", "failed") if policy != "unknown" else ("unknown", "unknown")
-
-
 class Fold:
     def __init__(self, provider: str):
         self.provider = provider
@@ -88,7 +77,7 @@ class Fold:
             if state == "conflict":
                 self._conflict(id_)
             return
-        pattern, category, policy = classify(command) if command else (None, {"read": "read", "search": "search", "edit": "edit"}.get(kind, "other"), "unknown")
+        pattern, category, policy, _ = classify(command) if command else (None, {"read": "read", "search": "search", "edit": "edit"}.get(kind, "other"), "unknown", False)
         self.events[id_] = {
             "id": id_, "session_id": self.session, "turn_id": self.turn, "kind": kind, "category": category, "pattern": pattern, "start_ms": start, "end_ms": None, "duration_ms": None,
             "timing_evidence": "unknown", "status": "pending", "outcome": "unknown", "exit_code": None, "ambiguous": self.ambiguous, "byte_offset": offset, "policy": policy, "structured": False,
@@ -113,10 +102,10 @@ class Fold:
         if result.get("running"):
             return
         if "failed" in result:
-            event |= {"status": "failed" if result["failed"] else "completed", "outcome": "failed" if result["failed"] else "success"}
+            event |= {"status": "failed" if result["failed"] else "completed", "outcome": "error" if result["failed"] else "success"}
         else:
             event["exit_code"] = result.get("exit_code")
-            event["status"], event["outcome"] = _exit(result.get("exit_code"), event["policy"])
+            event["status"], event["outcome"] = exit_meaning(result.get("exit_code"), event["policy"])
         start, end = result.get("start", event["start_ms"]), result.get("end")
         if start is not None and end is not None and end < start:
             start = end = None
