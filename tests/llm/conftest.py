@@ -8,8 +8,8 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty texts, repeated rows, and additional columns with names that operators use."""
-    rows = [(i, t, lang, "src", len(t or ""), "x", "y", "z") for i, t, lang in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _q string, chunk_id string, piece string")
+    rows = [(i, t, lang, "src", len(t or ""), *"xyz", 1, 2, "w", [3], "s") for i, t, lang in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _q string, chunk_id string, piece string, node long, row long, words string, tokens array<long>, label string")
 
 
 @pytest.fixture(scope="session")

@@ -117,6 +117,8 @@ def test_redaction_and_odd_rows(spark, odd, none):
     df = spark.createDataFrame([(1, 'go token = "abcdefgh12" on'), (2, None), (3, "plain")], "doc_id long, text string")
     assert [r.text for r in secret_scan.redact(df).orderBy("doc_id").collect()] == ['go [SECRET]" on', None, "plain"]
     assert secret_scan.scan(odd).where(F.size("secrets") > 0).count() == 0
+    with pytest.raises(ValueError, match="secrets"):
+        secret_scan.scan(odd.withColumn("secrets", F.lit(1)))
     assert secret_scan.scan(none).count() == secret_scan.redact(none).count() == 0
 
 
@@ -340,6 +342,17 @@ def test_short_items_are_found_whole(spark):
     assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (5, 4): 1.0}
 
 
+def test_items_of_very_different_lengths(spark):
+    """A long item is found in one document; short ones keep their own short stretches."""
+    random.seed(14)
+    words = [f"w{i}" for i in range(20_000)]
+    items = {1: random.sample(words, 4000), 2: random.sample(words, 300), 3: random.sample(words, 20)}
+    edited = [w if k % 9 else "changed" for k, w in enumerate(items[1])]
+    docs = {1: ["a"] * 50 + edited + ["b"] * 50, 2: ["a"] * 20 + items[2][:280] + ["b"], 3: ["x"] * 9 + items[3], 4: random.sample(words, 200)}
+    df, bench = spark.createDataFrame([(k, " ".join(d)) for k, d in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_edited_copies_equal_alignment_of_every_pair(spark):
     """Random edits of every strength: exactly the pairs are found that alignment of all pairs gives the least score."""
     random.seed(33)

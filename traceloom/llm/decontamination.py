@@ -217,24 +217,33 @@ def find_leaks(
     # A repeated item_id with another text is another item.
     items = items_of(benchmark.where(F.col(item_id).isNotNull()), item_id, item_text, n, least_score).withColumn("item_key", F.xxhash64("item_id", "words"))
     items = scratch.save(items.dropDuplicates(["item_id", "words"]).withColumn("asked", F.least("whole", F.greatest(F.lit(least_seeds), F.floor(F.col("whole") / 2)))), "items")
-    longest, used = items.agg(F.max("n_words"), F.collect_set(F.when(F.col("size") > 0, F.col("size")))).first()
-    sizes = sorted(used) or [n]
-    # An alignment has at most n_words equal words, and (1 - least_score) * n_words unequal ones and gaps.
-    reach = max(n, math.ceil((2 - least_score) * (longest or 0)))
-    grams = items.select("item_key", "whole", "asked", F.explode("grams").alias("gram")).groupBy("item_key", "whole", "asked", "gram").agg(F.count(F.lit(1)).alias("times"))
+    # Items of like length are looked for together, so that a long one doesn't make stretches long for all.
+    step = F.floor(F.log(F.greatest(F.col("n_words"), F.lit(64)) / 64.0) / math.log(4) + 1e-9).cast("int").alias("step")
+    steps = items.where("size > 0").groupBy(step).agg(F.max("n_words").alias("longest"), F.collect_set("size").alias("sizes")).orderBy("step").collect()  # a row for each fourfold length
+    grams = items.select("item_key", "whole", "asked", step, F.explode("grams").alias("gram")).groupBy("item_key", "whole", "asked", "step", "gram").agg(F.count(F.lit(1)).alias("times"))
     bits = spark.sparkContext.broadcast(_bit_filter(grams.select("gram")))
-    counts = _document_counts(docs.select(text), bits, sizes)
+    counts = _document_counts(docs.select(text), bits, sorted({x for r in steps for x in r.sizes}) or [n])
     by_commonness = W.partitionBy("item_key").orderBy(F.desc(F.coalesce("docs", F.lit(0))), "gram").rowsBetween(W.unboundedPreceding, 0)
     ranked = grams.join(counts, "gram", "left").withColumn("commonest", F.sum("times").over(by_commonness))
-    seeds = scratch.save(ranked.where(F.col("commonest") > F.col("whole") - F.col("asked")).select("item_key", "gram", "times", "asked"), "seeds")
-    levels = spark.sparkContext.broadcast(_level_filter(seeds))
+    seeds = scratch.save(ranked.where(F.col("commonest") > F.col("whole") - F.col("asked")).select("item_key", "gram", "times", "asked", "step"), "seeds")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.col(text).alias("text"))
-    regions = scratch.save(_seed_regions(rows, levels, sizes, reach), "regions")
-    hits = regions.select("region", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = hits.join(seeds, "gram").groupBy("region", "item_key", "asked").agg(F.sum("times").alias("held")).where(F.col("held") >= F.col("asked")).select("region", "item_key")
     short = items.select("item_key", "item_id", F.col("words").alias("item"))
     few = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    task = pairs.join(regions.select("region", "doc_id", "doc_key", "first", "words"), "region").join(F.broadcast(short) if few <= 16 << 20 else short, "item_key")
+    task = None
+    for r in steps:
+        mine = seeds.where(F.col("step") == r.step)
+        levels = spark.sparkContext.broadcast(_level_filter(mine))
+        # An alignment has at most n_words equal words, and (1 - least_score) * n_words unequal ones and gaps.
+        reach = max(n, math.ceil((2 - least_score) * r.longest))
+        regions = scratch.save(_seed_regions(rows, levels, sorted(r.sizes), reach), f"regions-{r.step}")
+        hits = regions.select("region", F.explode(F.array_distinct("grams")).alias("gram"))
+        pairs = hits.join(mine, "gram").groupBy("region", "item_key", "asked").agg(F.sum("times").alias("held")).where(F.col("held") >= F.col("asked")).select("region", "item_key")
+        part = pairs.join(regions.select("region", "doc_id", "doc_key", "first", "words"), "region").join(F.broadcast(short) if few <= 16 << 20 else short, "item_key")
+        part = part.select("item_id", "item", "doc_id", "doc_key", "first", "words")
+        task = part if task is None else task.unionByName(part)
+    by = ["doc_id", "item_id", *(["doc_key"] if keys else [])]
+    if task is None:
+        return spark.createDataFrame([], ALIGNED).select(*by, "score", "first_word", "last_word")
 
     def run(batches):
         for batch in batches:
@@ -247,8 +256,7 @@ def find_leaks(
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_pydict({name: pa.array(c, t) for name, c, t in zip(("doc_id", "doc_key", "item_id", "score", "first_word", "last_word"), cols, types, strict=True)})
 
-    found = task.select("item_id", "item", "doc_id", "doc_key", "first", "words").mapInArrow(run, ALIGNED)
-    by = ["doc_id", "item_id", *(["doc_key"] if keys else [])]
+    found = task.mapInArrow(run, ALIGNED)
     best = found.groupBy(*by).agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
     return best.select(*by, "b.score", "b.first_word", "b.last_word")
 

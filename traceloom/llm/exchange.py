@@ -135,7 +135,7 @@ def bits_for(items: float, most: int) -> int:
 
 
 def requests(chunk_id: int, keys: np.ndarray, bits: int, width: int = 64, part: int = 0, more: np.ndarray | None = None) -> pa.RecordBatch | None:
-    """The rows that a chunk sends: sorted ``width``-bit keys cut by their leading bits, and 32 more bits of each where asked for.
+    """The rows that a chunk sends: sorted ``width``-bit keys cut by their leading bits, and 16 or 32 more bits of each where asked for.
 
     Without ``more`` the keys are distinct, with it the pairs are.
     """
@@ -150,7 +150,7 @@ def requests(chunk_id: int, keys: np.ndarray, bits: int, width: int = 64, part:
         {
             "bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "part": pa.array([part] * k, pa.int32()), "chunk_id": pa.array([chunk_id] * k, pa.int64()),
             "n": pa.array(np.diff(cuts), pa.int32()), "keys": pa.array([pack(rest[a:b]) for a, b in spans], pa.binary()),
-            "more": pa.array([None if more is None else more[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+            "more": pa.array([None if more is None else more[a:b].tobytes() for a, b in spans], pa.binary()),
         }
     )
 
@@ -187,7 +187,7 @@ def answer(sent: DataFrame, round_no: int, merge: Callable[[list[tuple], int], l
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_id")
-        more = [None if x is None else np.frombuffer(x, dtype="<u4") for x in table.column("more").to_pylist()]
+        more = [None if x is None else np.frombuffer(x, dtype=f"<u{len(x) // n}") for x, n in zip(table.column("more").to_pylist(), table.column("n").to_pylist(), strict=True)]
         lists = list(zip([unpack(x) for x in table.column("keys").to_pylist()], more, strict=True))
         flags = [squeeze((np.packbits(x) if as_bits else x).tobytes()) for x in merge(lists, table.column("part")[0].as_py())]
         n = table.num_rows

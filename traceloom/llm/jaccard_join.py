@@ -221,7 +221,7 @@ def jaccard_components(
     those that either has. component_id is the smallest doc_id that links reach. A text of
     fewer than ``n`` words is one n-gram, the whole; one without words, or null, links with
     nothing, not even its like. Rows that share an id are separate documents; a null id is
-    never a component's name unless all its documents have none. ``keeper`` marks one row of
+    never a component's name unless all its documents have none; ids are cast to long. ``keeper`` marks one row of
     each component, of the smallest id.
     """
     scratch = scratch or Scratch(docs.sparkSession)

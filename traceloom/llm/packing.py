@@ -204,7 +204,7 @@ def tokenized_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """Pieces of at most ``most`` tokens; ``ids`` (little-endian 32-bit) only where asked for.
 
     Every document ends in ``end_id``, so an empty or null text is a piece of one token.
-    A null id stays null; rows that share an id are separate documents.
+    A null id stays null; ids are cast to long; rows that share an id are separate documents.
     """
 
     def run(batches):

@@ -117,7 +117,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def scan(docs: DataFrame, text: str = "text", column: str = "secrets") -> DataFrame:
-    """``docs`` and an array column of spans. Rows are handled one by one, so no order or key matters."""
+    """``docs`` and an array column of spans. Rows are handled one by one, so no order or key matters.
+
+    A column that has the name ``column`` already is an error, so none is lost.
+    """
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {column!r}")
 
     @F.arrow_udf(SPANS)
     def run(texts: pa.Array) -> pa.Array:

@@ -38,7 +38,7 @@ class _Words:
         self.keys = every[self.at]
         self.data = data
         if both:  # 32 bits of an independent fingerprint
-            self.more = (H.windows(H.span_hashes(data, self.starts, self.ends, H.SECOND), window)[self.at] >> U64(32)).astype(np.uint32)
+            self.more = (H.windows(H.span_hashes(data, self.starts, self.ends, H.SECOND), window)[self.at] >> U64(32)).astype("<u4")
 
 
 def separated(chunk: X.Chunk) -> np.ndarray:
@@ -86,7 +86,7 @@ def remove_repeated_windows(
 
     A word goes if a window of ``window`` words that covers it starts anywhere else
     too. Null and empty texts have no words and keep the empty text; a null id stays
-    null; rows that share an id are separate documents; other columns are ignored.
+    null; rows that share an id are separate documents; ids are cast to long; other columns are ignored.
     ``counters_per_window`` and ``depth`` only set how many windows that occur once
     reach the second pass; the result does not depend on them.
     """

@@ -52,9 +52,9 @@ class _Suffixes:
         self.digests = np.frombuffer(b"".join(digest), dtype="<u8").reshape(-1, 2).astype(U64)
 
     def full(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints of the suffixes' first ``length`` bytes, and 32 bits of independent ones."""
+        """Fingerprints of the suffixes' first ``length`` bytes, and 16 bits of independent ones."""
         more = H.byte_window_hashes(H.byte_sums(self.chunk.data, H.SECOND), at, self.length)
-        return H.byte_window_hashes(self.sums, at, self.length), (more >> U64(32)).astype(np.uint32)
+        return H.byte_window_hashes(self.sums, at, self.length), (more >> U64(48)).astype("<u2")
 
     def copies(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Which documents equal another one; which of these are not the first of their kind."""
@@ -103,7 +103,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     else, in the same document or another. ``length`` is at least PERIOD + 8. A null
     text is empty; a null id stays null; rows that share an id are separate documents;
-    texts shorter than ``length`` stay whole; other columns are ignored.
+    texts shorter than ``length`` stay whole; ids are cast to long; other columns are ignored.
     """
     if length < PERIOD + 8:
         raise ValueError(f"length must be at least {PERIOD + 8}")
