@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the row with the smallest id; of wholly equal rows one; texts without words all.
+    """Keeps of each group the row with the smallest id; of rows that share id and text the first by its other columns; texts without words all.
 
     Near copies share 80 % or more of their 5-word shingles; operator 6's own query has other values.
     """
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = rows.withColumn("_i", F.col("_doc.doc_id").cast("long")).withColumn("_s", F.substring(F.sha2(F.coalesce("_doc.text", F.lit("")), 256), 1, 16))
     met = rows.join(keep, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
-    number = F.row_number().over(Window.partitionBy("_i", "_s").orderBy("_s"))
+    number = F.row_number().over(Window.partitionBy("_i", "_s").orderBy(F.to_json("_doc")))
     return met.withColumn("_number", number).where(F.col("_number") <= F.col("count")).select("_doc.*")
 
 
