@@ -54,6 +54,23 @@ def test_codex_fold():
     assert events["c6"]["ambiguous"] and not events["c4"]["ambiguous"]
 
 
+def test_turns_usage_and_diagnostics(spark):
+    from pyspark.sql import functions as F
+
+    turn = lambda kind, **more: {"type": "event_msg", "payload": {"type": kind, "turn_id": "t1", **more}}
+    use = lambda n: {"type": "token_usage_record", "payload": {"response_id": "r1", "usage": {"input_tokens": n}}}
+    records = [*log()[:2], turn("task_started", started_at=1), turn("task_complete", completed_at=3), use(5), use(5), log()[-2], turn("turn_aborted")]
+    fold = run(records)
+    assert [r[0] for r in fold.other_rows()] == ["turn", "usage", "diagnostic"]
+    assert fold.turns["t1"] | {"byte_offset": 0} == {"id": "t1", "session_id": "s1", "start_ms": 1000, "end_ms": 3000, "status": "unknown", "byte_offset": 0}
+    assert not fold.usage["r1"]["conflicted"]
+    fold.ingest(json.dumps(use(6)), 99)
+    assert [r[8] for r in fold.other_rows() if r[0] == "usage"] == [None]
+    rows = spark.createDataFrame([(s, k, json.dumps(r), 10 * k) for s in "ab" for k, r in enumerate(records)], "source_id string, ordinal long, raw string, byte_offset long").repartition(3)
+    got = ingest.fold_others(rows, "codex").groupBy("source_id", "what").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.source_id, r.what): r.n for r in got} == {(s, w): 1 for s in "ab" for w in ("turn", "usage", "diagnostic")}
+
+
 def test_unknown_program_is_not_failed():
     fold = run([call(1, 1, "frobnicate x"), result(1, 2, 3)])
     assert fold.events["c1"]["status"] == "unknown"

@@ -45,6 +45,65 @@ CASE WHEN status = 'failed' OR id % 35 = 0 THEN 2 WHEN category = 'search' AND i
 SELECT c AS category, CASE WHEN code = 0 OR (code = 1 AND c = 'search') THEN 'completed' WHEN c = 'search' THEN 'failed' ELSE 'unknown' END AS status, CASE WHEN code = 0 THEN 'success' WHEN c <> 'search' THEN 'unknown' WHEN code = 1 THEN 'no_match' ELSE 'error' END AS outcome, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS sum_ms FROM x GROUP BY ALL"""
 
 
+def write_session_logs(spark, sf_dir: str, folder: str) -> None:
+    """Sessions, turns and token usage of the event table; one log for each 50th session id.
+
+    Every 50th event opens another session, every 10th is a turn of its own (every 30th of
+    them is aborted, every 70th says both), and each reports the usage of a response that
+    three events share, sometimes with other counts.
+    """
+    rows = events(spark, sf_dir).withColumn("source", F.pmod("session_id", F.lit(50)))
+    text = lambda x: F.concat(F.lit(x), F.col("id").cast("string"))
+    line = lambda kind, **body: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in body.items()]).alias("payload")))
+    turn = lambda kind, **more: line("event_msg", type=F.lit(kind), turn_id=text("t"), **more)
+    at = {k: F.col(f"{c}_ms") / 1000 for k, c in (("started_at", "start"), ("completed_at", "end"))}
+    tenth = F.col("id") % 10 == 0
+    done = F.when(F.col("id") % 30 == 0, turn("turn_aborted", **at)).otherwise(turn("task_complete", **at))
+    usage = line("token_usage_record", response_id=F.concat(F.lit("r"), F.expr("id div 3").cast("string")), usage=F.struct((F.expr("id div 3") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("input_tokens"), F.lit(5).alias("output_tokens")))
+    lines = F.array(
+        line("session_meta", id=F.concat(F.lit("s"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(F.col("source")).cast("string"))),
+        F.when(tenth, turn("task_started", started_at=at["started_at"])), usage, F.when(tenth, done), F.when(F.col("id") % 70 == 0, turn("turn_aborted", **at)),
+    )
+    out = rows.select("source", "id", F.posexplode(lines).alias("part", "value")).where(F.col("value").isNotNull())
+    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+
+
+def _others(spark, sf_dir: str):
+    folder = work_folder(spark)
+    write_session_logs(spark, sf_dir, folder)
+    return ingest.fold_others(jsonl.admitted(jsonl.read_records(spark, folder, "codex", pattern="part-*")), "codex")
+
+
+_SESSIONS = f"WITH {EVENTS_SQL}, e AS (SELECT *, session_id % 50 AS source FROM ev)"
+
+
+def ingest_turns(spark, sf_dir: str):
+    """Turns from written logs: two different ends make a status unknown."""
+    turns = _others(spark, sf_dir).where("what = 'turn'")
+    return turns.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("sum_ms"))
+
+
+def ingest_usage(spark, sf_dir: str):
+    """Usage from written logs: a response whose records differ is withheld."""
+    rows = _others(spark, sf_dir).where("what = 'usage'")
+    tokens = F.get_json_object("counts", "$.input_tokens").cast("long")
+    return rows.groupBy("conflicted").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("input_tokens"))
+
+
+def ingest_diagnostics(spark, sf_dir: str):
+    """Diagnostics from written logs: each record that names another session than the first."""
+    rows = _others(spark, sf_dir).where("what = 'diagnostic'")
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
+
+
+QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "ingest_diagnostics": ingest_diagnostics}
+ORACLES |= {
+    "ingest_turns": f"{_SESSIONS} SELECT CASE WHEN id % 70 = 0 AND id % 30 <> 0 THEN 'unknown' WHEN id % 30 = 0 THEN 'cancelled' ELSE 'completed' END AS status, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS sum_ms FROM e WHERE id % 10 = 0 GROUP BY 1",
+    "ingest_usage": f"{_SESSIONS}, u AS (SELECT source, id // 3 AS r, min(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS lo, max(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS hi FROM e GROUP BY ALL) SELECT lo <> hi AS conflicted, count(*) AS n, CAST(coalesce(sum(CASE WHEN lo = hi THEN lo END), 0) AS BIGINT) AS input_tokens FROM u GROUP BY 1",
+    "ingest_diagnostics": f"{_SESSIONS}, s AS (SELECT source, 's' || CAST(CASE WHEN id % 50 = 0 THEN id ELSE source END AS VARCHAR) AS name, id FROM e), f AS (SELECT source, arg_min(name, id) AS first_name FROM s GROUP BY source) SELECT 'AMBIGUOUS_ORIGIN' AS code, count(*) AS n, count(DISTINCT source) AS sources FROM s JOIN f USING (source) WHERE name <> first_name HAVING count(*) > 0",
+}
+
+
 def ingest_roundtrip(spark, sf_dir: str):
     folder = work_folder(spark)
     write_logs(spark, sf_dir, folder)

@@ -16,6 +16,8 @@ from traceloom.functions.identity import classify, exit_meaning
 
 EVENT_FIELDS = ("id", "session_id", "turn_id", "kind", "category", "pattern", "start_ms", "end_ms", "duration_ms", "timing_evidence", "status", "outcome", "exit_code", "ambiguous", "byte_offset")
 EVENT_DDL = "id string, session_id string, turn_id string, kind string, category string, pattern string, start_ms long, end_ms long, duration_ms double, timing_evidence string, status string, outcome string, exit_code int, ambiguous boolean, byte_offset long"
+OTHER_FIELDS = ("what", "id", "session_id", "turn_id", "start_ms", "end_ms", "duration_ms", "status", "counts", "final", "conflicted", "code", "byte_offset")
+OTHER_DDL = "what string, id string, session_id string, turn_id string, start_ms long, end_ms long, duration_ms double, status string, counts string, final boolean, conflicted boolean, code string, byte_offset long"
 #: Names of provider tools and their kinds.
 _KINDS = {"Bash": "shell", "Read": "read", "Edit": "edit", "MultiEdit": "edit", "Write": "edit", "Grep": "search", "Glob": "search", "Task": "subagent", "Agent": "subagent", "WebFetch": "browser", "WebSearch": "browser"}
 
@@ -182,14 +184,14 @@ class Fold:
         turn = self.turns.setdefault(body["turn_id"], {"id": body["turn_id"], "session_id": self.session, "start_ms": None, "end_ms": None, "status": "pending", "byte_offset": offset})
         start, end = (_number(body.get(k)) for k in ("started_at", "completed_at"))
         if start is not None:
-            turn["start_ms"] = int(start * 1000)
+            turn["start_ms"] = int(start * 1000 + 0.5)
         if body["type"] == "task_started":
             self.turn = body["turn_id"]
             return
         status = "completed" if body["type"] == "task_complete" else "cancelled"
         turn["status"] = status if turn["status"] in ("pending", status) else "unknown"
         if end is not None:
-            turn["end_ms"] = int(end * 1000)
+            turn["end_ms"] = int(end * 1000 + 0.5)
 
     def _codex_item(self, body: dict, offset: int) -> None:
         item = body["item"]
@@ -241,3 +243,12 @@ class Fold:
         ids = sorted(self.changed) if only_changed else sorted(self.events)
         self.changed.clear()
         return [tuple(self.events[i][f] for f in EVENT_FIELDS) for i in ids]
+
+    def other_rows(self) -> list[tuple]:
+        """Turns, usage and diagnostics, in the order of OTHER_FIELDS."""
+        out = [("turn", t["id"], t["session_id"], None, t["start_ms"], t["end_ms"], t.get("duration_ms"), t["status"], None, None, None, None, t["byte_offset"]) for t in self.turns.values()]
+        for u in self.usage.values():
+            counts = None if u["conflicted"] else json.dumps(u["counts"], sort_keys=True)
+            out.append(("usage", u["id"], u["session_id"], u["turn_id"], None, None, None, None, counts, u["final"], u["conflicted"], None, u["byte_offset"]))
+        out += [("diagnostic", None, self.session, None, None, None, None, None, None, None, None, code, at) for at, code in dict.fromkeys(self.diagnostics)]
+        return out

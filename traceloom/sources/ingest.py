@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from traceloom.sources.fold import EVENT_DDL, EVENT_FIELDS, Fold
+from traceloom.sources.fold import EVENT_DDL, OTHER_DDL, Fold
 
 EVENTS = "source_id string, " + EVENT_DDL
+OTHERS = "source_id string, " + OTHER_DDL
 _TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
-ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in EVENTS.split(", "))])
+EVENT_ARROW, OTHER_ARROW = (pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))]) for ddl in (EVENTS, OTHERS))
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(EVENT_FIELDS) + 1)]
-    return pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(ARROW, cols, strict=True)}, schema=ARROW)
+def batch_of(rows: list[tuple], schema: pa.Schema = EVENT_ARROW) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, cols, strict=True)}, schema=schema)
 
 
-def fold_events(records: DataFrame, provider: str) -> DataFrame:
-    """One row for each execution of each source.
+def _folded(records: DataFrame, provider: str, rows_of: Callable[[Fold], list[tuple]], ddl: str, schema: pa.Schema) -> DataFrame:
+    """Records come sorted by source and ordinal and stream through the task, one source at a time.
 
-    Records come sorted by source and ordinal and stream through the task: only the open
-    state of one source is held, not its log.
+    A task holds the calls, turns and usage of its source, and a digest of each record that
+    may be repeated, until the source ends; not the log's text.
     """
 
     def run(batches):
@@ -30,12 +33,22 @@ def fold_events(records: DataFrame, provider: str) -> DataFrame:
             out = []
             for s, raw, offset in zip(*(batch.column(c).to_pylist() for c in ("source_id", "raw", "byte_offset")), strict=True):
                 if s != source:
-                    out += [(source, *r) for r in fold.event_rows()] if fold else []
+                    out += [(source, *r) for r in rows_of(fold)] if fold else []
                     source, fold = s, Fold(provider)
                 fold.ingest(raw, offset)
-            yield batch_of(out)
+            yield batch_of(out, schema)
         if fold:
-            yield batch_of([(source, *r) for r in fold.event_rows()])
+            yield batch_of([(source, *r) for r in rows_of(fold)], schema)
 
     ordered = records.select("source_id", "ordinal", "raw", "byte_offset").repartition("source_id").sortWithinPartitions("source_id", "ordinal")
-    return ordered.mapInArrow(run, EVENTS)
+    return ordered.mapInArrow(run, ddl)
+
+
+def fold_events(records: DataFrame, provider: str) -> DataFrame:
+    """One row for each execution of each source."""
+    return _folded(records, provider, Fold.event_rows, EVENTS, EVENT_ARROW)
+
+
+def fold_others(records: DataFrame, provider: str) -> DataFrame:
+    """Turns, usage observations and diagnostics of each source; ``what`` says which. Counts that conflict are null."""
+    return _folded(records, provider, Fold.other_rows, OTHERS, OTHER_ARROW)
