@@ -71,6 +71,14 @@ def test_turns_usage_and_diagnostics(spark):
     assert {(r.source_id, r.what): r.n for r in got} == {(s, w): 1 for s in "ab" for w in ("turn", "usage", "diagnostic")}
 
 
+def test_output_headers():
+    said = lambda text: {"timestamp": stamp(3), "type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": text}}
+    done, open_ = "Wall time: 0.5 seconds\nProcess exited with code 1\nOutput:\nx", "Wall time: 0.5 seconds\nProcess running with session ID 7\nOutput:\n"
+    for text, want in ((done, ("completed", "no_match")), (open_, ("pending", "unknown")), ("some text", ("unknown", "unknown"))):
+        event = run([call(1, 1, "rg x"), said(text)]).events["c1"]
+        assert (event["status"], event["outcome"]) == want
+
+
 def test_unknown_program_is_not_failed():
     fold = run([call(1, 1, "frobnicate x"), result(1, 2, 3)])
     assert fold.events["c1"]["status"] == "unknown"

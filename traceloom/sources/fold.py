@@ -12,6 +12,7 @@ import hashlib
 import json
 from datetime import UTC, datetime
 
+from traceloom.functions.evidence import output_header
 from traceloom.functions.identity import classify, exit_meaning
 
 EVENT_FIELDS = ("id", "session_id", "turn_id", "kind", "category", "pattern", "start_ms", "end_ms", "duration_ms", "timing_evidence", "status", "outcome", "exit_code", "ambiguous", "byte_offset")
@@ -174,7 +175,8 @@ class Fold:
         try:
             value = json.loads(output) if isinstance(output, str) else output
         except ValueError:
-            return {}
+            header = output_header(output)  # plain text that begins with the strict header
+            return {k: header[k] for k in ("exit_code", "running")} if header else {}
         if not isinstance(value, dict):
             return {}
         code = value.get("exit_code", (value.get("metadata") or {}).get("exit_code") if isinstance(value.get("metadata"), dict) else None)
