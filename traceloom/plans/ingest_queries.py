@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,9 +18,23 @@ _COMMANDS = {"read": "cat notes.txt", "search": "rg needle src", "edit": "tee ou
 
 
 def work_folder(spark) -> str:
-    """A new folder below the one that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    """A new folder below the one that executors share; it goes when the session ends. Only a local session may have none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="traceloom-")
+    folder = f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, folder)
+    return folder
+
+
+def _drop(spark, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 #: Events of a source; there are 7 sources or more.
