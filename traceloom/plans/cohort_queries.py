@@ -236,7 +236,7 @@ def command_classes(spark, sf_dir):
     return lines.withColumn("c", identity.command_class("command")).select("conv_id", "turn", "line", "c.pattern", "c.category", "c.policy", "c.plain")
 
 
-@query(None)
+@query("""SELECT '{"k":' || (props->>'$.k') || '}' AS canonical, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1""")
 def canonical_props(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", identity.canonical_json("props").alias("canonical"))
     return rows.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
