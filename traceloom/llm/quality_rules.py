@@ -79,6 +79,8 @@ def _values(q: str = "_q") -> dict[str, Column]:
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) for X binomial(n, p), exact up to rounding; 1 from k >= n * p on, where no test passes."""
+    if p >= 1:  # any count below n is certain to be no more than the limit
+        return F.when(k >= n, F.lit(1.0)).otherwise(F.lit(0.0))
     odds = math.log(p) - math.log1p(-p)
     steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
     log_last = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i)) + k * F.lit(odds) + n * F.lit(math.log1p(-p))
@@ -183,8 +185,8 @@ seen AS (SELECT lab.s, lab.good, lab.rule, broken.pos FROM lab LEFT JOIN broken
   UNION ALL SELECT lab.s, lab.good, '{TOGETHER}', min(broken.pos) FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule GROUP BY lab.r, lab.s, lab.good),
 steps AS (SELECT rule, pos FROM c UNION ALL SELECT '{TOGETHER}', unnest(range({STEPS}))),
 t AS (SELECT s, seen.rule, steps.pos, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND seen.pos <= steps.pos) AS k, count(*) FILTER (NOT good AND seen.pos <= steps.pos) AS caught FROM seen JOIN steps ON steps.rule = seen.rule GROUP BY ALL),
-lim AS (SELECT *, CASE WHEN rule = '{TOGETHER}' THEN {alpha} ELSE {p} END AS p, (SELECT count(DISTINCT s) FROM lab) * CASE WHEN rule = '{TOGETHER}' THEN 2 ELSE {2 * len(RULES)} END AS ways FROM t),
-x AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(p) + (n - i) * ln(1 - p)) FOR i IN range(0, k + 1)]) END AS tail FROM lim),
+lim AS (SELECT *, CASE WHEN rule = '{TOGETHER}' THEN {min(alpha, 1.0)} ELSE {p} END AS p, (SELECT count(DISTINCT s) FROM lab) * CASE WHEN rule = '{TOGETHER}' THEN 2 ELSE {2 * len(RULES)} END AS ways FROM t),
+x AS (SELECT *, CASE WHEN k >= n * p THEN 1.0 WHEN p >= 1 THEN 0.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(p) + (n - i) * ln(1 - p)) FOR i IN range(0, k + 1)]) END AS tail FROM lim),
 ok AS (SELECT *, round(coalesce(caught / nullif(m, 0), 0) - 20.0 * k / n, 9) AS gain FROM x WHERE tail <= {delta} / ways),
 best AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY s, rule ORDER BY gain DESC, pos) = 1 AND caught > 0),
 gains AS (SELECT s, sum(gain) FILTER (rule = '{TOGETHER}') AS joint, sum(gain) FILTER (rule <> '{TOGETHER}') AS single FROM best GROUP BY s),
