@@ -251,3 +251,45 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.same_census(one, one)
     assert not snapshots.same_census(one, one.union(one))
     assert snapshots.envelope(one, "s", "c").first().value == '{"schema":"s","ok":true,"command":"c","result":{"a":1}}'
+
+
+def test_paged_scan_stops_after_the_page_of_the_first_incomplete_source(spark):
+    from traceloom.operators import selected
+
+    for bad in (0, 3, 4, 9, None):
+        listed = spark.createDataFrame([(f"p{i:02d}", i, i, i == bad) for i in range(10)], "path string, source_id long, digest long, rejected boolean")
+        stored = spark.createDataFrame([(i, 3, 3, i, True) for i in (1, 2, 5)] + [(6, 3, 4, 6, True), (7, 3, 3, 0, True)], "source_id long, expected long, actual long, stored_digest long, current boolean")
+        got = {r.source_id: r for r in selected.scan_outcomes(listed.unionByName(listed.where("source_id < 2")), stored, page=4).collect()}
+        assert [got[i].listings for i in (0, 1, 2)] == [2, 2, 1]
+        want = {i: "unchanged" if i in (1, 2, 5) else "committed" for i in range(10)} | {6: "stale"} | ({bad: "rejected"} if bad is not None else {})
+        assert {i: r.status for i, r in got.items()} == want
+        assert [got[1].reused, got[1].revision, got[7].revision] == [3, None, 4]
+        first = min(i for i, status in want.items() if status in ("rejected", "stale"))
+        assert sorted(i for i, r in got.items() if r.in_pages) == [i for i in range(10) if i // 4 <= first // 4]
+
+
+def test_session_filter_comes_after_reconciliation(spark):
+    rows = [("codex", 1, 7, "completed", 10, 20, True), ("codex", 1, 8, "completed", 10, 20, True), ("codex", 2, 7, "failed", 10, 25, True), ("codex", 3, 8, "completed", None, 30, True), ("codex", 4, 7, "completed", 5, 9, False)]
+    copies = spark.createDataFrame(rows, "provider string, id long, session_id long, status string, start_ms long, end_ms long, admitted boolean").withColumns({"interval_scope": F.lit("a"), "interval_evidence": F.lit("b")})
+    found = history.reconcile(copies, ["provider", "id"], ["session_id", "status", "interval_scope", "interval_evidence"], "admitted", ["start_ms", "end_ms"], carry=True)
+    assert {r.id: r.state for r in found.collect()} == {1: "conflict", 2: "admitted", 3: "unpositioned", 4: "excluded"}
+    assert [tuple(r) for r in history.session_days(found, 0, 100, session=7).collect()] == [(0, "codex", 7, 0, 1)]
+    assert history.session_days(found, 0, 100, session=8).count() == 0
+    assert [r.busy_ms for r in history.busy_days(found, 0, 100, session=7).collect()] == [15]
+
+
+def test_usage_history_keeps_unknown_and_conflicting_responses_apart(spark):
+    from traceloom.operators import selected
+
+    copies = [(1, 1, 5, 1, "response", "eligible", "source_terminal", 4), (2, 1, 5, 1, "response", "eligible", "source_terminal", 4), (1, 2, 5, 2, "response", "eligible", "source_terminal", 4), (2, 2, 5, 2, "response", "eligible", "source_terminal", 5),
+              (1, 3, 5, 3, "response", "provisional", "streaming", None), (1, 4, 5, 4, "response", "eligible", "source_terminal", 4), (1, 5, 5, None, "response", "eligible", "source_terminal", 4), (1, 6, 5, 6, "cumulative", "eligible", "source_terminal", 4), (1, 7, 5, 7, "response", "eligible", "source_terminal", 4)]
+    seen = [(1, 1, "ordinary", "source_terminal", 4, 50), (2, 1, "ordinary", "source_terminal", 4, 40), (1, 3, "ordinary", "streaming", None, None), (1, 4, "ambiguous", "source_terminal", 4, 10), (1, 7, "ordinary", "source_terminal", 9, 10), (1, 7, "ordinary", "source_terminal", 4, 10)]
+    out = selected.usage_history(
+        spark.createDataFrame(copies, "source_id long, usage_id long, session_id long, response_id long, scope string, selection string, finality string, n long"),
+        spark.createDataFrame(seen, "source_id long, usage_id long, origin string, o_finality string, o_n long, seen_ms long"), ["n"], 0, 100,
+    )
+    got = {r.response_id: (r.copies, r.state, r.reason, r.selection, r.first_seen_ms, r.n) for r in out.collect()}
+    assert got == {
+        1: (2, "dated", None, "final", 40, 4), 2: (2, "excluded", "response_conflict", None, None, None), 3: (1, "undated", None, "provisional", None, None),
+        4: (1, "excluded", "missing_usage_proof", None, None, None), 7: (1, "excluded", "terminal_observation_conflict", None, None, None),
+    }

@@ -23,22 +23,25 @@ def parse_offset(text: str) -> int:
     return minutes
 
 
-def reconcile(copies: DataFrame, keys: list[str], signature: list[str], admitted: str, position: list[str]) -> DataFrame:
+def reconcile(copies: DataFrame, keys: list[str], signature: list[str], admitted: str, position: list[str], carry: bool = False) -> DataFrame:
     """One row for each event seen in one or more sources, and its state.
 
     In this order: conflict, if copies differ in meaning or only some are admitted;
     excluded, if none is; unpositioned, if one lacks a position (any column of it null);
-    conflict, if positions differ; else admitted.
+    conflict, if positions differ; else admitted. With ``carry`` the columns of signature
+    and position come along, in which all copies of an admitted event are equal, so that
+    nothing need be joined back.
     """
     placed = F.lit(True)
     for c in position:
         placed = placed & F.col(c).isNotNull()
+    whole = F.struct(*signature, *position)
     grouped = copies.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("copies"), F.countDistinct(F.struct(*signature)).alias("_s"), F.count_if(admitted).alias("_in"), F.count_if(~placed).alias("_nowhere"), F.countDistinct(F.struct(*position)).alias("_p"),
+        F.count(F.lit(1)).alias("copies"), (F.min(F.struct(*signature)) != F.max(F.struct(*signature))).alias("_s"), F.count_if(admitted).alias("_in"), F.count_if(~placed).alias("_nowhere"), (F.min(F.struct(*position)) != F.max(F.struct(*position))).alias("_p"), *([F.min(whole).alias("_whole")] if carry else []),
     )
     partly = (F.col("_in") > 0) & (F.col("_in") < F.col("copies"))
-    state = F.when((F.col("_s") > 1) | partly, "conflict").when(F.col("_in") == 0, "excluded").when(F.col("_nowhere") > 0, "unpositioned").when(F.col("_p") > 1, "conflict").otherwise("admitted")
-    return grouped.withColumn("state", state).select(*keys, "copies", "state")
+    state = F.when(F.col("_s") | partly, "conflict").when(F.col("_in") == 0, "excluded").when(F.col("_nowhere") > 0, "unpositioned").when(F.col("_p"), "conflict").otherwise("admitted")
+    return grouped.withColumn("state", state).select(*keys, "copies", "state", *([F.col(f"_whole.{c}") for c in (*signature, *position)] if carry else []))
 
 
 def days(rows: DataFrame, from_ms: int, to_ms: int, offset_minutes: int = 0) -> DataFrame:
@@ -50,6 +53,26 @@ def days(rows: DataFrame, from_ms: int, to_ms: int, offset_minutes: int = 0) ->
     return done.join(busy, "day", "full_outer").select("day", F.coalesce("completions", F.lit(0).cast("long")).alias("completions"), F.coalesce("busy_ms", F.lit(0).cast("long")).alias("busy_ms"))
 
 
+def _chosen(reconciled: DataFrame, session: int | None) -> DataFrame:
+    """Admitted events; the session filter comes after all copies were compared, so it can't hide a conflict."""
+    kept = reconciled.where("state = 'admitted'")
+    return kept if session is None else kept.where(F.col("session_id") == session)
+
+
+def session_days(reconciled: DataFrame, from_ms: int, to_ms: int, offset_minutes: int = 0, session: int | None = None) -> DataFrame:
+    """Completed and failed executions by the day of their end, provider and session; ``reconciled`` carries its columns."""
+    day = F.floor((F.col("end_ms") + offset_minutes * 60_000) / F.lit(float(DAY))).cast("long").alias("day")
+    ended = _chosen(reconciled, session).where((F.col("end_ms") >= from_ms) & (F.col("end_ms") < to_ms))
+    return ended.groupBy(day, "provider", "session_id").agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def busy_days(reconciled: DataFrame, from_ms: int, to_ms: int, offset_minutes: int = 0, session: int | None = None) -> DataFrame:
+    """Time of the same executions, cut at midnights and the period's ends; sessions, scopes and evidence are never mixed."""
+    keys = ["day", "provider", "session_id", "interval_scope", "interval_evidence"]
+    parts = intervals.split_days(intervals.clip(_chosen(reconciled, session), from_ms, to_ms), offset_minutes)
+    return intervals.union_length(parts, keys).select(*keys, "n", "sum_ms", F.col("union_ms").alias("busy_ms"))
+
+
 def usage_dates(usage: DataFrame, seen: DataFrame, key: str, counts: list[str], time: str) -> DataFrame:
     """Adds ``first_seen_ms``: the earliest observation with equal counts, null-safe; null if there is none."""
     names = [f"seen_{c}" for c in (key, *counts)]
