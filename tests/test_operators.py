@@ -293,3 +293,14 @@ def test_usage_history_keeps_unknown_and_conflicting_responses_apart(spark):
         1: (2, "dated", None, "final", 40, 4), 2: (2, "excluded", "response_conflict", None, None, None), 3: (1, "undated", None, "provisional", None, None),
         4: (1, "excluded", "missing_usage_proof", None, None, None), 7: (1, "excluded", "terminal_observation_conflict", None, None, None),
     }
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_union_in_blocks_equals_unit_cells(spark, block):
+    rows = [(i, k if k % 5 else None, s - 15, e - 15, t) for i, k, s, e, t in population(11)]
+    cells: dict = {}
+    for _, k, s, e, _ in rows:
+        cells.setdefault(k, set()).update(range(s, e))
+    got = {r.k: r for r in intervals.union_length(rows_of(spark, rows), ["k"], block).collect()}
+    assert {k: r.union_ms for k, r in got.items()} == {k: len(c) for k, c in cells.items()}
+    assert {k: r.excess_ms + r.union_ms for k, r in got.items()} == {k: sum(e - s for _, j, s, e, _ in rows if j == k) for k in cells}

@@ -22,12 +22,25 @@ def islands(rows: DataFrame, keys: list[str], start: str = "start_ms", end: str
     return numbered.groupBy(*keys, "_island").agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.col(end) - F.col(start)).alias("summed")).drop("_island")
 
 
-def union_length(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per partition: number, sum, union, excess (sum less union) and span of its intervals."""
-    return islands(rows, keys).groupBy(*keys).agg(
-        F.sum("members").alias("n"), F.sum("summed").alias("sum_ms"), F.sum(F.col("hi") - F.col("lo")).alias("union_ms"),
-        (F.sum("summed") - F.sum(F.col("hi") - F.col("lo"))).alias("excess_ms"), (F.max("hi") - F.min("lo")).alias("span_ms"),
-    )
+def union_length(rows: DataFrame, keys: list[str], block_ms: int = DAY) -> DataFrame:
+    """Per partition: number, sum, union, excess (sum less union) and span of its intervals.
+
+    A partition is worked on in blocks of its starts, so that one with very many intervals
+    is many tasks. Islands of a block are disjoint; how far earlier blocks reach is one
+    number, found over one row for each block, and cuts what they cover already.
+    """
+    block = F.floor(F.col("start_ms") / F.lit(float(block_ms))).cast("long")
+    parts = islands(rows.withColumn("_block", block), [*keys, "_block"])
+    earlier = W.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    # Named apart and joined null-safe: a null key is a partition like any other.
+    ends = parts.groupBy(*keys, "_block").agg(F.max("hi").alias("_hi")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_at"), "_hi").withColumn("_reach", F.max("_hi").over(earlier))
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    reached = parts.join(ends, same)
+    new = F.greatest(F.col("hi") - F.greatest("lo", F.coalesce("_reach", "lo")), F.lit(0).cast("long"))
+    out = reached.groupBy(*keys).agg(F.sum("members").alias("n"), F.sum("summed").alias("sum_ms"), F.sum(new).alias("union_ms"), (F.max("hi") - F.min("lo")).alias("span_ms"))
+    return out.select(*keys, "n", "sum_ms", "union_ms", (F.col("sum_ms") - F.col("union_ms")).alias("excess_ms"), "span_ms")
 
 
 def clip(rows: DataFrame, start_ms: int | Column, end_ms: int | Column) -> DataFrame:
