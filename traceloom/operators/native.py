@@ -5,8 +5,9 @@ turn_id, kind, tool_name, category, status, outcome, record_type, file_id, byte_
 and times with their scopes and evidence. Observations have o_id, event_id, source_id,
 origin, representation, o_provider, o_session, o_file, o_at (offset), o_turn,
 transport_status and, of provider B's results, is_error, completion_kind, observed_ms,
-result_ms, result_scope. All joins are equi-joins on source and execution; one
-execution has few observations.
+result_ms, result_scope. source_id and id name an execution. All joins are equi-joins on
+them; one execution has few observations. What a group of observations says is added to
+the execution in the same aggregation, so that it is shuffled and joined once.
 """
 
 from __future__ import annotations
@@ -57,6 +58,11 @@ def linked(rows: DataFrame, seen: DataFrame, kinds: tuple[str, ...] = ("call", "
     return out.withColumn("here", _is((F.col("o_file") == F.col("file_id")) & (F.col("o_at") == F.col("byte_offset"))))
 
 
+def _row(rows: DataFrame) -> Column:
+    """The execution itself, the same in each row of its group."""
+    return F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("_row")
+
+
 def _foreign() -> Column:
     """An observation that can't be one of this execution."""
     return F.col("o_id").isNotNull() & ((F.col("origin") != "ordinary") | (F.col("o_provider") != F.col("provider")) | ((F.col("o_provider") == "claude") & ~_is(F.col("o_session") == F.col("session_id"))))
@@ -71,11 +77,12 @@ def _invocation_result() -> Column:
 
 
 def _proofs(rows: DataFrame, seen: DataFrame, matches: Column, contradicts: Column) -> DataFrame:
-    """Per execution: whether something contradicts it, the least call, and the least decisive observation with what it says."""
+    """Adds to each execution: whether something contradicts it, the least call, and the least decisive observation with what it says."""
     both = linked(rows, seen).withColumn("_own", F.col("o_id").isNotNull() & ~_foreign()).withColumn("_match", F.col("_own") & F.col("here") & _is(matches))
     against = _foreign() | (F.col("_own") & F.col("here") & contradicts & ~F.col("_match"))
     decisive = F.when(F.col("_match"), F.struct("o_id", "representation", "observed_ms", "result_ms", "result_scope"))
-    return both.groupBy(*_KEYS).agg(F.bool_or(against).alias("against"), F.min(F.when(F.col("_own") & (F.col("representation") == "call"), F.col("o_id"))).alias("call_id"), F.min(decisive).alias("decisive"))
+    found = both.groupBy(*_KEYS).agg(_row(rows), F.bool_or(against).alias("against"), F.min(F.when(F.col("_own") & (F.col("representation") == "call"), F.col("o_id"))).alias("call_id"), F.min(decisive).alias("decisive"))
+    return found.select("_row.*", "against", "call_id", "decisive")
 
 
 def failure_proofs(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def failure_proofs(rows: DataFrame, seen: DataFrame) -> DataFrame:
     structured = F.when(F.col("status") == "failed", (F.col("outcome") == "error") & (told == "failed")).when(F.col("outcome").isin("no_match", "change_detected"), (F.col("kind") == "shell") & (told == "failed")).otherwise(F.col("outcome").isin("success", "unknown") & (told == "completed"))
     plain = F.col("representation").isin("result", "poll") & (told == "unknown")
     matches = F.when(F.col("provider") == "claude", _invocation_result()).when(_structured(), (F.col("representation") == "structured") & structured).otherwise(plain)
-    out = rows.join(_proofs(rows, seen, matches, F.col("representation") != "call"), _KEYS)
+    out = _proofs(rows, seen, matches, F.col("representation") != "call")
     supported = F.when(F.col("provider") == "claude", F.col("record_type") == "user").otherwise(F.col("record_type").isin("event_msg", "response_item"))
     wrong = F.col("against") | ~_is(F.col("event_provider") == F.col("provider")) | ~_is(supported)
     lacking = F.col("decisive").isNull() | (~_structured() & F.col("call_id").isNull())
@@ -102,7 +109,7 @@ def slow_proofs(rows: DataFrame, seen: DataFrame) -> DataFrame:
     structured = (F.col("representation") == "structured") & F.col("transport_status").isin("completed", "failed")
     matches = F.when(F.col("provider") == "claude", agrees).when(reported, structured).otherwise(F.col("representation").isin("result", "poll"))
     contradicts = F.when(F.col("provider") == "claude", F.col("representation") == "result").otherwise(reported & (F.col("representation") == "structured"))
-    out = rows.join(_proofs(rows, seen, matches, contradicts), _KEYS)
+    out = _proofs(rows, seen, matches, contradicts)
     latency = F.col("duration_scope") == "invocation_latency"
     direct = ((F.col("kind") == "shell") & (F.col("duration_scope") == "process_runtime")) | ((F.col("kind") == "mcp") & latency)
     supported = F.when(F.col("provider") == "claude", reported | latency).otherwise(F.when(reported, direct).otherwise(latency))
@@ -155,8 +162,8 @@ def positions(rows: DataFrame, seen: DataFrame) -> DataFrame:
     late = end & (F.col("o_provider") == "claude") & ~F.col("observed_ms").eqNullSafe(F.col("end_ms"))
     # Of two contradictions the one met first in the order of offsets counts.
     first = F.min(F.when(bad_turn, F.struct("o_at", F.lit("contradictory_turn_proof").alias("why"))).when(late, F.struct("o_at", F.lit("contradictory_terminal_time").alias("why"))))
-    found = both.groupBy(*_KEYS).agg(first.alias("_first"), F.bool_or(call).alias("_call"), F.bool_or(end).alias("_end"), F.first("_structured").alias("_structured"), F.first("_paired").alias("_paired"))
-    out = rows.join(found, _KEYS)
+    found = both.groupBy(*_KEYS).agg(_row(rows), first.alias("_first"), F.bool_or(call).alias("_call"), F.bool_or(end).alias("_end"), F.first("_structured").alias("_structured"), F.first("_paired").alias("_paired"))
+    out = found.select("_row.*", "_first", "_call", "_end", "_structured", "_paired")
     reason = first_reason(
         (F.col("start_ms").isNull() | F.col("end_ms").isNull(), "missing_boundaries"), (F.col("end_ms") < F.col("start_ms"), "invalid_boundaries"), (~F.col("_structured") & ~F.col("_paired"), "unsupported_interval"),
         (F.col("_first").isNotNull(), F.col("_first.why")), (~F.col("_end") | (F.col("_paired") & ~F.col("_call")), "missing_position_proof"),
