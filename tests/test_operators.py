@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceloom.functions import expr, identity
-from traceloom.operators import cohorts, gates, history, intervals, sequences
+from traceloom.operators import blocks, cohorts, gates, history, intervals, sequences
 from traceloom.sources import snapshots
 
 
@@ -304,3 +304,41 @@ def test_union_in_blocks_equals_unit_cells(spark, block):
     got = {r.k: r for r in intervals.union_length(rows_of(spark, rows), ["k"], block).collect()}
     assert {k: r.union_ms for k, r in got.items()} == {k: len(c) for k, c in cells.items()}
     assert {k: r.excess_ms + r.union_ms for k, r in got.items()} == {k: sum(e - s for _, j, s, e, _ in rows if j == k) for k in cells}
+
+
+@pytest.mark.parametrize("block", [1, 4, 9])
+def test_sweep_in_blocks_equals_one_block(spark, block):
+    df = rows_of(spark, [(i, k if k % 5 else None, s - 15, e - 15, t) for i, k, s, e, t in population(13)])
+    for of in (intervals.concurrency, intervals.exclusive):
+        want, got = (sorted(map(str, of(intervals.sweep(df, ["k"], "kind", b), ["k"]).collect())) for b in (1000, block))
+        assert want and got == want
+
+
+@pytest.mark.parametrize("width", [1, 3, 64, 1 << 20])
+def test_running_values_equal_a_pass_in_order(spark, width):
+    draw = numbers(width)
+    rows = [(i * (1 + i % 3 * 50) - 100, next(draw) % 3 or None, next(draw) % 4 or None) for i in range(1, 90)]
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "at long, k long, v long")
+    got = blocks.running(df, ["k"], "at", width, sums={"upto": F.col("v")}, previous={"before": "v"}, following={"after": "v", "next_at": "at"})
+    got = blocks.running(got, ["k"], "at", width, sums={"earlier": F.col("v")}, inclusive=False)
+    want = []
+    for k in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == k), key=lambda r: r[0])
+        for i, (at, _, v) in enumerate(mine):
+            earlier = sum(r[2] or 0 for r in mine[:i])
+            after = mine[i + 1] if i + 1 < len(mine) else (None, k, None)
+            want.append((at, k, v, earlier + (v or 0), mine[i - 1][2] if i else None, after[2], after[0], earlier))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert blocks.running(df.where("false"), ["k"], "at", width, sums={"upto": F.col("v")}, previous={"before": "v"}).collect() == []
+
+
+def test_chains_runs_and_flags_in_blocks_equal_one_block(spark):
+    draw = numbers(3)
+    df = rows_of(spark, [(i * 3, next(draw) % 4 or None, i, i + 5, "fsx"[next(draw) % 3]) for i in range(200)])
+    failed, success = F.col("kind") == "f", F.col("kind") == "s"
+    for of in (
+        lambda w: sequences.recovery_chains(df, ["k"], failed, success, "id", w), lambda w: sequences.runs(df, ["k"], ["kind"], "id", w), lambda w: gates.propagate(df, ["k"], F.col("id") % 17 == 0, "id", w),
+    ):
+        want = sorted(map(str, of(1 << 20).collect()))
+        assert want and sorted(map(str, of(7).collect())) == want

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from traceloom.functions.expr import first_reason
+from traceloom.operators.blocks import WIDTH, running
 
 #: The newest record format of each provider that is understood; all from 1 on are.
 NEWEST = {"codex": 3, "claude": 4}
@@ -44,9 +45,9 @@ def poisoned(rows: DataFrame, keys: list[str], resolved: Column) -> DataFrame:
     return rows.withColumn("poisoned", F.bool_or(~resolved).over(W.partitionBy(*keys)))
 
 
-def propagate(rows: DataFrame, keys: list[str], flag: Column, order: str) -> DataFrame:
+def propagate(rows: DataFrame, keys: list[str], flag: Column, order: str, width: int = WIDTH) -> DataFrame:
     """Adds ``ambiguous``: true from the first flagged row of a partition on."""
-    return rows.withColumn("ambiguous", F.coalesce(F.max(flag.cast("int")).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) == 1, F.lit(False)))
+    return running(rows, keys, order, width, sums={"_flags": flag.cast("long")}).withColumn("ambiguous", F.col("_flags") > 0).drop("_flags")
 
 
 def resolve_timing(rows: DataFrame) -> DataFrame:

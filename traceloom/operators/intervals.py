@@ -1,7 +1,7 @@
 """Interval algebra over columns start, end (half-open, milliseconds) and any partition keys.
 
-Everything is windows and grouped sums keyed by the partition, so Spark shuffles once
-on the keys. A partition that may be very large is one session's or cohort's intervals.
+Everything is windows and grouped sums keyed by the partition and a block of time, so that
+a partition with very many intervals is many tasks.
 """
 
 from __future__ import annotations
@@ -50,21 +50,25 @@ def clip(rows: DataFrame, start_ms: int | Column, end_ms: int | Column) -> DataF
     return inside.withColumn("start_ms", F.greatest("start_ms", lo)).withColumn("end_ms", F.least("end_ms", hi))
 
 
-def sweep(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+def sweep(rows: DataFrame, keys: list[str], kind: str, block_ms: int = DAY) -> DataFrame:
     """Elementary segments between endpoints: keys, t_ms, next_ms, active, active_kinds, the only kind if one.
 
     All changes at an instant apply together; intervals without length change nothing.
+    Intervals are cut at the borders of blocks of time first, so each block is a sweep of
+    its own that needs nothing of the others, and a border in an interval ends a segment.
+    Time that no interval covers may lack segments.
     """
-    live = rows.where("start_ms < end_ms")
-    ends = live.select(*keys, F.col(kind).alias("_kind"), F.col("start_ms").alias("t_ms"), F.lit(1).alias("_d")).union(live.select(*keys, F.col(kind), F.col("end_ms"), F.lit(-1)))
-    by_kind = ends.groupBy(*keys, "_kind", "t_ms").agg(F.sum("_d").alias("_d"))
-    part, part_kind = W.partitionBy(*keys).orderBy("t_ms"), W.partitionBy(*keys, "_kind").orderBy("t_ms")
+    live = _cut(rows.where("start_ms < end_ms").select(*keys, F.col(kind).alias("_kind"), "start_ms", "end_ms"), "_block", block_ms)
+    part_keys = [*keys, "_block"]
+    ends = live.select(*part_keys, "_kind", F.col("start_ms").alias("t_ms"), F.lit(1).alias("_d")).union(live.select(*part_keys, "_kind", "end_ms", F.lit(-1)))
+    by_kind = ends.groupBy(*part_keys, "_kind", "t_ms").agg(F.sum("_d").alias("_d"))
+    part, part_kind = W.partitionBy(*part_keys).orderBy("t_ms"), W.partitionBy(*part_keys, "_kind").orderBy("t_ms")
     # How many kinds are active changes where a kind's own count leaves or meets zero.
     by_kind = by_kind.withColumn("_a", F.sum("_d").over(part_kind)).withColumn("_p", F.col("_a") - F.col("_d"))
     by_kind = by_kind.withColumn("_on", F.when((F.col("_a") > 0) & (F.col("_p") == 0), 1).when((F.col("_a") == 0) & (F.col("_p") > 0), -1).otherwise(0))
     code = F.xxhash64("_kind").cast("decimal(38,0)")
-    at = by_kind.groupBy(*keys, "t_ms").agg(F.sum("_d").alias("_d"), F.sum("_on").alias("_on"), F.sum(code * F.col("_on")).alias("_code"))
-    names = live.select(F.col(kind).alias("only_kind")).distinct().withColumn("_active", F.xxhash64("only_kind").cast("decimal(38,0)"))
+    at = by_kind.groupBy(*part_keys, "t_ms").agg(F.sum("_d").alias("_d"), F.sum("_on").alias("_on"), F.sum(code * F.col("_on")).alias("_code"))
+    names = rows.where("start_ms < end_ms").select(F.col(kind).alias("only_kind")).distinct().withColumn("_active", F.xxhash64("only_kind").cast("decimal(38,0)"))
     run = at.select(*keys, "t_ms", F.lead("t_ms").over(part).alias("next_ms"), F.sum("_d").over(part).alias("active"), F.sum("_on").over(part).alias("active_kinds"), F.sum("_code").over(part).cast("decimal(38,0)").alias("_code"))
     run = run.where("next_ms is not null").withColumn("_active", F.when(F.col("active_kinds") == 1, F.col("_code")))
     return run.join(names, "_active", "left").drop("_active", "_code")
@@ -85,10 +89,14 @@ def exclusive(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.where("active_kinds = 1").groupBy(*keys, F.col("only_kind").alias("kind")).agg(F.sum(F.col("next_ms") - F.col("t_ms")).alias("exclusive_ms"))
 
 
+def _cut(rows: DataFrame, name: str, width: int, shift: int = 0) -> DataFrame:
+    """The part of each interval with a length in each block of ``width`` ms; adds the block's number."""
+    floor = lambda c: F.floor((c + shift) / F.lit(float(width))).cast("long")
+    parts = rows.where("end_ms > start_ms").withColumn(name, F.explode(F.sequence(floor(F.col("start_ms")), floor(F.col("end_ms") - 1))))
+    low, high = F.col(name) * width - shift, (F.col(name) + 1) * width - shift
+    return parts.withColumn("start_ms", F.greatest("start_ms", low)).withColumn("end_ms", F.least("end_ms", high))
+
+
 def split_days(rows: DataFrame, offset_minutes: int = 0) -> DataFrame:
     """The part of each interval in each day of a fixed offset: day (days since the epoch), start_ms, end_ms."""
-    shift = offset_minutes * 60_000
-    floor = lambda c: F.floor((c + shift) / F.lit(float(DAY))).cast("long")
-    days = rows.where("end_ms > start_ms").withColumn("day", F.explode(F.sequence(floor(F.col("start_ms")), floor(F.col("end_ms") - 1))))
-    low, high = F.col("day") * DAY - shift, (F.col("day") + 1) * DAY - shift
-    return days.withColumn("start_ms", F.greatest("start_ms", low)).withColumn("end_ms", F.least("end_ms", high))
+    return _cut(rows, "day", DAY, offset_minutes * 60_000)

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from traceloom.operators.blocks import WIDTH, running
 
-def recovery_chains(rows: DataFrame, keys: list[str], failed: Column, success: Column, order: str = "id") -> DataFrame:
+
+def recovery_chains(rows: DataFrame, keys: list[str], failed: Column, success: Column, order: str = "id", width: int = WIDTH) -> DataFrame:
     """A chain is a run of failures up to the success that closes it: keys, chain, failures, resolved, elapsed_ms, failed intervals.
 
     ``elapsed_ms`` is from the end of the first failure to the end of the success; null if none came.
     """
-    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_f", failed).withColumn("_s", success).where("_f or _s").withColumn("chain", F.coalesce(F.sum(F.col("_s").cast("long")).over(before), F.lit(0)))
+    marked = rows.withColumn("_f", failed).withColumn("_s", success).where("_f or _s").select(*dict.fromkeys([*keys, order, "end_ms", "_f", "_s"]))
+    placed = running(marked, keys, order, width, sums={"chain": F.col("_s").cast("long")}, inclusive=False)
     out = placed.groupBy(*keys, "chain").agg(
         F.count_if("_f").alias("failures"), F.bool_or("_s").alias("resolved"), F.min(F.when(F.col("_f"), F.col("end_ms"))).alias("_first"), F.max(F.when(F.col("_s"), F.col("end_ms"))).alias("_done"),
     ).where("failures > 0")
@@ -37,13 +39,11 @@ def episodes(rows: DataFrame, keys: list[str], least: int, window_ms: int, at: s
     return numbered.groupBy(*keys, "_e").agg(F.min("_first").alias("first_ms"), F.max(at).alias("last_ms"), (F.max("_r") - F.min("_l") + 1).alias("members")).drop("_e")
 
 
-def runs(rows: DataFrame, keys: list[str], same: list[str], order: str = "id") -> DataFrame:
+def runs(rows: DataFrame, keys: list[str], same: list[str], order: str = "id", width: int = WIDTH) -> DataFrame:
     """Adds ``run``: consecutive rows of a partition whose ``same`` columns are equal share a number."""
-    by = W.partitionBy(*keys).orderBy(order)
-    changed = F.lit(False)
-    for c in same:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(by))
-    return rows.withColumn("_c", F.when(changed | (F.row_number().over(by) == 1), 1).otherwise(0)).withColumn("run", F.sum("_c").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_c")
+    met = running(rows.withColumn("_same", F.struct(*same)), keys, order, width, previous={"_before": "_same"})
+    # A struct of columns is null only where there is no row before.
+    return running(met, keys, order, width, sums={"run": (F.col("_before").isNull() | (F.col("_before") != F.col("_same"))).cast("long")}).drop("_same", "_before")
 
 
 def window_search(rows: DataFrame, keys: list[str], lookup: Column, key: str, barrier: Column, window_ms: int, least: int, least_same: int, most_barriers: int) -> DataFrame:

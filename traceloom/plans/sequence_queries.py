@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceloom.functions.expr import fraction
-from traceloom.operators import cohorts, gates, intervals, sequences
+from traceloom.operators import blocks, cohorts, gates, intervals, sequences
 from traceloom.plans.interval_queries import islands_sql
 from traceloom.sources.driver_tables import EVENTS_SQL, events
 
@@ -83,10 +83,8 @@ _EPOCHS = "z AS (SELECT *, CAST(op_key AS BIGINT) % 5 AS lookup, sum(CASE WHEN c
 
 @query(f"WITH {EVENTS_SQL}, {_EPOCHS}, {_episodes_sql('f', 'session_id, epoch, lookup', 3, 3 * DAY)}")
 def context_churn(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    by = W.partitionBy("session_id").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = events(spark, sf_dir).withColumn("lookup", F.col("op_key").cast("long") % 5).withColumn("epoch", F.sum(F.when(F.col("category") == "edit", 1).otherwise(0)).over(by))
+    rows = events(spark, sf_dir).select("id", "session_id", "category", "end_ms", (F.col("op_key").cast("long") % 5).alias("lookup"))
+    rows = blocks.running(rows, ["session_id"], "id", sums={"epoch": (F.col("category") == "edit").cast("long")})
     found = sequences.episodes(rows.where(F.col("category").isin("read", "search")), ["session_id", "epoch", "lookup"], 3, 3 * DAY)
     return found.withColumn("members", F.col("members").cast("long"))
 
@@ -116,13 +114,11 @@ f AS (SELECT session_id, cycle, arg_min(status, id) FILTER (step = 'check') AS f
 SELECT session_id, count(*) AS cycles, CAST(sum(edits) AS BIGINT) AS edits, count(*) FILTER (checks > 0) AS validated, count(*) FILTER (first_status = 'completed') AS first_pass,
 CASE WHEN count(*) FILTER (checks > 0) > 0 THEN count(*) FILTER (first_status = 'completed') / count(*) FILTER (checks > 0) END AS first_pass_share FROM f GROUP BY session_id""")
 def edit_validation(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    by = W.partitionBy("session_id").orderBy("id")
     step = F.when(F.col("category") == "edit", "edit").when(F.col("category").isin("validation", "command"), "check")
-    rows = events(spark, sf_dir).withColumn("step", step).where("step is not null")
-    begins = (F.col("step") == "edit") & F.coalesce(F.lag("step").over(by) != "edit", F.lit(True))
-    rows = rows.withColumn("begins", begins.cast("int")).withColumn("cycle", F.sum("begins").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).where("cycle > 0")
+    rows = events(spark, sf_dir).select("id", "session_id", "status", step.alias("step")).where("step is not null")
+    rows = blocks.running(rows, ["session_id"], "id", previous={"before": "step"})
+    begins = (F.col("step") == "edit") & F.coalesce(F.col("before") != "edit", F.lit(True))
+    rows = blocks.running(rows, ["session_id"], "id", sums={"cycle": begins.cast("long")}).where("cycle > 0")
     cycles = rows.groupBy("session_id", "cycle").agg(F.min(F.when(F.col("step") == "check", F.struct("id", "status"))).alias("first"), F.count_if(F.col("step") == "edit").alias("edits"))
     out = cycles.groupBy("session_id").agg(F.count(F.lit(1)).alias("cycles"), F.sum("edits").alias("edits"), F.count("first").alias("validated"), F.count_if(F.col("first.status") == "completed").alias("first_pass"))
     return out.withColumn("first_pass_share", fraction(F.col("first_pass"), F.col("validated")))
@@ -136,9 +132,7 @@ def ambiguity_propagation(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL}, x AS (SELECT id, session_id, duration_ms, lag(duration_ms) OVER (PARTITION BY session_id ORDER BY id) AS before_ms FROM ev) SELECT id, session_id, before_ms, duration_ms FROM x WHERE duration_ms < before_ms")
 def snapshot_reset(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    rows = events(spark, sf_dir).withColumn("before_ms", F.lag("duration_ms").over(W.partitionBy("session_id").orderBy("id")))
+    rows = blocks.running(events(spark, sf_dir).select("id", "session_id", "duration_ms"), ["session_id"], "id", previous={"before_ms": "duration_ms"})
     return rows.where("duration_ms < before_ms").select("id", "session_id", "before_ms", "duration_ms")
 
 
