@@ -1,11 +1,15 @@
 """Fill-in-middle, phrases and files of token ids."""
 
 import hashlib
+import random
+import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.llm import fill_middle, registry
+from traceloom.llm import collocations, fill_middle, registry
 
 
 def same_as_sql(spark, duck, data, name):
@@ -69,3 +73,84 @@ def test_other_units_and_rates(spark):
     counts = {r.form: r["count"] for r in some.groupBy("fim.form").count().collect()}
     assert set(counts) == {"plain", "psm"} and 60 < counts["psm"] < 140
     assert {r.n for r in some.select("fim.n").collect()} == {3}
+
+
+def test_op12_equals_sql(spark, duck, data):
+    same_as_sql(spark, duck, data, "op12_collocations")
+
+
+def by_counting(rows, least, percent, top, most_words=5):
+    """Phrases by plain counting, and scores in whole numbers."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang, text = "und" if lang is None else lang, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n-\r]", text):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for k in range(1, most_words + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang][tuple(words[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in candidates.items():
+            for i in range(len(p)):
+                for j in range(i + 2, len(p) + 1):
+                    if j - i < len(p):
+                        longest[p[i:j]] = max(longest[p[i:j]], a)
+        found = []
+        for p, a in candidates.items():
+            score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            if 100 * longest[p] < percent * a:
+                found.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, rank, phrase.decode(), -a, left, right, n[lang], -score) for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+def generated(seed, n=60):
+    random.seed(seed)
+    words = ["a", "B", "É", "ß", "don't", "x" * 70, "😀", "-", "of", "the"]
+    joins = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", " "]
+    rows = [(random.choice(["en", "fr", None, "und", ""]), "".join(random.choice(words) + random.choice(joins) for _ in range(random.randrange(80)))) for _ in range(n)]
+    return rows + [("en", None), (None, None), ("en", ""), ("en", " .\n"), ("fr", "of the a b É")] + [("en", "one two three four five six")] * 7
+
+
+@pytest.mark.parametrize(("least", "percent", "top", "most"), [(3, 100, 2000, 800_000), (2, 60, 5, 40), (7, 100, 3, 11)])
+def test_phrases_by_counting(spark, least, percent, top, most):
+    rows = generated(least)
+    docs = spark.createDataFrame([(lang, text, 1, "w") for lang, text in rows], "lang string, text string, n long, words string").repartition(3)
+    got = sorted(map(tuple, collocations.collocations(docs, least=least, percent=percent, top=top, most=most).collect()))
+    assert got == by_counting(rows, least, percent, top) and got
+
+
+def test_phrases_of_odd_rows(spark, odd, none):
+    rows = [(r.lang, r.text) for r in odd.collect()]
+    assert sorted(map(tuple, collocations.collocations(odd, least=2).collect())) == by_counting(rows, 2, 100, 2000)
+    assert collocations.collocations(none).count() == 0
+    assert collocations.collocations(odd, least=10**6).count() == 0
+
+
+def test_trie_bursts_and_spills_whole_subtrees():
+    rng, trie, want = np.random.default_rng(3), collocations.HatTrie(3, most=500, burst=8), Counter()
+    spilled, spills = Counter(), 0
+    for _ in range(30):
+        ids, counts = np.unique(rng.integers(0, 12, (200, 3)), axis=0, return_counts=True)
+        want.update(dict(zip(map(tuple, ids.tolist()), counts.tolist(), strict=True)))
+        trie.add(ids, counts)
+        assert trie.open
+        if trie.size > trie.most:
+            before = set(trie.roots)
+            out, times = trie.spill(100)
+            assert trie.size <= 100 and not {x for x in out[:, 0].tolist()} & set(trie.roots) and set(trie.roots) < before
+            spilled.update(dict(zip(map(tuple, out.tolist()), times.tolist(), strict=True)))
+            spills += 1
+    out, times = trie.spill()
+    spilled.update(dict(zip(map(tuple, out.tolist()), times.tolist(), strict=True)))
+    assert spilled == want and spills > 1 and trie.size == 0 and not trie.roots
+
+
+def test_scores_pass_64_bits(spark):
+    a, n, left, right = 9_000_000_000_000, 90_000_000_000_000, 9_500_000_000_001, 9_900_000_000_007
+    got = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long").select(collocations._score(*map(F.col, ("a", "n", "l", "r"))).alias("s")).first().s
+    assert got == 1000 * a * n // (left * right)
