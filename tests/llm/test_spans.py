@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from traceloom.llm import collocations, fill_middle, registry
+from traceloom.llm import collocations, fill_middle, registry, token_files
 
 
 def same_as_sql(spark, duck, data, name):
@@ -154,3 +156,108 @@ def test_scores_pass_64_bits(spark):
     a, n, left, right = 9_000_000_000_000, 90_000_000_000_000, 9_500_000_000_001, 9_900_000_000_007
     got = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long").select(collocations._score(*map(F.col, ("a", "n", "l", "r"))).alias("s")).first().s
     assert got == 1000 * a * n // (left * right)
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def whole(bpe):
+    """Ids of a whole text by the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe)
+    return lambda text: [*library.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def expected(rows, whole):
+    out, start = [], 0
+    for doc, text in rows:
+        ids = whole(text)
+        out.append((doc, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4"))))
+        start += len(ids)
+    return out
+
+
+BYTES = ["", " ", "a", " a  b ", "don't we'll I'D x's'", "a  b  c", "　 x", "é à×b÷ ÿ.", "12.5, 3rd—x … y", "<|endoftext|>", "a <|endoftext|>b  <|end <|<|endoftext|>|> c", "\r\n\t x\x0b\x0c y\x85 z", "😀😀 a👍🏽!", "\x00\x1c a\x1d b", "a" * 3000, "\n" * 700 + "x", " !?.,\n\n  'tis", "x  y​ z", "œuvre, Œ. ß?", "é. ñ!"]
+
+
+def test_parts_have_the_ids_of_whole_texts(bpe, whole):
+    random.seed(5)
+    alphabet = [*"ab Z9.,'-<|>\n\t", "  ", "é", "×", "œ", " ", "　", "😀", "́", "'s", "'ll", "<|endoftext|>", "\x85", "\x1c", "٣"]
+    texts = BYTES + ["".join(random.choices(alphabet, k=random.randrange(60))) for _ in range(3000)]
+    mine = token_files.ByteTokenizer(bpe, most=400)
+    for _ in range(2):
+        ids, ends = mine.encode([t.encode() for t in texts], 2)
+        for text, low, high in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+            assert ids[low:high].tolist() == whole(text), text
+
+
+@pytest.mark.parametrize("unit", ["byte", "bit"])
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
+def test_planes_back(unit, n):
+    ids = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)
+    planes = token_files.to_planes(ids, unit)
+    assert len(planes) == (4 if unit == "byte" else 32)
+    assert token_files.from_planes(planes, n).tolist() == ids.tolist()
+    if unit == "bit" and n == 1000:
+        bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(planes[5]), np.uint8), count=n, bitorder="little")
+        assert bits.tolist() == ((ids >> 5) & 1).tolist()
+
+
+def test_joined_checksums():
+    random.seed(2)
+    for _ in range(50):
+        a, b = random.randbytes(random.randrange(40)), random.randbytes(random.randrange(3000))
+        assert token_files.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_op13_equals_whole_texts(spark, texts, whole, data):
+    got = registry.QUERIES["op13_token_files"](spark, data)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == expected(sorted(texts.items()), whole)
+
+
+@pytest.mark.parametrize(("unit", "block"), [("byte", 8), ("bit", 64), ("byte", 1 << 17)])
+def test_token_files_back(spark, bpe, whole, tmp_path, unit, block):
+    rows = [(k, t) for k, t in enumerate(BYTES, -3)] + [(None, "a b"), (4, "same"), (4, "same"), (10**15, None)]
+    random.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, chunk string, part long").repartition(3)
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs, path, bpe, block=block, unit=unit, parts=3)
+    got = token_files.read_documents(spark, path).orderBy("start").collect()
+    texts = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got}
+    assert texts == {(d, len(whole(t)), zlib.crc32(np.array(whole(t), dtype="<u4"))) for d, t in rows}
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)]).tolist()[:-1]
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    total = sum(r.n_tokens for r in got)
+    index = spark.read.parquet(f"{path}/index").orderBy("first").collect()
+    assert sum(r.n for r in index) == total and all(r.n <= block and len(r.n_bytes) == (4 if unit == "byte" else 32) for r in index)
+    some = token_files.read_range(spark, path, total // 3, total // 3 + 50)
+    flat = [x for r in some.orderBy("first").collect() for x in r.ids]
+    assert len(flat) == 50 and flat == [x for r in token_files.read_range(spark, path, 0, total).orderBy("first").collect() for x in r.ids][total // 3 : total // 3 + 50]
+
+
+def test_token_files_of_odd_rows(spark, odd, none, bpe, tmp_path):
+    token_files.write_token_files(odd, str(tmp_path / "a"), bpe)
+    assert token_files.read_documents(spark, str(tmp_path / "a")).count() == odd.count()
+    token_files.write_token_files(none, str(tmp_path / "b"), bpe)
+    assert token_files.read_documents(spark, str(tmp_path / "b")).count() == 0
+    with pytest.raises(ValueError):
+        token_files.write_token_files(odd, str(tmp_path / "c"), bpe, unit="nibble")
+    with pytest.raises(ValueError):
+        token_files.write_token_files(odd, str(tmp_path / "c"), bpe, block=12)
+
+
+def test_damage_is_found(spark, bpe, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    token_files.write_token_files(docs, str(tmp_path / "t"), bpe)
+    chunks = spark.read.parquet(str(tmp_path / "t/chunks")).withColumn("check", F.col("check") + 1)
+    chunks.write.parquet(str(tmp_path / "u/chunks"))
+    spark.read.parquet(str(tmp_path / "t/index")).write.parquet(str(tmp_path / "u/index"))
+    with pytest.raises(Exception, match="damaged"):
+        token_files.read_documents(spark, str(tmp_path / "u"))
