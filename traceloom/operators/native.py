@@ -16,9 +16,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from traceloom.functions.expr import SAFE, first_reason
+from traceloom.operators.blocks import WIDTH, running
 
 #: Kinds and tools of each provider whose executions are counted, and the category of each kind.
 NATIVE = {
@@ -171,18 +171,18 @@ def positions(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return out.withColumn("position_reason", reason).drop("_first", "_call", "_end", "_structured", "_paired")
 
 
-def session_blockers(rows: DataFrame) -> DataFrame:
+def session_blockers(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per session the sorted reasons for which its order in time can't be used; an empty list if it can.
 
     Takes the columns of ``admission`` and ``positions``, and of the source suppressed,
-    coverage and unsupported_records.
+    coverage and unsupported_records. A session is worked on in blocks of its offsets.
     """
     relevant = ~_is((F.col("kind") == "model") | (F.col("category") == "model"))
     placed = relevant & F.col("admitted") & F.col("position_reason").isNull()
-    order = W.partitionBy("source_id", "session_id").orderBy("_place", "byte_offset", "id")
-    before = {c: F.lag(c).over(order) for c in ("start_ms", "end_ms", "byte_offset", "_place")}
-    out = rows.withColumn("_place", F.when(placed, 0).otherwise(1)).withColumns({f"_{c}": v for c, v in before.items()})
-    both = placed & (F.col("__place") == 0)
+    marked = rows.withColumn("_placed", _is(placed))
+    met = running(marked.where("_placed").withColumn("_at", F.struct("start_ms", "end_ms", "byte_offset")), ["source_id", "session_id"], "byte_offset", width, previous={"_before": "_at"}, tie="id")
+    out = met.drop("_at").unionByName(marked.where("NOT _placed"), allowMissingColumns=True)
+    placed = both = F.col("_placed")
     edit = F.col("kind").isin("file_edit", "file_write")
     opaque = F.col("kind").isin(*OPAQUE) | ((F.col("kind") == "shell") & ~F.col("category").isin(*CLEAR_SHELL))
     per_row = {
@@ -190,8 +190,8 @@ def session_blockers(rows: DataFrame) -> DataFrame:
         "provenance_unresolved": F.col("partition_status") == "provenance_unresolved",
         "opaque_action_in_stream": relevant & opaque, "nonterminal_or_unadmitted_action": relevant & ~F.col("admitted"), "unpositioned_action": relevant & F.col("admitted") & F.col("position_reason").isNotNull(),
         "unconfirmed_edit_effect": relevant & edit & ~((F.col("status") == "completed") & (F.col("outcome") == "success")), "missing_turn_identity": relevant & (F.col("provider") == "codex") & F.col("turn_id").isNull(),
-        "ambiguous_source_order": both & (F.col("byte_offset") == F.col("_byte_offset")), "overlapping_actions": both & (F.col("start_ms") < F.col("_end_ms")),
-        "tied_or_contradictory_boundaries": both & ((F.col("start_ms") <= F.col("_start_ms")) | (F.col("end_ms") <= F.col("_end_ms"))),
+        "ambiguous_source_order": both & (F.col("byte_offset") == F.col("_before.byte_offset")), "overlapping_actions": both & (F.col("start_ms") < F.col("_before.end_ms")),
+        "tied_or_contradictory_boundaries": both & ((F.col("start_ms") <= F.col("_before.start_ms")) | (F.col("end_ms") <= F.col("_before.end_ms"))),
     }
     several = {"inconsistent_source_file": [F.col("file_id")], "mixed_interval_contracts": [F.col("interval_scope"), F.col("interval_evidence")]}
     aggs = [F.max("suppressed").alias("_suppressed"), *[F.bool_or(_is(c)).alias(f"_{n}") for n, c in per_row.items()]]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from traceloom.functions.saved import work_folder
 from traceloom.sources import ingest, jsonl
 from traceloom.sources.driver_tables import EVENTS_SQL, events
 
@@ -17,26 +14,6 @@ ORACLES: dict[str, str] = {}
 _COMMANDS = {"read": "cat notes.txt", "search": "rg needle src", "edit": "tee out.txt", "validation": "pytest -q", "command": "make build"}
 
 
-def work_folder(spark) -> str:
-    """A new folder below the one that executors share; it goes when the session ends. Only a local session may have none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="traceloom-")
-    folder = f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, folder)
-    return folder
-
-
-def _drop(spark, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already
-        pass
-
-
 #: Events of a source; there are 7 sources or more.
 _EVENTS = 50_000
 
@@ -85,7 +62,7 @@ def write_session_logs(spark, sf_dir: str, folder: str) -> None:
 
 
 def _others(spark, sf_dir: str):
-    folder = work_folder(spark)
+    folder = work_folder(spark, "logs")
     write_session_logs(spark, sf_dir, folder)
     return ingest.fold_others(jsonl.admitted(jsonl.read_records(spark, folder, "codex", pattern="part-*")), "codex")
 
@@ -121,7 +98,7 @@ ORACLES |= {
 
 
 def ingest_roundtrip(spark, sf_dir: str):
-    folder = work_folder(spark)
+    folder = work_folder(spark, "logs")
     write_logs(spark, sf_dir, folder)
     records = jsonl.admitted(jsonl.read_records(spark, folder, "codex", pattern="part-*"))
     found = ingest.fold_events(records, "codex")
