@@ -421,3 +421,23 @@ def test_cutoffs_equal_sql(spark, duck, data):
     rows = [[r[k] for k in at] for r in want.fetchall()]
     assert got == {r[0]: r[1] for r in rows}
     assert any(not r[1] and not r[2] for r in rows)
+
+
+def test_rows_that_share_a_labelled_id_are_one_trial(spark):
+    """Each of 100 rows for 7 good and 7 bad ids: no more labels than 14 rows have. With 150 ids, rows repeated or not, cutoffs exist."""
+    import duckdb
+
+    text = lambda i, bad: " ".join(f"w{i * 7 + k}" + ("###" if bad else "") for k in range(60))
+    for ids, copies, certified in ((14, 100, False), (150, 1, True), (150, 3, True)):
+        rows = [(i, text(i + 1000 * c, i % 5 == 0 if ids > 14 else i % 2 == 0), "a") for i in range(ids) for c in range(copies)]
+        marks = [(i, int(i % 5 != 0 if ids > 14 else i % 2 != 0)) for i in range(ids)]
+        docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+        _, light = quality_rules.judge_quality(docs, labels)
+        got = sorted((r.doc_id, r._kept) for r in light.collect())
+        assert (not all(kept for _, kept in got)) == certified
+        duck = duckdb.connect()
+        for name, df in (("documents", docs), ("labels", labels)):
+            duck.register(name, df.toPandas())
+        want = duck.sql(quality_rules._ORACLE)
+        at = [want.columns.index(c) for c in ("doc_id", "kept")]
+        assert got == sorted(tuple(r[k] for k in at) for r in want.fetchall())

@@ -93,7 +93,11 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """``labelled`` has _stratum, good (boolean) and _q. Returns _stratum, rule, cutoff for certified pairs."""
+    """``labelled`` has _id, _stratum, good (boolean) and _q. Returns _stratum, rule, cutoff for certified pairs.
+
+    A labelled id is one trial in a stratum, however many rows share it, as an exact test
+    needs: of a good one the row that is rejected first counts, of a bad one the last.
+    """
     def first_above(name: str, value: Column) -> Column:
         """The first cutoff of the list that the value is above; STEPS if there is none."""
         cuts = RULES[name]
@@ -102,7 +106,9 @@ def certified_cutoffs(labelled: DataFrame, alpha: float, delta: float) -> DataFr
 
     places = {name: first_above(name, value) for name, value in _values().items()}
     places[TOGETHER] = F.least(*places.values())
-    rows = labelled.select("_stratum", "good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), at.alias("from")) for name, at in places.items()])).alias("r"))
+    once = labelled.select("_stratum", "_id", "good", *[at.alias(f"_at_{name}") for name, at in places.items()])
+    once = once.groupBy("_stratum", "_id", "good").agg(*[F.when(F.col("good"), F.min(f"_at_{name}")).otherwise(F.max(f"_at_{name}")).alias(f"_at_{name}") for name in places])
+    rows = once.select("_stratum", "good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_at_{name}").alias("from")) for name in places])).alias("r"))
     counts = rows.groupBy("_stratum", "r.rule", "r.from").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     whole = W.partitionBy("_stratum", "rule")
     counts = counts.groupBy("_stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("from", "g", "b"))).alias("c"), F.sum("g").alias("n"), F.sum("b").alias("m"))  # at most one entry for each cutoff
@@ -140,7 +146,8 @@ def judge_quality(
     with all columns of ``docs`` in the struct ``_doc``, the second with the id only, from
     counts that are saved. A null text has no words and fails the base rule; a null stratum
     is a stratum of its own; labels that are null, repeated or without document don't
-    count (of repeated ones the smallest does). Without labels only the base rule holds.
+    count (of repeated ones the smallest does), and of documents that share a labelled id
+    one in each stratum does. Without labels only the base rule holds.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -181,8 +188,9 @@ b AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IN (0, 1
 lab AS (SELECT v.*, good FROM v JOIN b USING (doc_id)),
 c AS (SELECT * FROM (VALUES {rules}) AS c(rule, pos, cutoff)),
 broken AS (SELECT v.r, v.rule, min(pos) AS pos FROM v JOIN c ON c.rule = v.rule AND v > cutoff GROUP BY ALL),
-seen AS (SELECT lab.s, lab.good, lab.rule, broken.pos FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule
-  UNION ALL SELECT lab.s, lab.good, '{TOGETHER}', min(broken.pos) FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule GROUP BY lab.r, lab.s, lab.good),
+each AS (SELECT lab.s, lab.doc_id, lab.good, lab.rule, broken.pos FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule
+  UNION ALL SELECT lab.s, lab.doc_id, lab.good, '{TOGETHER}', min(broken.pos) FROM lab LEFT JOIN broken ON broken.r = lab.r AND broken.rule = lab.rule GROUP BY lab.r, lab.s, lab.doc_id, lab.good),
+seen AS (SELECT s, good, rule, CASE WHEN good THEN min(pos) ELSE nullif(max(coalesce(pos, {STEPS})), {STEPS}) END AS pos FROM each GROUP BY s, doc_id, good, rule),
 steps AS (SELECT rule, pos FROM c UNION ALL SELECT '{TOGETHER}', unnest(range({STEPS}))),
 t AS (SELECT s, seen.rule, steps.pos, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m, count(*) FILTER (good AND seen.pos <= steps.pos) AS k, count(*) FILTER (NOT good AND seen.pos <= steps.pos) AS caught FROM seen JOIN steps ON steps.rule = seen.rule GROUP BY ALL),
 lim AS (SELECT *, CASE WHEN rule = '{TOGETHER}' THEN {min(alpha, 1.0)} ELSE {p} END AS p, (SELECT count(DISTINCT s) FROM lab) * CASE WHEN rule = '{TOGETHER}' THEN 2 ELSE {2 * len(RULES)} END AS ways FROM t),

@@ -1,14 +1,15 @@
-"""Removal of repeated byte strings (operator 2): blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings (operator 2), with a difference cover in place of whole suffixes.
 
 Suffixes need to be told apart for ``length`` bytes only. Two suffixes that agree for
 that long agree, at one offset below the cover's period, in a suffix that both have in
-the cover sample. So the sample is sorted first, in buckets, each by itself; equal
-neighbours get tied ranks. A suffix none of whose sampled offsets is tied is alone and
-needs no further sorting. The rest, the long ties, are sorted to the full length, again
-one bucket at a time. Memory is that of one bucket, whose size is a parameter.
-
-Suffixes are ordered by fingerprints of their first bytes, as only equality within the
-length matters for the result, not the alphabet's order.
+the cover sample. So the sample's fingerprints are grouped first, one bucket at a time;
+a sampled place whose fingerprint another has too is tied. A suffix none of whose sampled
+offsets is tied is alone and is not looked at again. The rest, the long ties, are grouped
+by fingerprints of their first ``length`` bytes, again one bucket at a time. Memory is
+that of one bucket, whose size is a parameter.
+
+Nothing is put in the alphabet's order and no ranks are given: only equality within the
+length matters for the result. The README says why.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ _PATTERN[list(COVER)] = True
 
 
 class _Suffixes:
-    """Byte fingerprints of a chunk and the places of its cover sample."""
+    """Byte fingerprints of a chunk, and the places of its cover sample with those of their first bytes (``prints``)."""
 
     def __init__(self, chunk: X.Chunk, length: int):
         self.chunk, self.length = chunk, length
@@ -46,7 +47,7 @@ class _Suffixes:
             if b - a >= length:
                 sampled[a : b - self.depth + 1] = np.resize(_PATTERN, b - a - self.depth + 1)
         self.at = np.flatnonzero(sampled)
-        self.ranks = H.byte_window_hashes(self.sums, self.at, self.depth)
+        self.prints = H.byte_window_hashes(self.sums, self.at, self.depth)
         texts = chunk.data.tobytes()
         digest = [hashlib.blake2b(texts[a:b], digest_size=16).digest() for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)]
         self.digests = np.frombuffer(b"".join(digest), dtype="<u8").reshape(-1, 2).astype(U64)
@@ -70,9 +71,9 @@ class _Suffixes:
         return out, out & ~first_here
 
     def long_ties(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Places of suffixes with a tied sample rank in their first period, and copied documents."""
+        """Places of suffixes with a tied sample in their first period, and copied documents."""
         chunk, (copies, later) = self.chunk, self.copies(replies)
-        distinct, back, here = twice(self.ranks)
+        distinct, back, here = twice(self.prints)
         tied = self.at[((X.read_flags(replies, 1, 0, as_bits=False) > 0) | here)[back]] if len(distinct) else self.at
         open_ = covered(len(chunk.data), np.maximum(tied - (PERIOD - 1), 0), PERIOD)
         whole = np.zeros(len(chunk.data), dtype=bool)
@@ -115,7 +116,7 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def sample(chunk):
         s = _Suffixes(chunk, length)
-        return [X.requests(chunk.chunk_id, np.unique(s.ranks), sample_bits), *(X.requests(chunk.chunk_id, np.unique(s.digests[:, k]), sample_bits, part=1 + k) for k in (0, 1))]
+        return [X.requests(chunk.chunk_id, np.unique(s.prints), sample_bits), *(X.requests(chunk.chunk_id, np.unique(s.digests[:, k]), sample_bits, part=1 + k) for k in (0, 1))]
 
     def suffixes(chunk, replies):
         s = _Suffixes(chunk, length)
