@@ -3,31 +3,55 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
-_HEADER = re.compile(r"(?:Chunk ID: (?P<chunk>\S+)\n)?Wall time: (?P<wall>\d+(?:\.\d+)?) seconds\n(?:Process exited with code (?P<code>-?\d+)|Process running with session ID (?P<session>\d+))\n(?:Original token count: (?P<tokens>\d+)\n)?Output:\n")
+#: The lines of a header. What follows ``Output:`` is not looked at.
+_HEADER = re.compile(
+    r"(?:Chunk ID: [A-Za-z0-9_-]{1,128}\n)?Wall time: (?P<wall>[0-9]+(?:\.[0-9]+)?) seconds"
+    r"(?:\nProcess exited with code (?P<code>-?[0-9]+)|\nProcess running with session ID (?P<session>[A-Za-z0-9_-]{1,128}))?(?:\nOriginal token count: [0-9]+)?"
+)
+_HEADER_MOST = 8192
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
-#: Keys a search may have and still be identified, and marks of cut output.
-_SEARCH_KEYS = {"Grep": {"pattern", "path", "glob", "output_mode", "-i", "-n", "multiline", "type", "head_limit"}, "Glob": {"pattern", "path"}}
-_CUT = ("[truncated]", "… truncated", "<truncated>", "Output truncated")
+#: Keys a search may have and still be identified, those that are yes or no, and the modes of output.
+_SEARCH_KEYS = {"Grep": ("pattern", "path", "glob", "output_mode", "-i", "multiline"), "Glob": ("pattern", "path")}
+_SWITCHES, _MODES, _SEARCH_MOST = ("-i", "multiline"), ("content", "files_with_matches", "count"), 1 << 20
+#: Marks of output that isn't whole, and fields of a record that say so unless they are false.
+_CUT = re.compile(r"warning:\s*truncated|(?:output|content|response|lines?)\s+(?:was\s+)?truncated|truncated\s+(?:output|content|response)|\[.{0,32}(?:truncated|omitted).{0,32}\]|<persisted-output>", re.IGNORECASE)
+_OMITTING = ("truncated", "isTruncated", "interrupted", "isImage", "isAsync")
 
 
 def output_header(text: str | None) -> dict | None:
-    """Exit code or running session, and wall time in ms, of an output that begins with the strict header; else null."""
-    m = _HEADER.match(text or "")
+    """Exit code or running session (or neither), wall time in ms and the output after a strict header; else null."""
+    text = text or ""
+    end = text.find("\nOutput:\n")
+    body = text[end + len("\nOutput:\n") :] if end >= 0 else ""
+    if end < 0:
+        end = len(text) - len("\nOutput:") if text.endswith("\nOutput:") else -1
+    m = _HEADER.fullmatch(text[:end]) if 0 <= end <= _HEADER_MOST else None
     if not m:
         return None
-    return {"exit_code": int(m["code"]) if m["code"] else None, "running": m["session"] is not None, "wall_ms": float(m["wall"]) * 1000, "process_id": m["session"]}
+    return {"exit_code": int(m["code"]) if m["code"] else None, "running": m["session"] is not None, "wall_ms": float(m["wall"]) * 1000, "process_id": m["session"], "output": body}
 
 
-def search_identity(tool: str, args: dict | None) -> str | None:
-    """Key of a search; null if a key is unknown. A search without path is not one of an explicit path."""
+def search_identity(tool: str, args: dict | None, version: str | None) -> str | None:
+    """Key of a search of one version of its tool; null if a key is unknown or a value of the wrong kind.
+
+    A search without path is not one of an explicit path.
+    """
     allowed = _SEARCH_KEYS.get(tool)
-    if not allowed or not isinstance(args, dict) or not isinstance(args.get("pattern"), str) or set(args) - allowed:
+    if not allowed or not isinstance(version, str) or not 0 < len(version) <= 4096 or not isinstance(args, dict) or "pattern" not in args or set(args) - set(allowed):
         return None
-    shown = [f"{k}={args[k]!r}" for k in sorted(args) if k not in ("path", "head_limit", "-n")]
-    where = f"path={args['path']!r}" if "path" in args else "record_cwd"
-    return hashlib.sha256("\x00".join([tool, where, *shown]).encode()).hexdigest()
+    for key, value in args.items():
+        if key in _SWITCHES:
+            good = isinstance(value, bool)
+        else:
+            good = isinstance(value, str) and value != "" and len(value.encode("utf-8", "surrogatepass")) <= _SEARCH_MOST and not (key in ("pattern", "path") and "\0" in value) and (key != "output_mode" or value in _MODES)
+        if not good:
+            return None
+    where = ["explicit_path", args["path"]] if "path" in args else ["record_cwd"]
+    parts = [tool, version, args["pattern"], where, {k: args[k] for k in sorted(args) if k not in ("pattern", "path")}]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
 
 def changed_patch(patch: list | None) -> bool | None:
@@ -63,8 +87,20 @@ def unified_diff_changes(text: str | None) -> tuple[int, int] | None:
     return (added, removed) if want in (None, (old, new)) else None
 
 
+def evidence_omitted(record) -> bool:
+    """Whether a record says that what it holds isn't whole. Nothing says nothing; what is no object can't be trusted."""
+    if record is None:
+        return False
+    if not isinstance(record, dict):
+        return True
+    return any(key in record and record[key] is not False for key in _OMITTING) or ("content_state" in record and record["content_state"] != "complete")
+
+
 def error_text(text: str | None, most: int = 64 << 10) -> str | None:
-    """The recorded error if it is whole: not blank, not cut, not longer than ``most`` bytes."""
-    if not text or not text.strip() or any(mark in text for mark in _CUT) or len(text.encode("utf-8", "replace")) > most:
+    """The recorded error if it is whole: not blank, without a mark of omission, not longer than ``most`` bytes, no half characters."""
+    if not text or not text.strip() or _CUT.search(text):
+        return None
+    try:
+        return text if len(text.encode()) <= most else None
+    except UnicodeEncodeError:
         return None
-    return text
