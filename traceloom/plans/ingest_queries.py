@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from traceloom.functions.saved import work_folder
+from traceloom.functions.saved import saved, work_folder
+from traceloom.operators import usage
 from traceloom.sources import ingest, jsonl
 from traceloom.sources.driver_tables import EVENTS_SQL, events
 
@@ -76,11 +77,43 @@ def ingest_turns(spark, sf_dir: str):
     return turns.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("sum_ms"))
 
 
+def _records(spark, sf_dir: str, write, provider: str):
+    folder = work_folder(spark, "logs")
+    write(spark, sf_dir, folder)
+    return saved(jsonl.admitted(jsonl.read_records(spark, folder, provider, pattern="part-*")))
+
+
 def ingest_usage(spark, sf_dir: str):
     """Usage from written logs: a response whose records differ is withheld."""
-    rows = _others(spark, sf_dir).where("what = 'usage'")
-    tokens = F.get_json_object("counts", "$.input_tokens").cast("long")
-    return rows.groupBy("conflicted").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("input_tokens"))
+    rows = usage.codex_usage(_records(spark, sf_dir, write_session_logs, "codex"))
+    return rows.groupBy("conflicted").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("counts.input"), F.lit(0)).alias("input_tokens"))
+
+
+#: Records of a log of responses that grow.
+_RECORDS = 300
+
+
+def write_response_logs(spark, sf_dir: str, folder: str) -> None:
+    """Responses of three records each, whose output grows; some lack a count, have one of another kind, come twice, or name a message again with other content."""
+    rows = events(spark, sf_dir).select("id", F.expr(f"id div {_RECORDS}").alias("source"), F.expr("id div 3").alias("r"), (F.col("id") % 3).alias("part"))
+    text = lambda x, c: F.concat(F.lit(x), c.cast("string"))
+    pair = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    number = lambda c: c.cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    output = F.when(F.col("r") % 11 == 2, F.lit('"7"')).otherwise(number(F.col("part") * 10 + 1))
+    parts = [pair("input_tokens", number(F.col("r"))), pair("output_tokens", output), pair("cache_creation_input_tokens", F.lit("2")), F.when(F.col("r") % 5 == 1, F.lit(None)).otherwise(pair("cache_read_input_tokens", F.when(F.col("r") % 7 == 3, F.lit("null")).otherwise(F.lit("3"))))]
+    uuid = F.when(F.col("id") % 19 == 5, F.lit(None)).otherwise(pair("uuid", quoted(text("u", F.when(F.col("id") % 13 == 4, F.col("id") - 1).otherwise(F.col("id"))))))
+    response = F.when(F.col("r") % 23 == 6, F.lit(None)).otherwise(pair("id", quoted(text("m", F.col("r")))))
+    message = F.concat(F.lit('"message":{'), F.concat_ws(",", response, pair("content", quoted(text("t", F.col("id")))), pair("stop_reason", F.when(F.col("part") == 2, F.lit('"end_turn"')).otherwise(F.lit("null"))), F.concat(F.lit('"usage":{'), F.concat_ws(",", *parts), F.lit("}"))), F.lit("}"))
+    line = F.concat(F.lit("{"), F.concat_ws(",", F.lit('"type":"assistant"'), uuid, pair("sessionId", quoted(text("s", F.col("source")))), message), F.lit("}"))
+    out = rows.select("source", "id", line.alias("value"), F.explode(F.when(F.col("id") % 17 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    out.repartition("source").sortWithinPartitions("source", "id", "copy").select("source", "value").write.partitionBy("source").text(folder)
+
+
+def response_usage(spark, sf_dir: str):
+    """Usage of responses that are written again while they grow: the last record counts, missing parts stay unknown."""
+    rows = usage.claude_usage(_records(spark, sf_dir, write_response_logs, "claude"))
+    return rows.select("session_id", "response_id", "byte_offset", *[F.col(f"counts.{c}").alias(c) for c in ("input", "output", "cached_input", "total")], "count_status", "selection", "stop_reason", "records").drop("byte_offset")
 
 
 def ingest_diagnostics(spark, sf_dir: str):
@@ -89,10 +122,18 @@ def ingest_diagnostics(spark, sf_dir: str):
     return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
-QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "ingest_diagnostics": ingest_diagnostics}
+QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "response_usage": response_usage, "ingest_diagnostics": ingest_diagnostics}
 ORACLES |= {
     "ingest_turns": f"{_SESSIONS} SELECT CASE WHEN id % 70 = 0 AND id % 30 <> 0 THEN 'unknown' WHEN id % 30 = 0 THEN 'cancelled' ELSE 'completed' END AS status, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS sum_ms FROM e WHERE id % 10 = 0 GROUP BY 1",
     "ingest_usage": f"{_SESSIONS}, u AS (SELECT source, id // 3 AS r, min(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS lo, max(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS hi FROM e GROUP BY ALL) SELECT lo <> hi AS conflicted, count(*) AS n, CAST(coalesce(sum(CASE WHEN lo = hi THEN lo END), 0) AS BIGINT) AS input_tokens FROM u GROUP BY 1",
+    "response_usage": f"""WITH {EVENTS_SQL}, e AS (SELECT id, id // {_RECORDS} AS source, id // 3 AS r, id % 3 AS part, CASE WHEN id % 19 = 5 THEN NULL WHEN id % 13 = 4 THEN id - 1 ELSE id END AS uuid FROM ev),
+x AS (SELECT *, CASE WHEN r % 23 = 6 THEN NULL ELSE 'm' || r END AS response_id, r % 11 = 2 AS bad, r % 5 = 1 OR r % 7 = 3 AS lacks FROM e),
+y AS (SELECT x.*, uuid IS NOT NULL AND id <> first_id AS odd FROM x LEFT JOIN (SELECT source, uuid, min(id) AS first_id FROM x WHERE uuid IS NOT NULL GROUP BY ALL) f USING (source, uuid)),
+c AS (SELECT y.*, CASE WHEN id % 17 = 3 AND uuid IS NULL THEN k ELSE 0 END AS k FROM y, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR (id % 17 = 3 AND uuid IS NULL)),
+g AS (SELECT source, response_id, coalesce(response_id, coalesce('u' || uuid, 'at' || id || '/' || k)) AS one, max(id) AS id, bool_or(odd) AS conflicted, count(*) AS records FROM c GROUP BY ALL)
+SELECT 's' || g.source AS session_id, g.response_id, CASE WHEN NOT conflicted AND NOT lacks THEN r + 5 END AS input, CASE WHEN NOT conflicted AND NOT bad THEN part * 10 + 1 END AS output, CASE WHEN NOT conflicted AND NOT lacks THEN CAST(3 AS BIGINT) END AS cached_input,
+CASE WHEN NOT conflicted AND NOT lacks AND NOT bad THEN r + 5 + part * 10 + 1 END AS total, CASE WHEN bad THEN 'invalid' WHEN lacks THEN 'partial' ELSE 'complete' END AS count_status,
+CASE WHEN conflicted THEN 'conflicted' WHEN bad OR g.response_id IS NULL THEN 'invalid' ELSE 'provisional' END AS selection, CASE WHEN part = 2 THEN 'end_turn' END AS stop_reason, records FROM g JOIN (SELECT id, r, part, bad, lacks FROM x) USING (id)""",
     "ingest_diagnostics": f"{_SESSIONS}, s AS (SELECT source, 's' || CAST(CASE WHEN id % 50 = 0 THEN id ELSE source END AS VARCHAR) AS name, id FROM e), f AS (SELECT source, arg_min(name, id) AS first_name FROM s GROUP BY source) SELECT 'AMBIGUOUS_ORIGIN' AS code, count(*) AS n, count(DISTINCT source) AS sources FROM s JOIN f USING (source) WHERE name <> first_name HAVING count(*) > 0",
 }
 

@@ -1,4 +1,4 @@
-"""The ordered fold of a log's records into executions, turns and usage.
+"""The ordered fold of a log's records into executions and turns.
 
 One ``Fold`` holds the open state of one source. It is fed records in byte order and is
 the same for a whole file, for any split of it, and for a stream: its state pickles.
@@ -17,8 +17,8 @@ from traceloom.functions.identity import classify, exit_meaning
 
 EVENT_FIELDS = ("id", "session_id", "turn_id", "kind", "category", "pattern", "start_ms", "end_ms", "duration_ms", "timing_evidence", "status", "outcome", "exit_code", "ambiguous", "byte_offset")
 EVENT_DDL = "id string, session_id string, turn_id string, kind string, category string, pattern string, start_ms long, end_ms long, duration_ms double, timing_evidence string, status string, outcome string, exit_code int, ambiguous boolean, byte_offset long"
-OTHER_FIELDS = ("what", "id", "session_id", "turn_id", "start_ms", "end_ms", "duration_ms", "status", "counts", "final", "conflicted", "code", "byte_offset")
-OTHER_DDL = "what string, id string, session_id string, turn_id string, start_ms long, end_ms long, duration_ms double, status string, counts string, final boolean, conflicted boolean, code string, byte_offset long"
+OTHER_FIELDS = ("what", "id", "session_id", "turn_id", "start_ms", "end_ms", "duration_ms", "status", "code", "byte_offset")
+OTHER_DDL = "what string, id string, session_id string, turn_id string, start_ms long, end_ms long, duration_ms double, status string, code string, byte_offset long"
 #: Names of provider tools and their kinds.
 _KINDS = {"Bash": "shell", "Read": "read", "Edit": "edit", "MultiEdit": "edit", "Write": "edit", "Grep": "search", "Glob": "search", "Task": "subagent", "Agent": "subagent", "WebFetch": "browser", "WebSearch": "browser"}
 
@@ -54,7 +54,6 @@ class Fold:
         self.events: dict[str, dict] = {}
         self.early: dict[str, tuple[str, dict, int]] = {}
         self.turns: dict[str, dict] = {}
-        self.usage: dict[str, dict] = {}
         self.seen: dict[str, str] = {}
         self.diagnostics: list[tuple[int, str]] = []
         self.changed: set[str] = set()
@@ -125,17 +124,6 @@ class Fold:
             self.diagnostics.append((offset, "AMBIGUOUS_ORIGIN"))
         self.session = self.session or id_
 
-    def _usage(self, id_: str, offset: int, counts: dict, final: bool) -> None:
-        known = self.usage.get(id_)
-        if known is None:
-            self.usage[id_] = {"id": id_, "session_id": self.session, "turn_id": self.turn, "counts": counts, "final": final, "conflicted": False, "byte_offset": offset}
-        elif known["counts"] != counts:
-            # A final record may replace provisional ones; otherwise no copy outranks another.
-            if final and not known["final"]:
-                known |= {"counts": counts, "final": True}
-            else:
-                known["conflicted"] = True
-
     # Provider A
 
     def _codex(self, record: dict, offset: int) -> None:
@@ -154,8 +142,6 @@ class Fold:
             self._codex_turn(body, offset)
         elif kind == "event_msg" and body.get("type") == "item_completed" and isinstance(body.get("item"), dict):
             self._codex_item(body, offset)
-        elif kind == "token_usage_record" and _text(body.get("response_id")) and isinstance(body.get("usage"), dict):
-            self._usage(body["response_id"], offset, body["usage"], True)
 
     def _codex_call(self, body: dict, offset: int, at: int | None) -> None:
         name, command = body.get("name"), None
@@ -234,11 +220,7 @@ class Fold:
                 extra = record.get("toolUseResult") if isinstance(record.get("toolUseResult"), dict) else {}
                 ack = bool(extra.get("backgroundTaskId") or extra.get("isAsync"))
                 self._close(block["tool_use_id"], offset, "ack" if ack else "result", {"running": True} if ack else {"failed": block.get("is_error") is True, "end": at})
-        if record.get("type") == "assistant" and isinstance(message.get("usage"), dict) and _text(message.get("id")):
-            u = {k: v for k, v in message["usage"].items() if isinstance(v, int)}
-            total_in = sum(u.get(k, 0) for k in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))
-            self._usage(message["id"], offset, {"input": total_in, "output": u.get("output_tokens"), "total": total_in + u.get("output_tokens", 0)}, message.get("stop_reason") is not None)
-        elif record.get("type") == "system" and record.get("subtype") == "turn_duration" and _text(record.get("uuid")):
+        if record.get("type") == "system" and record.get("subtype") == "turn_duration" and _text(record.get("uuid")):
             self.turns[record["uuid"]] = {"id": record["uuid"], "session_id": self.session, "start_ms": None, "end_ms": None, "status": "completed", "duration_ms": _number(record.get("durationMs")), "byte_offset": offset}
 
     def event_rows(self, only_changed: bool = False) -> list[tuple]:
@@ -247,10 +229,7 @@ class Fold:
         return [tuple(self.events[i][f] for f in EVENT_FIELDS) for i in ids]
 
     def other_rows(self) -> list[tuple]:
-        """Turns, usage and diagnostics, in the order of OTHER_FIELDS."""
-        out = [("turn", t["id"], t["session_id"], None, t["start_ms"], t["end_ms"], t.get("duration_ms"), t["status"], None, None, None, None, t["byte_offset"]) for t in self.turns.values()]
-        for u in self.usage.values():
-            counts = None if u["conflicted"] else json.dumps(u["counts"], sort_keys=True)
-            out.append(("usage", u["id"], u["session_id"], u["turn_id"], None, None, None, None, counts, u["final"], u["conflicted"], None, u["byte_offset"]))
-        out += [("diagnostic", None, self.session, None, None, None, None, None, None, None, None, code, at) for at, code in dict.fromkeys(self.diagnostics)]
+        """Turns and diagnostics, in the order of OTHER_FIELDS."""
+        out = [("turn", t["id"], t["session_id"], None, t["start_ms"], t["end_ms"], t.get("duration_ms"), t["status"], None, t["byte_offset"]) for t in self.turns.values()]
+        out += [("diagnostic", None, self.session, None, None, None, None, None, code, at) for at, code in dict.fromkeys(self.diagnostics)]
         return out

@@ -23,7 +23,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema = EVENT_ARROW) -> pa.RecordBat
 def _folded(records: DataFrame, provider: str, rows_of: Callable[[Fold], list[tuple]], ddl: str, schema: pa.Schema) -> DataFrame:
     """Records come sorted by source and ordinal and stream through the task, one source at a time.
 
-    A task holds the calls, turns and usage of its source, and a digest of each record that
+    A task holds the calls and turns of its source, and a digest of each record that
     may be repeated, until the source ends; not the log's text.
     """
 
@@ -50,5 +50,5 @@ def fold_events(records: DataFrame, provider: str) -> DataFrame:
 
 
 def fold_others(records: DataFrame, provider: str) -> DataFrame:
-    """Turns, usage observations and diagnostics of each source; ``what`` says which. Counts that conflict are null."""
+    """Turns and diagnostics of each source; ``what`` says which. Usage is not folded, see ``operators/usage.py``."""
     return _folded(records, provider, Fold.other_rows, OTHERS, OTHER_ARROW)
