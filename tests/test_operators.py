@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import expr, identity
 from traceloom.operators import blocks, cohorts, gates, history, intervals, sequences
-from traceloom.sources import snapshots
+from traceloom.sources import results, snapshots
 
 
 def numbers(seed):
@@ -250,7 +250,7 @@ def test_snapshots(spark, tmp_path):
     assert (table.read().count(), table.read(1).count()) == (2, 1)
     assert snapshots.same_census(one, one)
     assert not snapshots.same_census(one, one.union(one))
-    assert snapshots.envelope(one, "s", "c").first().value == '{"schema":"s","ok":true,"command":"c","result":{"a":1}}'
+    assert results.lines(one, "s", "c").first().value == '{"schema":"s","ok":true,"command":"c","result":{"a":1}}'
 
 
 def test_paged_scan_stops_after_the_page_of_the_first_incomplete_source(spark):

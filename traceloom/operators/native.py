@@ -5,7 +5,7 @@ turn_id, kind, tool_name, category, status, outcome, record_type, file_id, byte_
 and times with their scopes and evidence. Observations have o_id, event_id, source_id,
 origin, representation, o_provider, o_session, o_file, o_at (offset), o_turn,
 transport_status and, of provider B's results, is_error, completion_kind, observed_ms,
-result_ms, result_scope. source_id and id name an execution. All joins are equi-joins on
+result_ms, result_scope, unassigned. source_id and id name an execution. All joins are equi-joins on
 them; one execution has few observations. What a group of observations says is added to
 the execution in the same aggregation, so that it is shuffled and joined once.
 """
@@ -73,7 +73,8 @@ def _structured() -> Column:
 
 
 def _invocation_result() -> Column:
-    return _is((F.col("representation") == "result") & (F.col("completion_kind") == "invocation_result") & (F.col("is_error") == (F.col("status") == "failed")))
+    """A result that is no acknowledgement, nor one of which it isn't known what it acknowledges."""
+    return _is((F.col("representation") == "result") & (F.col("completion_kind") == "invocation_result") & ~F.coalesce("unassigned", F.lit(False)) & (F.col("is_error") == (F.col("status") == "failed")))
 
 
 def _proofs(rows: DataFrame, seen: DataFrame, matches: Column, contradicts: Column) -> DataFrame:

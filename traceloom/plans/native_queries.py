@@ -28,7 +28,7 @@ _CLASS = """cls AS (SELECT id, CASE WHEN kind = 'model' OR category = 'model' TH
   WHEN NOT (CASE provider WHEN 'codex' THEN (kind, tool_name) IN (('shell', 'exec_command'), ('mcp', 'mcp'), ('file_edit', 'apply_patch')) ELSE (kind, tool_name) IN (('shell', 'Bash'), ('file_read', 'Read'), ('file_write', 'Write'), ('file_edit', 'Edit'), ('search', 'Grep'), ('search', 'Glob'), ('mcp', 'mcp'), ('browser', 'browser')) END) THEN 'unsupported_call_class'
   WHEN CASE kind WHEN 'shell' THEN category NOT IN ('test', 'build', 'search', 'read', 'other') WHEN 'file_read' THEN category <> 'read' WHEN 'file_write' THEN category <> 'write' WHEN 'file_edit' THEN category <> 'edit' ELSE category <> kind END THEN 'inconsistent_category' END AS class_reason FROM ag)"""
 _LINKED = """lk AS (SELECT a.*, o.* EXCLUDE (source_id, event_id), (origin <> 'ordinary' OR o_provider <> provider OR (provider = 'claude' AND o_session <> session_id)) AS odd, (o_file = file_id AND o_at = byte_offset) AS here FROM ag a JOIN ob o ON o.event_id = a.id AND o.source_id = a.source_id)"""
-_ENDS = "representation = 'result' AND completion_kind = 'invocation_result' AND is_error = (status = 'failed')"
+_ENDS = "representation = 'result' AND completion_kind = 'invocation_result' AND NOT coalesce(unassigned, false) AND is_error = (status = 'failed')"
 _FAILURE = f"""{_LINKED},
 fv AS (SELECT *, CASE WHEN provider = 'claude' THEN {_ENDS} WHEN record_type = 'event_msg' THEN representation = 'structured' AND transport_status = CASE WHEN status = 'failed' AND outcome = 'error' THEN 'failed' WHEN outcome IN ('no_match', 'change_detected') AND kind = 'shell' THEN 'failed' WHEN outcome IN ('success', 'unknown') AND status <> 'failed' THEN 'completed' END
   ELSE representation IN ('result', 'poll') AND transport_status = 'unknown' END IS TRUE AS fits FROM lk),

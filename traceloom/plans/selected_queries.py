@@ -198,7 +198,9 @@ _HISTORY = f"""{_ADMITTED}, {_POSITIONS}, sel AS (SELECT ad.* FROM ad JOIN (SELE
 
 def _history(spark, sf_dir):
     """Executions whose copies agree: a second source holds each third one, sometimes with another status or no place."""
-    first = native.positions(native_queries._admitted(spark, sf_dir), observations(spark, sf_dir)).withColumn("admitted", F.col("admitted") & F.col("position_reason").isNull())
+    first = native.positions(native_queries._admitted(spark, sf_dir), observations(spark, sf_dir))
+    placed = F.col("position_reason").isNull()
+    first = first.withColumns({c: F.when(placed, F.col(c)) for c in ("start_ms", "end_ms")})
     copies = first.withColumn("_copy", F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     other = F.col("_copy") == 2
     copies = copies.withColumns({"status": F.when(other & (F.col("id") % 11 == 0), "changed").otherwise(F.col("status")), "start_ms": F.when(~other | (F.col("id") % 17 != 0), F.col("start_ms"))})
@@ -219,7 +221,7 @@ def selected_busy(spark, sf_dir):
     return history.busy_days(_history(spark, sf_dir), FROM_MS, TO_MS, history.parse_offset("+05:30"))
 
 
-@query(f"""WITH {AGENT_SQL}, {_HISTORY} SELECT CASE WHEN id % 3 = 0 AND id % 11 = 0 THEN 'conflict' WHEN s.id IS NULL THEN 'excluded' WHEN id % 3 = 0 AND id % 17 = 0 THEN 'unpositioned' ELSE 'admitted' END AS state, provider, count(*) AS n FROM ag LEFT JOIN (SELECT id FROM sel) s USING (id) GROUP BY ALL""")
+@query(f"""WITH {AGENT_SQL}, {_HISTORY} SELECT CASE WHEN id % 3 = 0 AND id % 11 = 0 THEN 'conflict' WHEN NOT admitted THEN 'excluded' WHEN position_reason IS NOT NULL OR (id % 3 = 0 AND id % 17 = 0) THEN 'unpositioned' ELSE 'admitted' END AS state, provider, count(*) AS n FROM ad JOIN po USING (id) GROUP BY ALL""")
 def selected_states(spark, sf_dir):
-    """All copies are compared before anything is filtered."""
+    """All copies are compared before anything is filtered; an admitted one without a proven place is unpositioned."""
     return _history(spark, sf_dir).groupBy("provider", "state").agg(F.count(F.lit(1)).alias("n"))

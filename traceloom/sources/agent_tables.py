@@ -33,15 +33,15 @@ _DERIVED = {
     "interval_scope": "CASE WHEN record_type = 'event_msg' THEN 'item_lifecycle' ELSE 'invocation_latency' END",
     "interval_evidence": "CASE WHEN id % 1009 = 8 THEN 'estimated' WHEN record_type = 'event_msg' THEN 'source_reported' ELSE 'paired_timestamps' END",
 }
-_OBSERVED = ("o_id", "event_id", "source_id", "origin", "representation", "o_provider", "o_session", "o_file", "o_at", "o_turn", "transport_status", "is_error", "completion_kind", "observed_ms", "result_ms", "result_scope")
-_NOTHING = ["CAST(NULL AS boolean)", "CAST(NULL AS varchar(20))", "CAST(NULL AS bigint)", "CAST(NULL AS bigint)", "CAST(NULL AS varchar(20))"]
+_OBSERVED = ("o_id", "event_id", "source_id", "origin", "representation", "o_provider", "o_session", "o_file", "o_at", "o_turn", "transport_status", "is_error", "completion_kind", "observed_ms", "result_ms", "result_scope", "unassigned")
+_NOTHING = ["CAST(NULL AS boolean)", "CAST(NULL AS varchar(20))", "CAST(NULL AS bigint)", "CAST(NULL AS bigint)", "CAST(NULL AS varchar(20))", "CAST(NULL AS boolean)"]
 _TURN = "session_id * 1000 + id % 7"
 _PARTS = [
     (["id * 10", "id", "source_id", "CASE WHEN id % 1703 = 1 THEN 'ambiguous' ELSE 'ordinary' END", "'call'", "provider", "session_id", "source_id", "id * 10", _TURN, "'unknown'", *_NOTHING], "id % 1201 <> 4"),
     ([
         "id * 10 + 5", "id", "source_id", "'ordinary'", "CASE WHEN record_type = 'event_msg' THEN 'structured' WHEN provider = 'codex' AND id % 3 = 0 THEN 'poll' ELSE 'result' END", "provider", "session_id", "source_id", "id * 10 + 5", f"CASE WHEN id % 1409 = 5 THEN -1 ELSE {_TURN} END",
         "CASE WHEN record_type <> 'event_msg' THEN CASE WHEN id % 1217 = 6 THEN 'completed' ELSE 'unknown' END WHEN id % 1213 = 6 THEN 'pending' WHEN status = 'failed' OR outcome = 'no_match' THEN 'failed' ELSE 'completed' END",
-        "status = 'failed'", "CASE WHEN id % 1223 = 7 THEN 'acknowledgement' ELSE 'invocation_result' END", "CASE WHEN id % 503 = 8 THEN end_ms + 1 ELSE end_ms END", "took", "duration_scope",
+        "status = 'failed'", "CASE WHEN id % 1223 = 7 THEN 'acknowledgement' ELSE 'invocation_result' END", "CASE WHEN id % 503 = 8 THEN end_ms + 1 ELSE end_ms END", "took", "duration_scope", "id % 1227 = 8",
     ], "id % 1231 <> 3"),
     (["id * 10 + 7", "id", "source_id", "'ordinary'", "'poll'", "provider", "session_id", "source_id", "id * 10 + 7", _TURN, "'failed'", *_NOTHING], "id % 13 = 0"),
     (["id * 10 + 8", "CASE WHEN id % 1999 = 11 THEN id ELSE -id END", "source_id", "'ordinary'", "'wrapper'", "provider", "session_id", "source_id", "id * 10 + 8", _TURN, "'unknown'", *_NOTHING], "provider = 'codex' AND (id % 50 = 0 OR id % 1999 = 11)"),

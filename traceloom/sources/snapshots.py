@@ -98,8 +98,3 @@ class SnapshotTable:
         if at not in published:
             raise FileNotFoundError(f"{self.path}: revision {at}")
         return self.spark.read.parquet(f"{self.path}/{published[at]}")
-
-
-def envelope(rows: DataFrame, schema: str, command: str) -> DataFrame:
-    """One JSON line for each row: {schema, ok, command, result}."""
-    return rows.select(F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(True).alias("ok"), F.lit(command).alias("command"), F.struct(*rows.columns).alias("result")), {"ignoreNullFields": "false"}).alias("value"))
