@@ -8,6 +8,7 @@ the document's length. The language with the largest share is the prediction.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 BITS = 16
 SLICE = 1 << 12
-COUNTS = "lang string, slice int, counts binary"
+COUNTS = "lang string, slice int, part int, counts binary"
 OUT = "doc_id long, lang_pred string, score double, mixture map<string,double>"
 
 
@@ -55,13 +56,16 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def _count(batches):
     """Counts of each language in this task, in slices. No more than 64 languages are held at once."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
     held: dict[str, np.ndarray] = {}
 
     def out():
         rows = [(lang, k, counts[k * SLICE : (k + 1) * SLICE].tobytes()) for lang, counts in held.items() for k in range((1 << BITS) // SLICE)]
         held.clear()
         lang, k, blob = zip(*rows, strict=True)
-        return pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "slice": pa.array(k, pa.int32()), "counts": pa.array(blob, pa.binary())})
+        return pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "slice": pa.array(k, pa.int32()), "part": pa.array([task] * len(rows), pa.int32()), "counts": pa.array(blob, pa.binary())})
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -74,9 +78,15 @@ def _count(batches):
         yield out()
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, dtype="<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"lang": table.column("lang")[:1], "slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a group's counts, one batch at a time."""
+    total, key = np.zeros(SLICE, dtype="<i8"), {}
+    for batch in batches:
+        for blob in batch.column("counts"):
+            total += np.frombuffer(blob.as_py(), dtype="<i8")
+        if batch.num_rows:
+            key = {c: batch.column(c)[:1] for c in ("lang", "slice", "part")}
+    yield pa.RecordBatch.from_pydict(key | {"counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", most_languages: int = 512) -> tuple[list[str], np.ndarray]:
@@ -86,7 +96,9 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", most_language
     for each language; more than ``most_languages`` are an error, so its size is bounded.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
-    merged = rows.mapInArrow(_count, COUNTS).groupBy("lang", "slice").applyInArrow(_merge, COUNTS)
+    # Counts of 512 input tasks meet in a group, then those of the groups: no task gets a blob of every other.
+    some = rows.mapInArrow(_count, COUNTS).withColumn("part", F.floor(F.col("part") / F.lit(512.0)).cast("int")).groupBy("lang", "slice", "part").applyInArrow(_merge, COUNTS)
+    merged = some.groupBy("lang", "slice").applyInArrow(_merge, COUNTS)
     slices = (1 << BITS) // SLICE
     found = merged.limit(most_languages * slices + 1).collect()
     if len(found) > most_languages * slices:
