@@ -441,3 +441,25 @@ def test_rows_that_share_a_labelled_id_are_one_trial(spark):
         want = duck.sql(quality_rules._ORACLE)
         at = [want.columns.index(c) for c in ("doc_id", "kept")]
         assert got == sorted(tuple(r[k] for k in at) for r in want.fetchall())
+
+
+def test_counts_of_many_tasks_meet_in_groups(spark, data):
+    """A thousand input partitions give the model that one gives."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(1200)
+    names, one = language_id.learn(docs.coalesce(1))
+    names_, many = language_id.learn(docs.repartition(1000))
+    assert names == names_ and np.array_equal(one, many)
+
+
+def test_bit_filters_hold_what_occurs(spark):
+    grams = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
+    rows = spark.createDataFrame([(int(g), k % 5 + 1) for k, g in enumerate(grams)], "gram long, asked long").repartition(7)
+    planes = decontamination._level_filter(rows)
+    level = np.unpackbits(planes[0]) + 2 * np.unpackbits(planes[1])
+    want = np.zeros(1 << decontamination.FILTER_BITS, dtype=np.uint8)
+    for g, k in zip(decontamination._bits(grams.view(np.uint64)).tolist(), range(len(grams)), strict=True):
+        asked = min(3, k % 5 + 1)
+        want[g] = min(want[g], asked) if want[g] else asked
+    assert np.array_equal(level, want)
+    assert np.array_equal(np.unpackbits(decontamination._bit_filter(rows.select("gram"))), want > 0)
+    assert not decontamination._bit_filter(rows.where("false").select("gram")).any()

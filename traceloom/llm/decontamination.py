@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -70,26 +70,38 @@ def _bits(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _bit_filter(grams: DataFrame) -> np.ndarray:
-    """A bit for each hash prefix that occurs, packed: 2 MB, whatever the number of n-grams."""
+def _bit_filters(grams: DataFrame, level: Column, levels: int) -> list[np.ndarray]:
+    """For each level from 1 a bit for each hash prefix that occurs with it or a lower one, packed: 2 MB each, whatever the number of n-grams.
+
+    The bits are or-ed in the tasks that make them and then by word, so only the filters come to the driver.
+    """
 
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
-            bits[_bits(batch.column(0).to_numpy().astype(np.int64).view(U64))] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+            slots, level_ = _bits(batch.column(0).to_numpy().astype(np.int64).view(U64)), batch.column(1).to_numpy()
+            key = np.unique((level_.astype(np.int64) << FILTER_BITS) | slots)
+            words, first = np.unique(key >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(U64(1) << (key & 63).astype(U64), first) if len(key) else np.empty(0, U64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.int64()), "bits": pa.array(bits.view(np.int64), pa.int64())})
 
-    total = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for row in grams.mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, dtype=np.uint8)
-    return total
+    found = grams.select("gram", level.cast("long")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    every = np.zeros((levels + 1, 1 << (FILTER_BITS - 6)), dtype="<u8")
+    every.reshape(-1)[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U64)
+    # A slot is one bit, counted from the lowest of its word; packed bytes count from the highest.
+    as_bytes = [np.packbits(np.unpackbits(x.view(np.uint8), bitorder="little")) for x in np.bitwise_or.accumulate(every, axis=0)[1:]]
+    return as_bytes
+
+
+def _bit_filter(grams: DataFrame) -> np.ndarray:
+    return _bit_filters(grams, F.lit(1), 1)[0]
 
 
 def _level_filter(seeds: DataFrame) -> np.ndarray:
     """For each hash prefix of a seed the least number of seeds that an item with it asks for, up to ``LEVELS``; 0 where there is none. Two packed planes of bits."""
     levels = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+    upto = _bit_filters(seeds, F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.col("asked"))), LEVELS)
     for level in range(LEVELS, 0, -1):
-        levels[np.unpackbits(_bit_filter((seeds if level == LEVELS else seeds.where(F.col("asked") <= level)).select("gram"))).astype(bool)] = level
+        levels[np.unpackbits(upto[level - 1]).astype(bool)] = level
     return np.stack([np.packbits(levels & 1), np.packbits(levels >> 1)])
 
 
