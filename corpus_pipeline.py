@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from traceloom.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
 from traceloom.llm.scratch import Scratch
@@ -27,14 +26,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps of each group the row with the smallest id; of rows that share id and text the first by its other columns; texts without words all.
 
     Near copies share 80 % or more of their 5-word shingles; operator 6's own query has other values.
+    Rows that share id and text stay all or but one, so no window has to put them in order:
+    where all stay they are let through by a join, and the one is found by an aggregation
+    that begins before the shuffle.
     """
     found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    keep = found.where("keeper").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha")).count()
+    kept = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha")).agg(F.count_if("keeper").alias("_kept"), F.count(F.lit(1)).alias("_all")).where("_kept > 0")
+    kept = Scratch(spark).save(kept, "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = rows.withColumn("_i", F.col("_doc.doc_id").cast("long")).withColumn("_s", F.substring(F.sha2(F.coalesce("_doc.text", F.lit("")), 256), 1, 16))
-    met = rows.join(keep, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
-    number = F.row_number().over(Window.partitionBy("_i", "_s").orderBy(F.to_json("_doc")))
-    return met.withColumn("_number", number).where(F.col("_number") <= F.col("count")).select("_doc.*")
+    same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))
+    every = rows.join(kept.where("_kept = _all"), same, "left_semi")
+    first = rows.join(kept.where("_kept < _all"), same, "left_semi").groupBy("_i", "_s").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    return every.select("_doc.*").unionByName(first.select("_doc.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
