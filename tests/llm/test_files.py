@@ -1,7 +1,9 @@
 """Archives, packing and the pipeline."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -246,3 +248,71 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none, data):
         assert out.columns == odd.columns
         assert out.count() == {"quality_rules": 0, "ngram_jaccard_join": 6}.get(name, odd.count()), name
     assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count() == odd.count()
+
+
+def near_groups(texts, n=5, percent=80):
+    """Smallest id of the group of each text with words, comparing all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        words = re.findall("[^\\x20\\x09-\\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[k] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+    label = {k: k for k in sets}
+
+    def top(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            low, high = sorted((top(a), top(b)))
+            label[high] = low
+    return {k for k in sets if not sets[k] or top(k) == k}
+
+
+def test_pipeline_by_hand(spark, duck, data, path):
+    """Every stage against a plain version, each on what the one before kept."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from traceloom.llm import decontamination, quality_rules, secret_scan
+    from traceloom.llm.hashing import letter_words
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    verdicts = duck.sql(quality_rules._ORACLE)
+    at = [verdicts.columns.index(c) for c in ("doc_id", "kept")]
+    left = {k: texts[k] for k, kept in ([r[x] for x in at] for r in verdicts.fetchall()) if kept}
+    left = {k: left[k] for k in near_groups(left)}
+    words = lambda text: letter_words([(text or "").encode()])[0]
+    items = [w for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len(w := words(r.text))]
+    left = {k: t for k, t in left.items() if not any(decontamination.align(i, words(t))[0] >= 0.6 for i in items)}
+    for k, t in left.items():
+        spans = secret_scan.spans(t)
+        gone = bytearray(len(t or ""))
+        for _, a, b in spans:
+            gone[a:b] = b"\x01" * (b - a)
+        cut, inside = [], False
+        for c, bad in zip(t or "", gone, strict=True):
+            cut += [] if bad and inside else ["[SECRET]"] if bad else [c]
+            inside = bool(bad)
+        merged = any(a2 == b1 for (_, _, b1), (_, a2, _) in itertools.pairwise(spans))
+        left[k] = corpus_pipeline.secret_scan.redact(spark.createDataFrame([(t,)], "text string")).first().text if merged else "".join(cut) if spans else t
+    library = Tokenizer.from_file(path)
+    want = {}
+    for k, t in left.items():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for n, start in enumerate(range(0, len(ids), 2048)):
+            want[k, n] = (start, len(ids[start : start + 2048]), zlib.crc32(np.array(ids[start : start + 2048], dtype="<u4")))
+    packed = corpus_pipeline.run(spark, data).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packed} == want and len(packed) == len(want)
+    check_bins(packed, 2048)
+
+
+def test_many_rows_of_one_id_and_text(spark, data):
+    """No key of the second stage is one task's: null ids without words stay all, of other repeated rows one does."""
+    import corpus_pipeline
+
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(" ")).otherwise(F.lit("one two three four five six")).alias("text"), F.col("id").cast("string").alias("source"))
+    out = corpus_pipeline.drop_near_copies(spark, rows, data)
+    assert out.columns == rows.columns
+    assert {r.text: (r.n, r.least) for r in out.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("least")).collect()} == {" ": (30_000, "0"), "one two three four five six": (1, "1")}
