@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from traceloom.functions.expr import complete_sum, first_reason
-from traceloom.operators import native, sequences
+from traceloom.functions.expr import SAFE, complete_sum, first_reason
+from traceloom.functions.saved import saved
+from traceloom.operators import intervals, native, sequences
+from traceloom.operators.blocks import WIDTH, running
 
 _KEYS = ["source_id", "id"]
 _SESSION = ["source_id", "session_id"]
@@ -89,6 +91,61 @@ def operation_chains(tried: DataFrame, grouped: DataFrame) -> DataFrame:
     return sequences.recovery_chains(clear, _OPERATION, F.col("status") == "failed", F.col("status") == "completed", "byte_offset")
 
 
+def failed_duration_reason() -> Column:
+    """Why the duration of a failed attempt of a chain isn't measured; null if it is."""
+    took, scope, told = F.col("duration_ms"), F.col("duration_scope"), F.col("timing_evidence")
+    reported = told == "source_reported"
+    direct = _is((F.col("record_type") == "event_msg") & (((F.col("kind") == "shell") & (scope == "process_runtime")) | ((F.col("kind") == "mcp") & (scope == "invocation_latency"))))
+    paired = _is((scope == "invocation_latency") & (F.col("record_type") == "response_item"))
+    return first_reason(
+        (took.isNull(), "missing_duration"), ((took < 0) | (took > SAFE), "invalid_duration"), (scope == "unknown", "unknown_scope"), (told == "estimated", "estimated_timing"), (~told.isin("source_reported", "paired_timestamps"), "unknown_timing"),
+        (F.when(reported, ~direct).otherwise(~paired), "unsupported_timing_representation"), (~reported & (F.col("end_ms") - F.col("start_ms") != took), "missing_timing_provenance"),
+    )
+
+
+def retry_attempts(tried: DataFrame, grouped: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The failed attempts of proven chains, each with its chain and ``why`` its duration isn't measured."""
+    clear = tried.join(grouped.where(F.size("reasons") == 0).select(*_OPERATION), _OPERATION, "left_semi")
+    done = _is((F.col("status") == "completed") & (F.col("outcome") == "success"))
+    placed = running(clear, _OPERATION, "byte_offset", width, sums={"chain": done.cast("long")}, inclusive=False)
+    return placed.where("status = 'failed'").withColumn("why", failed_duration_reason())
+
+
+def retry_chains(failed: DataFrame) -> DataFrame:
+    """Per chain: failed, measured, the sum of their durations if it can be told, and the union of their intervals."""
+    keys = [*_OPERATION, "chain"]
+    told = _durations(failed, keys)
+    return told.join(intervals.union_length(failed, keys).select(*keys, F.col("union_ms").alias("retry_overhead_ms")), keys)
+
+
+def _durations(failed: DataFrame, keys: list[str]) -> DataFrame:
+    """failed_n, measured_n, duration_sum_ms and why there is none. Durations of several scopes or kinds of evidence are never added."""
+    kind = F.when(F.col("why").isNull(), F.struct("session_id", "duration_scope", "timing_evidence"))
+    told = failed.groupBy(*keys).agg(F.count(F.lit(1)).alias("failed_n"), F.count_if(F.col("why").isNull()).alias("measured_n"), F.sum(F.when(F.col("why").isNull(), F.col("duration_ms"))).cast("long").alias("_sum"), (F.min(kind) != F.max(kind)).alias("_mixed"))
+    reason = first_reason((F.col("measured_n") < F.col("failed_n"), "incomplete_duration_coverage"), (_is(F.col("_mixed")), "incompatible_duration_cohorts"), (F.col("_sum") > SAFE, "numeric_overflow"))
+    return told.select(*keys, "failed_n", "measured_n", F.when(reason.isNull(), F.col("_sum")).alias("duration_sum_ms"), reason.alias("duration_reason"))
+
+
+def retry_overhead(tried: DataFrame, grouped: DataFrame, sources: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per source (source_id, usable): chains, failed and measured attempts, the sum of durations and the time of failed attempts.
+
+    Attempts of all chains of a partition (session, interval scope and evidence) are united
+    again, never added. More than one partition has no total; no chain at all is 0.
+    """
+    failed = saved(retry_attempts(tried, grouped, width))
+    part = ["source_id", "session_id", "interval_scope", "interval_evidence"]
+    spent = intervals.union_length(failed, part).groupBy("source_id").agg(F.count(F.lit(1)).alias("_parts"), F.min("union_ms").alias("_union"))
+    chains = failed.select(*_OPERATION, "chain").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("chain_n"))
+    out = sources.join(_durations(failed, ["source_id"]), "source_id", "left").join(spent, "source_id", "left").join(chains, "source_id", "left")
+    ok, none = F.col("usable"), F.col("_parts").isNull()
+    counts = {c: F.when(ok, F.coalesce(c, F.lit(0))).cast("long") for c in ("chain_n", "failed_n", "measured_n")}
+    several = F.col("_parts") > 1
+    return out.select(
+        "source_id", *[v.alias(c) for c, v in counts.items()], F.when(ok, F.when(none, F.lit(0)).otherwise(F.col("duration_sum_ms"))).cast("long").alias("duration_sum_ms"), F.when(~ok, "recovery_unavailable").otherwise(F.col("duration_reason")).alias("duration_reason"),
+        F.when(ok & ~_is(several), F.coalesce("_union", F.lit(0))).cast("long").alias("retry_overhead_ms"), F.when(~ok, "recovery_unavailable").when(several, "incompatible_interval_partitions").alias("retry_overhead_reason"),
+    )
+
+
 def turn_reasons(turns: DataFrame, seen: DataFrame) -> DataFrame:
     """Adds ``reason``: why a turn's times don't count as active time, or null.
 

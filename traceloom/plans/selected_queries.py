@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from traceloom.functions.saved import saved
 from traceloom.operators import history, intervals, native, selected
 from traceloom.plans import native_queries
 from traceloom.plans.interval_queries import DAY, FROM_MS, TO_MS, islands_sql
 from traceloom.plans.native_queries import _ADMITTED, _POSITIONS
-from traceloom.sources.agent_tables import AGENT_SQL, executions, observations
+from traceloom.sources.agent_tables import AGENT_SQL, executions, observations, sources
 from traceloom.sources.driver_tables import EVENTS_SQL, USAGE_SQL, events, usage
 
 QUERIES: dict = {}
@@ -36,7 +37,7 @@ def _retried(spark, sf_dir):
     """Attempts of all executions, admitted by their finer sessions."""
     rows = executions(spark, sf_dir).withColumns({"session_id": F.expr(_SESSION), "category": F.expr(_CATEGORY), "op_key": F.expr(_OPERATION)})
     seen = observations(spark, sf_dir).withColumn("o_session", F.expr(_SEEN))
-    return selected.attempts(native.admission(rows, seen, native_queries._suppressed(spark, sf_dir)), seen)
+    return saved(selected.attempts(native.admission(rows, seen, native_queries._suppressed(spark, sf_dir)), seen))
 
 
 _FINER = AGENT_SQL.replace("ag AS (SELECT", "ag_ AS (SELECT", 1).replace("FROM ag WHERE", "FROM ag_ WHERE").replace("ob AS (", "ob_ AS (", 1).replace("FROM ag))", "FROM ag_))", 1) + f""",
@@ -78,6 +79,33 @@ def operation_recovery(spark, sf_dir):
     return selected.operation_chains(tried, selected.operations(tried))
 
 
+_RETRIES = f"""{_OPERATIONS}, c AS (SELECT kn.*, coalesce(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, session_id, turn_id, op_key ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chain FROM kn SEMI JOIN (FROM og WHERE reasons = '') g USING (source_id, session_id, turn_id, op_key)),
+f AS (SELECT *, CASE WHEN duration_ms IS NULL THEN 'missing_duration' WHEN duration_ms < 0 THEN 'invalid_duration' WHEN duration_scope = 'unknown' THEN 'unknown_scope' WHEN timing_evidence = 'estimated' THEN 'estimated_timing' WHEN timing_evidence = 'unknown' THEN 'unknown_timing'
+  WHEN timing_evidence = 'source_reported' AND NOT (record_type = 'event_msg' AND ((kind = 'shell' AND duration_scope = 'process_runtime') OR (kind = 'mcp' AND duration_scope = 'invocation_latency'))) THEN 'unsupported_timing_representation'
+  WHEN timing_evidence = 'paired_timestamps' AND NOT (duration_scope = 'invocation_latency' AND record_type = 'response_item') THEN 'unsupported_timing_representation' WHEN timing_evidence = 'paired_timestamps' AND end_ms - start_ms <> duration_ms THEN 'missing_timing_provenance' END AS why2 FROM c WHERE status = 'failed')"""
+
+
+@query(f"""WITH {_FINER}, {_RETRIES}, {islands_sql('f', 'source_id, session_id, turn_id, op_key, chain')}, u AS (SELECT source_id, session_id, turn_id, op_key, chain, CAST(sum(hi - lo) AS BIGINT) AS retry_overhead_ms FROM isl GROUP BY ALL),
+d AS (SELECT source_id, session_id, turn_id, op_key, chain, count(*) AS failed_n, count(*) FILTER (why2 IS NULL) AS measured_n, CAST(sum(duration_ms) FILTER (why2 IS NULL) AS BIGINT) AS s, count(DISTINCT (duration_scope, timing_evidence)) FILTER (why2 IS NULL) AS kinds FROM f GROUP BY ALL)
+SELECT source_id, session_id, turn_id, op_key, CAST(chain AS BIGINT) AS chain, failed_n, measured_n, CASE WHEN measured_n = failed_n AND kinds <= 1 THEN s END AS duration_sum_ms, CASE WHEN measured_n < failed_n THEN 'incomplete_duration_coverage' WHEN kinds > 1 THEN 'incompatible_duration_cohorts' END AS duration_reason, retry_overhead_ms FROM d JOIN u USING (source_id, session_id, turn_id, op_key, chain)""")
+def retry_chains(spark, sf_dir):
+    """What the failed attempts of each proven chain took."""
+    tried = _retried(spark, sf_dir)
+    return selected.retry_chains(saved(selected.retry_attempts(tried, selected.operations(tried))))
+
+
+@query(f"""WITH {_FINER}, {_RETRIES}, {islands_sql('f', 'source_id, session_id, interval_scope, interval_evidence')}, u AS (SELECT source_id, count(*) AS parts, min(ms) AS ms FROM (SELECT source_id, session_id, interval_scope, interval_evidence, CAST(sum(hi - lo) AS BIGINT) AS ms FROM isl GROUP BY ALL) GROUP BY source_id),
+d AS (SELECT source_id, count(DISTINCT (session_id, turn_id, op_key, chain)) AS chain_n, count(*) AS failed_n, count(*) FILTER (why2 IS NULL) AS measured_n, CAST(sum(duration_ms) FILTER (why2 IS NULL) AS BIGINT) AS s, count(DISTINCT (session_id, duration_scope, timing_evidence)) FILTER (why2 IS NULL) AS kinds FROM f GROUP BY ALL),
+o AS (SELECT source_id, suppressed IS NULL AND provider = 'codex' AS ok, coalesce(chain_n, 0) AS chain_n, coalesce(failed_n, 0) AS failed_n, coalesce(measured_n, 0) AS measured_n, s, kinds, coalesce(parts, 0) AS parts, ms FROM so JOIN sup USING (source_id) LEFT JOIN d USING (source_id) LEFT JOIN u USING (source_id))
+SELECT source_id, CASE WHEN ok THEN chain_n END AS chain_n, CASE WHEN ok THEN failed_n END AS failed_n, CASE WHEN ok THEN measured_n END AS measured_n, CASE WHEN ok AND failed_n = 0 THEN 0 WHEN ok AND measured_n = failed_n AND kinds <= 1 THEN s END AS duration_sum_ms,
+CASE WHEN NOT ok THEN 'recovery_unavailable' WHEN measured_n < failed_n THEN 'incomplete_duration_coverage' WHEN kinds > 1 THEN 'incompatible_duration_cohorts' END AS duration_reason, CASE WHEN ok AND parts <= 1 THEN coalesce(ms, 0) END AS retry_overhead_ms, CASE WHEN NOT ok THEN 'recovery_unavailable' WHEN parts > 1 THEN 'incompatible_interval_partitions' END AS retry_overhead_reason FROM o""")
+def retry_overhead_sources(spark, sf_dir):
+    """Time that failed attempts of proven chains took, where it has one meaning in a source."""
+    tried = _retried(spark, sf_dir)
+    usable = native_queries._suppressed(spark, sf_dir).join(sources(spark, sf_dir).select("source_id", F.col("provider").alias("_p")), "source_id").select("source_id", (F.col("suppressed").isNull() & (F.col("_p") == "codex")).alias("usable"))
+    return selected.retry_overhead(tried, selected.operations(tried), usable)
+
+
 _TURN = {
     "source_id": "session_id % 50", "provider": "CASE WHEN session_id % 2 = 0 THEN 'codex' ELSE 'claude' END", "status": "CASE WHEN id % 17 = 0 THEN 'pending' WHEN id % 19 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'cancelled' ELSE 'completed' END",
     "scope": "CASE WHEN id % 53 = 1 THEN 'unknown' WHEN session_id % 4 = 0 THEN 'turn_wall' ELSE 'observed_turn' END", "evidence": "CASE WHEN id % 59 = 2 THEN 'estimated' WHEN (session_id % 4 = 0) <> (id % 43 = 2) THEN 'source_reported' ELSE 'paired_timestamps' END",
