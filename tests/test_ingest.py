@@ -4,7 +4,6 @@ import json
 
 from traceloom.sources import ingest, jsonl
 from traceloom.sources.fold import Fold
-from traceloom.streaming.ingest import fold_stream, latest
 
 
 def test_lines():
@@ -103,7 +102,7 @@ def test_any_split_is_equivalent():
         assert fold.event_rows() == whole
 
 
-def test_files_to_events_and_stream(spark, tmp_path):
+def test_files_to_events(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
     for name in "ab":
@@ -116,16 +115,6 @@ def test_files_to_events_and_stream(spark, tmp_path):
     batch = ingest.fold_events(records, "codex")
     assert batch.count() == 2 * len(run(log()).events)
 
-    parts = tmp_path / "parts"
-    for k, cut in enumerate([(0, 5), (5, 9), (9, 99)]):
-        records.where(f"ordinal >= {cut[0]} and ordinal < {cut[1]}").coalesce(1).write.mode("append").parquet(str(parts / f"p={k}"))
-    stream = spark.readStream.schema("source_id string, ordinal long, byte_offset long, next_offset long, raw string").option("maxFilesPerTrigger", 1).parquet(str(parts) + "/*")
-    out = str(tmp_path / "changes")
-    query = fold_stream(stream, "codex").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, n: df.selectExpr("*", f"{n} as batch").write.mode("append").parquet(out)).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = latest(spark.read.parquet(out)).select(batch.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
-
 
 def test_blocks_give_the_lines_of_the_whole_file(spark, tmp_path):
     """Files read in blocks of a few hundred bytes: byte-order mark, CR, blank, bad and pending lines, names with spaces."""

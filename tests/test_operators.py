@@ -342,3 +342,11 @@ def test_chains_runs_and_flags_in_blocks_equal_one_block(spark):
     ):
         want = sorted(map(str, of(1 << 20).collect()))
         assert want and sorted(map(str, of(7).collect())) == want
+
+
+def test_periods():
+    assert history.parse_period("2024-01-15T00:00:00Z", "2024-01-15T00:00:00.5Z") == (1_705_276_800_000, 1_705_276_800_500)
+    assert history.parse_period("2024-01-01T00:00:00Z", "2025-01-01T00:00:00Z")[1] - 366 * history.DAY == history.parse_period("2024-01-01T00:00:00.000Z", "2024-01-02T00:00:00Z")[0]
+    for pair in (("2024-01-01", "2024-01-02"), ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z"), ("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"), ("2023-02-30T00:00:00Z", "2023-03-02T00:00:00Z"), ("2024-01-01T00:00:00+00:00", "2024-01-02T00:00:00Z"), ("2024-01-01T00:00:00.1234Z", "2024-01-02T00:00:00Z"), ("2024-01-01T00:00:00Z", "2025-01-01T00:00:00.001Z"), (None, "2024-01-02T00:00:00Z"), ("2024-01-01T24:01:00Z", "2024-01-02T00:00:00Z")):
+        with pytest.raises(ValueError):
+            history.parse_period(*pair)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,24 @@ def parse_offset(text: str) -> int:
     return minutes
 
 
+#: A strict UTC time, and the days that a period may have.
+_UTC = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?Z", re.ASCII)
+MOST_DAYS = 366
+
+
+def parse_period(start: str, end: str) -> tuple[int, int]:
+    """Milliseconds of a period [start, end) of strict UTC times that exist; it isn't empty and has at most 366 days."""
+    bounds = []
+    for text in (start, end):
+        if not isinstance(text, str) or not _UTC.fullmatch(text):
+            raise ValueError(f"not a UTC time: {text!r}")
+        moment = datetime.fromisoformat(text[:-1]).replace(tzinfo=UTC)  # refuses days and hours that don't exist
+        bounds.append((moment - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(milliseconds=1))
+    if not 0 < bounds[1] - bounds[0] <= MOST_DAYS * DAY:
+        raise ValueError(f"a period has more than 0 and at most {MOST_DAYS} days")
+    return bounds[0], bounds[1]
+
+
 def reconcile(copies: DataFrame, keys: list[str], signature: list[str], admitted: str, position: list[str], carry: bool = False) -> DataFrame:
     """One row for each event seen in one or more sources, and its state.
 

@@ -68,8 +68,8 @@ def shape_coverage(spark, sf_dir):
 @query(f"WITH {EVENTS_SQL}, s AS (SELECT source_id, session_id, count(*) AS events, max(id) AS last_id FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY source_id, session_id) AS position, count(*) OVER () AS total FROM s) SELECT source_id, session_id, events, last_id, total, total > 64 AS truncated FROM r WHERE position <= 64")
 def source_catalogue(spark, sf_dir):
     out = events(spark, sf_dir).groupBy("source_id", "session_id").agg(F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id"))
-    total = out.count()
-    return out.orderBy("source_id", "session_id").limit(64).withColumn("total", F.lit(total).cast("long")).withColumn("truncated", F.lit(total > 64))
+    listed = out.orderBy("source_id", "session_id").limit(64).withColumn("total", out.agg(F.count(F.lit(1))).scalar())
+    return listed.withColumn("truncated", F.col("total") > 64)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT scope, tool, count(*) AS n, count(*) FILTER (duration_ms > 600000) AS long_n, count(*) FILTER (duration_ms > 600000) / count(*) AS long_share FROM ev GROUP BY ALL")
