@@ -74,6 +74,26 @@ def test_output_headers():
         assert (event["status"], event["outcome"]) == want
 
 
+def test_polls_and_wrappers_are_no_executions():
+    item = lambda kind, **body: {"timestamp": stamp(body.pop("s")), "type": "response_item", "payload": {"type": kind, **body}}
+    said = lambda i, s, out: item("function_call_output", s=s, call_id=i, output=json.dumps(out))
+    poll = lambda i, s, process, chars="": item("function_call", s=s, call_id=i, name="write_stdin", arguments=json.dumps({"session_id": process, "chars": chars}))
+    wrap = item("custom_tool_call", s=1, call_id="w", name="exec", input="x")
+    start = [call(1, 1, "pytest"), wrap, said("w", 2, {"exit_code": 1})]
+    fold = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"session_id": 7}), poll("p2", 6, 7), said("p2", 8, {"exit_code": 0})])
+    assert list(fold.events) == ["c1"] and (fold.events["c1"]["status"], fold.events["c1"]["duration_ms"]) == ("completed", 7000.0)
+    early = run([*start, poll("p1", 4, 7), said("p1", 5, {"exit_code": 0}), said("c1", 6, {"session_id": 7})])
+    assert early.events["c1"]["status"] == "completed" and not early.early
+    late = run([*start, said("c1", 3, {"session_id": 7}), said("p1", 5, {"exit_code": 1}), poll("p1", 4, 7)])
+    assert list(late.events) == ["c1"] and late.events["c1"]["exit_code"] == 1
+    two = run([*start, call(2, 2, "pytest"), said("c1", 3, {"session_id": 7}), said("c2", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"exit_code": 0})])
+    assert {e["status"] for e in two.events.values()} == {"pending"} and [c for _, c in two.diagnostics] == ["UNSUPPORTED_RELATION"] * 2
+    odd = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7, "text"), said("p1", 5, {"exit_code": 0})])
+    assert odd.events["c1"]["status"] == "pending" and len(odd.diagnostics) == 2
+    twice = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"exit_code": 0}), poll("p2", 6, 7), said("p2", 7, {"exit_code": 1})])
+    assert twice.events["c1"]["timing_evidence"] == "conflicted"
+
+
 def test_unknown_program_is_not_failed():
     fold = run([call(1, 1, "frobnicate x"), result(1, 2, 3)])
     assert fold.events["c1"]["status"] == "unknown"

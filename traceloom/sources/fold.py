@@ -53,6 +53,9 @@ class Fold:
         self.ambiguous = False
         self.events: dict[str, dict] = {}
         self.early: dict[str, tuple[str, dict, int]] = {}
+        self.wrappers: set[str] = set()
+        self.polls: dict[str, str | None] = {}  # process of each poll; None if it isn't told
+        self.processes: dict[str, str | None] = {}  # launching execution; None if several claim it
         self.turns: dict[str, dict] = {}
         self.seen: dict[str, str] = {}
         self.diagnostics: list[tuple[int, str]] = []
@@ -137,14 +140,65 @@ class Fold:
         elif kind == "response_item" and body.get("type") in ("function_call", "custom_tool_call") and _text(body.get("call_id")):
             self._codex_call(body, offset, at)
         elif kind == "response_item" and body.get("type") in ("function_call_output", "custom_tool_call_output") and _text(body.get("call_id")):
-            self._close(body["call_id"], offset, "result", self._codex_output(body.get("output")) | {"end": at})
+            self._codex_result(body["call_id"], offset, self._codex_output(body.get("output")) | {"end": at})
         elif kind == "event_msg" and body.get("type") in ("task_started", "task_complete", "turn_aborted") and _text(body.get("turn_id")):
             self._codex_turn(body, offset)
         elif kind == "event_msg" and body.get("type") == "item_completed" and isinstance(body.get("item"), dict):
             self._codex_item(body, offset)
 
+    def _codex_result(self, id_: str, offset: int, result: dict) -> None:
+        if id_ in self.wrappers:  # a wrapper is no execution
+            return
+        if id_ in self.polls:
+            self._poll(id_, offset, result)
+            return
+        self._close(id_, offset, "result", result)
+        if id_ in self.events and result.get("running") and result.get("process"):
+            self._launched(result["process"], id_, offset)
+
+    def _launched(self, process: str, id_: str, offset: int) -> None:
+        """A process has one execution; polls of it that came early are applied now."""
+        if self.processes.setdefault(process, id_) != id_:
+            self.processes[process] = None
+            self.diagnostics.append((offset, "UNSUPPORTED_RELATION"))
+        for poll in [k for k, p in self.polls.items() if p == process and k in self.early]:
+            _, result, at = self.early.pop(poll)
+            self._poll(poll, at, result)
+
+    def _poll(self, poll: str, offset: int, result: dict) -> None:
+        """What a poll tells is told of the execution that launched its process."""
+        process = self.polls[poll]
+        if process is not None and process not in self.processes:
+            self.early[poll] = ("poll", result, offset)
+            return
+        id_ = self.processes.get(process)
+        if id_ is None or result.get("process") not in (None, process):
+            self.diagnostics.append((offset, "UNSUPPORTED_RELATION"))
+        elif self.events[id_]["status"] != "pending" and not result.get("running") and result.get("exit_code") != self.events[id_]["exit_code"]:
+            self._conflict(id_)
+        else:
+            self._close(id_, offset, f"poll {poll}", result)
+
     def _codex_call(self, body: dict, offset: int, at: int | None) -> None:
         name, command = body.get("name"), None
+        if name in ("exec", "write_stdin") and body.get("namespace") in (None, "functions"):
+            if name == "exec":
+                self.wrappers.add(body["call_id"])
+                self.early.pop(body["call_id"], None)
+                return
+            try:
+                args = json.loads(body.get("arguments") or "{}")
+            except ValueError:
+                args = {}
+            process = args.get("session_id") if isinstance(args, dict) else None
+            known = isinstance(process, (str, int)) and not isinstance(process, bool) and process != "" and args.get("chars") == ""
+            if not known:
+                self.diagnostics.append((offset, "UNSUPPORTED_RELATION"))
+            self.polls[body["call_id"]] = str(process) if known else None
+            if known and body["call_id"] in self.early:
+                _, result, seen = self.early.pop(body["call_id"])
+                self._poll(body["call_id"], seen, result)
+            return
         if name in ("shell", "exec_command", "local_shell"):
             try:
                 args = json.loads(body.get("arguments") or "{}")
@@ -162,11 +216,11 @@ class Fold:
             value = json.loads(output) if isinstance(output, str) else output
         except ValueError:
             header = output_header(output)  # plain text that begins with the strict header
-            return {k: header[k] for k in ("exit_code", "running")} if header else {}
+            return {"exit_code": header["exit_code"], "running": header["running"], "process": header["process_id"]} if header else {}
         if not isinstance(value, dict):
             return {}
         code = value.get("exit_code", (value.get("metadata") or {}).get("exit_code") if isinstance(value.get("metadata"), dict) else None)
-        return {"exit_code": code if isinstance(code, int) and not isinstance(code, bool) else None, "running": bool(value.get("running") or (value.get("session_id") and code is None))}
+        return {"exit_code": code if isinstance(code, int) and not isinstance(code, bool) else None, "running": bool(value.get("running") or (value.get("session_id") and code is None)), "process": str(value["session_id"]) if value.get("session_id") else None}
 
     def _codex_turn(self, body: dict, offset: int) -> None:
         turn = self.turns.setdefault(body["turn_id"], {"id": body["turn_id"], "session_id": self.session, "start_ms": None, "end_ms": None, "status": "pending", "byte_offset": offset})
