@@ -1,9 +1,11 @@
-"""Line reader, fold, and that a stream of parts gives what the whole gives."""
+"""Line reader, and that files of any size give their lines."""
 
 import json
 
-from traceloom.sources import ingest, jsonl
-from traceloom.sources.fold import Fold
+from test_pairing import log
+
+from traceloom.operators import pairing
+from traceloom.sources import jsonl
 
 
 def test_lines():
@@ -14,114 +16,6 @@ def test_lines():
     assert list(jsonl.lines(b"")) == []
 
 
-def stamp(s):
-    return f"2026-01-01T00:00:{s:02d}.000Z"
-
-
-def call(i, s, command="pytest -q"):
-    return {"timestamp": stamp(s), "type": "response_item", "payload": {"type": "function_call", "call_id": f"c{i}", "name": "shell", "arguments": json.dumps({"command": command})}}
-
-
-def result(i, s, code):
-    return {"timestamp": stamp(s), "type": "response_item", "payload": {"type": "function_call_output", "call_id": f"c{i}", "output": json.dumps({"exit_code": code})}}
-
-
-def log():
-    return [
-        {"timestamp": stamp(0), "type": "session_meta", "payload": {"id": "s1"}}, {"timestamp": stamp(0), "type": "turn_context", "payload": {"turn_id": "t1"}},
-        call(1, 1), result(1, 3, 0), call(2, 4), result(2, 5, 2), result(3, 7, 1), call(3, 6, "rg x src"), call(4, 8), call(1, 1), result(1, 3, 0), call(5, 9), result(5, 10, 0), result(5, 11, 1),
-        {"timestamp": stamp(12), "type": "event_msg", "payload": {"type": "item_completed", "started_at_ms": 5, "completed_at_ms": 20, "item": {"type": "CommandExecution", "id": "i1", "command": "make build", "exit_code": 0, "duration": {"secs": 0, "nanos": 9000000}}}},
-        {"timestamp": stamp(13), "type": "session_meta", "payload": {"id": "other"}}, call(6, 14),
-    ]
-
-
-def run(records, provider="codex"):
-    fold = Fold(provider)
-    for k, r in enumerate(records):
-        fold.ingest(json.dumps(r), k)
-    return fold
-
-
-def test_codex_fold():
-    events = {e["id"]: e for e in run(log()).events.values()}
-    assert (events["c1"]["status"], events["c1"]["duration_ms"], events["c1"]["turn_id"]) == ("completed", 2000.0, "t1")
-    assert (events["c2"]["status"], events["c2"]["outcome"]) == ("unknown", "unknown")  # a program whose codes aren't known
-    assert (events["c3"]["outcome"], events["c3"]["duration_ms"]) == ("no_match", 1000.0)
-    assert events["c4"]["status"] == "pending"
-    assert (events["c5"]["status"], events["c5"]["timing_evidence"], events["c5"]["end_ms"]) == ("unknown", "conflicted", None)
-    assert (events["i1"]["duration_ms"], events["i1"]["timing_evidence"], events["i1"]["category"]) == (9.0, "source_reported", "other")
-    assert events["c6"]["ambiguous"] and not events["c4"]["ambiguous"]
-
-
-def test_turns_and_diagnostics(spark):
-    from pyspark.sql import functions as F
-
-    turn = lambda kind, **more: {"type": "event_msg", "payload": {"type": kind, "turn_id": "t1", **more}}
-    records = [*log()[:2], turn("task_started", started_at=1), turn("task_complete", completed_at=3), log()[-2], turn("turn_aborted")]
-    fold = run(records)
-    assert [r[0] for r in fold.other_rows()] == ["turn", "diagnostic"]
-    assert fold.turns["t1"] | {"byte_offset": 0} == {"id": "t1", "session_id": "s1", "start_ms": 1000, "end_ms": 3000, "status": "unknown", "byte_offset": 0}
-    rows = spark.createDataFrame([(s, k, json.dumps(r), 10 * k) for s in "ab" for k, r in enumerate(records)], "source_id string, ordinal long, raw string, byte_offset long").repartition(3)
-    got = ingest.fold_others(rows, "codex").groupBy("source_id", "what").agg(F.count(F.lit(1)).alias("n")).collect()
-    assert {(r.source_id, r.what): r.n for r in got} == {(s, w): 1 for s in "ab" for w in ("turn", "diagnostic")}
-
-
-def test_output_headers():
-    said = lambda text: {"timestamp": stamp(3), "type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": text}}
-    done, open_ = "Wall time: 0.5 seconds\nProcess exited with code 1\nOutput:\nx", "Wall time: 0.5 seconds\nProcess running with session ID 7\nOutput:\n"
-    for text, want in ((done, ("completed", "no_match")), (open_, ("pending", "unknown")), ("some text", ("unknown", "unknown"))):
-        event = run([call(1, 1, "rg x"), said(text)]).events["c1"]
-        assert (event["status"], event["outcome"]) == want
-
-
-def test_polls_and_wrappers_are_no_executions():
-    item = lambda kind, **body: {"timestamp": stamp(body.pop("s")), "type": "response_item", "payload": {"type": kind, **body}}
-    said = lambda i, s, out: item("function_call_output", s=s, call_id=i, output=json.dumps(out))
-    poll = lambda i, s, process, chars="": item("function_call", s=s, call_id=i, name="write_stdin", arguments=json.dumps({"session_id": process, "chars": chars}))
-    wrap = item("custom_tool_call", s=1, call_id="w", name="exec", input="x")
-    start = [call(1, 1, "pytest"), wrap, said("w", 2, {"exit_code": 1})]
-    fold = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"session_id": 7}), poll("p2", 6, 7), said("p2", 8, {"exit_code": 0})])
-    assert list(fold.events) == ["c1"] and (fold.events["c1"]["status"], fold.events["c1"]["duration_ms"]) == ("completed", 7000.0)
-    early = run([*start, poll("p1", 4, 7), said("p1", 5, {"exit_code": 0}), said("c1", 6, {"session_id": 7})])
-    assert early.events["c1"]["status"] == "completed" and not early.early
-    late = run([*start, said("c1", 3, {"session_id": 7}), said("p1", 5, {"exit_code": 1}), poll("p1", 4, 7)])
-    assert list(late.events) == ["c1"] and late.events["c1"]["exit_code"] == 1
-    two = run([*start, call(2, 2, "pytest"), said("c1", 3, {"session_id": 7}), said("c2", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"exit_code": 0})])
-    assert {e["status"] for e in two.events.values()} == {"pending"} and [c for _, c in two.diagnostics] == ["UNSUPPORTED_RELATION"] * 2
-    odd = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7, "text"), said("p1", 5, {"exit_code": 0})])
-    assert odd.events["c1"]["status"] == "pending" and len(odd.diagnostics) == 2
-    twice = run([*start, said("c1", 3, {"session_id": 7}), poll("p1", 4, 7), said("p1", 5, {"exit_code": 0}), poll("p2", 6, 7), said("p2", 7, {"exit_code": 1})])
-    assert twice.events["c1"]["timing_evidence"] == "conflicted"
-
-
-def test_unknown_program_is_not_failed():
-    fold = run([call(1, 1, "frobnicate x"), result(1, 2, 3)])
-    assert fold.events["c1"]["status"] == "unknown"
-
-
-def test_claude_fold():
-    def message(uuid, role, content, s, **more):
-        return {"type": role, "uuid": uuid, "sessionId": "s", "timestamp": stamp(s), "message": {"id": f"m{uuid}", "role": role, "content": content, **more}}
-
-    use = lambda i, name, args: {"type": "tool_use", "id": i, "name": name, "input": args}
-    back = lambda i, bad: {"type": "tool_result", "tool_use_id": i, "is_error": bad}
-    usage = {"input_tokens": 100, "cache_read_input_tokens": 30, "cache_creation_input_tokens": 20, "output_tokens": 10}
-    records = [message("a", "assistant", [use("u1", "Bash", {"command": "pytest"}), use("u2", "Read", {})], 1, usage=usage, stop_reason="end_turn"), message("b", "user", [back("u1", True), back("u2", False)], 4)]
-    fold = run([*records, records[1]], "claude")
-    assert [(e["id"], e["status"], e["duration_ms"], e["kind"]) for e in fold.events.values()] == [("u1", "failed", 3000.0, "shell"), ("u2", "completed", 3000.0, "read")]
-
-
-def test_any_split_is_equivalent():
-    import pickle
-
-    records, whole = log(), run(log()).event_rows()
-    for cut in range(len(records)):
-        fold = pickle.loads(pickle.dumps(run(records[:cut])))
-        for k, r in enumerate(records[cut:]):
-            fold.ingest(json.dumps(r), cut + k)
-        assert fold.event_rows() == whole
-
-
 def test_files_to_events(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
@@ -132,8 +26,7 @@ def test_files_to_events(spark, tmp_path):
     assert jsonl.discover(spark, str(folder)).count() == 3
     records = jsonl.admitted(jsonl.read_records(spark, str(folder), "codex"))
     assert records.select("source_id").distinct().count() == 2
-    batch = ingest.fold_events(records, "codex")
-    assert batch.count() == 2 * len(run(log()).events)
+    assert pairing.codex_executions(pairing.codex_facts(records)).count() == 2 * 10
 
 
 def test_blocks_give_the_lines_of_the_whole_file(spark, tmp_path):

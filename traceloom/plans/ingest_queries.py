@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceloom.functions.saved import saved, work_folder
-from traceloom.operators import usage
-from traceloom.sources import ingest, jsonl
+from traceloom.operators import pairing, usage
+from traceloom.sources import jsonl
 from traceloom.sources.driver_tables import EVENTS_SQL, events
 
 QUERIES: dict = {}
@@ -62,10 +62,8 @@ def write_session_logs(spark, sf_dir: str, folder: str) -> None:
     out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
 
 
-def _others(spark, sf_dir: str):
-    folder = work_folder(spark, "logs")
-    write_session_logs(spark, sf_dir, folder)
-    return ingest.fold_others(jsonl.admitted(jsonl.read_records(spark, folder, "codex", pattern="part-*")), "codex")
+def _facts(spark, sf_dir: str, write):
+    return saved(pairing.codex_facts(_records(spark, sf_dir, write, "codex")))
 
 
 _SESSIONS = f"WITH {EVENTS_SQL}, e AS (SELECT *, session_id % 50 AS source FROM ev)"
@@ -73,14 +71,14 @@ _SESSIONS = f"WITH {EVENTS_SQL}, e AS (SELECT *, session_id % 50 AS source FROM
 
 def ingest_turns(spark, sf_dir: str):
     """Turns from written logs: two different ends make a status unknown."""
-    turns = _others(spark, sf_dir).where("what = 'turn'")
+    turns = pairing.codex_turns(_facts(spark, sf_dir, write_session_logs))
     return turns.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("sum_ms"))
 
 
 def _records(spark, sf_dir: str, write, provider: str):
     folder = work_folder(spark, "logs")
     write(spark, sf_dir, folder)
-    return saved(jsonl.admitted(jsonl.read_records(spark, folder, provider, pattern="part-*")))
+    return jsonl.admitted(saved(jsonl.read_records(spark, folder, provider, pattern="part-*")))
 
 
 def ingest_usage(spark, sf_dir: str):
@@ -118,14 +116,49 @@ def response_usage(spark, sf_dir: str):
 
 def ingest_diagnostics(spark, sf_dir: str):
     """Diagnostics from written logs: each record that names another session than the first."""
-    rows = _others(spark, sf_dir).where("what = 'diagnostic'")
-    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
+    found = pairing.codex_diagnostics(_facts(spark, sf_dir, write_session_logs))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
+
+
+def write_message_logs(spark, sf_dir: str, folder: str) -> None:
+    """Each event as a call and a result in messages; some results only acknowledge, come again with the same or another message, or lack."""
+    rows = events(spark, sf_dir).withColumn("source", F.expr(f"id div {_RECORDS}"))
+    stamp = lambda ms: F.date_format(F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {ms} / 1000.0)"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    text = lambda x: F.concat(F.lit(x), F.col("id").cast("string"))
+    tool = F.create_map(*[F.lit(x) for pair in {"read": "Read", "search": "Grep", "edit": "Edit", "validation": "Bash", "command": "Bash"}.items() for x in pair])[F.col("category")]
+    command = F.when(F.col("category") == "validation", "pytest -q").when(F.col("category") == "command", "make build")
+
+    def message(kind: str, uuid, at: str, block, **more):
+        parts = {"type": F.lit(kind), "uuid": uuid, "sessionId": F.concat(F.lit("s"), F.col("source").cast("string")), "timestamp": stamp(at), "message": F.struct(F.array(block).alias("content"))} | more
+        return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+    use = F.struct(F.lit("tool_use").alias("type"), text("t").alias("id"), tool.alias("name"), F.struct(command.alias("command")).alias("input"))
+    back = lambda bad: F.struct(F.lit("tool_result").alias("type"), text("t").alias("tool_use_id"), bad.alias("is_error"))
+    bad, none = F.col("status") == "failed", F.lit(None).cast("string")
+    result = message("user", text("r"), "end_ms", back(bad))
+    lines = F.array(
+        message("assistant", text("c"), "start_ms", use),
+        F.when(F.col("id") % 41 == 6, none).when(F.col("id") % 29 == 3, message("user", text("r"), "end_ms", back(F.lit(False)), toolUseResult=F.struct(F.lit(True).alias("isAsync")))).otherwise(result),
+        F.when(F.col("id") % 31 == 4, message("user", text("r"), "end_ms", back(~bad))), F.when(F.col("id") % 37 == 5, message("user", text("x"), "end_ms", back(~bad))),
+    )
+    out = rows.select("source", "id", F.posexplode(lines).alias("part", "value")).where(F.col("value").isNotNull())
+    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
 
 
-QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "response_usage": response_usage, "ingest_diagnostics": ingest_diagnostics}
+def message_calls(spark, sf_dir: str):
+    """Calls and results in messages: acknowledged ones stay pending, repeated messages say nothing new, results that differ conflict."""
+    found = pairing.claude_executions(_records(spark, sf_dir, write_message_logs, "claude"))
+    return found.groupBy("kind", "category", "status", "outcome", "timing_evidence").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("sum_ms"), F.count("acknowledged_ms").alias("acknowledged"))
+
+
+QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "response_usage": response_usage, "message_calls": message_calls, "ingest_diagnostics": ingest_diagnostics}
 ORACLES |= {
     "ingest_turns": f"{_SESSIONS} SELECT CASE WHEN id % 70 = 0 AND id % 30 <> 0 THEN 'unknown' WHEN id % 30 = 0 THEN 'cancelled' ELSE 'completed' END AS status, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS sum_ms FROM e WHERE id % 10 = 0 GROUP BY 1",
     "ingest_usage": f"{_SESSIONS}, u AS (SELECT source, id // 3 AS r, min(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS lo, max(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS hi FROM e GROUP BY ALL) SELECT lo <> hi AS conflicted, count(*) AS n, CAST(coalesce(sum(CASE WHEN lo = hi THEN lo END), 0) AS BIGINT) AS input_tokens FROM u GROUP BY 1",
+    "message_calls": f"""WITH {EVENTS_SQL}, x AS (SELECT *, id % 41 = 6 AS lacks, id % 29 = 3 AND id % 41 <> 6 AS ack, id % 31 = 4 AND id % 41 = 6 AS again, id % 37 = 5 AS other, status = 'failed' AS bad FROM ev),
+y AS (SELECT *, CASE WHEN again THEN [NOT bad] WHEN lacks OR ack THEN [] ELSE [bad] END || CASE WHEN other THEN [NOT bad] ELSE [] END AS told FROM x), z AS (SELECT *, len(list_distinct(told)) > 1 AS differ FROM y)
+SELECT CASE category WHEN 'read' THEN 'read' WHEN 'search' THEN 'search' WHEN 'edit' THEN 'edit' ELSE 'shell' END AS kind, CASE category WHEN 'validation' THEN 'test' WHEN 'command' THEN 'other' ELSE category END AS category, CASE WHEN differ THEN 'unknown' WHEN len(told) = 0 THEN 'pending' WHEN told[1] THEN 'failed' ELSE 'completed' END AS status,
+CASE WHEN differ OR len(told) = 0 THEN 'unknown' WHEN told[1] THEN 'error' ELSE 'success' END AS outcome, CASE WHEN differ THEN 'conflicted' WHEN len(told) = 0 THEN 'unknown' ELSE 'paired' END AS timing_evidence, count(*) AS n, CAST(coalesce(sum(CASE WHEN NOT differ AND len(told) > 0 THEN duration_ms END), 0) AS BIGINT) AS sum_ms, count(CASE WHEN ack AND NOT differ THEN 1 END) AS acknowledged FROM z GROUP BY ALL""",
     "response_usage": f"""WITH {EVENTS_SQL}, e AS (SELECT id, id // {_RECORDS} AS source, id // 3 AS r, id % 3 AS part, CASE WHEN id % 19 = 5 THEN NULL WHEN id % 13 = 4 THEN id - 1 ELSE id END AS uuid FROM ev),
 x AS (SELECT *, CASE WHEN r % 23 = 6 THEN NULL ELSE 'm' || r END AS response_id, r % 11 = 2 AS bad, r % 5 = 1 OR r % 7 = 3 AS lacks FROM e),
 y AS (SELECT x.*, uuid IS NOT NULL AND id <> first_id AS odd FROM x LEFT JOIN (SELECT source, uuid, min(id) AS first_id FROM x WHERE uuid IS NOT NULL GROUP BY ALL) f USING (source, uuid)),
@@ -139,10 +172,7 @@ CASE WHEN conflicted THEN 'conflicted' WHEN bad OR g.response_id IS NULL THEN 'i
 
 
 def ingest_roundtrip(spark, sf_dir: str):
-    folder = work_folder(spark, "logs")
-    write_logs(spark, sf_dir, folder)
-    records = jsonl.admitted(jsonl.read_records(spark, folder, "codex", pattern="part-*"))
-    found = ingest.fold_events(records, "codex")
+    found = pairing.codex_executions(_facts(spark, sf_dir, write_logs))
     return found.groupBy("category", "status", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").cast("long").alias("sum_ms"))
 
 
