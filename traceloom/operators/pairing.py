@@ -16,7 +16,7 @@ from traceloom.functions.expr import utc_ms
 from traceloom.functions.identity import command_class
 from traceloom.functions.saved import saved
 from traceloom.operators.blocks import WIDTH, running
-from traceloom.operators.usage import _text, parsed
+from traceloom.operators.usage import _text, once, parsed
 
 #: Names of tools and their kinds, names that run commands, and the category of a kind.
 KINDS = {"Bash": "shell", "Read": "read", "Edit": "edit", "MultiEdit": "edit", "Write": "edit", "Grep": "search", "Glob": "search", "Task": "subagent", "Agent": "subagent", "WebFetch": "browser", "WebSearch": "browser"}
@@ -67,7 +67,7 @@ def codex_facts(records: DataFrame) -> DataFrame:
     """One row for each record of the first provider that says something of sessions, turns, calls or their results."""
     rows = parsed(records)
     kind, what = _text("$.type"), _text("$.payload.type")
-    rows = rows.withColumns({"_type": kind, "_what": what, "at_ms": utc_ms(_text("$.timestamp")), "_call": _text("$.payload.call_id"), "_name": _text("$.payload.name"), "_space": _text("$.payload.namespace"), "_item": _text("$.payload.item.type")})
+    rows = once(rows, {"_type": kind, "_what": what, "at_ms": utc_ms(_text("$.timestamp")), "_call": _text("$.payload.call_id"), "_name": _text("$.payload.name"), "_space": _text("$.payload.namespace"), "_item": _text("$.payload.item.type")})
     item_, response = F.col("_type") == "event_msg", F.col("_type") == "response_item"
     plain = F.col("_space").isNull() | (F.col("_space") == "functions")
     is_call = response & F.col("_what").isin("function_call", "custom_tool_call") & F.col("_call").isNotNull()
@@ -76,7 +76,8 @@ def codex_facts(records: DataFrame) -> DataFrame:
         .when(is_call & (F.col("_name") == "exec") & plain, "wrapper").when(is_call & (F.col("_name") == "write_stdin") & plain, "poll").when(is_call, "call").when(response & F.col("_what").isin("function_call_output", "custom_tool_call_output") & F.col("_call").isNotNull(), "result")
         .when(item_ & (F.col("_what") == "item_completed") & F.col("_item").isin("CommandExecution", "McpToolCall") & _text("$.payload.item.id").isNotNull(), "item")
     )
-    rows = rows.withColumn("fact", fact).where("fact IS NOT NULL").withColumns({"_a": F.try_parse_json(_text("$.payload.arguments")), "_o": F.when(_schema("$.payload.output") == "STRING", F.try_parse_json(_get("$.payload.output", "string"))).otherwise(_get("$.payload.output", "variant"))})
+    rows = once(rows, {"fact": fact}).where("fact IS NOT NULL")
+    rows = once(rows, {"_a": F.try_parse_json(_text("$.payload.arguments")), "_o": F.when(_schema("$.payload.output") == "STRING", F.try_parse_json(_get("$.payload.output", "string"))).otherwise(_get("$.payload.output", "variant"))})
     words = lambda path, v: F.when(_schema(path, v).startswith("ARRAY"), _get(path, "array<string>", v))
     joined = lambda a: F.when((F.size(a) == 3) & F.get(a, 1).isin("-c", "-lc"), F.get(a, 2)).otherwise(F.array_join(a, " "))
     line = lambda path, v: F.coalesce(F.when(_schema(path, v) == "STRING", _get(path, "string", v)), joined(words(path, v)))

@@ -49,9 +49,14 @@ def _safe(total: Column) -> Column:
     return F.when(total <= SAFE, total)
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later expressions use many times. A generator of one row keeps them from being computed anew for each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parsed(records: DataFrame) -> DataFrame:
     """Records with their content as variant ``v``."""
-    return records.select("source_id", "ordinal", "byte_offset", F.try_parse_json("raw").alias("v"))
+    return once(records, {"v": F.try_parse_json("raw")}).select("source_id", "ordinal", "byte_offset", "v")
 
 
 def claude_counts(rows: DataFrame, usage: str = "$.message.usage") -> DataFrame:
