@@ -261,3 +261,18 @@ def test_damage_is_found(spark, bpe, tmp_path):
     spark.read.parquet(str(tmp_path / "t/index")).write.parquet(str(tmp_path / "u/index"))
     with pytest.raises(Exception, match="damaged"):
         token_files.read_documents(spark, str(tmp_path / "u"))
+
+
+@pytest.mark.parametrize("length", [2, 3, 5])
+def test_runs_back(length):
+    rng = np.random.default_rng(length)
+    words = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    prints, counts = np.unique(words[rng.integers(0, 60, (5000, length))], axis=0, return_counts=True)
+    for bits in (0, 2, 5):
+        batch = collocations._runs(prints, counts, bits).to_pylist()
+        parts = [collocations._unpacked(r["run"], r["n"], length) for r in batch]
+        got = np.concatenate([np.vstack([w, c.view(np.uint64)]) for w, c in parts], axis=1).T
+        assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, np.column_stack([prints, counts.astype(np.uint64)]).tolist()))
+        assert len({r["part"] for r in batch}) == len(batch) <= 1 << bits
+        for w, _ in parts:
+            assert (np.lexsort(w[::-1]) == np.arange(w.shape[1])).all()

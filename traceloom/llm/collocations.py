@@ -132,11 +132,26 @@ def _words(batches):
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array([w.names[k] for k in w.lang[first].tolist()] + w.names, pa.string()), "word": pa.array([raw[a:b].decode() for a, b in spans] + [None] * len(w.names), pa.string()),
-                "print": pa.array(np.concatenate((distinct.view(np.int64), np.zeros(len(w.names), np.int64)))), "n": pa.array(np.concatenate((count, totals)), pa.int64()),
+                "n": pa.array(np.concatenate((count, totals)), pa.int64()),
             }
         )
 
 
+def _print(lang: Column, word: Column) -> Column:
+    """The fingerprint that stands for a word of a language; 0 for no word."""
+
+    @F.arrow_udf("long")
+    def run(langs: pa.Array, words: pa.Array) -> pa.Array:
+        out = np.zeros(len(words), dtype=np.int64)
+        known = [k for k, x in enumerate(words) if x.is_valid]
+        if known:
+            made = _Words([langs[k].as_py() for k in known], [words[k].as_py().encode() for k in known])
+            out[known] = made.prints.view(np.int64)  # each text is one word
+        return pa.array(out)
+
+    return run(lang, word)
+
+
 def _phrase_prints(flat: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of every n consecutive words."""
     return flat if n == 1 else windows(flat, n)
@@ -164,16 +179,32 @@ def _filter(found: DataFrame, bits: int) -> _Filter | None:
     return _Filter(words.view(U64), bits)
 
 
+def _parts(prints: np.ndarray, bits: int) -> np.ndarray:
+    """The prefix partition of each phrase: of its first two words (the first, of two), dealt over eight by the word after, so that not all that begins with a common word meets in one task."""
+    k, count = min(2, prints.shape[1] - 1), 1 << bits
+    prefix = windows(np.ascontiguousarray(prints[:, :k]).ravel(), k)[::k]
+    place = (prefix >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
+    return (place + (prints[:, k] >> U64(61)).astype(np.int64) * max(1, count >> 3)) % count
+
+
+def _packed(prints: np.ndarray, counts: np.ndarray) -> bytes:
+    return squeeze(np.ascontiguousarray(prints.T).tobytes() + counts.astype("<i8").tobytes())
+
+
+def _unpacked(blob: bytes, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a run, a row for each place, and its counts."""
+    raw = np.frombuffer(expand(blob), dtype=U64).reshape(length + 1, n)
+    return raw[:length], raw[length].view(np.int64)
+
+
 def _runs(prints: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted runs, one for each prefix partition. The prefix is three words, so that not all that begins with a common word meets in one task."""
-    prefix = prints[:, : min(3, prints.shape[1])]
-    part = (windows(np.ascontiguousarray(prefix).ravel(), prefix.shape[1])[:: prefix.shape[1]] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
+    """Sorted runs, one for each prefix partition."""
+    part = _parts(prints, bits)
     order = np.lexsort((*prints.T[::-1], part))
     prints, counts, part = prints[order], counts[order], part[order]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    made = [squeeze(np.ascontiguousarray(prints[a:b].T).tobytes() + counts[a:b].astype("<i8").tobytes()) for a, b in spans]
-    return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()), "run": pa.array(made, pa.binary())})
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts[:-1]], pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()), "run": pa.array([_packed(prints[a:b], counts[a:b]) for a, b in spans], pa.binary())})
 
 
 def _counter(length: int, wanted, bits: int, most: int):
@@ -226,9 +257,9 @@ def _merger(length: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         columns, counts = [], []
         for n, blob in zip(table.column("n").to_pylist(), table.column("run").to_pylist(), strict=True):
-            raw = np.frombuffer(expand(blob), dtype=U64).reshape(length + 1, n)
-            columns.append(raw[:length])
-            counts.append(raw[length].view(np.int64))
+            words, times = _unpacked(blob, n, length)
+            columns.append(words)
+            counts.append(times)
         prints, times = np.concatenate(columns, axis=1), np.concatenate(counts)
         order = np.lexsort(prints[::-1])
         prints, times = prints[:, order], times[order]
@@ -256,8 +287,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", most_
     items = corpus_bytes(docs, text) / 6
     bits = bits_for(items, bucket_size(items))
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    every = rows.mapInArrow(_words, "lang string, word string, print long, n long").groupBy("lang", "word", "print").agg(F.sum("n").alias("n"))
-    some = scratch.save(every.where(F.col("word").isNull() | (F.col("n") >= least)), "words")
+    every = rows.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    some = every.where(F.col("word").isNull() | (F.col("n") >= least)).withColumn("print", _print(F.col("lang"), F.col("word")))
+    some = scratch.save(some, "words")
     totals = some.where("word IS NULL").select("lang", F.col("n").alias("total"))
     words = some.where("word IS NOT NULL").join(totals, "lang")
     found, phrases = some.where("word IS NOT NULL"), None
