@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from traceloom.functions.expr import complete_sum, fraction
 from traceloom.functions.saved import saved, work_folder
 from traceloom.operators import pairing, usage
 from traceloom.sources import jsonl
@@ -145,16 +147,63 @@ def write_message_logs(spark, sf_dir: str, folder: str) -> None:
     out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
 
 
+#: Counts of a response, by id; two of three logs are of a verified program.
+_COUNTS = {"input": "CASE WHEN id % 23 = 5 THEN NULL ELSE id % 50 END", "cached": "id * 7 % 60", "written": "id % 9", "output": "id % 40", "reasoning": "id % 45", "total": "id % 50 + id % 40 + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END"}
+
+
+def write_counted_logs(spark, sf_dir: str, folder: str) -> None:
+    """A response for each event; some come twice, some of these with other counts, some parts exceed their whole."""
+    rows = events(spark, sf_dir).selectExpr("id", f"id div {_RECORDS} AS source", *[f"{e} AS {n}" for n, e in _COUNTS.items()])
+    first = F.row_number().over(W.partitionBy("source").orderBy("id")) == 1
+    meta = F.concat(F.lit('{"type":"session_meta","payload":{"id":"s'), F.col("source").cast("string"), F.lit('","cli_version":"'), F.when(F.col("source") % 3 == 0, "1.0").otherwise("0.157.0"), F.lit('"}}'))
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+
+    def record(output):
+        counts = {"input_tokens": F.col("input"), "cached_input_tokens": F.col("cached"), "cache_write_input_tokens": F.col("written"), "output_tokens": output, "reasoning_output_tokens": F.col("reasoning"), "total_tokens": F.col("total")}
+        body = F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), number(v)) for k, v in counts.items()])
+        return F.concat(F.lit('{"type":"token_usage_record","payload":{"response_id":"r'), F.col("id").cast("string"), F.lit('","usage":{'), body, F.lit("}}}"))
+
+    again = F.when(F.col("id") % 19 == 4, record(F.col("output") + 1)).when(F.col("id") % 17 == 3, record(F.col("output")))
+    out = rows.withColumn("_first", first).select("source", "id", F.posexplode(F.array(F.when(F.col("_first"), meta), record(F.col("output")), again)).alias("part", "value")).where(F.col("value").isNotNull())
+    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+
+
+_COUNTED = ("input", "cached_input", "cache_write_input", "output", "reasoning_output", "total")
+
+
+def verified_usage(spark, sf_dir: str):
+    """Usage of the first provider: parts are held against their wholes only where the program is verified."""
+    rows = usage.codex_usage(_records(spark, sf_dir, write_counted_logs, "codex"))
+    return rows.select("session_id", "response_id", *[F.col(f"counts.{c}").alias(c) for c in _COUNTED], "count_status", "selection", "records")
+
+
+def verified_shares(spark, sf_dir: str):
+    """Shares of cache reads, cache writes and reasoning, and output without reasoning, of each session's eligible responses; null where a part is unknown."""
+    rows = usage.codex_usage(_records(spark, sf_dir, write_counted_logs, "codex")).where("selection = 'eligible'").select("session_id", "counts.*")
+    sums = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), *[complete_sum(F.col(c)).alias(c) for c in _COUNTED])
+    share = {"cache_share": ("cached_input", "input"), "cache_write_share": ("cache_write_input", "input"), "reasoning_share": ("reasoning_output", "output")}
+    return sums.select("session_id", "n", *[fraction(F.col(a), F.col(b)).alias(n) for n, (a, b) in share.items()], (F.col("output") - F.col("reasoning_output")).alias("visible_output"), "total")
+
+
 def message_calls(spark, sf_dir: str):
     """Calls and results in messages: acknowledged ones stay pending, repeated messages say nothing new, results that differ conflict."""
     found = pairing.claude_executions(_records(spark, sf_dir, write_message_logs, "claude"))
     return found.groupBy("kind", "category", "status", "outcome", "timing_evidence").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("sum_ms"), F.count("acknowledged_ms").alias("acknowledged"))
 
 
-QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "response_usage": response_usage, "message_calls": message_calls, "ingest_diagnostics": ingest_diagnostics}
+_VERIFIED = f"""WITH {EVENTS_SQL}, b AS (SELECT id, id // {_RECORDS} AS source, {', '.join(f'{e} AS {n}' for n, e in _COUNTS.items())}, id // {_RECORDS} % 3 <> 0 AS known, id % 19 = 4 AS twice, CASE WHEN id % 19 = 4 OR id % 17 = 3 THEN 2 ELSE 1 END AS records FROM ev),
+c AS (SELECT *, known AND coalesce(cached > input, false) AS bc, known AND coalesce(written > input, false) AS bw, known AND reasoning > output AS bg, known AND coalesce(total <> input + output, false) AS bt FROM b),
+d AS (SELECT *, known AND NOT bc AND NOT bw AND coalesce(cached + written > input, false) AS bb FROM c),
+e AS (SELECT *, CASE WHEN bc OR bw OR bb OR bg OR bt THEN 'invalid' WHEN input IS NULL OR NOT known THEN 'partial' ELSE 'complete' END AS count_status FROM d),
+rows_ AS (SELECT 's' || source AS session_id, 'r' || id AS response_id, CASE WHEN NOT twice THEN input END AS input, CASE WHEN NOT twice AND NOT bc AND NOT bb THEN cached END AS cached_input, CASE WHEN NOT twice AND NOT bw AND NOT bb THEN written END AS cache_write_input, CASE WHEN NOT twice THEN output END AS output,
+  CASE WHEN NOT twice AND NOT bg THEN reasoning END AS reasoning_output, CASE WHEN NOT twice AND known AND NOT bt AND input IS NOT NULL THEN total END AS total, count_status, CASE WHEN twice THEN 'conflicted' WHEN count_status = 'invalid' THEN 'invalid' WHEN known AND input IS NOT NULL THEN 'eligible' ELSE 'provisional' END AS selection, CAST(records AS BIGINT) AS records FROM e)"""
+QUERIES |= {"ingest_turns": ingest_turns, "ingest_usage": ingest_usage, "response_usage": response_usage, "message_calls": message_calls, "verified_usage": verified_usage, "verified_shares": verified_shares, "ingest_diagnostics": ingest_diagnostics}
 ORACLES |= {
     "ingest_turns": f"{_SESSIONS} SELECT CASE WHEN id % 70 = 0 AND id % 30 <> 0 THEN 'unknown' WHEN id % 30 = 0 THEN 'cancelled' ELSE 'completed' END AS status, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS sum_ms FROM e WHERE id % 10 = 0 GROUP BY 1",
     "ingest_usage": f"{_SESSIONS}, u AS (SELECT source, id // 3 AS r, min(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS lo, max(id // 3 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) AS hi FROM e GROUP BY ALL) SELECT lo <> hi AS conflicted, count(*) AS n, CAST(coalesce(sum(CASE WHEN lo = hi THEN lo END), 0) AS BIGINT) AS input_tokens FROM u GROUP BY 1",
+    "verified_usage": f"{_VERIFIED} SELECT * FROM rows_",
+    "verified_shares": f"""{_VERIFIED}, g AS (SELECT session_id, count(*) AS n, {', '.join(f'CASE WHEN count({c}) = count(*) THEN CAST(sum({c}) AS BIGINT) END AS {c}' for c in _COUNTED)} FROM rows_ WHERE selection = 'eligible' GROUP BY session_id)
+SELECT session_id, n, CASE WHEN input > 0 AND cached_input <= input THEN cached_input / input END AS cache_share, CASE WHEN input > 0 AND cache_write_input <= input THEN cache_write_input / input END AS cache_write_share, CASE WHEN output > 0 AND reasoning_output <= output THEN reasoning_output / output END AS reasoning_share, output - reasoning_output AS visible_output, total FROM g""",
     "message_calls": f"""WITH {EVENTS_SQL}, x AS (SELECT *, id % 41 = 6 AS lacks, id % 29 = 3 AND id % 41 <> 6 AS ack, id % 31 = 4 AND id % 41 = 6 AS again, id % 37 = 5 AS other, status = 'failed' AS bad FROM ev),
 y AS (SELECT *, CASE WHEN again THEN [NOT bad] WHEN lacks OR ack THEN [] ELSE [bad] END || CASE WHEN other THEN [NOT bad] ELSE [] END AS told FROM x), z AS (SELECT *, len(list_distinct(told)) > 1 AS differ FROM y)
 SELECT CASE category WHEN 'read' THEN 'read' WHEN 'search' THEN 'search' WHEN 'edit' THEN 'edit' ELSE 'shell' END AS kind, CASE category WHEN 'validation' THEN 'test' WHEN 'command' THEN 'other' ELSE category END AS category, CASE WHEN differ THEN 'unknown' WHEN len(told) = 0 THEN 'pending' WHEN told[1] THEN 'failed' ELSE 'completed' END AS status,
