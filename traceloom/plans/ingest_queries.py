@@ -80,7 +80,7 @@ def ingest_turns(spark, sf_dir: str):
 def _records(spark, sf_dir: str, write, provider: str):
     folder = work_folder(spark, "logs")
     write(spark, sf_dir, folder)
-    return jsonl.admitted(saved(jsonl.read_records(spark, folder, provider, pattern="part-*")))
+    return jsonl.admitted(jsonl.read_records(spark, folder, provider, pattern="part-*"))
 
 
 def ingest_usage(spark, sf_dir: str):

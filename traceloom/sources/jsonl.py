@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from traceloom.functions.saved import saved
+
 LINE_LIMIT = 1 << 20
 #: Places are counted from the first line of a block of a file, records from its first record.
 _PLACED = "file string, block long, place long, next_place long, number long, raw string, code string"
@@ -81,14 +83,14 @@ def read_records(spark: SparkSession, folder: str, provider: str, pattern: str =
     """All lines of all logs under ``folder``: records (code null) and diagnostics (raw null).
 
     source_id is a hash of provider and path, so a file that moves is another source. Lines
-    are read twice: once to sum up each block, then to place each line by the blocks before.
+    are read and checked once and saved; then each is placed by sums over the blocks before.
     """
     load = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     files = load("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("file"), F.sha2(F.concat_ws("\x00", F.lit(provider), "path"), 256).alias("source_id"), "length")
     size = F.octet_length("value")
     text = load("text").option("lineSep", "\n").load(folder)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), size.cast("long").alias("size"), F.when(size <= LINE_LIMIT + 1, F.col("value").cast("binary")).alias("line"))
-    lines = text.mapInArrow(_placed, _PLACED)
+    lines = saved(text.mapInArrow(_placed, _PLACED))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = lines.groupBy("file", "block").agg(F.max("next_place").alias("bytes"), F.count("raw").alias("records"))
     blocks = blocks.select("file", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "records")], F.sum("bytes").over(W.partitionBy("file")).alias("total"))
