@@ -68,3 +68,27 @@ def test_a_log_above_64_mib_is_read(spark, tmp_path):
             f.write(line)
     got = jsonl.admitted(jsonl.read_records(spark, str(tmp_path), "codex")).select("ordinal", "byte_offset", "next_offset").collect()
     assert sorted(tuple(r) for r in got) == [(k, k * len(line), (k + 1) * len(line)) for k in range(70)]
+
+
+def test_logs_are_written_flat_and_read_in_small_batches(spark, tmp_path):
+    """One file for each source and no folder of its own; places are carried over Arrow batches, and a line is read into a record once."""
+    from pyspark.sql import functions as F
+
+    from traceloom.sources.written import write_named
+
+    folder = tmp_path / "flat"
+    rows = spark.range(200).select((F.col("id") % 7).alias("source"), "id", F.concat(F.lit('{"é":'), F.col("id").cast("string"), F.lit("}")).alias("line"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert write_named(rows, f"file://{folder}") == 7
+        assert sorted(x.name for x in folder.iterdir()) == [f"source-{k}.jsonl" for k in range(7)]
+        want = {k: "".join(f'{{"é":{i}}}\n' for i in range(k, 200, 7)).encode() for k in range(7)}
+        assert {k: (folder / f"source-{k}.jsonl").read_bytes() for k in range(7)} == want
+        (folder / "bad.jsonl").write_text('{"a":1}\n\nno\n{"b":2}\n{"c"')
+        records = jsonl.read_records(spark, str(folder), "codex")
+        got = sorted(str(tuple(r)[1:]) for r in records.collect())
+        assert "Exchange" not in jsonl.admitted(records)._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(str(x) for c in (*want.values(), (folder / "bad.jsonl").read_bytes()) for x in jsonl.lines(c))

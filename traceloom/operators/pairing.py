@@ -67,7 +67,8 @@ def codex_facts(records: DataFrame) -> DataFrame:
     """One row for each record of the first provider that says something of sessions, turns, calls or their results."""
     rows = parsed(records)
     kind, what = _text("$.type"), _text("$.payload.type")
-    rows = once(rows, {"_type": kind, "_what": what, "at_ms": utc_ms(_text("$.timestamp")), "_call": _text("$.payload.call_id"), "_name": _text("$.payload.name"), "_space": _text("$.payload.namespace"), "_item": _text("$.payload.item.type")})
+    rows = once(rows, {"_at": _text("$.timestamp")})
+    rows = once(rows, {"_type": kind, "_what": what, "at_ms": utc_ms(F.col("_at")), "_call": _text("$.payload.call_id"), "_name": _text("$.payload.name"), "_space": _text("$.payload.namespace"), "_item": _text("$.payload.item.type")})
     item_, response = F.col("_type") == "event_msg", F.col("_type") == "response_item"
     plain = F.col("_space").isNull() | (F.col("_space") == "functions")
     is_call = response & F.col("_what").isin("function_call", "custom_tool_call") & F.col("_call").isNotNull()
@@ -167,17 +168,18 @@ def claude_executions(records: DataFrame) -> DataFrame:
     Of messages that share a uuid the first counts. A result that only acknowledges
     background work leaves its call pending; ``acknowledged_ms`` tells when it came.
     """
-    rows = parsed(records).select("source_id", "ordinal", "byte_offset", "v", utc_ms(_text("$.timestamp")).alias("at_ms"), _text("$.uuid").alias("uuid"), _text("$.sessionId").alias("session"))
-    first = rows.where("uuid IS NOT NULL").groupBy("source_id", "uuid").agg(F.min("ordinal").alias("_first"))
-    rows = rows.join(first, ["source_id", "uuid"], "left").where(F.col("_first").isNull() | (F.col("ordinal") == F.col("_first")))
+    rows = once(parsed(records), {"_at": _text("$.timestamp")}).select("source_id", "ordinal", "byte_offset", "v", utc_ms(F.col("_at")).alias("at_ms"), _text("$.uuid").alias("uuid"), _text("$.sessionId").alias("session"))
     ack = (_text("$.toolUseResult.backgroundTaskId").isNotNull()) | F.coalesce(_get("$.toolUseResult.isAsync", "boolean"), F.lit(False))
-    blocks = F.when(_schema("$.message.content").startswith("ARRAY"), _get("$.message.content", "array<variant>"))
-    facts = rows.select("source_id", "ordinal", "byte_offset", "at_ms", "session", F.coalesce(_text("$.forkedFromSessionId").isNotNull(), F.lit(False)).alias("forked"), ack.alias("ack"), F.explode_outer(blocks).alias("v"))
-    name = F.coalesce(_text("$.name"), F.lit(""))
+    blocks = _get("$.message.content", "array<variant>")  # null for anything else
+    facts = rows.select("source_id", "ordinal", "byte_offset", "at_ms", "uuid", "session", F.coalesce(_text("$.forkedFromSessionId").isNotNull(), F.lit(False)).alias("forked"), ack.alias("ack"), F.explode_outer(blocks).alias("v"))
+    facts = once(facts, {"type": _text("$.type"), "_name": F.coalesce(_text("$.name"), F.lit(""))})
+    # All that is read of a record is saved before messages are told apart: only these short rows are shuffled.
     facts = saved(facts.select(
-        "source_id", "ordinal", "byte_offset", "at_ms", "session", "forked", "ack", _text("$.type").alias("type"), F.coalesce(F.when(_text("$.type") == "tool_use", _text("$.id")), F.when(_text("$.type") == "tool_result", _text("$.tool_use_id"))).alias("id"),
-        _tool(name).alias("kind"), F.when(_tool(name) == "shell", _text("$.input.command")).alias("command"), F.coalesce(_get("$.is_error", "boolean"), F.lit(False)).alias("failed"),
+        "source_id", "ordinal", "byte_offset", "at_ms", "uuid", "session", "forked", "ack", "type", F.when(F.col("type") == "tool_use", _text("$.id")).when(F.col("type") == "tool_result", _text("$.tool_use_id")).alias("id"),
+        _tool(F.col("_name")).alias("kind"), F.when(_tool(F.col("_name")) == "shell", _text("$.input.command")).alias("command"), F.coalesce(_get("$.is_error", "boolean"), F.lit(False)).alias("failed"),
     ))
+    again = saved(facts.where("uuid IS NOT NULL").groupBy("source_id", "uuid").agg(F.min("ordinal").alias("_first"), F.max("ordinal").alias("_last")).where("_first < _last").drop("_last"))
+    facts = saved(facts.join(again, ["source_id", "uuid"], "left").where(F.col("_first").isNull() | (F.col("ordinal") == F.col("_first"))).drop("_first", "uuid"))
     calls = facts.where("type = 'tool_use' AND id IS NOT NULL").groupBy(*_KEY).agg(F.min(F.struct("ordinal", "byte_offset", "at_ms", "kind", "command", "session")).alias("c"), _differ("kind", "command", "at_ms").alias("c_differ"))
     told = facts.where("type = 'tool_result' AND id IS NOT NULL")
     text = F.when(~F.col("ack"), F.to_json(F.struct("failed", "at_ms"), {"ignoreNullFields": "false"}))

@@ -2,43 +2,19 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.saved import saved, work_folder
 from traceloom.sources import appends
 from traceloom.sources.driver_tables import EVENTS_SQL, events
+from traceloom.sources.written import write_named
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SOURCES = 40
 
 
-def write_named(rows: DataFrame, folder: str) -> int:
-    """Writes ``line`` in the order of ``id`` to one file for each ``source``, whose name stays; returns the number of files."""
-
-    def run(batches):
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        at, out, n = None, None, 0
-        for batch in batches:
-            for source, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if source != at:
-                    if out:
-                        out.close()
-                    at, out, n = source, store.open_output_stream(f"{path}/source-{source}.jsonl"), n + 1
-                out.write(line.encode() + b"\n")
-        if out:
-            out.close()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    ordered = rows.repartition("source").sortWithinPartitions("source", "id").select("source", "line")
-    return ordered.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 #: Of each source, what its second generation is: as it was, longer, changed, shorter, or the first.
 _SECOND = "CASE source % 5 WHEN 0 THEN id < cut WHEN 3 THEN id < cut / 2 ELSE true END"
 _FIRST = "id < cut AND source % 5 <> 4"

@@ -10,6 +10,7 @@ from traceloom.functions.saved import saved, work_folder
 from traceloom.operators import pairing, usage
 from traceloom.sources import jsonl
 from traceloom.sources.driver_tables import EVENTS_SQL, events
+from traceloom.sources.written import write_named
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,8 @@ def write_logs(spark, sf_dir: str, folder: str, sources: int | None = None) -> N
     code = F.when((F.col("status") == "failed") | (F.col("id") % 35 == 0), 2).when((F.col("category") == "search") & (F.col("id") % 3 == 0), 1).otherwise(0)
     call = F.to_json(F.struct(stamp("start_ms").alias("timestamp"), F.lit("response_item").alias("type"), F.struct(F.lit("function_call").alias("type"), call_id.alias("call_id"), F.lit("shell").alias("name"), F.to_json(F.struct(command.alias("command"))).alias("arguments")).alias("payload")))
     result = F.to_json(F.struct(stamp("end_ms").alias("timestamp"), F.lit("response_item").alias("type"), F.struct(F.lit("function_call_output").alias("type"), call_id.alias("call_id"), F.to_json(F.struct(code.alias("exit_code"))).alias("output")).alias("payload")))
-    lines = rows.select("source", "id", F.posexplode(F.array(call, result)).alias("part", "value"))
-    lines.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+    lines = rows.select("source", "id", F.posexplode(F.array(call, result)).alias("part", "line"))
+    write_named(lines, folder, ("id", "part"))
 
 
 _SQL = f"""WITH {EVENTS_SQL}, x AS (SELECT *, CASE category WHEN 'read' THEN 'read' WHEN 'search' THEN 'search' WHEN 'validation' THEN 'test' ELSE 'other' END AS c,
@@ -60,8 +61,8 @@ def write_session_logs(spark, sf_dir: str, folder: str) -> None:
         line("session_meta", id=F.concat(F.lit("s"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(F.col("source")).cast("string"))),
         F.when(tenth, turn("task_started", started_at=at["started_at"])), usage, F.when(tenth, done), F.when(F.col("id") % 70 == 0, turn("turn_aborted", **at)),
     )
-    out = rows.select("source", "id", F.posexplode(lines).alias("part", "value")).where(F.col("value").isNotNull())
-    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+    out = rows.select("source", "id", F.posexplode(lines).alias("part", "line")).where(F.col("line").isNotNull())
+    write_named(out, folder, ("id", "part"))
 
 
 def _facts(spark, sf_dir: str, write):
@@ -80,7 +81,7 @@ def ingest_turns(spark, sf_dir: str):
 def _records(spark, sf_dir: str, write, provider: str):
     folder = work_folder(spark, "logs")
     write(spark, sf_dir, folder)
-    return jsonl.admitted(jsonl.read_records(spark, folder, provider, pattern="part-*"))
+    return jsonl.admitted(jsonl.read_records(spark, folder, provider))
 
 
 def ingest_usage(spark, sf_dir: str):
@@ -106,8 +107,8 @@ def write_response_logs(spark, sf_dir: str, folder: str) -> None:
     response = F.when(F.col("r") % 23 == 6, F.lit(None)).otherwise(pair("id", quoted(text("m", F.col("r")))))
     message = F.concat(F.lit('"message":{'), F.concat_ws(",", response, pair("content", quoted(text("t", F.col("id")))), pair("stop_reason", F.when(F.col("part") == 2, F.lit('"end_turn"')).otherwise(F.lit("null"))), F.concat(F.lit('"usage":{'), F.concat_ws(",", *parts), F.lit("}"))), F.lit("}"))
     line = F.concat(F.lit("{"), F.concat_ws(",", F.lit('"type":"assistant"'), uuid, pair("sessionId", quoted(text("s", F.col("source")))), message), F.lit("}"))
-    out = rows.select("source", "id", line.alias("value"), F.explode(F.when(F.col("id") % 17 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
-    out.repartition("source").sortWithinPartitions("source", "id", "copy").select("source", "value").write.partitionBy("source").text(folder)
+    out = rows.select("source", "id", line.alias("line"), F.explode(F.when(F.col("id") % 17 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    write_named(out, folder, ("id", "copy"))
 
 
 def response_usage(spark, sf_dir: str):
@@ -143,8 +144,8 @@ def write_message_logs(spark, sf_dir: str, folder: str) -> None:
         F.when(F.col("id") % 41 == 6, none).when(F.col("id") % 29 == 3, message("user", text("r"), "end_ms", back(F.lit(False)), toolUseResult=F.struct(F.lit(True).alias("isAsync")))).otherwise(result),
         F.when(F.col("id") % 31 == 4, message("user", text("r"), "end_ms", back(~bad))), F.when(F.col("id") % 37 == 5, message("user", text("x"), "end_ms", back(~bad))),
     )
-    out = rows.select("source", "id", F.posexplode(lines).alias("part", "value")).where(F.col("value").isNotNull())
-    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+    out = rows.select("source", "id", F.posexplode(lines).alias("part", "line")).where(F.col("line").isNotNull())
+    write_named(out, folder, ("id", "part"))
 
 
 #: Counts of a response, by id; two of three logs are of a verified program.
@@ -164,8 +165,8 @@ def write_counted_logs(spark, sf_dir: str, folder: str) -> None:
         return F.concat(F.lit('{"type":"token_usage_record","payload":{"response_id":"r'), F.col("id").cast("string"), F.lit('","usage":{'), body, F.lit("}}}"))
 
     again = F.when(F.col("id") % 19 == 4, record(F.col("output") + 1)).when(F.col("id") % 17 == 3, record(F.col("output")))
-    out = rows.withColumn("_first", first).select("source", "id", F.posexplode(F.array(F.when(F.col("_first"), meta), record(F.col("output")), again)).alias("part", "value")).where(F.col("value").isNotNull())
-    out.repartition("source").sortWithinPartitions("source", "id", "part").select("source", "value").write.partitionBy("source").text(folder)
+    out = rows.withColumn("_first", first).select("source", "id", F.posexplode(F.array(F.when(F.col("_first"), meta), record(F.col("output")), again)).alias("part", "line")).where(F.col("line").isNotNull())
+    write_named(out, folder, ("id", "part"))
 
 
 _COUNTED = ("input", "cached_input", "cache_write_input", "output", "reasoning_output", "total")
