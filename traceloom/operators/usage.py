@@ -13,24 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions.expr import SAFE
+from traceloom.functions.saved import saved
 
 #: Versions of the first provider's program whose counts are known to be its service's.
 VERIFIED = ("0.153.4", "0.157.0", "0.159.0", "0.159.2")
 
 
 def _text(path: str) -> Column:
-    """A string at a path that is not empty; else null."""
+    """A string at a path that is not empty; else null. Its kind is looked at only where something is there."""
     value = F.try_variant_get("v", path, "string")
-    return F.when((F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING") & (value != ""), value)
+    return F.when(value != "", F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", value))
 
 
-def _component(path: str) -> Column:
+def _component(here: Column, number: Column, kind: Column) -> Column:
     """value, missing and bad of a count."""
-    here = F.try_variant_get("v", path, "variant")
-    number = F.try_variant_get("v", path, "double")
     missing = here.isNull() | F.is_variant_null(here)
-    whole = F.schema_of_variant(here).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & number.between(0, SAFE) & (number == F.floor(number))
-    good = ~missing & F.coalesce(whole, F.lit(False))
+    numeric = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    good = ~missing & F.coalesce(numeric & number.between(0, SAFE) & (number == F.floor(number)), F.lit(False))
     return F.struct(F.when(good, number.cast("long")).alias("value"), missing.alias("missing"), (~missing & ~good).alias("bad"))
 
 
@@ -54,6 +53,14 @@ def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def components(rows: DataFrame, usage: str, keys: dict[str, str]) -> DataFrame:
+    """Adds a struct (value, missing, bad) for each count, and whether there is an object of counts. Each count is looked up once."""
+    out = once(rows, {f"{c}_here": F.try_variant_get("v", f"{usage}.{k}", "variant") for c, k in keys.items()})
+    out = once(out, {f"{c}_{n}": e for c in keys for n, e in (("number", F.try_variant_get(f"{c}_here", "$", "double")), ("kind", F.schema_of_variant(f"{c}_here")))})
+    found = {c: _component(*[F.col(f"{c}_{n}") for n in ("here", "number", "kind")]) for c in keys} | {"_object": _is_object(usage)}
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[e.alias(c) for c, e in found.items()])
+
+
 def parsed(records: DataFrame) -> DataFrame:
     """Records with their content as variant ``v``."""
     return once(records, {"v": F.try_parse_json("raw")}).select("source_id", "ordinal", "byte_offset", "v")
@@ -66,7 +73,7 @@ def claude_counts(rows: DataFrame, usage: str = "$.message.usage") -> DataFrame:
     is unknown, and so is the total.
     """
     keys = {"_u": "input_tokens", "_o": "output_tokens", "_r": "cache_read_input_tokens", "_w": "cache_creation_input_tokens"}
-    out = rows.withColumns({c: _component(f"{usage}.{k}") for c, k in keys.items()} | {"_object": _is_object(usage)})
+    out = components(rows, usage, keys)
     whole = F.col("_u.value") + F.col("_r.value") + F.col("_w.value")
     out = out.withColumn("_input", _safe(whole)).withColumn("_total", _safe(F.col("_input") + F.col("_o.value")))
     over = (whole.isNotNull() & F.col("_input").isNull()) | ((F.col("_input") + F.col("_o.value")).isNotNull() & F.col("_total").isNull())
@@ -75,14 +82,22 @@ def claude_counts(rows: DataFrame, usage: str = "$.message.usage") -> DataFrame:
     return out.withColumns({"counts": F.struct(*[v.alias(k) for k, v in counts.items()]), "count_status": status}).drop(*keys, "_object", "_input", "_total")
 
 
+#: Names of the first provider's counts.
+_CODEX = {"_i": "input_tokens", "_o": "output_tokens", "_c": "cached_input_tokens", "_w": "cache_write_input_tokens", "_g": "reasoning_output_tokens", "_t": "total_tokens"}
+
+
 def codex_counts(rows: DataFrame, usage: str, verified: Column) -> DataFrame:
     """The same of the first provider: input, output, cached_input, cache_write_input, reasoning_output, total.
 
     Only of verified programs are parts compared with wholes: a part that exceeds its whole
     and a total that isn't the sum are taken away and make the counts invalid. Of others the total is unknown.
     """
-    keys = {"_i": "input_tokens", "_o": "output_tokens", "_c": "cached_input_tokens", "_w": "cache_write_input_tokens", "_g": "reasoning_output_tokens", "_t": "total_tokens"}
-    out = rows.withColumns({c: _component(f"{usage}.{k}") for c, k in keys.items()} | {"_object": _is_object(usage), "_known": F.coalesce(verified, F.lit(False))})
+    return _codex_judged(components(rows, usage, _CODEX), verified)
+
+
+def _codex_judged(rows: DataFrame, verified: Column) -> DataFrame:
+    keys = _CODEX
+    out = rows.withColumn("_known", F.coalesce(verified, F.lit(False)))
     i, o, c, w, g, t = (F.col(f"{k}.value") for k in keys)
     no = lambda x: F.coalesce(x, F.lit(False))
     bad_c, bad_w, bad_g = no(c > i), no(w > i), no(g > o)
@@ -108,10 +123,10 @@ def claude_usage(records: DataFrame) -> DataFrame:
     """
     rows = parsed(records).where((_text("$.type") == "assistant") & F.try_variant_get("v", "$.message.usage", "variant").isNotNull())
     link = [F.coalesce(F.to_json(F.try_variant_get("v", p, "variant")), F.lit("null")) for p in ("$.parentUuid", "$.sourceToolAssistantUUID", "$.message.id", "$.message.content")]
-    rows = claude_counts(rows).select(
+    rows = saved(claude_counts(rows).select(
         "source_id", "ordinal", "byte_offset", _text("$.sessionId").alias("session_id"), _text("$.uuid").alias("uuid"), _text("$.message.id").alias("response_id"), _text("$.message.stop_reason").alias("stop_reason"),
         F.sha2(F.concat_ws("\x00", *link), 256).alias("_digest"), F.to_json(F.try_variant_get("v", "$.message.usage", "variant")).alias("_usage"), "counts", "count_status",
-    )
+    ))
     first = rows.where("uuid IS NOT NULL").groupBy("source_id", "uuid").agg(F.min_by("_digest", "ordinal").alias("_first"))
     bad = rows.join(first, ["source_id", "uuid"]).where(F.col("_digest") != F.col("_first")).groupBy("source_id", "uuid").agg(F.min("ordinal").alias("_bad_from"))
     marked = rows.join(bad, ["source_id", "uuid"], "left").withColumn("_bad", F.coalesce(F.col("ordinal") >= F.col("_bad_from"), F.lit(False)))
@@ -130,15 +145,18 @@ def codex_usage(records: DataFrame) -> DataFrame:
     Counts are of a known kind, and final, where the log's program is a verified version
     and no other session had begun when the record was written.
     """
-    rows = parsed(records)
-    meta = rows.where(_text("$.type") == "session_meta").select("source_id", "ordinal", _text("$.payload.id").alias("session"), _text("$.payload.cli_version").isin(*VERIFIED).alias("verified"), _text("$.payload.forked_from_id").isNotNull().alias("forked"))
+    # A record is read once: what it says of its session or of a response is saved.
+    rows = once(parsed(records), {"_type": _text("$.type"), "response_id": _text("$.payload.response_id")}).where((F.col("_type") == "session_meta") | ((F.col("_type") == "token_usage_record") & F.col("response_id").isNotNull()))
+    head = {"session": _text("$.payload.id"), "verified": _text("$.payload.cli_version").isin(*VERIFIED), "forked": _text("$.payload.forked_from_id").isNotNull(), "_turn": F.coalesce(_text("$.payload.turn_id"), F.lit("\x00"))}
+    rows = components(rows.select("source_id", "ordinal", "byte_offset", "_type", "response_id", "v", *[c.alias(n) for n, c in head.items()]), "$.payload.usage", _CODEX)
+    rows = saved(rows.drop("v"))
+    meta = rows.where("_type = 'session_meta'")
     first = meta.groupBy("source_id").agg(F.min_by("session", "ordinal").alias("session_id"), F.min_by("verified", "ordinal").alias("verified"))
     strange = meta.join(first.select("source_id", "session_id"), "source_id").where(F.col("forked") | ~F.col("session").eqNullSafe(F.col("session_id"))).groupBy("source_id").agg(F.min("ordinal").alias("_strange"))
-    used = rows.where((_text("$.type") == "token_usage_record") & _text("$.payload.response_id").isNotNull()).join(first, "source_id", "left").join(strange, "source_id", "left")
-    used = codex_counts(used, "$.payload.usage", F.col("verified")).withColumn("ambiguous", F.coalesce(F.col("ordinal") >= F.col("_strange"), F.lit(False)))
+    used = rows.where("_type = 'token_usage_record'").drop("verified").join(first, "source_id", "left").join(strange, "source_id", "left")
+    used = _codex_judged(used, F.col("verified")).withColumn("ambiguous", F.coalesce(F.col("ordinal") >= F.col("_strange"), F.lit(False)))
     used = used.withColumn("final", F.coalesce("verified", F.lit(False)) & ~F.col("ambiguous"))
-    turn = F.coalesce(_text("$.payload.turn_id"), F.lit("\x00"))
-    used = used.select("source_id", "session_id", _text("$.payload.response_id").alias("response_id"), "ordinal", "byte_offset", turn.alias("_turn"), F.coalesce(F.to_json("counts"), F.lit("")).alias("_same"), "counts", "count_status", "final", "ambiguous")
+    used = used.select("source_id", "session_id", "response_id", "ordinal", "byte_offset", "_turn", F.coalesce(F.to_json("counts"), F.lit("")).alias("_same"), "counts", "count_status", "final", "ambiguous")
     found = used.groupBy("source_id", "response_id").agg(
         F.min(F.struct("ordinal", "byte_offset", "session_id", "_turn", "counts", "count_status", "ambiguous")).alias("w"), F.bool_or("final").alias("final"),
         ((F.min("_same") != F.max("_same")) | (F.min("_turn") != F.max("_turn"))).alias("conflicted"), F.count(F.lit(1)).alias("records"),
