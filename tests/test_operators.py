@@ -350,3 +350,27 @@ def test_periods():
     for pair in (("2024-01-01", "2024-01-02"), ("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z"), ("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"), ("2023-02-30T00:00:00Z", "2023-03-02T00:00:00Z"), ("2024-01-01T00:00:00+00:00", "2024-01-02T00:00:00Z"), ("2024-01-01T00:00:00.1234Z", "2024-01-02T00:00:00Z"), ("2024-01-01T00:00:00Z", "2025-01-01T00:00:00.001Z"), (None, "2024-01-02T00:00:00Z"), ("2024-01-01T24:01:00Z", "2024-01-02T00:00:00Z")):
         with pytest.raises(ValueError):
             history.parse_period(*pair)
+
+
+def test_rule_overlap_sweeps_united_intervals_once(spark):
+    """Equal to a count of milliseconds, over borders of days; no union of copies and no decimal codes in the plan."""
+    import random
+
+    from traceloom.operators import intervals, relations
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        at = intervals.DAY * rng.randrange(3) + rng.choice((-60, 20)) + rng.randrange(60)
+        rows.append((k, k % 3, rng.choice("xyz"), at, at + rng.randrange(25)))
+    found = relations.rule_overlap(spark.createDataFrame(rows, "id long, session_id long, rule string, start_ms long, end_ms long"), ["session_id"], "rule")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "decimal" not in plan
+    for r in found.collect():
+        busy = {}
+        for _, s, rule, a, b in rows:
+            if s == r.session_id:
+                for t in range(a, b):
+                    busy.setdefault(t, set()).add(rule)
+        sums = [sum(map(len, busy.values())), len(busy), sum(len(x) > 1 for x in busy.values())]
+        assert [r.rule_ms, r.union_ms, r.overlap_ms, r.excess_ms] == [*sums, sums[0] - sums[1]]

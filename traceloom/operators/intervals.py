@@ -58,7 +58,7 @@ def sweep(rows: DataFrame, keys: list[str], kind: str, block_ms: int = DAY) -> D
     its own that needs nothing of the others, and a border in an interval ends a segment.
     Time that no interval covers may lack segments.
     """
-    live = _cut(rows.where("start_ms < end_ms").select(*keys, F.col(kind).alias("_kind"), "start_ms", "end_ms"), "_block", block_ms)
+    live = cut_blocks(rows.where("start_ms < end_ms").select(*keys, F.col(kind).alias("_kind"), "start_ms", "end_ms"), "_block", block_ms)
     part_keys = [*keys, "_block"]
     ends = live.select(*part_keys, "_kind", F.col("start_ms").alias("t_ms"), F.lit(1).alias("_d")).union(live.select(*part_keys, "_kind", "end_ms", F.lit(-1)))
     by_kind = ends.groupBy(*part_keys, "_kind", "t_ms").agg(F.sum("_d").alias("_d"))
@@ -89,7 +89,7 @@ def exclusive(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.where("active_kinds = 1").groupBy(*keys, F.col("only_kind").alias("kind")).agg(F.sum(F.col("next_ms") - F.col("t_ms")).alias("exclusive_ms"))
 
 
-def _cut(rows: DataFrame, name: str, width: int, shift: int = 0) -> DataFrame:
+def cut_blocks(rows: DataFrame, name: str, width: int, shift: int = 0) -> DataFrame:
     """The part of each interval with a length in each block of ``width`` ms; adds the block's number."""
     floor = lambda c: F.floor((c + shift) / F.lit(float(width))).cast("long")
     parts = rows.where("end_ms > start_ms").withColumn(name, F.explode(F.sequence(floor(F.col("start_ms")), floor(F.col("end_ms") - 1))))
@@ -99,4 +99,4 @@ def _cut(rows: DataFrame, name: str, width: int, shift: int = 0) -> DataFrame:
 
 def split_days(rows: DataFrame, offset_minutes: int = 0) -> DataFrame:
     """The part of each interval in each day of a fixed offset: day (days since the epoch), start_ms, end_ms."""
-    return _cut(rows, "day", DAY, offset_minutes * 60_000)
+    return cut_blocks(rows, "day", DAY, offset_minutes * 60_000)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from traceloom.functions.saved import saved
 from traceloom.operators import intervals
 
 
@@ -36,6 +37,13 @@ def rule_overlap(occurrences: DataFrame, keys: list[str], rule: str) -> DataFram
     Intervals of one rule are united first, so that a rule never overlaps itself.
     """
     united = intervals.islands(occurrences, [*keys, rule]).select(*keys, rule, F.col("lo").alias("start_ms"), F.col("hi").alias("end_ms"))
+    united = saved(united)  # read for its sums and for the sweep
     total = united.groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("rule_ms"))
-    at = intervals.concurrency(intervals.sweep(united, keys, rule), keys)
+    # Of one rule no two are left that touch, so changes of a block of time tell how many rules there are. A row of a tie has no length.
+    block = [*keys, "_block"]
+    change = F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d")))).alias("c")
+    changes = intervals.cut_blocks(united, "_block", intervals.DAY).select(*block, change).select(*block, "c.t", "c.d").repartition(*block)
+    order = W.partitionBy(*block).orderBy("t")
+    swept = changes.select(*keys, F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_active"), (F.lead("t").over(order) - F.col("t")).alias("_length"))
+    at = swept.groupBy(*keys).agg(*[F.sum(F.when(F.col("_active") >= n, F.col("_length")).otherwise(0)).alias(c) for c, n in (("busy_ms", 1), ("multi_kind_ms", 2))])
     return total.join(at, keys, "left").select(*keys, "rule_ms", F.coalesce("busy_ms", F.lit(0).cast("long")).alias("union_ms"), F.coalesce("multi_kind_ms", F.lit(0).cast("long")).alias("overlap_ms"), (F.col("rule_ms") - F.coalesce("busy_ms", F.lit(0).cast("long"))).alias("excess_ms"))
