@@ -1,8 +1,10 @@
 """Proofs of logs and verified appends."""
 
+import io
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +112,18 @@ def test_long_lines(spark, tmp_path):
     for size in (1 << 19, 1 << 26):
         got = sorted((r.byte_offset, r.code) for r in appends.lines_from(files, size).collect())
         assert [c for _, c in got] == [None, "RECORD_TOO_LARGE", None, "PENDING_TAIL"]
+
+
+def test_ranges_are_many_tasks(spark, tmp_path):
+    for k in range(12):
+        put(tmp_path, f"{k}.jsonl", line(k) * 3)
+    files = saved(appends.listing(spark, str(tmp_path), "codex").withColumns({"start": F.lit(0).cast("long"), "old_length": F.lit(0).cast("long")}))
+    for rows in (appends.lines_from(files), appends.leaves(files)):
+        assert rows.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_short_lines_are_not_copied_with_their_buffer():
+    began, n = time.monotonic(), 1_000_000
+    f = io.BytesIO(b"{}\n" * n)
+    assert sum(1 for _ in appends._line_starts(f, 0, 3 * n, 3 * n, jsonl.LINE_LIMIT)) == n
+    assert time.monotonic() - began < 10
