@@ -15,25 +15,27 @@ from traceloom.operators.blocks import WIDTH, running
 NEWEST = {"codex": 3, "claude": 4}
 
 
-def suppression(sources: DataFrame, observations: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def suppression(sources: DataFrame, observations: DataFrame, events: DataFrame | None = None, related: DataFrame | None = None) -> DataFrame:
     """Adds ``suppressed``: the first reason that silences a source, or null.
 
     ``sources`` has source_id, availability, has_evidence, state_limited. Observations of
     ambiguous origin silence their source. The longer ladder, with ``events``, also looks at
     the source's provider, parser_version, diagnostics_dropped, ambiguous_records and what
     its capabilities state (capability_provider, capability_version); then at executions
-    with a parent, or that a wrapper record names.
+    with a parent, or that a wrapper record names. In place of ``events``, ``related`` may
+    tell of each source whether it has such (source_id, _related).
     """
     ambiguous = observations.groupBy("source_id").agg(F.bool_or(F.col("origin") == "ambiguous").alias("_ambiguous"))
     out = sources.join(ambiguous, "source_id", "left")
     limited, unclear = F.col("state_limited"), F.coalesce("_ambiguous", F.lit(False))
-    if events is not None:
+    if related is None and events is not None:
         wrappers = observations.where("o_provider = 'codex' AND representation = 'wrapper'").select("source_id", F.col("event_id").alias("id")).distinct().withColumn("_wrapped", F.lit(True))
         related = events.select("source_id", "id", "parent_id").join(wrappers, ["source_id", "id"], "left").groupBy("source_id").agg(F.bool_or(F.col("parent_id").isNotNull() | F.col("_wrapped").isNotNull()).alias("_related"))
+    if related is not None:
         out = out.join(related, "source_id", "left")
         limited, unclear = limited | (F.col("diagnostics_dropped") > 0), unclear | (F.col("ambiguous_records") > 0)
     ladder = [(F.col("availability") != "available", "source_unavailable"), (~F.col("has_evidence"), "evidence_absent"), (limited, "state_limited"), (unclear, "ambiguous_origin")]
-    if events is not None:
+    if related is not None:
         newest = F.when(F.col("provider") == "codex", NEWEST["codex"]).otherwise(NEWEST["claude"])
         known = F.col("parser_version").between(1, newest) & (F.col("capability_provider") == F.col("provider")) & (F.col("capability_version") == F.col("parser_version"))
         ladder += [(~F.coalesce(known, F.lit(False)), "unsupported_contract"), (F.coalesce("_related", F.lit(False)), "unresolved_execution_relation")]

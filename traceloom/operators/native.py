@@ -16,9 +16,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from traceloom.functions.expr import SAFE, first_reason
-from traceloom.operators.blocks import WIDTH, running
+from traceloom.operators.blocks import WIDTH
 
 #: Kinds and tools of each provider whose executions are counted, and the category of each kind.
 NATIVE = {
@@ -86,21 +87,38 @@ def _proofs(rows: DataFrame, seen: DataFrame, matches: Column, contradicts: Colu
     return found.select("_row.*", "against", "call_id", "decisive")
 
 
+def _failure_votes() -> tuple[Column, Column]:
+    """What an observation that is linked says of an end: that it is proven, and that it can't be right."""
+    matches, contradicts = _failure_kinds()
+    own = F.col("o_id").isNotNull() & ~_foreign()
+    match = own & F.col("here") & _is(matches)
+    return match, _foreign() | (own & F.col("here") & contradicts & ~match)
+
+
 def failure_proofs(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Adds call_id, decisive and ``failure``: why an execution's end is not proven, or null.
 
     Only an observation at the execution's own place can decide. One at another place is
     neither proof nor contradiction. A call is needed too, but for structured records.
     """
+    matches, contradicts = _failure_kinds()
+    out = _proofs(rows, seen, matches, contradicts)
+    wrong = F.col("against") | ~_is(F.col("event_provider") == F.col("provider")) | ~_is(_supported_record())
+    lacking = F.col("decisive").isNull() | (~_structured() & F.col("call_id").isNull())
+    return out.withColumn("failure", first_reason((wrong, "contradictory_provenance"), (lacking, "missing_provenance"))).drop("against")
+
+
+def _supported_record() -> Column:
+    return F.when(F.col("provider") == "claude", F.col("record_type") == "user").otherwise(F.col("record_type").isin("event_msg", "response_item"))
+
+
+def _failure_kinds() -> tuple[Column, Column]:
+    """Which observations decide an end, and which contradict it."""
     told = F.col("transport_status")
     structured = F.when(F.col("status") == "failed", (F.col("outcome") == "error") & (told == "failed")).when(F.col("outcome").isin("no_match", "change_detected"), (F.col("kind") == "shell") & (told == "failed")).otherwise(F.col("outcome").isin("success", "unknown") & (told == "completed"))
     plain = F.col("representation").isin("result", "poll") & (told == "unknown")
     matches = F.when(F.col("provider") == "claude", _invocation_result()).when(_structured(), (F.col("representation") == "structured") & structured).otherwise(plain)
-    out = _proofs(rows, seen, matches, F.col("representation") != "call")
-    supported = F.when(F.col("provider") == "claude", F.col("record_type") == "user").otherwise(F.col("record_type").isin("event_msg", "response_item"))
-    wrong = F.col("against") | ~_is(F.col("event_provider") == F.col("provider")) | ~_is(supported)
-    lacking = F.col("decisive").isNull() | (~_structured() & F.col("call_id").isNull())
-    return out.withColumn("failure", first_reason((wrong, "contradictory_provenance"), (lacking, "missing_provenance"))).drop("against")
+    return matches, F.col("representation") != "call"
 
 
 def slow_proofs(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -150,17 +168,35 @@ def timing_reason() -> Column:
     )
 
 
-def positions(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Adds ``position_reason``: why an execution has no proven place in time, or null."""
+def _place_kinds() -> tuple[Column, Column]:
+    """Whether an execution's interval is of a structured record, or of a call and its result."""
     structured = _structured() & (F.col("interval_scope") == "item_lifecycle") & (F.col("interval_evidence") == "source_reported")
     paired = (F.col("interval_scope") == "invocation_latency") & (F.col("interval_evidence") == "paired_timestamps") & (F.col("record_type") == F.when(F.col("provider") == "codex", "response_item").otherwise("user"))
-    both = linked(rows.withColumn("_structured", _is(structured)).withColumn("_paired", _is(paired)), seen, ("call", "result", "structured", "poll"))
+    return _is(structured), _is(paired)
+
+
+def _position_lacks() -> Column:
+    """Whether an execution has no place whatever was observed of it."""
+    structured, paired = _place_kinds()
+    return F.col("start_ms").isNull() | F.col("end_ms").isNull() | (F.col("end_ms") < F.col("start_ms")) | (~structured & ~paired)
+
+
+def _position_votes() -> tuple[Column, Column, Column, Column]:
+    """What an observation that is linked is to a place: its call, its end, a contradiction in turn or in time. Over ``_structured``."""
     own = F.col("o_id").isNotNull() & (F.col("origin") == "ordinary") & _is(F.col("o_file") == F.col("file_id"))
     call = own & (F.col("representation") == "call") & (F.col("o_at") < F.col("byte_offset"))
     end = own & F.col("here") & F.when(F.col("_structured"), F.col("representation") == "structured").otherwise(F.col("representation").isin("result", "poll"))
     same_turn = F.col("o_turn").eqNullSafe(F.col("turn_id"))
     bad_turn = (call & ~same_turn) | (end & ~same_turn & (F.col("_structured") | F.col("o_turn").isNotNull()))
     late = end & (F.col("o_provider") == "claude") & ~F.col("observed_ms").eqNullSafe(F.col("end_ms"))
+    return call, end, bad_turn, late
+
+
+def positions(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds ``position_reason``: why an execution has no proven place in time, or null."""
+    structured, paired = _place_kinds()
+    both = linked(rows.withColumn("_structured", structured).withColumn("_paired", paired), seen, ("call", "result", "structured", "poll"))
+    call, end, bad_turn, late = _position_votes()
     # Of two contradictions the one met first in the order of offsets counts.
     first = F.min(F.when(bad_turn, F.struct("o_at", F.lit("contradictory_turn_proof").alias("why"))).when(late, F.struct("o_at", F.lit("contradictory_terminal_time").alias("why"))))
     found = both.groupBy(*_KEYS).agg(_row(rows), first.alias("_first"), F.bool_or(call).alias("_call"), F.bool_or(end).alias("_end"), F.first("_structured").alias("_structured"), F.first("_paired").alias("_paired"))
@@ -172,33 +208,134 @@ def positions(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return out.withColumn("position_reason", reason).drop("_first", "_call", "_end", "_structured", "_paired")
 
 
+def _set(flags: dict[str, Column]) -> Column:
+    """One number with a bit for each flag, in their order; unknown counts as no."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(flags.values())])
+
+
+def _has(flags: dict[str, Column] | list[str], name: str, column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit(1 << list(flags).index(name)).cast("long")) != 0
+
+
+#: What only holds between neighbours of a session, in the order of its offsets.
+_PAIRS = ["ambiguous_source_order", "overlapping_actions", "tied_or_contradictory_boundaries"]
+_SEVERAL = {"inconsistent_source_file": ["file_id"], "mixed_interval_contracts": ["interval_scope", "interval_evidence"]}
+
+
+def _neighbours(before: str, now: str) -> Column:
+    """The bits of ``_PAIRS`` of two neighbours, which are structs of byte_offset, id, start_ms, end_ms."""
+    b, n = (lambda c: F.col(f"{before}.{c}")), (lambda c: F.col(f"{now}.{c}"))
+    held = [n("byte_offset") == b("byte_offset"), n("start_ms") < b("end_ms"), (n("start_ms") <= b("start_ms")) | (n("end_ms") <= b("end_ms"))]
+    return _set(dict(zip(_PAIRS, held, strict=True)))
+
+
+def _sessions(rows: DataFrame, placed: Column, flags: dict[str, Column], width: int, more: dict[str, Column] | None = None) -> DataFrame:
+    """Per session: ``_flags`` (bits of ``flags`` that hold for a row), ``_pairs`` (of neighbours among the placed rows), several values of a placed row's columns, and maxima of ``more``.
+
+    A row is shuffled once, as numbers and what its order needs, to a block of its session's
+    offsets. A block leaves one row with its first and last place, and so do its rows that
+    aren't placed; what lies between two blocks is settled over these.
+    """
+    more, several = more or {}, [c for cs in _SEVERAL.values() for c in cs]
+    block = F.floor(F.col("byte_offset") / F.lit(float(width))).cast("long")
+    bits = rows.withColumns({"_placed": _is(placed), "_flags": _set(flags), "_block": block} | {f"_more_{n}": c for n, c in more.items()})
+    bits = bits.select("session_id", "source_id", "_block", "_placed", "_flags", "byte_offset", "id", "start_ms", "end_ms", *several, *[f"_more_{n}" for n in more])
+    keys = ["session_id", "source_id", "_block", "_placed"]
+    at = F.struct("byte_offset", "id", "start_ms", "end_ms")
+    met = bits.withColumn("_at", at).withColumn("_before", F.when(F.col("_placed"), F.lag("_at").over(W.partitionBy(*keys).orderBy("byte_offset", "id"))))
+    edge = F.when(F.col("_placed"), F.col("_at"))
+    blocks = met.withColumn("_pairs", _neighbours("_before", "_at")).groupBy(*keys).agg(
+        F.bit_or("_flags").alias("_flags"), F.bit_or("_pairs").alias("_pairs"), F.min(edge).alias("_first"), F.max(edge).alias("_last"),
+        *[f(F.when(F.col("_placed"), F.col(c))).alias(f"{n}_{c}") for c in several for n, f in (("_min", F.min), ("_max", F.max))], *[F.max(f"_more_{n}").alias(f"_more_{n}") for n in more],
+    )
+    across = W.partitionBy("session_id", "source_id").orderBy("_placed", "_block")
+    # Rows without a place come first, so a placed block's forerunner is placed or has no last place.
+    joined = blocks.withColumn("_prior", F.lag("_last").over(across)).withColumn("_pairs", F.col("_pairs").bitwiseOR(_neighbours("_prior", "_first")))
+    differ = {n: reduce(lambda a, b: a | b, [F.min(f"_min_{c}") != F.max(f"_max_{c}") for c in cs]) for n, cs in _SEVERAL.items()}
+    return joined.groupBy("source_id", "session_id").agg(F.bit_or("_flags").alias("_flags"), F.bit_or("_pairs").alias("_pairs"), *[_is(c).alias(f"_{n}") for n, c in differ.items()], *[F.max(f"_more_{n}").alias(n) for n in more])
+
+
+def _listed(named: dict[str, Column], *first: Column) -> Column:
+    return F.array_sort(F.array_compact(F.array(*first, *[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("reasons")
+
+
+def _relevant() -> Column:
+    return ~_is((F.col("kind") == "model") | (F.col("category") == "model"))
+
+
+def _row_blockers() -> dict[str, Column]:
+    """Reasons that an action gives whether it is admitted or not."""
+    opaque = F.col("kind").isin(*OPAQUE) | ((F.col("kind") == "shell") & ~F.col("category").isin(*CLEAR_SHELL))
+    edit = F.col("kind").isin("file_edit", "file_write")
+    return {
+        "opaque_action_in_stream": _relevant() & opaque, "unconfirmed_edit_effect": _relevant() & edit & ~((F.col("status") == "completed") & (F.col("outcome") == "success")),
+        "missing_turn_identity": _relevant() & (F.col("provider") == "codex") & F.col("turn_id").isNull(),
+    }
+
+
+def _unclear_source() -> Column:
+    return (F.col("coverage") != "recognized_shapes") | (F.col("unsupported_records") > 0)
+
+
 def session_blockers(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per session the sorted reasons for which its order in time can't be used; an empty list if it can.
 
     Takes the columns of ``admission`` and ``positions``, and of the source suppressed,
     coverage and unsupported_records. A session is worked on in blocks of its offsets.
     """
-    relevant = ~_is((F.col("kind") == "model") | (F.col("category") == "model"))
-    placed = relevant & F.col("admitted") & F.col("position_reason").isNull()
-    marked = rows.withColumn("_placed", _is(placed))
-    met = running(marked.where("_placed").withColumn("_at", F.struct("start_ms", "end_ms", "byte_offset")), ["source_id", "session_id"], "byte_offset", width, previous={"_before": "_at"}, tie="id")
-    out = met.drop("_at").unionByName(marked.where("NOT _placed"), allowMissingColumns=True)
-    placed = both = F.col("_placed")
-    edit = F.col("kind").isin("file_edit", "file_write")
-    opaque = F.col("kind").isin(*OPAQUE) | ((F.col("kind") == "shell") & ~F.col("category").isin(*CLEAR_SHELL))
-    per_row = {
-        "incomplete_temporal_context": (F.col("coverage") != "recognized_shapes") | (F.col("unsupported_records") > 0),
-        "provenance_unresolved": F.col("partition_status") == "provenance_unresolved",
-        "opaque_action_in_stream": relevant & opaque, "nonterminal_or_unadmitted_action": relevant & ~F.col("admitted"), "unpositioned_action": relevant & F.col("admitted") & F.col("position_reason").isNotNull(),
-        "unconfirmed_edit_effect": relevant & edit & ~((F.col("status") == "completed") & (F.col("outcome") == "success")), "missing_turn_identity": relevant & (F.col("provider") == "codex") & F.col("turn_id").isNull(),
-        "ambiguous_source_order": both & (F.col("byte_offset") == F.col("_before.byte_offset")), "overlapping_actions": both & (F.col("start_ms") < F.col("_before.end_ms")),
-        "tied_or_contradictory_boundaries": both & ((F.col("start_ms") <= F.col("_before.start_ms")) | (F.col("end_ms") <= F.col("_before.end_ms"))),
+    inside = _relevant() & F.col("admitted")
+    flags = _row_blockers() | {
+        "incomplete_temporal_context": _unclear_source(), "provenance_unresolved": F.col("partition_status") == "provenance_unresolved",
+        "nonterminal_or_unadmitted_action": _relevant() & ~F.col("admitted"), "unpositioned_action": inside & F.col("position_reason").isNotNull(),
+    }
+    found = _sessions(rows, inside & F.col("position_reason").isNull(), flags, width, {"suppressed": F.col("suppressed")})
+    named = {n: _has(flags, n, "_flags") for n in flags} | {n: _has(_PAIRS, n, "_pairs") for n in _PAIRS} | {n: F.col(f"_{n}") for n in _SEVERAL}
+    return found.select("source_id", "session_id", _listed(named, F.col("suppressed")))
+
+
+def examined_sessions(rows: DataFrame, seen: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per session, of its executions and what was observed of them, all that ``blockers_of`` needs of it.
+
+    Proofs of ends and of places are found in one pass: a row goes through one join with
+    its observations and one grouping, in which each observation is a number of bits. That
+    a session is evaluated is known only at its end, so what depends on it is told of all
+    executions of a countable class and end, and taken back for the others in ``blockers_of``.
+    """
+    open_ = class_reason().isNull() & status_reason().isNull()
+    place, paired = _place_kinds()
+    known = {"structured": _structured(), "placed_structured": place, "placed_paired": paired}
+    own = {
+        "open": open_, "relevant": _relevant(), "unopened": _relevant() & ~open_, "wrong": ~_is(F.col("event_provider") == F.col("provider")) | ~_is(_supported_record()),
+        "nowhere": _position_lacks(), "related": F.col("parent_id").isNotNull(), **known, **_row_blockers(),
+    }
+    carried = ["id", "source_id", "session_id", "byte_offset", "start_ms", "end_ms", "file_id", "interval_scope", "interval_evidence"]
+    asked = ["provider", "turn_id", "status", "outcome", "kind", "record_type"]
+    mine = rows.select(*carried, *asked, _set(own).alias("_own")).withColumns({"_structured": _has(own, "placed_structured", "_own"), "_paired": _has(own, "placed_paired", "_own")})
+    both = linked(mine, seen)
+    match, against = _failure_votes()
+    call, end, bad_turn, late = _position_votes()
+    votes = {
+        "match": match, "against": against, "call": ~_foreign() & F.col("o_id").isNotNull() & (F.col("representation") == "call"), "place_call": call, "place_end": end, "misplaced": bad_turn | late,
+        "wrapped": F.col("o_id").isNotNull() & (F.col("o_provider") == "codex") & (F.col("representation") == "wrapper"),
+    }
+    # Grouped by what the execution carries, all of it numbers and short names: it is the same in each row of an execution.
+    met = both.withColumn("_votes", _set(votes)).groupBy(*carried, "_own").agg(F.bit_or("_votes").alias("_votes"))
+    has, told = (lambda n: _has(own, n, "_own")), (lambda n: _has(votes, n, "_votes"))
+    failed = told("against") | has("wrong") | ~told("match") | (~has("structured") & ~told("call"))
+    unplaced = has("nowhere") | told("misplaced") | ~told("place_end") | (has("placed_paired") & ~told("place_call"))
+    rated = has("open") & has("relevant")
+    flags = {n: has(n) for n in ("open", "relevant", "unopened", *_row_blockers())} | {"unproven": has("open") & failed, "unpositioned": rated & unplaced, "related": has("related") | told("wrapped")}
+    return _sessions(met, rated & ~unplaced, flags, width).withColumns({f"is_{n}": _has(flags, n, "_flags") for n in flags} | {n: _has(_PAIRS, n, "_pairs") for n in _PAIRS}).withColumnsRenamed({f"_{n}": n for n in _SEVERAL}).drop("_flags", "_pairs")
+
+
+def blockers_of(sessions: DataFrame, sources: DataFrame) -> DataFrame:
+    """The result of ``session_blockers`` from ``examined_sessions`` and, for each source, suppressed, coverage and unsupported_records."""
+    out = sessions.join(sources.select("source_id", "suppressed", "coverage", "unsupported_records"), "source_id")
+    heard = F.col("suppressed").isNull() & F.col("is_open")
+    evaluated = heard & ~F.col("is_unproven")
+    named = {n: F.col(f"is_{n}") for n in _row_blockers()} | {
+        "incomplete_temporal_context": _unclear_source(), "provenance_unresolved": heard & F.col("is_unproven"),
+        "nonterminal_or_unadmitted_action": F.when(evaluated, F.col("is_unopened")).otherwise(F.col("is_relevant")), "unpositioned_action": evaluated & F.col("is_unpositioned"),
     }
-    several = {"inconsistent_source_file": [F.col("file_id")], "mixed_interval_contracts": [F.col("interval_scope"), F.col("interval_evidence")]}
-    aggs = [F.max("suppressed").alias("_suppressed"), *[F.bool_or(_is(c)).alias(f"_{n}") for n, c in per_row.items()]]
-    for n, parts in several.items():
-        same = [F.min(F.when(placed, p)) != F.max(F.when(placed, p)) for p in parts]
-        aggs.append(_is(reduce(lambda a, b: a | b, same)).alias(f"_{n}"))
-    found = out.groupBy("source_id", "session_id").agg(*aggs)
-    reasons = F.array_compact(F.array("_suppressed", *[F.when(F.col(f"_{n}"), F.lit(n)) for n in (*per_row, *several)]))
-    return found.select("source_id", "session_id", F.array_sort(reasons).alias("reasons"))
+    named |= {n: evaluated & F.col(n) for n in (*_PAIRS, *_SEVERAL)}
+    return out.select("source_id", "session_id", _listed(named, F.col("suppressed")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceloom.functions.saved import saved
 from traceloom.operators import gates, history, native
 from traceloom.sources.agent_tables import AGENT_SQL, executions, observations, sources
 
@@ -132,8 +133,12 @@ f AS (SELECT source_id, session_id, suppressed AS reason FROM r WHERE suppressed
 SELECT s.source_id, s.session_id, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons FROM (SELECT DISTINCT source_id, session_id FROM ag) s LEFT JOIN f USING (source_id, session_id) GROUP BY ALL""")
 def session_blockers(spark, sf_dir):
     """Why the order of a session can't be used by the rules over patterns."""
-    placed = native.positions(_admitted(spark, sf_dir), observations(spark, sf_dir)).join(sources(spark, sf_dir).select("source_id", "coverage", "unsupported_records"), "source_id")
-    return native.session_blockers(placed).select("source_id", "session_id", F.array_join("reasons", ",").alias("reasons"))
+    seen, origins = observations(spark, sf_dir), saved(sources(spark, sf_dir))
+    # One row for each session, read twice: for what suppresses its source, and for its reasons.
+    met = saved(native.examined_sessions(executions(spark, sf_dir), seen))
+    related = met.groupBy("source_id").agg(F.bool_or("is_related").alias("_related"))
+    found = native.blockers_of(met, saved(gates.suppression(origins, seen, related=related)))
+    return found.select("source_id", "session_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 _COPIES = """cp AS (SELECT id, source_id, status AS sig, outcome AS sig2, id % 37 <> 1 AS admitted, start_ms, CASE WHEN start_ms IS NOT NULL THEN end_ms END AS end_ms FROM ag
