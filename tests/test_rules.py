@@ -163,3 +163,22 @@ def test_empty_and_any_width_of_numbered(spark):
         for g in (1, None):
             assert [r.n for r in sorted(got.collect(), key=lambda r: r.k) if r.g == g] == want
     assert rules.episodes(df.where("false").withColumnRenamed("v", "end_ms").withColumnRenamed("k", "id"), ["g"], 3, 10).count() == 0
+
+
+def test_attempts_are_not_shuffled_for_a_few_mixed_operations(spark, table, tmp_path):
+    """Nor are columns written that no rule reads."""
+    rows, df = table
+    why = spark.createDataFrame([(*k, []) for k in sessions_of(rows)], "source_id long, session_id long, reasons array<string>")
+    mine = rules.usable(df, why)
+    assert "provider" not in mine.columns and {"op_key", "turn_id", "end_ms"} <= set(mine.columns)
+    known, lacking = rules._retries(mine)
+    assert "Exchange hashpartitioning" not in known._jdf.queryExecution().executedPlan().toString()
+    shut = {k for k, mine in sessions_of(rows).items() if any(r["kind"] in ("shell", "mcp") and (r["op_key"] is None or r["turn_id"] is None) for r in mine)}
+    assert {tuple(r) for r in lacking.collect()} == shut
+    classes = {}
+    for k, mine in sessions_of(rows).items():
+        for r in mine if k not in shut else []:
+            if r["kind"] in ("shell", "mcp"):
+                classes.setdefault((*k, r["turn_id"], r["op_key"]), set()).add((r["kind"], r["category"], r["tool_name"]))
+    got = known.select("source_id", "session_id", "turn_id", "op_key", "mixed").distinct().collect()
+    assert {tuple(r)[:4]: r.mixed for r in got} == {k: len(v) > 1 for k, v in classes.items()}

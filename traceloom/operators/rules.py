@@ -17,13 +17,18 @@ from pyspark.sql.window import Window as W
 from traceloom.functions.expr import fraction
 from traceloom.functions.saved import saved
 from traceloom.operators import native
-from traceloom.operators.blocks import WIDTH, numbered, running
+from traceloom.operators.blocks import WIDTH, hashed, numbered, running
 
 SESSION = ["source_id", "session_id"]
 #: Milliseconds of a block of time.
 SPAN = 1 << 24
 #: Members and milliseconds of a window of each rule, and of the crowded window of lookups.
 RETRY, CHURN, THRASH = (3, 600_000), (4, 600_000), (3, 900_000)
+#: Columns of actions that rules over usable sessions read; the others aren't written and sorted for them.
+_READ = (
+    "id", "source_id", "session_id", "turn_id", "byte_offset", "end_ms", "kind", "category", "tool_name", "status", "outcome", "op_key", "error_class", "error_key", "lookup_key", "lookup_range", "content_key",
+    "content_state", "change_state", "validation_scope",
+)
 CROWD = {"window_ms": 600_000, "lookups": 20, "same": 5, "mutations": 1}
 
 
@@ -40,9 +45,9 @@ def validations() -> Column:
 
 
 def usable(rows: DataFrame, blockers: DataFrame) -> DataFrame:
-    """The placed actions of the sessions without blockers."""
+    """The placed actions of the sessions without blockers, with the columns that rules read."""
     placed = _is((F.col("kind") != "model") & (F.col("category") != "model") & F.col("admitted")) & F.col("position_reason").isNull()
-    return saved(rows.where(placed).join(blockers.where(F.size("reasons") == 0).select(*SESSION), SESSION, "left_semi"))
+    return saved(rows.where(placed).select(*[c for c in _READ if c in rows.columns]).join(blockers.where(F.size("reasons") == 0).select(*SESSION), SESSION, "left_semi"))
 
 
 def witnesses(rows: DataFrame, keys: list[str], least: int, window_ms: int, at: str = "end_ms", tie: str = "id", span: int = SPAN, width: int = WIDTH) -> DataFrame:
@@ -59,17 +64,17 @@ def witnesses(rows: DataFrame, keys: list[str], least: int, window_ms: int, at:
     # One struct names partition and block: structs compare null-safe.
     key = lambda block: F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], block.alias("block"))
     late = F.col(at) >= (home + 1) * span - window_ms
-    seen = rows.withColumn("_w_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))).withColumn("_w_key", key(F.col("_w_block")))
-    block = W.partitionBy("_w_key")
+    seen = rows.withColumn("_w_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))).withColumn("_w_key", key(F.col("_w_block"))).withColumn("_w_hash", hashed("_w_key"))
+    block = W.partitionBy("_w_hash", "_w_key")
     placed = seen.withColumns({
         "_w_own": F.sum((home == F.col("_w_block")).cast("long")).over(block.orderBy(at, tie).rowsBetween(W.unboundedPreceding, 0)),
         "members": F.row_number().over(block.orderBy(at, tie)) - F.coalesce(F.count(F.lit(1)).over(block.orderBy(at).rangeBetween(W.unboundedPreceding, -window_ms - 1)), F.lit(0)),
         "_w_first": F.min(F.struct(F.col(at).alias("ms"), F.col(tie).alias("id"))).over(block.orderBy(at).rangeBetween(-window_ms, 0)),
     }).where(home == F.col("_w_block"))
-    sizes = rows.groupBy(key(home).alias("_w_key")).agg(F.count(F.lit(1)).alias("_w_size"))
+    sizes = rows.groupBy(key(home).alias("_w_key")).agg(F.count(F.lit(1)).alias("_w_size")).withColumn("_w_hash", hashed("_w_key"))
     across = W.partitionBy(*[F.col("_w_key")[f"k{i}"] for i in range(len(keys))]).orderBy(F.col("_w_key")["block"])
-    before = sizes.select("_w_key", F.coalesce(F.sum("_w_size").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_w_before"))
-    ranked = placed.join(before, "_w_key").withColumn("rank", F.col("_w_before") + F.col("_w_own") - 1)
+    before = sizes.select("_w_hash", "_w_key", F.coalesce(F.sum("_w_size").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_w_before"))
+    ranked = placed.join(before, ["_w_hash", "_w_key"]).withColumn("rank", F.col("_w_before") + F.col("_w_own") - 1)
     full = ranked.where(F.col("members") >= least).select(*[F.col(f"`{c}`") for c in rows.columns], "rank", "members", F.col("_w_first.ms").alias("first_ms"), F.col("_w_first.id").alias("first_id"))
     reach = F.struct("rank", (F.col("rank") - F.col("members") + 1).alias("left"))
     return numbered(full, keys, "rank", reach, lambda before, now: now["left"] > before["rank"], "episode", width)
@@ -87,11 +92,13 @@ def episodes(rows: DataFrame, keys: list[str], least: int, window_ms: int, at: s
 def _retries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Attempts of sessions in which each has an operation and a turn, with ``mixed`` (operations of several classes); and the other sessions."""
     attempts = rows.where(F.col("kind").isin("shell", "mcp"))
-    lacking = attempts.where(F.col("op_key").isNull() | F.col("turn_id").isNull()).select(*SESSION).distinct()
+    # Both are saved, so that their size is known and the attempts needn't be shuffled for a few sessions and operations.
+    lacking = saved(attempts.where(F.col("op_key").isNull() | F.col("turn_id").isNull()).select(*SESSION).distinct())
     known = attempts.join(lacking, SESSION, "left_anti")
     label = F.struct("kind", "category", "tool_name")
-    mixed = known.groupBy(*SESSION, "turn_id", "op_key").agg((F.min(label) != F.max(label)).alias("mixed"))
-    return known.join(mixed, [*SESSION, "turn_id", "op_key"]), lacking
+    operation = [*SESSION, "turn_id", "op_key"]
+    mixed = saved(known.groupBy(*operation).agg((F.min(label) != F.max(label)).alias("mixed")).where("mixed"))
+    return known.join(mixed, operation, "left").withColumn("mixed", _is(F.col("mixed"))), lacking
 
 
 def retry_loops(rows: DataFrame, span: int = SPAN, width: int = WIDTH) -> DataFrame:
@@ -100,7 +107,10 @@ def retry_loops(rows: DataFrame, span: int = SPAN, width: int = WIDTH) -> DataFr
     Takes the actions of ``usable``. A session with an attempt that no operation or turn
     is known of has none; nor has an operation whose attempts are of several classes.
     """
-    known, _ = _retries(rows)
+    return _loops(_retries(rows)[0], span, width)
+
+
+def _loops(known: DataFrame, span: int, width: int) -> DataFrame:
     keys = [*SESSION, "turn_id", "op_key"]
     failed = (F.col("status") == "failed") & (F.col("outcome") == "error") & F.col("error_key").isNotNull()
     marked = known.where("NOT mixed").withColumn("_error", F.when(failed, F.struct(F.col("error_class").alias("kind"), F.col("error_key").alias("key"))))
@@ -127,10 +137,11 @@ def _associated(rows: DataFrame, width: int) -> DataFrame:
     A cycle is edits in a row, the validation right after them, and the validations that
     follow at once and have the operation of the first. A change of turn ends everything.
     """
-    turns = numbered(rows, SESSION, "byte_offset", F.struct("turn_id"), lambda before, now: ~before["turn_id"].eqNullSafe(now["turn_id"]), "_stretch", width)
     ended = ((F.col("status") == "completed") & (F.col("outcome") == "success")) | ((F.col("status") == "failed") & (F.col("outcome") == "error"))
     step = F.when(edits(), "edit").when(validations() & ended, "validation").when(validations(), "unclear")
-    some = turns.withColumn("step", step).where("step IS NOT NULL")
+    mine = rows.select(*SESSION, "id", "byte_offset", "turn_id", "end_ms", "status", "outcome", "op_key", "validation_scope", step.alias("step"))
+    turns = numbered(mine, SESSION, "byte_offset", F.struct("turn_id"), lambda before, now: ~before["turn_id"].eqNullSafe(now["turn_id"]), "_stretch", width)
+    some = turns.where("step IS NOT NULL")
     keys = [*SESSION, "_stretch"]
     met = running(some, keys, "byte_offset", width, previous={"_step0": "step"}, sums={"_run": (F.col("step") != "validation").cast("long"), "_checks": (F.col("step") != "edit").cast("long")})
     met = saved(met.withColumn("_checks", F.col("_checks") - (F.col("step") != "edit").cast("long")))  # before the row
@@ -214,7 +225,7 @@ def assessments(rows: DataFrame, blockers: DataFrame, span: int = SPAN, width: i
         counted = part if counted is None else counted.unionByName(part)
     counted = counted.groupBy("source_id", "rule").agg(F.sum("eligible_n").alias("eligible_n"), F.sum("missing_n").alias("missing_n"))
     found = None
-    for rule, made in (("retry-loop", retry_loops(mine, span, width)), ("context-churn", context_churns(mine, span, width)), ("validation-thrashing", _thrashes(associated, span, width))):
+    for rule, made in (("retry-loop", _loops(known, span, width)), ("context-churn", context_churns(mine, span, width)), ("validation-thrashing", _thrashes(associated, span, width))):
         part = made.groupBy("source_id").agg(F.count(F.lit(1)).alias("candidate_n")).withColumn("rule", F.lit(rule))
         found = part if found is None else found.unionByName(part)
     partial = (F.col("coverage") != "recognized_shapes") | (F.col("unsupported_records") > 0) | (F.col("partition_status") == "provenance_unresolved")
