@@ -162,6 +162,22 @@ def test_op2_equals_brute_force(spark, data, texts):
     assert got == dict(zip(texts, byte_removal(list(texts.values()), 400), strict=True))
 
 
+def test_op2_leaves_a_shared_passage_of_over_50_words_that_is_shorter_than_its_length(spark):
+    """As are all items of ``benchmark``: a passage goes once a string of ``length`` bytes fits into it, however many words it has."""
+    random.seed(21)
+    word = lambda low, high: "".join(random.choices("abcdefghijklmnop", k=random.randrange(low, high)))
+    passage = (" ".join(word(5, 8) for _ in range(70)))[:398] + "."
+    assert len(passage) == 399
+    assert len(WORD.findall(passage)) > 50
+    own = [" ".join(word(3, 9) for _ in range(120)) for _ in range(4)]
+    docs = {1: f"{own[0]}0{passage}1", 2: f"{own[1]}2{passage}3", 3: f"{own[2]}4{passage}5", 4: own[3]}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for length, gone in ((400, 0), (399, 399), (281, 399)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(df, length=length).collect()}
+        assert got == dict(zip(docs, byte_removal(list(docs.values()), length), strict=True))
+        assert [got[k][1] for k in docs] == [gone, gone, gone, 0]
+
+
 def test_op8_equals_brute_force(spark, data, texts):
     got = {r[0]: tuple(r)[1:] for r in op8_substring_dedup(spark, data).collect()}
     assert got == dict(zip(texts, word_removal(list(texts.values()), 35), strict=True))
